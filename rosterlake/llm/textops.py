@@ -53,9 +53,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """One byte array and n + 1 offsets of a string column; nulls are empty."""
-    column = column.fill_null("") if column.null_count else column
-    column = column.cast(pa.large_string())
+    """One byte array and n + 1 offsets of a string or binary column; nulls are empty."""
+    column = column.cast(pa.large_binary())
+    column = column.fill_null(b"") if column.null_count else column
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
