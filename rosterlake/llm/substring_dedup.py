@@ -216,9 +216,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cores = anchors.groupBy("core").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("block") < F.max("block")).alias("several")
     )
-    shared = tables.store(anchors.join(cores.where("low < high").select("core", "several"), "core"), "shared")
-    tables.drop("anchors")
-    starts = shared.groupBy("core", "block").agg(F.min("doc_id").alias("home"))
+    # what is joined is stored first: AQE splits hot keys only where both sides are plain exchanges
+    cores = tables.store(cores.where("low < high").select("core", "several"), "cores")
+    shared = tables.store(anchors.join(cores, "core"), "shared")
+    tables.drop("anchors", "cores")
+    starts = tables.store(shared.groupBy("core", "block").agg(F.min("doc_id").alias("home")), "starts")
     spans = (
         shared.join(starts, ["core", "block"])
         .where("home < doc_id OR several")
@@ -226,7 +228,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("start", "n", (F.col("home") < F.col("doc_id")).alias("repeat"))).alias("spans"))
     )
     spans = tables.store(spans, "spans")
-    tables.drop("shared")
+    tables.drop("shared", "starts")
     opened = docs.join(spans, ["doc_id", "version"], "left").select("doc_id", "version", "text", "spans")
     opened = opened.mapInArrow(
         _windows, f"doc_id {kind}, version long, text string, cut array<int>, key_a array<long>, key_b array<long>, at array<int>"
@@ -235,10 +237,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     tables.drop("spans")
     window = opened.select("doc_id", "version", F.explode(F.arrays_zip("key_a", "key_b", "at")).alias("w")).select("doc_id", "version", "w.*")
     homes = window.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last")).where("home < last")
+    homes = tables.store(homes.select("key_a", "key_b", "home"), "homes")
     repeats = (
         window.join(homes, ["key_a", "key_b"]).where("home < doc_id").groupBy("doc_id", "version").agg(F.collect_list("at").alias("repeats"))
     )
     repeats = tables.store(repeats, "repeats")
+    tables.drop("homes")
     columns = ("doc_id", "text", "cut", "repeats")
     decided = opened.where("size(at) = 0").withColumn("repeats", F.lit(None).cast("array<int>")).select(*columns)
     rest = opened.where("size(at) > 0").join(repeats, ["doc_id", "version"], "left").select(*columns)
