@@ -33,7 +33,7 @@ from .textops import slices
 
 #: White space as the vocabulary's pattern means it (the Unicode property).
 _WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_MEMO, _STATES, _PAIRS, _LONGEST_KEY = 1 << 18, 1 << 17, 1 << 18, 64
+_MEMO, _STATES, _PAIRS, _LONGEST_KEY = 1 << 19, 1 << 18, 1 << 19, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,6 +49,7 @@ class Transducer:
         self.token = {rank: token for token, rank in ranks.items()}
         self.prefixes = {token[:k] for token in ranks for k in range(1, len(token))}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -56,37 +57,59 @@ class Transducer:
         start = ((b"", -1, ()),)
         self.known, self.places, self.moves = {start: 0}, [start], [{}]
 
-    def merged(self, data: bytes) -> list[int]:
-        """The merges of a few bytes in order of rank; only used to compile ``fits``."""
-        parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
-            rank, k = min((self.ranks.get(parts[k] + parts[k + 1], 1 << 60), k) for k in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return [self.ranks[x] for x in parts]
+    def _halves(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge gives this one; the token itself if it is a single byte."""
+        held = self.halves.get(token)
+        if held is None:
+            data, rank = self.token[token], self.ranks.get
+            parts = [data[k : k + 1] for k in range(len(data))]
+            while len(parts) > 2:
+                k = min(range(len(parts) - 1), key=lambda k: rank(parts[k] + parts[k + 1], 1 << 60))
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            held = self.halves[token] = (rank(parts[0]), rank(parts[-1])) if len(parts) == 2 else (token, token)
+        return held
 
     def _may_follow(self, a: int, b: int) -> bool:
+        """Whether no merge crosses the border of a and b. Merges are undone from the last one back: the two
+        tokens at the border may not have merged before the one that is undone took one of them (of equal
+        merges the left one comes first)."""
+        if a < 0:
+            return True
         held = self.fits.get((a, b))
         if held is None:
             if len(self.fits) >= _PAIRS:
                 self.fits.clear()
-            held = self.fits[a, b] = self.merged(self.token.get(a, b"") + self.token[b]) == [a, b][a < 0 :]
+            left, right, before = a, b, 1 << 60
+            while True:
+                if self.ranks.get(self.token[left] + self.token[right], 1 << 60) < before:
+                    held = False
+                    break
+                undo_left = len(self.token[left]) > 1 and (left > right or len(self.token[right]) == 1)
+                if undo_left:
+                    left, before = self._halves(left)[1], left
+                elif len(self.token[right]) > 1:
+                    right, before = self._halves(right)[0], right + 1
+                else:
+                    held = True
+                    break
+            self.fits[a, b] = held
         return held
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         c, places, here = bytes((byte,)), [], None
+        ranks, prefixes = self.ranks, self.prefixes
         for open_, last, rest in self.places[state]:
             grown = open_ + c
-            if here is None and (token := self.ranks.get(grown)) is not None and self._may_follow(last, token):
-                here = (b"", token, (*rest, token))
-            if grown in self.prefixes:
+            if here is None and grown in ranks and self._may_follow(last, ranks[grown]):
+                here = (b"", ranks[grown], (*rest, ranks[grown]))
+            if grown in prefixes:
                 places.append((grown, last, rest))
         places.append(here)
-        k, shortest = 0, min(len(rest) for _, _, rest in places)
-        while k < shortest and all(rest[k] == here[2][k] for _, _, rest in places):
+        k, final = 0, min((rest for _, _, rest in places), key=len)
+        while k < len(final) and all(rest[k] == final[k] for _, _, rest in places):
             k += 1
-        emitted, key = here[2][:k], tuple((o, last, rest[k:]) for o, last, rest in places)
+        emitted = final[:k]
+        key = tuple([(open_, last, rest[k:]) for open_, last, rest in places] if k else places)
         to = self.known.get(key)
         if to is None:
             to = self.known[key] = len(self.places)
@@ -108,26 +131,39 @@ class Transducer:
         return out + list(self.places[state][-1][2])
 
 
-class Encoder(dict):
-    """Ids of texts as little-endian uint32 bytes; as a dict, the memo of parts that follow a space."""
+class Memo(dict):
+    """A dict that computes what it misses and holds between ``_MEMO`` and twice as many recent keys."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, find):
         super().__init__()
-        self.machine = Transducer(ranks)
+        self.find, self.older = find, {}
+
+    def __missing__(self, key: str):
+        older = self.older
+        value = older[key] if key in older else self.find(key)
+        if len(key) <= _LONGEST_KEY:
+            if len(self) >= _MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Encoder:
+    """Ids of texts as little-endian uint32 bytes."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        machine = Transducer(ranks)
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]")).findall
+        self.piece = Memo(lambda piece: np.array(machine.encode(piece.encode()), "<u4").tobytes())
+        self.part = Memo(self._part)
 
     def by_pieces(self, text: str) -> bytes:
-        encode = self.machine.encode
-        return np.array([x for piece in self.pieces(text) for x in encode(piece.encode())], "<u4").tobytes()
+        return b"".join(map(self.piece.__getitem__, self.pieces(text)))
 
-    def __missing__(self, part: str) -> bytes | None:
-        """None: the part needs its neighbours, as white space is at its edge."""
-        ids = None if not part or part[0] in _WHITE or part[-1] in _WHITE else self.by_pieces(" " + part)
-        if len(part) <= _LONGEST_KEY:
-            if len(self) >= _MEMO:
-                self.clear()
-            self[part] = ids
-        return ids
+    def _part(self, part: str) -> bytes | None:
+        """Ids of a part after a space; None if it needs its neighbours, as white space is at its edge."""
+        return None if not part or part[0] in _WHITE or part[-1] in _WHITE else self.by_pieces(" " + part)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -135,7 +171,7 @@ class Encoder(dict):
         first, *parts = text.split(" ")
         if first and first[-1] not in _WHITE:
             try:
-                return self.by_pieces(first) + b"".join(map(self.__getitem__, parts))
+                return self.by_pieces(first) + b"".join(map(self.part.__getitem__, parts))
             except TypeError:  # None among the parts
                 pass
         return self.by_pieces(text)

@@ -1,12 +1,13 @@
 """Quality rules: an isolation forest on rule statistics.
 
-One scan gives each text's counts. Their ratios (``FEATURES``) feed an isolation forest: each tree splits a
+One scan gives each text's counts. Their ratios (``FEATURES``) feed isolation forests: each tree splits a
 small sample by random features at random values until rows stand alone; a row that few splits isolate is an
-outlier, with score ``2 ** (-mean path length / expected length)``. The samples are the trees' own parameter
-(``TREES * SAMPLE`` rows with the least keyed hashes of doc_id and text); all rows are scored. The
-threshold comes from the labelled rows, all of them: their scores are counted in ``BINS`` bins by label,
-and the threshold is the bin edge that rejects the most low-quality rows while at most ``SPARED`` of the
-good ones go. The forest and the bin counts are of fixed size, whatever the input.
+outlier, with score ``2 ** (-mean path length / expected length)``. One forest sees all features and one each
+sees a single feature, as what is rare isn't equally bad in each of them. The samples are the trees' own parameter
+(``TREES * SAMPLE`` rows with the least keyed hashes of doc_id and text); all rows are scored. Each forest's
+threshold comes from the labelled rows, all of them that pass the base rule: their scores are counted in ``BINS``
+bins by label, and the threshold is the bin edge that rejects the most low-quality rows while at most
+``SPARED`` of the good ones go. Forests and bin counts are of fixed size, whatever the input.
 
 Edge cases: a null text has no words; texts without words have ratios 0 and fail the base rule; nothing to
 fit on (an empty table) or no good labels leaves the base rule alone; several labels of one doc_id count each;
@@ -28,7 +29,7 @@ from .textops import U64, Runs, fingerprints, mix, slices, words
 
 #: The characters counted by ``n_symbols``.
 SYMBOLS = "#*$%&|<>"
-TREES, SAMPLE, BINS, SPARED = 128, 256, 512, 0.005
+TREES, SAMPLE, BINS, SPARED = 64, 256, 512, 0.0002
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("symbols a word", "characters a word", "repeated lines a word", "share of repeated words")
 
@@ -159,57 +160,65 @@ class Forest:
         return 2.0 ** (-total / max(1, len(self.feature)) / max(self.expected, 1e-9))
 
 
-def fit(rows: DataFrame) -> Forest | None:
-    """A forest on ``TREES * SAMPLE`` rows of ``counts`` at most, the ones with the least keyed hashes."""
+def fit(rows: DataFrame) -> list[Forest]:
+    """A forest of all features and one of each, on ``TREES * SAMPLE`` rows of ``counts`` at most, the ones with the least keyed hashes."""
     few = rows.select("key", *COUNTS).orderBy(F.xxhash64("key", F.lit(11)), "key", *COUNTS).limit(TREES * SAMPLE).toPandas()
     if not len(few):
-        return None
+        return []
     x = features(*(few[c] for c in COUNTS))
     n = max(1, min(TREES, len(x) // 32))
-    return Forest.fit([x[k::n][:SAMPLE] for k in range(n)])
+    samples = [x[k::n][:SAMPLE] for k in range(n)]
+    single = [[np.where(np.arange(x.shape[1]) == f, s, 0.0) for s in samples] for f in range(x.shape[1])]
+    return [Forest.fit(s) for s in (samples, *single)]
 
 
-def score(rows: DataFrame, forest: Forest) -> DataFrame:
+def score(rows: DataFrame, forests: list[Forest]) -> DataFrame:
+    """Adds ``scores``, one of each forest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = forest.score(features(*(batch.column(c).to_numpy() for c in COUNTS)))
-            yield pa.record_batch([*batch.columns, pa.array(found)], [*batch.schema.names, "score"])
+            x = features(*(batch.column(c).to_numpy() for c in COUNTS))
+            found = np.stack([f.score(x) for f in forests], 1)
+            ends = pa.array(np.arange(0, found.size + 1, len(forests), dtype=np.int32))
+            yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], [*batch.schema.names, "scores"])
 
-    return rows.mapInArrow(run, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema) + ", score double")
+    return rows.mapInArrow(run, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema) + ", scores array<double>")
 
 
-def calibrate(scored: DataFrame, labels: DataFrame) -> float:
-    """The score above which a row goes."""
-    labelled = scored.select("doc_id", "score").join(labels.select("doc_id", "quality").where("quality IS NOT NULL"), "doc_id")
-    bins = labelled.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(
-        F.count_if("quality > 0").alias("good"), F.count_if("quality <= 0").alias("bad")
+def calibrate(scored: DataFrame, labels: DataFrame, forests: int) -> list[float]:
+    """For each forest, the score from which on a row goes."""
+    labelled = scored.where("NOT base_failed").select("doc_id", "scores").join(labels.select("doc_id", "quality").where("quality IS NOT NULL"), "doc_id")
+    each = labelled.select("quality", F.posexplode("scores").alias("forest", "score"))
+    bins = each.groupBy("forest", F.floor(F.col("score") * BINS).alias("bin")).agg(
+        F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")
     )
-    good, bad = np.zeros(BINS + 2), np.zeros(BINS + 2)
-    for row in bins.collect():  # BINS + 1 rows at most
-        good[row["bin"]], bad[row["bin"]] = row["good"], row["bad"]
-    if not good.sum():
-        return 1.0
-    above_good, above_bad = (x[::-1].cumsum()[::-1] for x in (good, bad))
-    edges = [k for k in range(BINS + 2) if above_good[k] <= SPARED * good.sum()]
-    best = max(above_bad[k] for k in edges)
-    alike = [k for k in edges if above_bad[k] == best]
-    return (alike[0] + alike[-1]) // 2 / BINS  # in the middle of the gap between the last good and the first bad rows
+    good, bad = np.zeros((forests, BINS + 2)), np.zeros((forests, BINS + 2))
+    for row in bins.collect():  # BINS + 1 rows for each forest at most
+        good[row["forest"], row["bin"]], bad[row["forest"], row["bin"]] = row["good"], row["bad"]
+    limits = []
+    for g, b in zip(good, bad, strict=True):
+        above_good, above_bad = g[::-1].cumsum()[::-1], b[::-1].cumsum()[::-1]
+        edges = [k for k in range(BINS + 2) if above_good[k] <= SPARED * g.sum()] if g.sum() else [BINS + 1]
+        alike = [k for k in edges if above_bad[k] == max(above_bad[j] for j in edges)]
+        limits.append((alike[0] + alike[-1]) // 2 / BINS)  # in the middle of the gap between good and bad rows
+    return limits
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, key``, the counts, ``score, base_failed, kept`` of each row of ``docs(doc_id, text)``."""
+    """``doc_id, key``, the counts, ``scores, base_failed, kept`` of each row of ``docs(doc_id, text)``."""
     tables = Scratch(docs.sparkSession, "quality")
     rows = tables.store(counts(docs), "counts")
     base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    forest = fit(rows)
-    if forest is None:
-        return rows.withColumns({"score": F.lit(0.0), "base_failed": base, "kept": ~base})
-    scored = tables.store(score(rows, forest), "scored")
+    forests = fit(rows)
+    if not forests:
+        return rows.withColumns({"scores": F.array(F.lit(0.0)), "base_failed": base, "kept": ~base})
+    scored = tables.store(score(rows, forests).withColumn("base_failed", base), "scored")
     tables.drop("counts")
-    limit = calibrate(scored, labels)
-    return scored.withColumns({"base_failed": base, "kept": ~base & (F.floor(F.col("score") * BINS) < F.lit(limit * BINS))})
+    limits = F.array(*map(F.lit, calibrate(scored, labels, len(forests))))
+    odd = F.exists(F.zip_with("scores", limits, lambda x, limit: F.floor(x * BINS) >= limit * BINS), lambda x: x)
+    return scored.withColumn("kept", ~F.col("base_failed") & ~odd)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
-    return judge(docs, labels).select("doc_id", *COUNTS, "base_failed", "kept", "score")
+    return judge(docs, labels).select("doc_id", *COUNTS, "base_failed", "kept", "scores")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import byte_bpe, mixing, quality_rules, sharding, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_mixing": mixing.op4_mixing,
+    "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES: dict[str, str] = {}
