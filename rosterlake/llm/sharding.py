@@ -60,13 +60,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row for each shard
         room = {s: max(0, quota[s] - held.get(s, 0)) for s in range(shards)}
         place = linked.groupBy(*group, "shard").agg(F.count("*").alias("near"))
-        # most neighbours first; a full shard only keeps whom it has
+        # a document stays where it has most neighbours; of equal shards the lower draws
         open_ = F.element_at(F.array(*(F.lit(room[s] > 0) for s in range(shards))), F.col("shard") + 1)
-        best = place.groupBy(*group).agg(
-            F.max(F.struct("near", (-F.col("shard")).alias("s"))).alias("any"), F.max(F.when(open_, F.struct("near", (-F.col("shard")).alias("s")))).alias("open")
-        )
-        wish = F.coalesce(F.when(F.col("any.s") == -F.col("shard"), F.col("shard")), -F.col("open.s"), F.col("shard"))
-        asked = linked.join(best, group).withColumn("wish", F.when(F.col("open.near") >= 0, wish).otherwise(F.col("shard")).cast("int")).drop("any", "open")
+        best = place.where(open_).groupBy(*group).agg(F.max(F.struct("near", (-F.col("shard")).alias("s"))).alias("best"))
+        asked = linked.join(place, [*group, "shard"]).join(best, group, "left")
+        better = F.struct("near", -F.col("shard")) < F.col("best")
+        asked = asked.withColumn("wish", F.when(better, -F.col("best.s")).otherwise(F.col("shard")).cast("int")).select(*linked.columns, "wish")
         stay, move = asked.where("wish = shard").drop("wish"), numbered(asked.where("wish <> shard"), ["wish"], "place", n_linked, "turn")
         let_in = F.col("turn") < F.element_at(F.array(*(F.lit(room[s]) for s in range(shards))), F.col("wish") + 1)
         moved = move.withColumn("moved", let_in).withColumn("shard", F.when(let_in, F.col("wish")).otherwise(F.col("shard"))).drop("wish", "turn")
