@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, mixing, quality_rules, sharding, substring_dedup
+from . import byte_bpe, mixing, quality_rules, sharding, substring_dedup, token_files, url_filters
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_mixing": mixing.op4_mixing,
+    "op5_token_files": token_files.op5_token_files,
+    "op9_url_filters": url_filters.op9_url_filters,
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_url_filters": url_filters.OP9_SQL}
