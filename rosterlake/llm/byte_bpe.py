@@ -8,18 +8,18 @@ open bytes, the token that ends there, and what isn't emitted yet. States and th
 when first met. A token is emitted once all places of a state agree on it, after a lookahead of at most
 the longest token; the end of a piece emits the rest.
 
-Texts are cut into pieces by the vocabulary's pattern. A single space between two characters that aren't
-white space always begins a piece, so texts are first split there and what the machine emits for a part
-is remembered (a bounded memo); texts with other white space go piece by piece.
+Texts are cut into pieces by the vocabulary's pattern; what the machine emits for a piece is remembered in a
+bounded memo, and so are its states.
 
 Edge cases: a null or empty text has no ids; ids that aren't in the vocabulary raise ``KeyError`` in decoding; bytes
 that aren't UTF-8 decode to U+FFFD; rows are independent, so repeated rows and null doc_ids pass through;
-a part of any length is encoded in one pass, with memory in proportion to the longest token.
+a piece of any length is encoded in one pass, with memory in proportion to the longest token.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .textops import slices
 
-#: White space as the vocabulary's pattern means it (the Unicode property).
-_WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_MEMO, _STATES, _PAIRS, _LONGEST_KEY = 1 << 19, 1 << 18, 1 << 19, 48
+_ONE = [bytes((x,)) for x in range(256)]
+#: Bounds of what a worker remembers: pieces (up to twice as many), moves, pairs, characters of a piece.
+_MEMO, _STATES, _PAIRS, _LONGEST_KEY = 3 << 17, 3 << 17, 1 << 18, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,15 +47,17 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:k] for token in ranks for k in range(1, len(token))}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.prefixes = {prefix: prefix for token in ranks for prefix in [token[:k] for k in range(1, len(token))]}
+        self.fits: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self._reset()
 
     def _reset(self) -> None:
         # a place: (open bytes, last token or -1, ids that aren't emitted yet)
         start = ((b"", -1, ()),)
-        self.known, self.places, self.moves = {start: 0}, [start], [{}]
+        self.known, self.places, self.shared = {start: 0}, [start], {}
+        #: state << 8 | byte -> next state, or (next state, ids to emit)
+        self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
 
     def _halves(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge gives this one; the token itself if it is a single byte."""
@@ -73,62 +75,73 @@ class Transducer:
         """Whether no merge crosses the border of a and b. Merges are undone from the last one back: the two
         tokens at the border may not have merged before the one that is undone took one of them (of equal
         merges the left one comes first)."""
-        if a < 0:
-            return True
-        held = self.fits.get((a, b))
-        if held is None:
-            if len(self.fits) >= _PAIRS:
-                self.fits.clear()
-            left, right, before = a, b, 1 << 60
-            while True:
-                if self.ranks.get(self.token[left] + self.token[right], 1 << 60) < before:
-                    held = False
-                    break
-                undo_left = len(self.token[left]) > 1 and (left > right or len(self.token[right]) == 1)
-                if undo_left:
-                    left, before = self._halves(left)[1], left
-                elif len(self.token[right]) > 1:
-                    right, before = self._halves(right)[0], right + 1
-                else:
-                    held = True
-                    break
-            self.fits[a, b] = held
-        return held
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        c, places, here = bytes((byte,)), [], None
-        ranks, prefixes = self.ranks, self.prefixes
+        token, rank, before = self.token, self.ranks.get, 1 << 60
+        while True:
+            left, right = token[a], token[b]
+            merge = rank(left + right)
+            if merge is not None and merge < before:
+                return False
+            if len(left) > 1 and (a > b or len(right) == 1):
+                a, before = self._halves(a)[1], a
+            elif len(right) > 1:
+                b, before = self._halves(b)[0], b + 1
+            else:
+                return True
+
+    def _move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        c, places, here, emitted = _ONE[byte], [], None, ()
+        ranks, prefixes, fits = self.ranks, self.prefixes, self.fits
         for open_, last, rest in self.places[state]:
             grown = open_ + c
-            if here is None and grown in ranks and self._may_follow(last, ranks[grown]):
-                here = (b"", ranks[grown], (*rest, ranks[grown]))
-            if grown in prefixes:
+            if here is None and (token := ranks.get(grown)) is not None:
+                pair = last << 20 | token
+                held = last < 0 or fits.get(pair)
+                if held is None:
+                    if len(fits) >= _PAIRS:
+                        fits.clear()
+                    held = fits[pair] = self._may_follow(last, token)
+                if held:
+                    here = (b"", token, (*rest, token))
+            if (grown := prefixes.get(grown)) is not None:
                 places.append((grown, last, rest))
-        places.append(here)
-        k, final = 0, min((rest for _, _, rest in places), key=len)
-        while k < len(final) and all(rest[k] == final[k] for _, _, rest in places):
-            k += 1
-        emitted = final[:k]
-        key = tuple([(open_, last, rest[k:]) for open_, last, rest in places] if k else places)
+        if places:
+            places.append(here)
+            final = min([rest for _, _, rest in places], key=len)
+            if final:
+                k = 0
+                while k < len(final) and all([rest[k] == final[k] for _, _, rest in places]):
+                    k += 1
+                if k:
+                    emitted = final[:k]
+                    places = [(open_, last, rest[k:]) for open_, last, rest in places]
+        else:
+            emitted, places = here[2], [(b"", here[1], ())]
+        shared = self.shared  # equal places are one object
+        key = tuple([shared.setdefault(x, x) for x in places])
         to = self.known.get(key)
         if to is None:
             to = self.known[key] = len(self.places)
             self.places.append(key)
-            self.moves.append({})
-        self.moves[state][byte] = to, emitted
-        return to, emitted
+        self.moves[state << 8 | byte] = move = (to, emitted) if emitted else to
+        return move
 
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.places) > _STATES:
+        if len(self.moves) > _STATES:
             self._reset()
-        state, out, moves = 0, [], self.moves
+        state, out, moves = 0, [], self.moves.get
         for byte in piece:
-            state, emitted = moves[state].get(byte) or self._move(state, byte)
-            if emitted:
-                out += emitted
-        return out + list(self.places[state][-1][2])
+            state = moves(state << 8 | byte) or self._move(state, byte)
+            if state.__class__ is tuple:
+                out += state[1]
+                state = state[0]
+        out += self.places[state][-1][2]
+        return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Memo(dict):
@@ -154,27 +167,12 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         machine = Transducer(ranks)
-        self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]")).findall
-        self.piece = Memo(lambda piece: np.array(machine.encode(piece.encode()), "<u4").tobytes())
-        self.part = Memo(self._part)
-
-    def by_pieces(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.pieces(text)))
-
-    def _part(self, part: str) -> bytes | None:
-        """Ids of a part after a space; None if it needs its neighbours, as white space is at its edge."""
-        return None if not part or part[0] in _WHITE or part[-1] in _WHITE else self.by_pieces(" " + part)
+        # white space is the Unicode property, which isn't what \\s means everywhere
+        self.pieces = regex.compile(pattern.replace("+|", "++|").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.piece = Memo(lambda piece: _packed(machine.encode(piece.encode())))
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        first, *parts = text.split(" ")
-        if first and first[-1] not in _WHITE:
-            try:
-                return self.by_pieces(first) + b"".join(map(self.part.__getitem__, parts))
-            except TypeError:  # None among the parts
-                pass
-        return self.by_pieces(text)
+        return b"".join(map(self.piece.__getitem__, self.pieces(text))) if text else b""
 
 
 class Utf8:
