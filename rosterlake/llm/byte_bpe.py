@@ -5,7 +5,7 @@ by side: ``b`` may follow ``a`` if the merges of their joined bytes give just th
 prefix then ends with the one token that fits its predecessor, which a nondeterministic machine finds by
 carrying every place from which a token may still be open. Determinised, a state is the list of such places: the
 open bytes, the token that ends there, and what isn't emitted yet. States and their transitions are made
-when first met. A token is emitted once all places of a state agree on it, after a lookahead of at most
+when first met, up to a bound; where one is missing then, the nondeterministic machine goes on from the state. A token is emitted once all places of a state agree on it, after a lookahead of at most
 the longest token; the end of a piece emits the rest.
 
 Texts are cut into pieces by the vocabulary's pattern; what the machine emits for a piece is remembered in a
@@ -19,6 +19,7 @@ a piece of any length is encoded in one pass, with memory in proportion to the l
 from __future__ import annotations
 
 import base64
+import gc
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -33,7 +34,7 @@ from .textops import slices
 
 _ONE = [bytes((x,)) for x in range(256)]
 #: Bounds of what a worker remembers: pieces (up to twice as many), moves, pairs, characters of a piece.
-_MEMO, _STATES, _PAIRS, _LONGEST_KEY = 3 << 17, 3 << 17, 1 << 18, 48
+_MEMO, _STATES, _PAIRS, _LONGEST_KEY = 3 << 16, 3 << 16, 1 << 17, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,7 +43,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes pieces; ``states`` grows with what is read, up to a bound at which it starts anew."""
+    """Encodes pieces; states come with what is read; beyond their bound it goes on without keeping more."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -50,9 +51,6 @@ class Transducer:
         self.prefixes = {prefix: prefix for token in ranks for prefix in [token[:k] for k in range(1, len(token))]}
         self.fits: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         # a place: (open bytes, last token or -1, ids that aren't emitted yet)
         start = ((b"", -1, ()),)
         self.known, self.places, self.shared = {start: 0}, [start], {}
@@ -88,10 +86,11 @@ class Transducer:
             else:
                 return True
 
-    def _move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
-        c, places, here, emitted = _ONE[byte], [], None, ()
+    def _step(self, places, byte: int) -> list[tuple[bytes, int, tuple[int, ...]]]:
+        """The places after one more byte; the last of them is where the encoding of all bytes so far ends."""
+        c, after, here = _ONE[byte], [], None
         ranks, prefixes, fits = self.ranks, self.prefixes, self.fits
-        for open_, last, rest in self.places[state]:
+        for open_, last, rest in places:
             grown = open_ + c
             if here is None and (token := ranks.get(grown)) is not None:
                 pair = last << 20 | token
@@ -103,19 +102,21 @@ class Transducer:
                 if held:
                     here = (b"", token, (*rest, token))
             if (grown := prefixes.get(grown)) is not None:
-                places.append((grown, last, rest))
-        if places:
-            places.append(here)
-            final = min([rest for _, _, rest in places], key=len)
-            if final:
-                k = 0
-                while k < len(final) and all([rest[k] == final[k] for _, _, rest in places]):
-                    k += 1
-                if k:
-                    emitted = final[:k]
-                    places = [(open_, last, rest[k:]) for open_, last, rest in places]
-        else:
-            emitted, places = here[2], [(b"", here[1], ())]
+                after.append((grown, last, rest))
+        after.append(here)
+        return after
+
+    def _move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        """Makes the transition: tokens on which all places agree are emitted and leave the state."""
+        places, emitted = self._step(self.places[state], byte), ()
+        final = min([rest for _, _, rest in places], key=len)
+        if final:
+            k = 0
+            while k < len(final) and all([rest[k] == final[k] for _, _, rest in places]):
+                k += 1
+            if k:
+                emitted = final[:k]
+                places = [(open_, last, rest[k:]) for open_, last, rest in places]
         shared = self.shared  # equal places are one object
         key = tuple([shared.setdefault(x, x) for x in places])
         to = self.known.get(key)
@@ -128,17 +129,34 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.moves) > _STATES:
-            self._reset()
         state, out, moves = 0, [], self.moves.get
-        for byte in piece:
-            state = moves(state << 8 | byte) or self._move(state, byte)
-            if state.__class__ is tuple:
-                out += state[1]
-                state = state[0]
+        for k, byte in enumerate(piece):
+            move = moves(state << 8 | byte)
+            if move is None:
+                if len(self.moves) >= _STATES:
+                    return self._undetermined(state, piece, k, out)
+                move = self._move(state, byte)
+            if move.__class__ is tuple:
+                out += move[1]
+                state = move[0]
+            else:
+                state = move
         out += self.places[state][-1][2]
         return out
 
+    def _undetermined(self, state: int, piece: bytes, k: int, out: list[int]) -> list[int]:
+        """The rest of a piece when no more states are kept."""
+        places = self.places[state]
+        for byte in piece[k:]:
+            places = self._step(places, byte)
+            if len(places) == 1 or len(places[0][2]) > 64:  # long pieces emit as they go
+                final = min([rest for _, _, rest in places], key=len)
+                n = next((j for j in range(len(final)) if any([rest[j] != final[j] for _, _, rest in places])), len(final))
+                out += final[:n]
+                places = [(open_, last, rest[n:]) for open_, last, rest in places]
+        out += places[-1][2]
+        return out
+
 
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -231,7 +249,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         encoder = _encoder(path, pattern)
         for batch in batches:
             for part in slices(batch):
-                ids = [encoder.encode(x) for x in part.column("text").to_pylist()]
+                gc.disable()  # states hold no cycles, and walking them costs more than making them
+                try:
+                    ids = [encoder.encode(x) for x in part.column("text").to_pylist()]
+                finally:
+                    gc.enable()
                 yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")

@@ -31,7 +31,7 @@ def test_odd_texts(text):
     assert ids(text) == LIBRARY.encode_ordinary(text)
 
 
-def test_states_start_anew(monkeypatch):
+def test_beyond_the_bounds(monkeypatch):
     monkeypatch.setattr(op, "_STATES", 50)
     monkeypatch.setattr(op, "_MEMO", 20)
     monkeypatch.setattr(op, "_PAIRS", 20)
