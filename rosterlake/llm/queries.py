@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, flac, mixing, quality_rules, sharding, substring_dedup, token_files, url_filters, warc
+from . import byte_bpe, flac, mixing, ngram_join, quality_rules, sharding, substring_dedup, token_files, url_filters, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_token_files": token_files.op5_token_files,
     "op6_flac_media": flac.op6_flac_media,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_warc": warc.op8_warc,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_sharding": sharding.op10_sharding,
