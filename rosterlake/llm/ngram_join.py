@@ -102,16 +102,19 @@ def _estimates(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def _bucket(nodes: np.ndarray, sketches: np.ndarray) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
-    """Candidate pairs of one bucket with its leaders, and the leaders' rows."""
-    pairs, leaders, left = [], [], np.arange(len(nodes))
+    """A spanning forest of the candidate pairs of one bucket with its leaders (an edge a node at most), and the leaders' rows."""
+    leaders, left, tree = [], np.arange(len(nodes)), np.arange(len(nodes))
     while len(left):
         lead, left = left[0], left[1:]
         leaders.append(lead)
         if len(left):
             e = _estimates(sketches[left], sketches[lead])
-            pairs += [(nodes[lead], nodes[j]) for j in left[e >= NEAR]]
+            near = left[e >= NEAR]
+            if len(near):
+                trees = np.unique(np.append(tree[near], tree[lead]))
+                tree[np.isin(tree, trees)] = trees[0]
             left = left[e < COVERED]
-    return pairs, np.array(leaders, np.int64)
+    return [(nodes[r], nodes[j]) for j, r in enumerate(tree.tolist()) if r != j], np.array(leaders, np.int64)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
