@@ -9,7 +9,7 @@ and decode alone, a selector at a time in whole arrays. The directory (Arrow IPC
 words, ids and escapes, and for each document its id and number of ids; documents follow each other in
 ascending order, within a file and over the files, without padding.
 
-The tokenizer runs once for each distinct word of a slice that a bounded memo doesn't hold: the vocabulary's
+The tokenizer runs once for each distinct word of a batch that a bounded memo doesn't hold: the vocabulary's
 normaliser and splitter act alike on a word alone and in its text, as white space always separates.
 
 Edge cases: a null or empty text has the end id alone; null doc_ids come first; equal doc_ids keep all their rows;
@@ -35,7 +35,9 @@ MAGIC, BLOCK = b"S8BTOK01", 1 << 16
 #: Simple-8b's selectors, in order: values in a word, bits of each.
 FIELDS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = (1 << 60) - 1
-_MEMO = 1 << 19
+_MEMO = 3 << 18
+_MARKS = b".,!?;:"
+_SINGLE = [bytes((x,)) for x in _MARKS]
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,20 +139,88 @@ def decode_file(data: memoryview) -> Iterator[tuple[pa.Table, np.ndarray]]:
 
 
 class Tokenizer(dict):
-    """Ids of ASCII-space separated words by a tokenizers file, as little-endian uint32 bytes; as a dict, the memo."""
+    """Ids of words without ASCII white space by a tokenizers file, as little-endian uint32 bytes; as a dict, the memo.
+
+    New words go to the library together: runs of letters with spaces between them, others with a special token,
+    at which it splits before all else."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
 
         super().__init__()
         self.library = Library.from_file(path)
+        special = ((i, t) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word))
+        self.border, token = next(special, (None, None))
+        self.between = token.content if token else ""
+        self.mark = b"<|"
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix and self.between:
+            vocabulary = self.library.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        probe = "AbcXYZ"
+        marked = all(t.content.startswith("<|") for t in self.library.get_added_tokens_decoder().values())
+        self.folds = marked and self._ids(probe).tobytes() == self._ids(probe.lower()).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    @staticmethod
+    def stem(word: bytes) -> bytes | None:
+        """The word without its last mark, if both encode apart: Latin-1 letters are normalised one by one."""
+        if word[-1] in _MARKS and len(word) > 1:
+            text = word[:-1].decode()
+            if text.isalpha() and (text.isascii() or max(text) < "\u0100"):
+                return word[:-1]
+        return None
+
+    def __missing__(self, word: bytes) -> bytes:
+        """A stem and its mark, which isn't kept; only asked for what ``learn`` has seen."""
+        return self[word[:-1]] + self[word[-1:]]
+
+    def lowered(self, text: bytes) -> bytes:
+        """ASCII letters in lower case, if the vocabulary has no other: fewer words to remember."""
+        return text.lower() if self.folds and self.mark not in text else text
 
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self) > _MEMO:
             self.clear()
-        new = list(set().union(*texts).difference(self))
-        for word, found in zip(new, self.library.encode_batch([x.decode() for x in new], add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, "<u4").tobytes()
+        new = set()
+        for word in set().union(*texts, _SINGLE).difference(self):
+            stem = self.stem(word)
+            if stem is None:
+                new.add(word)
+            elif stem not in self:
+                new.add(stem)
+        letters, others, alone = [], [], []
+        for word in new:
+            text = word.decode()
+            if self.ends is not None and text.isalpha() and (text.isascii() or max(text) < "\u0100"):
+                letters.append(text)
+            else:
+                (alone if not self.between or self.between in text else others).append(text)
+        for text in alone:
+            self[text.encode()] = self._ids(text).tobytes()
+        for k in range(0, len(letters), 512):
+            # the splitter takes a run of letters whole, and its last token ends a word
+            part = letters[k : k + 512]
+            ids = self._ids(" ".join(part))
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(part):
+                others += part
+            else:
+                self._learned(part, ids, [0, *end.tolist()], end.tolist())
+        for k in range(0, len(others), 4096):
+            part = others[k : k + 4096]
+            ids = self._ids(self.between.join([*part, ""]))
+            end = np.flatnonzero(ids == self.border)
+            self._learned(part, ids, [0, *(end + 1).tolist()], end.tolist())
+
+    def _learned(self, part: list[str], ids: np.ndarray, begin: list[int], end: list[int]) -> None:
+        raw = ids.tobytes()
+        for text, low, high in zip(part, begin, end, strict=False):
+            self[text.encode()] = raw[4 * low : 4 * high]
 
 
 @lru_cache(1)
@@ -170,7 +240,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 doc_ids.append(part.column("doc_id"))
-                texts = [x.split() if x else [] for x in part.column("text").cast(pa.large_binary()).to_pylist()]
+                texts = [tokenizer.lowered(x).split() if x else [] for x in part.column("text").cast(pa.large_binary()).to_pylist()]
                 tokenizer.learn(texts)
                 encoded = [b"".join(map(tokenizer.__getitem__, x)) + end for x in texts]
                 counts += [len(x) // 4 for x in encoded]

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from rosterlake.llm import token_files as op
 
 PATH = P.path("word_bpe_49k.json")
+TOKENIZER = op.Tokenizer(PATH)
 
 
 @settings(max_examples=200, deadline=None)
@@ -45,10 +46,20 @@ def test_file_round_trip(monkeypatch):
 @given(st.text(st.one_of(st.sampled_from(" \n\t aeintr'sTHé漢\x1c\x85\u0301Σσ<|>"), st.characters(exclude_categories=["Cs"])), max_size=50))
 def test_words_alone_encode_as_in_texts(text):
     library = Tokenizer.from_file(PATH)
-    apart = [i for w in text.encode().split() for i in library.encode(w.decode(), add_special_tokens=False).ids]
+    apart = [i for w in TOKENIZER.lowered(text.encode()).split() for i in library.encode(w.decode(), add_special_tokens=False).ids]
     assert apart == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("aeintrsTHé漢.,!'<|>\u0301Σ\x1c\x85"), st.characters(exclude_categories=["Cs"])), max_size=9)))
+def test_new_words_together(parts):
+    library = Tokenizer.from_file(PATH)
+    texts = [" ".join(parts).encode().split(), [b"<|endoftext|>", b"a<|startoftext|>b", b"<|ENDOFTEXT|>", "été.".encode(), "क़,".encode(), "İ.".encode(), b"a1.", b".", b"it's,"]]
+    TOKENIZER.learn(texts)
+    for word in sum(texts, []):
+        assert np.frombuffer(TOKENIZER[word], "<u4").tolist() == library.encode(word.decode(), add_special_tokens=False).ids
+
+
 def test_query(odd, odd_rows):
     library = Tokenizer.from_file(PATH)
     found = sorted((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in op.round_trip(odd, PATH, 1).collect())
