@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import byte_bpe, flac, mixing, ngram_join, quality_rules, sharding, substring_dedup, token_files, url_filters, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_quality_rules": quality_rules.op3_quality_rules,

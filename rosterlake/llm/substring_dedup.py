@@ -196,13 +196,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x, a, n, k in zip(split, first.tolist(), n_words.tolist(), n_kept.tolist(), strict=False)
             ]
             yield pa.record_batch(
-                [part.column("doc_id"), pa.array(n_words), pa.array(n_words - n_kept), pa.array(out, pa.binary()).cast(pa.string())],
-                ["doc_id", "n_words", "n_removed", "text"],
+                [*(part.column(x) for x in ("doc_id", "version")), pa.array(n_words), pa.array(n_words - n_kept), pa.array(out, pa.binary()).cast(pa.string())],
+                ["doc_id", "version", "n_words", "n_removed", "text"],
             )
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the texts that ``remove_repeats`` leaves; texts from which nothing is taken stay as they are."""
+    kept = remove_repeats(docs).where("n_removed > 0").select("doc_id", "version", F.col("text").alias("kept")).distinct()
+    keyed = docs.withColumn("version", F.xxhash64("text")).join(kept, ["doc_id", "version"], "left")
+    return keyed.select(*(F.coalesce("kept", "text").alias(c) if c == "text" else F.col(c) for c in docs.columns))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_removed, text`` of each row of ``docs(doc_id, text)``.
+    """``doc_id, version, n_words, n_removed, text`` of each row of ``docs(doc_id, text)``; ``version``: a hash of the text.
 
     ``text`` keeps, joined by one space, the words that no window covers whose 50 words also start in a
     document with a smaller doc_id. Windows are judged on the input.
@@ -243,10 +250,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     repeats = tables.store(repeats, "repeats")
     tables.drop("homes")
-    columns = ("doc_id", "text", "cut", "repeats")
+    columns = ("doc_id", "version", "text", "cut", "repeats")
     decided = opened.where("size(at) = 0").withColumn("repeats", F.lit(None).cast("array<int>")).select(*columns)
     rest = opened.where("size(at) > 0").join(repeats, ["doc_id", "version"], "left").select(*columns)
-    out = f"doc_id {kind}, n_words long, n_removed long, text string"
+    out = f"doc_id {kind}, version long, n_words long, n_removed long, text string"
     return decided.mapInArrow(_cut, out).unionByName(rest.mapInArrow(_cut, out))
 
 
