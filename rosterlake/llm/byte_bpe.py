@@ -11,7 +11,7 @@ the longest token; the end of a piece emits the rest.
 Texts are cut into pieces by the vocabulary's pattern; what the machine emits for a piece is remembered in a
 bounded memo, and so are its states.
 
-Edge cases: a null or empty text has no ids; ids that aren't in the vocabulary raise ``KeyError`` in decoding; bytes
+Edge cases: a null or empty text has no ids; ids that aren't in the vocabulary raise ``IndexError`` in decoding; bytes
 that aren't UTF-8 decode to U+FFFD; rows are independent, so repeated rows and null doc_ids pass through;
 a piece of any length is encoded in one pass, with memory in proportion to the longest token.
 """
@@ -34,7 +34,7 @@ from .textops import slices
 
 _ONE = [bytes((x,)) for x in range(256)]
 #: Bounds of what a worker remembers: pieces (up to twice as many), moves, pairs, characters of a piece.
-_MEMO, _STATES, _PAIRS, _LONGEST_KEY = 3 << 16, 3 << 16, 1 << 17, 48
+_MEMO, _STATES, _PAIRS, _LONGEST_KEY = 3 << 17, 3 << 16, 1 << 18, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -222,7 +222,9 @@ class Utf8:
 
 class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
-        self.token = {rank: token for token, rank in ranks.items()}
+        self.token = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.token[rank] = token
 
     def stream(self, ids: bytes, step: int = 1 << 16) -> Iterable[str]:
         """Parts of the text, each from at most ``step`` more ids."""
