@@ -244,11 +244,13 @@ def _decoder(path: str) -> Decoder:
     return Decoder(read_ranks(path))
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, ids`` (little-endian uint32) of the texts of ``docs(doc_id, text)``."""
+def encode(docs: DataFrame, path: str, pattern: str, keep: bool = True) -> DataFrame:
+    """``doc_id, ids`` (little-endian uint32) of the texts of ``docs(doc_id, text)``.
+
+    keep: workers remember pieces and states from task to task; else a task frees them, for steps that come after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        encoder = _encoder(path, pattern) if keep else Encoder(read_ranks(path), pattern)
         for batch in batches:
             for part in slices(batch):
                 gc.disable()  # states hold no cycles, and walking them costs more than making them
@@ -276,8 +278,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     )
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    found = decode(encode(docs, path, pattern), path)
+def digests(docs: DataFrame, path: str, pattern: str, keep: bool = True) -> DataFrame:
+    found = decode(encode(docs, path, pattern, keep), path)
     return found.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
