@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +52,12 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     choice = np.full(n, 15, np.int64)
     for selector in range(14, -1, -1):
         count, bits = FIELDS[selector]
-        fits = padded < U64(1 << bits)
-        if np.count_nonzero(fits[:n]) == 0 or (count > n and bits == 0 and not fits[:n].all()):
-            continue
-        sums = np.concatenate(([0], np.cumsum(fits, dtype=np.int32)))
-        choice[(sums[count : count + n] - sums[:n]) == count] = selector
+        fits, have = padded < U64(1 << bits), 1
+        while have < count and fits[:n].any():  # whether so many values from here on fit
+            step = min(have, count - have)
+            fits = fits[:-step] & fits[step:]
+            have += step
+        choice[np.flatnonzero(fits[:n])] = selector
     step = np.array([count for count, _ in FIELDS])[choice].tolist()
     at, k = [], 0
     while k < n:
@@ -168,12 +170,8 @@ class Tokenizer(dict):
 
     @staticmethod
     def stem(word: bytes) -> bytes | None:
-        """The word without its last mark, if both encode apart: Latin-1 letters are normalised one by one."""
-        if word[-1] in _MARKS and len(word) > 1:
-            text = word[:-1].decode()
-            if text.isalpha() and (text.isascii() or max(text) < "\u0100"):
-                return word[:-1]
-        return None
+        """The word without its last mark, if that follows an ASCII letter: the splitter always cuts there."""
+        return word[:-1] if word[-1] in _MARKS and word[-2:-1].isalpha() else None
 
     def __missing__(self, word: bytes) -> bytes:
         """A stem and its mark, which isn't kept; only asked for what ``learn`` has seen."""
@@ -183,11 +181,14 @@ class Tokenizer(dict):
         """ASCII letters in lower case, if the vocabulary has no other: fewer words to remember."""
         return text.lower() if self.folds and self.mark not in text else text
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self) > _MEMO:
+    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """Ids of all words of the texts; a small dict is faster to look up in than the memo."""
+        if len(self) > _MEMO:  # the older half goes
+            kept = dict(islice(self.items(), len(self) // 2, None))
             self.clear()
-        new = set()
-        for word in set().union(*texts, _SINGLE).difference(self):
+            self.update(kept)
+        distinct, new = set().union(*texts), set()
+        for word in distinct.difference(self).union(x for x in _SINGLE if x not in self):
             stem = self.stem(word)
             if stem is None:
                 new.add(word)
@@ -216,6 +217,7 @@ class Tokenizer(dict):
             ids = self._ids(self.between.join([*part, ""]))
             end = np.flatnonzero(ids == self.border)
             self._learned(part, ids, [0, *(end + 1).tolist()], end.tolist())
+        return dict(zip(distinct, map(self.__getitem__, distinct), strict=True))
 
     def _learned(self, part: list[str], ids: np.ndarray, begin: list[int], end: list[int]) -> None:
         raw = ids.tobytes()
@@ -241,8 +243,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
             for part in slices(batch):
                 doc_ids.append(part.column("doc_id"))
                 texts = [tokenizer.lowered(x).split() if x else [] for x in part.column("text").cast(pa.large_binary()).to_pylist()]
-                tokenizer.learn(texts)
-                encoded = [b"".join(map(tokenizer.__getitem__, x)) + end for x in texts]
+                find = tokenizer.learn(texts).__getitem__
+                encoded = [b"".join(map(find, x)) + end for x in texts]
                 counts += [len(x) // 4 for x in encoded]
                 parts.append(np.frombuffer(b"".join(encoded), "<u4").astype(np.uint32))
         if not counts:
