@@ -173,7 +173,13 @@ def components(edges: DataFrame, tables: Scratch, name: str) -> DataFrame:
     """``node, label`` of the nodes of ``edges(a, b)``: equal labels in a connected component.
 
     Rounds of taking the least label around and of following labels; a stored table each."""
-    both = tables.store(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}_edges")
+    once = tables.store(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}_once")
+    # each node keeps its least neighbour, to which its other ones move: far fewer edges where buckets overlap
+    least = once.groupBy("b").agg(F.min("a").alias("least"))
+    others = once.join(least, "b").where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    fewer = least.select(F.col("least").alias("a"), "b").unionByName(others)
+    both = tables.store(fewer.unionByName(fewer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}_edges")
+    tables.drop(f"{name}_once")
     labels = tables.store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), f"{name}0")
     k = 0
     while True:
