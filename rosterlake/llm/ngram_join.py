@@ -322,3 +322,17 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda k: array_to_string(w[k:k + 4], ' '))) AS g FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM both_ JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 5 * k >= 4 * (na.n + nb.n - k)),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+r AS (SELECT a AS doc_id, a AS reach FROM links UNION SELECT r.doc_id, links.b FROM r JOIN links ON r.reach = links.a),
+c AS (SELECT doc_id, min(reach) AS class_id FROM r GROUP BY doc_id),
+l AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+"""

@@ -20,4 +20,4 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLES: dict[str, str] = {"op8_warc": warc.OP8_SQL, "op9_url_filters": url_filters.OP9_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.OP1_SQL, "op7_ngram_join": ngram_join.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_url_filters": url_filters.OP9_SQL}
