@@ -4,11 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rosterlake.plans import evaluation, resolution, retrieval
+from rosterlake.plans import evaluation, profiles, resolution, retrieval
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES = retrieval.QUERIES | resolution.QUERIES | evaluation.QUERIES
-ORACLES = retrieval.ORACLES | resolution.ORACLES | evaluation.ORACLES
+QUERIES = retrieval.QUERIES | resolution.QUERIES | evaluation.QUERIES | profiles.QUERIES
+ORACLES = retrieval.ORACLES | resolution.ORACLES | evaluation.ORACLES | profiles.ORACLES
 
 
 @pytest.fixture(scope="module")
