@@ -162,7 +162,10 @@ class Forest:
 
 def fit(rows: DataFrame) -> list[Forest]:
     """A forest of all features and one of each, on ``TREES * SAMPLE`` rows of ``counts`` at most, the ones with the least keyed hashes."""
-    few = rows.select("key", *COUNTS).orderBy(F.xxhash64("key", F.lit(11)), "key", *COUNTS).limit(TREES * SAMPLE).toPandas()
+    # hashes far above the wanted ones are left out first, so what tasks send doesn't grow with their number
+    near = min(1.0, 1.5 * TREES * SAMPLE / max(1, rows.count()))
+    few = rows.where(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 30)) <= int(near * (1 << 30))).select("key", *COUNTS)
+    few = few.orderBy(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 30)), "key", *COUNTS).limit(TREES * SAMPLE).toPandas()
     if not len(few):
         return []
     x = features(*(few[c] for c in COUNTS))
