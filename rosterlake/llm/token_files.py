@@ -203,10 +203,10 @@ class Tokenizer(dict):
                 (alone if not self.between or self.between in text else others).append(text)
         for text in alone:
             self[text.encode()] = self._ids(text).tobytes()
-        for k in range(0, len(letters), 512):
+        parts = [letters[k : k + 512] for k in range(0, len(letters), 512)]
+        found = self.library.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False)
+        for part, ids in zip(parts, (np.array(x.ids, "<u4") for x in found), strict=True):
             # the splitter takes a run of letters whole, and its last token ends a word
-            part = letters[k : k + 512]
-            ids = self._ids(" ".join(part))
             end = np.flatnonzero(self.ends[ids]) + 1
             if len(end) != len(part):
                 others += part
@@ -240,7 +240,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
         tokenizer, end = _tokenizer(path), np.array([end_id], "<u4").tobytes()
         doc_ids, counts, parts = [], [], []
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=6_000_000):  # the larger, the fewer words are looked up anew
                 doc_ids.append(part.column("doc_id"))
                 texts = [tokenizer.lowered(x).split() if x else [] for x in part.column("text").cast(pa.large_binary()).to_pylist()]
                 find = tokenizer.learn(texts).__getitem__
