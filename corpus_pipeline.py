@@ -15,9 +15,7 @@ from rosterlake.llm.scratch import Scratch
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; thresholds come from the table ``labels``."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality_rules.judge(docs, labels).where("kept").select("key").distinct()
-    return docs.withColumn("key", F.xxhash64("doc_id", "text")).join(judged, "key", "left_semi").select(*docs.columns)
+    return quality_rules.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,8 +45,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces; states come with what is read; beyond their bound it goes on without keeping more."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_moves: int):
+        self.ranks, self.most_moves = ranks, most_moves
         self.token = {rank: token for token, rank in ranks.items()}
         self.prefixes = {prefix: prefix for token in ranks for prefix in [token[:k] for k in range(1, len(token))]}
         self.fits: dict[int, bool] = {}
@@ -133,7 +133,7 @@ class Transducer:
         for k, byte in enumerate(piece):
             move = moves(state << 8 | byte)
             if move is None:
-                if len(self.moves) >= _STATES:
+                if len(self.moves) >= self.most_moves:
                     return self._undetermined(state, piece, k, out)
                 move = self._move(state, byte)
             if move.__class__ is tuple:
@@ -163,17 +163,17 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Memo(dict):
-    """A dict that computes what it misses and holds between ``_MEMO`` and twice as many recent keys."""
+    """A dict that computes what it misses and holds between ``most`` and twice as many recent keys."""
 
-    def __init__(self, find):
+    def __init__(self, find, most: int):
         super().__init__()
-        self.find, self.older = find, {}
+        self.find, self.most, self.older = find, most, {}
 
     def __missing__(self, key: str):
         older = self.older
         value = older[key] if key in older else self.find(key)
         if len(key) <= _LONGEST_KEY:
-            if len(self) >= _MEMO:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -183,11 +183,12 @@ class Memo(dict):
 class Encoder:
     """Ids of texts as little-endian uint32 bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        machine = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: int = 1):
+        """share: by how much less than the bounds to remember."""
+        machine = Transducer(ranks, _STATES // share)
         # white space is the Unicode property, which isn't what \\s means everywhere
         self.pieces = regex.compile(pattern.replace("+|", "++|").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.piece = Memo(lambda piece: _packed(machine.encode(piece.encode())))
+        self.piece = Memo(lambda piece: _packed(machine.encode(piece.encode())), _MEMO // share)
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.piece.__getitem__, self.pieces(text))) if text else b""
@@ -247,10 +248,10 @@ def _decoder(path: str) -> Decoder:
 def encode(docs: DataFrame, path: str, pattern: str, keep: bool = True) -> DataFrame:
     """``doc_id, ids`` (little-endian uint32) of the texts of ``docs(doc_id, text)``.
 
-    keep: workers remember pieces and states from task to task; else a task frees them, for steps that come after."""
+    keep: workers remember pieces and states from task to task; else a task remembers less and frees it, for steps that come after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern) if keep else Encoder(read_ranks(path), pattern)
+        encoder = _encoder(path, pattern) if keep else Encoder(read_ranks(path), pattern, 3)
         for batch in batches:
             for part in slices(batch):
                 gc.disable()  # states hold no cycles, and walking them costs more than making them

@@ -135,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it."""
     mixed = mix(docs, **options).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n_equal")).where("copies > 0")
-    keyed = docs.withColumn("key", F.xxhash64(*docs.columns)).join(mixed, "key")
+    keyed = docs.withColumn("key", F.xxhash64(*docs.columns)).join(mixed.hint("merge"), "key")
     turn = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
     own = F.floor(F.col("copies") / F.col("n_equal")) + (turn <= F.col("copies") % F.col("n_equal")).cast("int")
     return keyed.withColumn("own", own.cast("int")).where("own > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "own"))).select(*docs.columns)

@@ -292,7 +292,7 @@ def join(docs: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     members = members.select("doc_id", "version", "node", "copies", F.xxhash64("label").alias("cluster"), "blocks", block.alias("side"))
     # a node with the same doc_id and text is found once, whatever the number of its rows
-    texts = docs.join(members, ["doc_id", "version"]).dropDuplicates(["node"])
+    texts = docs.join(members.hint("merge"), ["doc_id", "version"]).dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = texts.withColumn("other", other).select(
         "cluster", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "copies", "text"
@@ -317,7 +317,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     chosen = join(docs).where("class_id = doc_id").select("doc_id", "version").distinct()
     keyed = docs.withColumn("version", F.xxhash64("text"))
     rest = docs.where("doc_id IS NULL")
-    return keyed.join(chosen, ["doc_id", "version"]).select(*docs.columns).unionByName(rest)
+    return keyed.join(chosen.hint("merge"), ["doc_id", "version"]).select(*docs.columns).unionByName(rest)
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

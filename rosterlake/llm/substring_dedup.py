@@ -204,7 +204,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the texts that ``remove_repeats`` leaves; texts from which nothing is taken stay as they are."""
     kept = remove_repeats(docs).where("n_removed > 0").select("doc_id", "version", F.col("text").alias("kept")).distinct()
-    keyed = docs.withColumn("version", F.xxhash64("text")).join(kept, ["doc_id", "version"], "left")
+    keyed = docs.withColumn("version", F.xxhash64("text")).join(kept.hint("merge"), ["doc_id", "version"], "left")
     return keyed.select(*(F.coalesce("kept", "text").alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
 
@@ -236,7 +236,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     spans = tables.store(spans, "spans")
     tables.drop("shared", "starts")
-    opened = docs.join(spans, ["doc_id", "version"], "left").select("doc_id", "version", "text", "spans")
+    opened = docs.join(spans.hint("merge"), ["doc_id", "version"], "left").select("doc_id", "version", "text", "spans")
     opened = opened.mapInArrow(
         _windows, f"doc_id {kind}, version long, text string, cut array<int>, key_a array<long>, key_b array<long>, at array<int>"
     )
@@ -252,7 +252,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     tables.drop("homes")
     columns = ("doc_id", "version", "text", "cut", "repeats")
     decided = opened.where("size(at) = 0").withColumn("repeats", F.lit(None).cast("array<int>")).select(*columns)
-    rest = opened.where("size(at) > 0").join(repeats, ["doc_id", "version"], "left").select(*columns)
+    rest = opened.where("size(at) > 0").join(repeats.hint("merge"), ["doc_id", "version"], "left").select(*columns)
     out = f"doc_id {kind}, version long, n_words long, n_removed long, text string"
     return decided.mapInArrow(_cut, out).unionByName(rest.mapInArrow(_cut, out))
 
