@@ -21,10 +21,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ MAGIC, BLOCK = b"S8BTOK01", 1 << 16
 #: Simple-8b's selectors, in order: values in a word, bits of each.
 FIELDS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = (1 << 60) - 1
-_MEMO = 3 << 18
+_MEMO = 1 << 19
 _MARKS = b".,!?;:"
 _SINGLE = [bytes((x,)) for x in _MARKS]
 
@@ -177,19 +178,31 @@ class Tokenizer(dict):
         """A stem and its mark, which isn't kept; only asked for what ``learn`` has seen."""
         return self[word[:-1]] + self[word[-1:]]
 
-    def lowered(self, text: bytes) -> bytes:
-        """ASCII letters in lower case, if the vocabulary has no other: fewer words to remember."""
-        return text.lower() if self.folds and self.mark not in text else text
-
-    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """Ids of all words of the texts; a small dict is faster to look up in than the memo."""
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with the end id, and how many each has."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if self.folds:  # ASCII letters in lower case, as the vocabulary has no other: fewer words to remember
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().cast(pa.large_binary()).dictionary_encode()
+        found = self.learn(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, place = np.frombuffer(b"".join(found), "<u4"), words.indices.to_numpy()
+        n = size[place]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.repeat((np.cumsum(size) - size)[place] - ends[:-1], n) + np.arange(ends[-1])]
+        cut = ends[np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(split)))))]
+        return np.insert(ids, cut[1:], end_id), np.diff(cut) + 1
+
+    def learn(self, distinct: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
         if len(self) > _MEMO:  # the older half goes
             kept = dict(islice(self.items(), len(self) // 2, None))
             self.clear()
             self.update(kept)
-        distinct, new = set().union(*texts), set()
-        for word in distinct.difference(self).union(x for x in _SINGLE if x not in self):
-            stem = self.stem(word)
+        new = set()
+        for word in filterfalse(self.__contains__, chain(distinct, _SINGLE)):
+            stem = self.stem(word) if word else b""
             if stem is None:
                 new.add(word)
             elif stem not in self:
@@ -217,7 +230,7 @@ class Tokenizer(dict):
             ids = self._ids(self.between.join([*part, ""]))
             end = np.flatnonzero(ids == self.border)
             self._learned(part, ids, [0, *(end + 1).tolist()], end.tolist())
-        return dict(zip(distinct, map(self.__getitem__, distinct), strict=True))
+        return list(map(self.__getitem__, distinct))
 
     def _learned(self, part: list[str], ids: np.ndarray, begin: list[int], end: list[int]) -> None:
         raw = ids.tobytes()
@@ -237,16 +250,14 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, end = _tokenizer(path), np.array([end_id], "<u4").tobytes()
+        tokenizer = _tokenizer(path)
         doc_ids, counts, parts = [], [], []
         for batch in batches:
-            for part in slices(batch, limit=6_000_000):  # the larger, the fewer words are looked up anew
+            for part in slices(batch, limit=3_000_000):
+                ids, n = tokenizer.encode(part.column("text"), end_id)
                 doc_ids.append(part.column("doc_id"))
-                texts = [tokenizer.lowered(x).split() if x else [] for x in part.column("text").cast(pa.large_binary()).to_pylist()]
-                find = tokenizer.learn(texts).__getitem__
-                encoded = [b"".join(map(find, x)) + end for x in texts]
-                counts += [len(x) // 4 for x in encoded]
-                parts.append(np.frombuffer(b"".join(encoded), "<u4").astype(np.uint32))
+                counts += n.tolist()
+                parts.append(ids.astype(np.uint32))
         if not counts:
             return
         number, at = place(folder, ".s8b")
