@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .files import place, publish
 from .scratch import Scratch
-from .textops import U64, slices
+from .textops import U64, slices, utf8
 
 MAGIC, BLOCK = b"S8BTOK01", 1 << 16
 #: Simple-8b's selectors, in order: values in a word, bits of each.
@@ -180,9 +180,11 @@ class Tokenizer(dict):
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id, and how many each has."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        if self.folds:  # ASCII letters in lower case, as the vocabulary has no other: fewer words to remember
-            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        data, offsets = utf8(texts)
+        data = data.tobytes()
+        if self.folds and b"<|" not in data:  # ASCII letters in lower case, as the vocabulary has no other: fewer words to remember
+            data = data.lower()
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().cast(pa.large_binary()).dictionary_encode()
         found = self.learn(words.dictionary.to_pylist())
