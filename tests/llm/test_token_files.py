@@ -6,7 +6,6 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
 
 from rosterlake.llm import token_files as op
 
@@ -45,7 +44,7 @@ def test_file_round_trip(monkeypatch):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.sampled_from(" \n\t aeintr'sTHé漢\x1c\x85\u0301Σσ<|>"), st.characters(exclude_categories=["Cs"])), max_size=50))
 def test_words_alone_encode_as_in_texts(text):
-    library = Tokenizer.from_file(PATH)
+    library = TOKENIZER.library
     apart = TOKENIZER.encode(pa.array([text, None, text]), 1)
     assert apart[1].tolist() == [len(apart[0]) // 2, 1, len(apart[0]) // 2]
     apart = apart[0][: apart[1][0] - 1].tolist()
@@ -55,7 +54,7 @@ def test_words_alone_encode_as_in_texts(text):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.one_of(st.sampled_from("aeintrsTHé漢.,!'<|>\u0301Σ\x1c\x85"), st.characters(exclude_categories=["Cs"])), max_size=9)))
 def test_new_words_together(parts):
-    library = Tokenizer.from_file(PATH)
+    library = TOKENIZER.library
     texts = [list(set(" ".join(parts).encode().split())), [b"<|endoftext|>", b"a<|startoftext|>b", b"<|ENDOFTEXT|>", "été.".encode(), "क़,".encode(), "İ.".encode(), b"a1.", b".", b"it's,"]]
     texts = sum(texts, [])
     for word, ids in zip(texts, TOKENIZER.learn(texts)):
@@ -63,7 +62,7 @@ def test_new_words_together(parts):
 
 
 def test_query(odd, odd_rows):
-    library = Tokenizer.from_file(PATH)
+    library = TOKENIZER.library
     found = sorted((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in op.round_trip(odd, PATH, 1).collect())
     want, start = [], 0
     for i, text, *_ in sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0)):
