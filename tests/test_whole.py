@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 
 from rosterlake.functions.names import names_compatible
-from rosterlake.plans import resolution
+from rosterlake.plans import profiles, resolution
 
 
 @pytest.fixture
@@ -29,3 +29,12 @@ def test_names_compatible_is_brute_force(spark, tables):
     at = tables("customer", people, "c_custkey long, c_nationkey int, c_name string")
     truth = sorted((a[0], b[0], names_compatible(a[2], b[2])) for a, b in combinations(people, 2) if a[1] == b[1])
     assert rows(resolution.names_compatible(spark, at)) == truth
+
+
+def test_feedback_and_runs_of_all_ids(spark, tables):
+    tables("customer", [(k,) for k in (1, 150, 151, 9000)], "c_custkey long")
+    tables("events", [(9000, "2024-01-05", "search", 0.5), (151, "2024-01-09", "click", 2.0)], "user_id long, ts string, event_type string, value double")
+    at = tables("orders", [(k, "OF"[k % 2]) for k in (3, 1999, 2002, 6000)], "o_orderkey long, o_orderstatus string")
+    every = "2024-01-05"
+    assert rows(profiles.latest_feedback(spark, at)) == [(1, every), (150, every), (151, "2024-01-09"), (9000, every)]
+    assert rows(profiles.repaired_runs(spark, at)) == [(3, "done"), (1999, "done"), (2002, "failed"), (6000, "running")]
