@@ -90,7 +90,7 @@ def order_history(spark, sf_dir):
     """Orders of each nation's customers, newest first."""
     people = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     found = table(spark, sf_dir, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return found.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "c_custkey", "n_nationkey")
+    return found.orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "c_custkey", "n_nationkey")
 
 
 def sheet_safe(spark, sf_dir):

@@ -80,7 +80,7 @@ def pair_queue(spark, sf_dir):
     pairs = exact_pairs(spark, sf_dir).withColumn("postponed", F.col("b") % 3 == 0)
     a, b = (docs.select(F.col("doc_id").alias(x), F.col("source").alias(f"source_{x}")) for x in "ab")
     joined = pairs.join(a, "a").join(b, "b")
-    return joined.orderBy("postponed", "a", "b").limit(50).select("a", "b", "postponed", "source_a", "source_b")
+    return joined.orderBy("postponed", "a", "b").select("a", "b", "postponed", "source_a", "source_b")
 
 
 def link_documents(spark, sf_dir):

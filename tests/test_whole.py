@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 
 from rosterlake.functions.names import names_compatible
-from rosterlake.plans import profiles, resolution
+from rosterlake.plans import evaluation, profiles, resolution
 
 
 @pytest.fixture
@@ -38,3 +38,21 @@ def test_feedback_and_runs_of_all_ids(spark, tables):
     every = "2024-01-05"
     assert rows(profiles.latest_feedback(spark, at)) == [(1, every), (150, every), (151, "2024-01-09"), (9000, every)]
     assert rows(profiles.repaired_runs(spark, at)) == [(3, "done"), (1999, "done"), (2002, "failed"), (6000, "running")]
+
+
+def test_queue_results_and_history_have_no_cap(spark, tables):
+    docs = [(k, f"text {k % 60}", "en", f"s{k % 4}", 10 * k) for k in range(240)]
+    tables("documents", docs, "doc_id long, text string, lang string, source string, n_chars long")
+    tables("labels", [(k, 1, 0) for k in range(0, 240, 3)], "doc_id long, quality int, toxic int")
+    tables("nation", [(0, "x")], "n_nationkey int, n_name string")
+    tables("customer", [(1, 0)], "c_custkey long, c_nationkey int")
+    at = tables("orders", [(k, 1 + k % 2, f"2024-01-{1 + k % 28:02d}") for k in range(130)], "o_orderkey long, o_custkey long, o_orderdate string")
+    pairs = sorted((b % 3 == 0, a, b) for a in range(60) for b in range(a + 60, 240, 60))
+    assert [(r.postponed, r.a, r.b) for r in resolution.pair_queue(spark, at).collect()] == pairs
+    places = {}
+    for r in evaluation.results_order(spark, at).collect():
+        places.setdefault(r.category, []).append(r.place)
+    assert sum(map(len, places.values())) == 240 and max(map(len, places.values())) > 100
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
+    newest = sorted(range(130), key=lambda k: (-(k % 28), k))
+    assert [(r.o_orderkey, r.c_custkey) for r in profiles.order_history(spark, at).collect()] == [(k, None if k % 2 else 1) for k in newest]
