@@ -22,7 +22,7 @@ def display_fields(spark, sf_dir):
 def compared_fields(spark, sf_dir):
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.floor("c_acctbal").alias("bal"))
     a, b = people.toDF("a", "nation", "segment_a", "bal_a"), people.toDF("b", "nation", "segment_b", "bal_b")
-    pairs = a.join(b, "nation").where("a < b AND b - a <= 20")
+    pairs = a.join(b, "nation").where("a < b")
     agree = fields.same_fields({"nation": F.lit(True), "segment": F.col("segment_a") == F.col("segment_b"), "balance": F.abs(F.col("bal_a") - F.col("bal_b")) < 500})
     return pairs.select("a", "b", agree.alias("agree"))
 

@@ -36,11 +36,10 @@ def unseen_pairs(spark, sf_dir):
 
 
 def components(spark, sf_dir):
-    people = table(spark, sf_dir, "customer")
-    near = lambda by: resolve.key_pairs(people.select(F.col("c_custkey").alias("id"), by.alias("key")))
-    a = near(F.concat_ws("/", F.col("c_nationkey"), F.floor(F.col("c_acctbal") / 200), F.lit("x")))
-    b = near(F.concat_ws("/", F.col("c_mktsegment"), F.floor(F.col("c_acctbal") / 2), F.lit("y")))
-    return resolve.components(a.unionByName(b).where("a % 3 <> 0"))
+    """Of documents that are exact copies or share a contact."""
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("person"))
+    shared = contact_keys(spark, sf_dir).select(F.col("doc_id").alias("id"), "key").distinct().join(langs, "id")
+    return resolve.components(exact_pairs(spark, sf_dir).unionByName(resolve.key_pairs(resolve.guarded_keys(shared))))
 
 
 def survivor_merge(spark, sf_dir):

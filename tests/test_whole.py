@@ -56,3 +56,19 @@ def test_queue_results_and_history_have_no_cap(spark, tables):
     assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
     newest = sorted(range(130), key=lambda k: (-(k % 28), k))
     assert [(r.o_orderkey, r.c_custkey) for r in profiles.order_history(spark, at).collect()] == [(k, None if k % 2 else 1) for k in newest]
+
+
+def test_components_take_all_edges_of_documents(spark, tables):
+    texts = {3: "same", 7: "same", 8: "same", 9: "write to a@b.ru", 10: "or to A@b.ru, c@d.ru", 11: "c@d.ru", 12: "alone", 13: "x@y.ru", 14: "x@y.ru and", 15: "x@y.ru or"}
+    langs = {14: "de", 15: "fr"}
+    at = tables("documents", [(k, t, langs.get(k, "en")) for k, t in texts.items()], "doc_id long, text string, lang string")
+    assert rows(resolution.components(spark, at)) == [(3, 3), (7, 3), (8, 3), (9, 9), (10, 9), (11, 9)]
+
+
+def test_counts_and_pairs_of_all_customers(spark, tables):
+    tables("nation", [(0,), (1,)], "n_nationkey int")
+    people = [(k, k % 2, "s", 100.0 * (k - 9)) for k in range(60)]
+    at = tables("customer", people, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double")
+    assert rows(evaluation.vacancy_counts(spark, at)) == [(0, 30, 25, 5), (1, 30, 25, 5)]
+    agree = lambda a, b: "nation, segment" + ", balance" * (b - a < 5)
+    assert rows(profiles.compared_fields(spark, at)) == [(a, b, agree(a, b)) for a, b in combinations(range(60), 2) if (a + b) % 2 == 0]
