@@ -10,8 +10,10 @@ import tempfile
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.names import names_compatible
 
@@ -19,10 +21,32 @@ from ..functions.names import names_compatible
 COMMON, UNSURE, POSSIBLE, SURE = 3, 0.5, 0.7, 1.0
 
 
+def _held_by_few(batches, most_people: int):
+    """Keys of Arrow rows in order of key and id whose names are ``most_people`` people or fewer, counted as they come."""
+    key, people, kind = None, [], None
+    for rows in batches:
+        good, kind = [], rows.schema.field("key").type
+        for k, name in zip(rows["key"].to_pylist(), rows["person"].to_pylist(), strict=True):
+            if k != key:
+                if key is not None and len(people) <= most_people:
+                    good.append(key)
+                key, people = k, []
+            if len(people) <= most_people and not any(names_compatible(name, other) for other in people):
+                people.append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(good, kind)], ["key"])
+    if key is not None and len(people) <= most_people:
+        yield pa.RecordBatch.from_arrays([pa.array([key], kind)], ["key"])
+
+
 def guarded_keys(keys: DataFrame, most_people: int = COMMON - 1) -> DataFrame:
-    """Rows of ``keys(id, key, person)`` whose key has two records or more and few people."""
-    counts = keys.groupBy("key").agg(F.count_distinct("id").alias("n"), F.count_distinct("person").alias("people"))
-    return keys.join(counts.where((F.col("n") > 1) & (F.col("people") <= most_people)).select("key"), "key")
+    """Rows of ``keys(id, key, person)`` whose key has two records or more and few people. Compatible names are one person;
+    only keys of more spellings than people allowed need that look."""
+    counts = keys.groupBy("key").agg(F.count_distinct("id").alias("n"), F.count_distinct("person").alias("spellings")).where("n > 1")
+    doubtful = counts.where(F.col("spellings") > most_people).select("key")
+    spelled = keys.where("person <> ''").groupBy("key", "person").agg(F.min("id").alias("id")).join(doubtful, "key")
+    ordered = spelled.repartition("key").sortWithinPartitions("key", "id", "person").select("key", "person")
+    judged = ordered.mapInArrow(lambda batches: _held_by_few(batches, most_people), StructType([keys.schema["key"]]))
+    return keys.join(counts.where(F.col("spellings") <= most_people).select("key").unionByName(judged), "key")
 
 
 def key_pairs(keys: DataFrame) -> DataFrame:
@@ -37,6 +61,27 @@ def unseen(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
 
 
+def unseen_links(keys: DataFrame, seen: DataFrame) -> DataFrame:
+    """Unseen pairs ``a, b`` of records of ``keys(id, key, person)`` that share a key: all between different spellings, and
+    within one spelling enough for the components of all.
+
+    Each record is paired with the one of its spelling that has the fewest seen pairs. Records seen with that one are paired
+    with every other, which is at most twice as many pairs as are seen; so no link of the whole graph is missing between
+    components."""
+    rows = keys.select("key", F.struct(F.coalesce("person", F.lit("")).alias("name"), F.col("person").isNull().alias("none")).alias("spelling"), "id").distinct()
+    group = ["key", "spelling"]
+    both = seen.select("a", "b").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    ends = both.join(rows.withColumnRenamed("id", "a"), "a").join(rows.withColumnRenamed("id", "b"), ["b", *group])
+    times = ends.groupBy(*group, F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    hubs = rows.join(times, [*group, "id"], "left").groupBy(*group).agg(F.min_by("id", F.struct(F.coalesce("n", F.lit(0)), "id")).alias("hub"))
+    star = rows.join(hubs, group).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    rest = ends.join(hubs, group).where("a = hub").select(*group, F.col("b").alias("a"))
+    beside = rest.join(rows.withColumnRenamed("id", "b"), group).where("a <> b").select("a", "b")
+    x, y = rows.toDF("key", "s", "a"), rows.toDF("key", "t", "b")
+    across = x.join(y, "key").where("a < b AND s <> t").select("a", "b")
+    return unseen(star.unionByName(beside).unionByName(across), seen)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` (the least id) of all ends of ``edges(a, b)``."""
     spark = edges.sparkSession

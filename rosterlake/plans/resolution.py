@@ -30,9 +30,9 @@ def exact_pairs(spark, sf_dir):
 
 
 def unseen_pairs(spark, sf_dir):
-    pairs = exact_pairs(spark, sf_dir)
-    seen = pairs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("a")), "a").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return resolve.unseen(pairs, seen)
+    keys = resolve.guarded_keys(_copies(spark, sf_dir))
+    seen = resolve.key_pairs(keys).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("a")), "a").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return resolve.unseen_links(keys, seen)
 
 
 def components(spark, sf_dir):

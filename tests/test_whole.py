@@ -1,10 +1,12 @@
 """Queries judge whole tables: nothing is cut by id, by a cap or by a remainder."""
 
+import random
 from itertools import combinations
 
 import pytest
 
 from rosterlake.functions.names import names_compatible
+from rosterlake.operators import resolve
 from rosterlake.plans import evaluation, profiles, resolution
 
 
@@ -72,3 +74,42 @@ def test_counts_and_pairs_of_all_customers(spark, tables):
     assert rows(evaluation.vacancy_counts(spark, at)) == [(0, 30, 25, 5), (1, 30, 25, 5)]
     agree = lambda a, b: "nation, segment" + ", balance" * (b - a < 5)
     assert rows(profiles.compared_fields(spark, at)) == [(a, b, agree(a, b)) for a, b in combinations(range(60), 2) if (a + b) % 2 == 0]
+
+
+def _parts(ids, pairs):
+    part = {i: i for i in ids}
+    for a, b in pairs:
+        part = {i: part[a] if p == part[b] else p for i, p in part.items()}
+    return {frozenset(i for i in ids if part[i] == p) for p in part.values()}
+
+
+def test_links_among_copies_of_a_seen_first(spark):
+    keys = spark.createDataFrame([(k, "k", "en") for k in (1, 2, 3)], "id long, key string, person string")
+    seen = spark.createDataFrame([(1, 2), (3, 1)], "a long, b long")
+    assert rows(resolve.unseen_links(keys, seen)) == [(2, 3)]
+
+
+def test_links_have_the_components_of_all_unseen_pairs(spark):
+    draw = random.Random(1)
+    held, seen, truth = [], [], []
+    for g in range(80):
+        ids = range(10 * g, 10 * g + draw.randint(2, 8))
+        names = {i: draw.choice(["en", "en", "de", None][: 1 + g % 4]) for i in ids}
+        pairs = list(combinations(ids, 2))
+        known = draw.sample(pairs, int(len(pairs) * draw.choice([0, 0.3, 0.6, 0.9])))
+        held += [(i, f"k{g}", names[i]) for i in ids]
+        seen += [p if draw.random() < 0.5 else p[::-1] for p in known]
+        truth.append((ids, names, set(pairs) - set(known)))
+    found = rows(resolve.unseen_links(spark.createDataFrame(held, "id long, key string, person string"), spark.createDataFrame(seen, "a long, b long")))
+    for ids, names, left in truth:
+        own = {p for p in found if p[0] in ids}
+        assert own <= left and _parts(ids, own) == _parts(ids, left)
+        fits = lambda ps: [p for p in ps if names_compatible(names[p[0]], names[p[1]])]
+        assert _parts(ids, fits(own)) == _parts(ids, fits(left))
+
+
+def test_one_person_in_three_spellings_keeps_the_key(spark):
+    names = {"one": ["Иванов Иван", "Иванов И.", "Ivanov Ivan"], "hot": ["Иванов Иван", "Петров Пётр", "Сидорова Анна"]}
+    held = [(10 * k + i, key, name) for k, key in enumerate(names) for i, name in enumerate(names[key])]
+    kept = resolve.guarded_keys(spark.createDataFrame(held, "id long, key string, person string"))
+    assert {r.key for r in kept.collect()} == {"one"} and kept.count() == 3
