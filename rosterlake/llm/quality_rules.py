@@ -5,13 +5,15 @@ small sample by random features at random values until rows stand alone; a row t
 outlier, with score ``2 ** (-mean path length / expected length)``. One forest sees all features and one each
 sees a single feature, as what is rare isn't equally bad in each of them. The samples are the trees' own parameter
 (``TREES * SAMPLE`` rows with the least keyed hashes of doc_id and text); all rows are scored. Each forest's
-threshold comes from the labelled rows, all of them that pass the base rule: their scores are counted in ``BINS``
-bins by label, and the threshold is the bin edge that rejects the most low-quality rows while at most
+threshold comes from the labelled rows that pass the base rule, but for one document of ``HELD_OUT``, chosen by hash, whose
+labels are left to measure by: their scores are counted in ``BINS`` bins by label, and the threshold is the bin edge that rejects the most low-quality rows while at most
 ``SPARED`` of the good ones go. Forests and bin counts are of fixed size, whatever the input.
 
 Edge cases: a null text has no words; texts without words have ratios 0 and fail the base rule; nothing to
 fit on (an empty table) or no good labels leaves the base rule alone; several labels of one doc_id count each;
-labels that are null are left out; repeated rows get equal verdicts; rows without doc_id are scored.
+labels that are null are left out; repeated rows get equal verdicts, and so do rows that tie in their ratios; rows without
+doc_id are scored; a very long text is counted whole, with memory in proportion to its length; further columns are
+ignored, whatever their names (``keep`` returns them as they came).
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textops import U64, Runs, fingerprints, mix, slices, words
+from .textops import U64, fingerprints, grams, mix, slices, words
 
 #: The characters counted by ``n_symbols``.
 SYMBOLS = "#*$%&|<>"
 TREES, SAMPLE, BINS, SPARED = 64, 256, 512, 0.0002
+#: Bytes of text that are counted at a time, and one of how many labelled documents takes no part in the calibration.
+SLICE, HELD_OUT = 1 << 19, 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("symbols a word", "characters a word", "repeated lines a word", "share of repeated words")
 
@@ -77,7 +81,7 @@ def counts_of(part: pa.RecordBatch) -> list[np.ndarray]:
     dup_lines = np.bincount(line_of[later], minlength=len(part))
     # three-word windows
     at = np.flatnonzero(np.arange(len(of)) + 3 <= w.first[1:][of]) if len(of) else np.zeros(0, np.int64)
-    any_, _ = _repeated(of[at], Runs(w.name)(at, at + 3))
+    any_, _ = _repeated(of[at], grams(w.name, 3)[at])
     cover = np.zeros(len(of) + 1, np.int64)
     np.add.at(cover, at[any_], 1)
     np.add.at(cover, at[any_] + 3, -1)
@@ -87,7 +91,7 @@ def counts_of(part: pa.RecordBatch) -> list[np.ndarray]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=SLICE):
             yield pa.record_batch([part.column("doc_id"), part.column("key"), *map(pa.array, counts_of(part))], ["doc_id", "key", *COUNTS])
 
 
@@ -190,9 +194,15 @@ def score(rows: DataFrame, forests: list[Forest]) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema) + ", scores array<double>")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether a document's labels are left to measure verdicts by."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(21)), F.lit(HELD_OUT)) == 0
+
+
 def calibrate(scored: DataFrame, labels: DataFrame, forests: int) -> list[float]:
     """For each forest, the score from which on a row goes."""
-    labelled = scored.where("NOT base_failed").select("doc_id", "scores").join(labels.select("doc_id", "quality").where("quality IS NOT NULL"), "doc_id")
+    known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & ~held_out())
+    labelled = scored.where("NOT base_failed").select("doc_id", "scores").join(known, "doc_id")
     each = labelled.select("quality", F.posexplode("scores").alias("forest", "score"))
     bins = each.groupBy("forest", F.floor(F.col("score") * BINS).alias("bin")).agg(
         F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")
@@ -235,7 +245,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 found = counts_of(part)
                 kept = (found[0] >= 50) & (100 * found[4] <= 50 * found[0])
                 x = features(*found)

@@ -21,12 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get() if held.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="rosterlake-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 class Scratch:
     """Tables of one operator call. What a returned DataFrame still reads lives until the session ends."""
 
@@ -48,5 +58,4 @@ class Scratch:
             for name in names or ("",):
                 at = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-            gc.collect()
-            jvm.System.gc()
+            gc.collect()  # frees the driver's handles on the plans that read them
