@@ -46,17 +46,40 @@ def test_many_overlapping_repeats(spark):
 
 def test_symbols_of_equal_substrings_agree():
     rng = np.random.default_rng(1)
-    for _ in range(50):
-        middle = rng.integers(0, 4, 120).astype(str).tolist()
-        texts = [" ".join([*rng.integers(0, 4, n).astype(str), *middle, *rng.integers(0, 4, 30).astype(str)]) for n in (17, 40)]
-        at = []
-        for text, n in zip(texts, (17, 40)):
-            w = words(pa.array([text]))
-            symbol, start, size = op.recompress(w.name, w.first)
-            assert (size <= op.LONGEST).all() and size.sum() == len(w.name)
-            inside = (start >= n + op.CONTEXT) & (start + size <= n + 120 - op.CONTEXT)
-            at.append(list(zip(start[inside] - n, symbol[inside])))
-        assert at[0] == at[1] and at[0]
+    longest = 0
+    for words_ in (4, 1000):
+        for _ in range(30):
+            middle = rng.integers(0, words_, 120).astype(str).tolist()
+            found = []
+            for n in (17, 40):
+                text = " ".join([*rng.integers(0, words_, n).astype(str), *middle, *rng.integers(0, words_, 30).astype(str)])
+                w = words(pa.array([text]))
+                name, at, size, low, high = op.recompress(w.name, w.first)
+                assert (low <= at).all() and (at + size <= high).all() and (high - low <= op.WINDOW).all()
+                inside = (low >= n) & (high <= n + 120)
+                longest = max(longest, size[inside].max())
+                found.append(sorted(zip((at[inside] - n).tolist(), size[inside].tolist(), name[inside].tolist())))
+            assert found[0] == found[1] and found[0]
+    assert longest >= 16  # symbols of tens of words
+
+
+def thue_morse(k, x="a", y="b"):
+    for _ in range(k):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_collide_in_rings_of_two_powers(spark):
+    x, y = thue_morse(10)
+    rows = [(1, f"{x} " + " ".join(f"w{k}" for k in range(60))), (2, f"{y} " + " ".join(f"w{k}" for k in range(48)) + " other"), (3, x), (4, " ".join(x)), (5, " ".join(y))]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_clashing_columns(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, passage, "v1", "k1"), (2, passage + " end", "v2", "k2")]
+    found = op.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, version string, kept string")).collect()
+    assert sorted(map(tuple, found)) == [(1, passage, "v1", "k1"), (2, "end", "v2", "k2")]
 
 
 def test_long_slices_go_by_segments(monkeypatch):
@@ -65,7 +88,7 @@ def test_long_slices_go_by_segments(monkeypatch):
     whole = op.blocks(w)
     monkeypatch.setattr(op, "_SEGMENT", 256)
     parts = op.blocks(w)
-    spread = lambda b: sorted((s + k, a) for s, n, a in zip(*b) for k in range(n))
+    spread = lambda b: sorted((s + k, a, m) for s, n, a, m in zip(*b) for k in range(n))
     assert spread(whole) == spread(parts)
 
 
