@@ -2,23 +2,28 @@
 
 Two documents are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more.
 
-1. One scan names each text by 128 bits of its word sequence and takes ``TREES * DEPTH`` MinHash values. Copies (equal word
+1. One scan names each text by 125 bits of its word sequence and takes ``TREES * DEPTH`` MinHash values. Copies (equal word
    sequences) become one node with a count.
-2. The forest: each tree orders nodes by their prefix of MinHash values. The matched prefix starts at full depth
-   and is shortened until a pair at the threshold meets in one tree at least with probability ``RECALL``
-   (``prefix_length``); shorter prefixes would only add work. Nodes alone in their bucket leave; the others are sorted by
-   bucket, dealt by range, so that a hot bucket is spread over several tasks.
-3. Within a bucket all MinHash values estimate the similarity. A node is compared with leaders; it is
-   covered, and leads no more, where it is nearly a leader's copy, so buckets of near copies don't compare all pairs.
-   Estimates far below the threshold are no candidates; that keeps clusters apart that only share passages.
-   Leaders of buckets at the borders of tasks meet once more.
+2. The forest: a tree's key holds ``BITS`` bits of each of its ``DEPTH`` values, the tree's number before them, so that sorted keys are
+   the tries of all trees, and nodes under one inner node of a trie are neighbours: those whose prefix of that length matches. The matched
+   prefix is shortened from full depth, a value at a time, until enough pairs at the threshold share one in one tree at least.
+   That recall is measured: one text of ``PLANTED``, chosen by hash, is compared with a variant of itself in which
+   so many words are changed that their similarity is just 0.8. The share of trees in which they match is measured for each
+   prefix length; the length taken is the largest at which that share, in all trees together, gives ``RECALL`` (``settled_depth``).
+3. Nodes alone under their prefix leave; the others are sorted by key and dealt by range, so a hot prefix is spread over
+   several tasks. Under a prefix all MinHash values estimate the similarity. A node is compared with leaders; it is
+   covered, and leads no more, where it is nearly a leader's copy, so prefixes of near copies don't compare all pairs.
+   Estimates far below the threshold (``NEAR``; a pair at 0.8 falls below with a probability under 1e-9) are no candidates; that
+   keeps clusters apart that only share passages. Leaders under prefixes at the borders of tasks meet once more, in couples of blocks.
 4. Candidate pairs form clusters (connected components). Each cluster's texts meet once and all its pairs are verified exactly,
-   large clusters in couples of blocks of ``UNIT`` texts, by products of shingle incidence matrices. Only sums
+   clusters of more than ``UNIT`` texts or ``UNIT_BYTES`` in couples of blocks, by products of shingle incidence matrices. Only sums
    of links and one edge for each linked node leave a task; no pairs are emitted.
 5. Verified edges give classes, again as connected components.
 
 Edge cases: texts of one to four words are one shingle; texts without words, and rows without doc_id, are in a class of their own
-without links; equal rows are copies of each other; an empty table gives an empty one; no bucket has a cap.
+without links; equal rows are copies of each other, and so are rows of one doc_id with equal texts; of a class the least doc_id
+stands for it; a very long text is read whole; an empty table gives an empty one; no bucket has a cap; further columns are ignored, whatever their
+names, and ``representatives`` returns them as they came.
 """
 
 from __future__ import annotations
@@ -27,23 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
-from .textops import U64, Runs, mix, slices, words
+from .scratch import Scratch, unused
+from .textops import U64, Runs, fingerprints, grams, mix, slices, words
 
 SHINGLE, FIVE_J, FOUR = 5, 5, 4  # similarity 4/5: 5 * shared >= 4 * united
-TREES, DEPTH, RECALL = 24, 6, 0.9999
-NEAR, COVERED, UNIT = 0.55, 0.95, 512
-
-
-def prefix_length(trees: int = TREES, depth: int = DEPTH, similarity: float = 0.8, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair of the given similarity shares a bucket with the wanted probability."""
-    k = depth
-    while k > 1 and 1 - (1 - similarity**k) ** trees < recall:
-        k -= 1
-    return k
+TREES, DEPTH, BITS, PLANTED, RECALL = 24, 6, 9, 16, 0.9998
+NEAR, COVERED, UNIT, UNIT_BYTES, MEETING = 0.55, 0.95, 1024, 1 << 23, 512
 
 
 def shingles(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +49,11 @@ def shingles(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     each = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     begin = np.concatenate(([0], np.cumsum(each)))
     at = np.arange(begin[-1]) - np.repeat(begin[:-1], each) + np.repeat(first[:-1], each)
-    return Runs(names)(at, np.minimum(at + SHINGLE, np.repeat(first[1:], each))), begin
+    out = np.empty(len(at), np.uint64)
+    short = np.repeat(n < SHINGLE, each)
+    out[~short] = grams(names, SHINGLE)[at[~short]]
+    out[short] = Runs(names)(at[short], np.repeat(first[1:], each)[short])
+    return out, begin
 
 
 def minhashes(values: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
@@ -66,36 +67,83 @@ def minhashes(values: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def trie_keys(low: np.ndarray) -> np.ndarray:
+    """The keys of each row of MinHash values, one a tree: sorted, they are the trees' tries."""
+    values = (low & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(-1, TREES, DEPTH)
+    key = np.broadcast_to(np.arange(TREES, dtype=np.uint64), values.shape[:2]).copy()
+    for j in range(DEPTH):
+        key = key << U64(BITS) | values[:, :, j]
+    return key
+
+
+def matched_trees(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many trees two rows of keys have a common prefix, for each length from one value on."""
+    return np.stack([((a ^ b) >> U64(BITS * (DEPTH - d)) == 0).sum(1) for d in range(1, DEPTH + 1)], 1)
+
+
+def variants(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with a few words changed, as evenly as it goes, and which have any: their shingles are 0.8 alike or slightly more."""
+    n = np.diff(first)
+    changes = np.where(n >= SHINGLE, (n - SHINGLE + 1) // (9 * SHINGLE), 0)
+    k = np.arange(changes.sum()) - np.repeat(np.cumsum(changes) - changes, changes)
+    step = np.repeat(n / np.maximum(changes, 1), changes)
+    at = np.repeat(first[:-1], changes) + ((k + 0.5) * step).astype(np.int64)
+    out = names.copy()
+    out[at] = mix(out[at] + at.astype(np.uint64) + U64(1))
+    return out, changes > 0
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    k = prefix_length()
     for batch in batches:
         for part in slices(batch):
             w = words(part.column("text"))
             n = np.diff(w.first)
             some = np.flatnonzero(n > 0)
-            names = [Runs(w.name, kind)(w.first[:-1][some], w.first[1:][some]) for kind in "ab"]
+            first = np.append(w.first[:-1][some], w.first[-1])
+            names = [
+                Runs(x, kind)(first[:-1], first[1:])
+                for kind, x in (("a", w.name), ("b", fingerprints(w.data, w.start, w.end, "b")))
+            ]
             node = np.stack([x.byteswap() for x in names], 1).tobytes()
-            values, begin = shingles(w.name, w.first)
-            begin = np.append(begin[:-1][some], begin[-1])
-            low = minhashes(values, begin, TREES * k) if len(some) else np.zeros((0, TREES * k), np.uint32)
-            keys = low.reshape(-1, TREES, k).astype(np.uint64)
-            key = np.full(keys.shape[:2], U64(0))
-            for j in range(k):
-                key = mix(key * U64(0x9E3779B97F4A7C15) + keys[:, :, j] + (np.arange(TREES, dtype=np.uint64) << U64(40)))
-            ends = np.arange(0, key.size + 1, TREES, dtype=np.int32)
+            low = minhashes(*shingles(w.name, first), TREES * DEPTH) if len(some) else np.zeros((0, TREES * DEPTH), np.uint32)
+            keys = trie_keys(low)
+            # the sample: its variants, and how far they match
+            tried = np.flatnonzero(mix(names[0]) % U64(PLANTED) == 0)
+            met = [None] * len(some)
+            if len(tried):
+                size = n[some[tried]]
+                begin = np.concatenate(([0], np.cumsum(size)))
+                at = np.arange(begin[-1]) - np.repeat(begin[:-1], size) + np.repeat(first[tried], size)
+                changed, has = variants(w.name[at], begin)
+                other = trie_keys(minhashes(*shingles(changed, begin), TREES * DEPTH))
+                for j, counts in zip(tried[has].tolist(), matched_trees(keys[tried], other)[has].tolist(), strict=True):
+                    met[j] = counts
+            ends = np.arange(0, keys.size + 1, TREES, dtype=np.int32)
             take = pa.array(some)
             yield pa.record_batch(
                 [
                     part.column("doc_id").take(take),
                     part.column("version").take(take),
                     pa.array([node[16 * j : 16 * j + 16] for j in range(len(some))], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(key.ravel().view(np.int64))),
+                    pa.array(np.diff(w.offsets)[some]),
+                    pa.array(met, pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
                     pa.array([x.tobytes() for x in (low & np.uint32(0xFF)).astype(np.uint8)], pa.binary()),
                 ],
-                ["doc_id", "version", "node", "keys", "sketch"],
+                ["doc_id", "version", "node", "n_bytes", "met", "keys", "sketch"],
             )
 
 
+def settled_depth(scanned: DataFrame) -> int:
+    """The longest prefix with the wanted recall of the planted pairs; one value if none has it."""
+    sums = [F.avg(F.element_at("met", d) / float(TREES)).alias(f"d{d}") for d in range(1, DEPTH + 1)]
+    shares = scanned.where("met IS NOT NULL").agg(*sums).first()
+    depth = DEPTH
+    while depth > 1 and 1 - (1 - (shares[f"d{depth}"] or 0)) ** TREES < RECALL:
+        depth -= 1
+    return depth
+
+
 def _estimates(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     same = (sketches == one).mean(1)
     return (same - 1 / 256) / (1 - 1 / 256)
@@ -125,12 +173,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 _PAIRS = "key long, a binary, b binary, sketch binary"
 
 
-def _sorted_buckets(batches: Iterator[pa.RecordBatch], borders: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> candidate pairs (a, b). With ``borders``, leaders of the first and last key come
-    as rows with ``sketch`` and without ``b``, as these keys may go on in other tasks."""
+def _sorted_buckets(batches: Iterator[pa.RecordBatch], borders: bool, shift: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> candidate pairs (a, b) of keys that are equal without their last ``shift`` bits. With ``borders``, leaders
+    of the first and last key come as rows with ``sketch`` and without ``b``, as these keys may go on in other tasks."""
     held, first = None, None
     for batch in batches:
-        key = batch.column("key").to_numpy()
+        key = batch.column("key").to_numpy() >> shift
         node = batch.column("node").to_pylist()
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
         if held is not None:
@@ -196,10 +244,10 @@ def components(edges: DataFrame, tables: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def links_within(names: np.ndarray, first: np.ndarray, side: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links_within(names: np.ndarray, first: np.ndarray, side: np.ndarray, copies: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Exact links among texts: for each the number of documents it is linked to, and the first text of its component.
 
-    Pairs count that have different sides, or all where there is one side."""
+    across: only pairs of different sides count."""
     values, begin = shingles(names, first)
     of = np.repeat(np.arange(len(first) - 1), np.diff(begin))
     order = np.lexsort((of, values))
@@ -214,7 +262,7 @@ def links_within(names: np.ndarray, first: np.ndarray, side: np.ndarray, copies:
     shared = np.repeat(count > 1, count)
     of, column = of[shared], np.unique(column[shared], return_inverse=True)[1]
     both = np.zeros((m, m), np.float32)
-    step = 1 << 13
+    step = 1 << 12
     for low in range(0, int(column.max(initial=-1)) + 1, step):
         inside = slice(*np.searchsorted(column, (low, low + step)))
         dense = np.zeros((m, step), np.float32)
@@ -223,7 +271,7 @@ def links_within(names: np.ndarray, first: np.ndarray, side: np.ndarray, copies:
     united = size[:, None] + size[None, :] - both
     linked = (FIVE_J * both >= FOUR * united) & (size[:, None] > 0)
     np.fill_diagonal(linked, False)
-    if len(np.unique(side)) > 1:
+    if across:
         linked &= side[:, None] != side[None, :]
     root = np.arange(m)
     while True:  # least label around
@@ -242,7 +290,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def checked(unit: pa.Table):
         node, side, copies = unit["node"].to_pylist(), unit["side"].to_numpy(), unit["copies"].to_numpy()
         w = words(unit["text"].combine_chunks())
-        links, root = links_within(w.name, w.first, side, copies)
+        links, root = links_within(w.name, w.first, side, copies, unit["low"][0].as_py() < unit["high"][0].as_py())
         return [(node[j], node[root[j]], int(links[j])) for j in np.flatnonzero(links).tolist()]
 
     held = None
@@ -259,6 +307,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["node", "root", "links"])
 
 
+def _couples(rows: DataFrame, hashed: Column) -> DataFrame:
+    """Each row once for each block it meets: adds its block ``side`` and the couples ``low, high``; ``blocks``: how many there are."""
+    sided = rows.withColumn("side", F.pmod(hashed, F.col("blocks")).cast("int"))
+    sided = sided.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return sided.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
+
+
 def join(docs: DataFrame) -> DataFrame:
     """``doc_id, version, class_id, n_links`` of each row of ``docs(doc_id, text)``; ``version`` is a hash of the text.
 
@@ -267,36 +322,36 @@ def join(docs: DataFrame) -> DataFrame:
     tables = Scratch(spark, "ngrams")
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = docs.where("doc_id IS NOT NULL").mapInArrow(_scan, f"doc_id {kind}, version long, node binary, keys array<long>, sketch binary")
+    scanned = docs.where("doc_id IS NOT NULL").mapInArrow(_scan, f"doc_id {kind}, version long, node binary, n_bytes long, met array<int>, keys array<long>, sketch binary")
     scanned = tables.store(scanned, "scanned")
     of = scanned.select("doc_id", "version", "node")
-    nodes = scanned.groupBy("node").agg(F.min(F.struct("doc_id", "version", "keys", "sketch")).alias("x"), F.count("*").alias("copies"))
+    shift = BITS * (DEPTH - settled_depth(scanned))
+    nodes = scanned.groupBy("node").agg(F.min(F.struct("doc_id", "version", "n_bytes", "keys", "sketch")).alias("x"), F.count("*").alias("copies"))
     nodes = tables.store(nodes.select("node", "copies", "x.*"), "nodes")
     # the forest
-    place = nodes.select("node", F.explode("keys").alias("key"))
-    full = tables.store(place.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "full")
-    met = place.join(full, "key").join(nodes.select("node", "sketch"), "node").select("key", "node", "sketch")
+    place = nodes.select("node", F.explode("keys").alias("key")).withColumn("prefix", F.shiftright("key", shift))
+    full = tables.store(place.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"), "full")
+    met = place.join(full, "prefix").join(nodes.select("node", "sketch"), "node").select("key", "node", "sketch")
     met = tables.store(met, "met")
-    pairs = met.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(lambda b: _sorted_buckets(b, True), _PAIRS)
+    pairs = met.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(lambda b: _sorted_buckets(b, True, shift), _PAIRS)
     pairs = tables.store(pairs, "pairs")
     tables.drop("full", "met")
-    border = pairs.where("b IS NULL").select("key", F.col("a").alias("node"), "sketch").repartition("key").sortWithinPartitions("key", "node")
-    more = border.mapInArrow(lambda b: _sorted_buckets(b, False), _PAIRS)
+    border = pairs.where("b IS NULL").select("key", F.col("a").alias("node"), "sketch")
+    many = tables.store(border.groupBy("key").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("blocks")), "borders")
+    more = _couples(border.join(many, "key"), F.xxhash64("node", F.lit(2))).select(F.xxhash64("key", "low", "high").alias("key"), "node", "sketch")
+    more = more.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: _sorted_buckets(b, False), _PAIRS)
     candidates = pairs.where("b IS NOT NULL").select("a", "b").unionByName(more.where("b IS NOT NULL").select("a", "b"))
     clusters = tables.store(components(candidates, tables, "cluster"), "clusters")
     tables.drop("pairs")
     # verification
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label", F.ceil(F.col("n") / UNIT).cast("int").alias("blocks"))
-    sizes = tables.store(sizes, "sizes")
+    sizes = clusters.join(nodes.select("node", "n_bytes"), "node").groupBy("label").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / UNIT), F.ceil(F.col("bytes") / UNIT_BYTES))).cast("int")
+    sizes = tables.store(sizes.where("n > 1").select("label", blocks.alias("blocks")), "sizes")
     members = clusters.join(sizes, "label").join(nodes.select("node", "doc_id", "version", "copies"), "node")
-    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    members = members.select("doc_id", "version", "node", "copies", F.xxhash64("label").alias("cluster"), "blocks", block.alias("side"))
+    members = members.select("doc_id", "version", "node", "copies", F.xxhash64("label").alias("cluster"), "blocks")
     # a node with the same doc_id and text is found once, whatever the number of its rows
     texts = docs.join(members.hint("merge"), ["doc_id", "version"]).dropDuplicates(["node"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = texts.withColumn("other", other).select(
-        "cluster", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "copies", "text"
-    )
+    units = _couples(texts, F.xxhash64("node", F.lit(1))).select("cluster", "low", "high", "side", "node", "copies", "text")
     units = units.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
     verified = tables.store(units.mapInArrow(_verify, "node binary, root binary, links long"), "verified")
     labels = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")), tables, "class")
@@ -314,10 +369,11 @@ def join(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class: the one with the least doc_id."""
-    chosen = join(docs).where("class_id = doc_id").select("doc_id", "version").distinct()
-    keyed = docs.withColumn("version", F.xxhash64("text"))
-    rest = docs.where("doc_id IS NULL")
-    return keyed.join(chosen.hint("merge"), ["doc_id", "version"]).select(*docs.columns).unionByName(rest)
+    version = unused(docs, "version")
+    chosen = join(docs).where("class_id = doc_id").select("doc_id", F.col("version").alias(version)).distinct()
+    keyed = docs.withColumn(version, F.xxhash64("text"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return keyed.join(chosen.hint("merge"), ["doc_id", version]).select(*columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

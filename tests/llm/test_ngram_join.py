@@ -77,9 +77,72 @@ def test_borders_of_tasks():
     assert {(5, 6), (10, 11), (20, 21), (35, 36)} <= linked and all(a // 10 == b // 10 for a, b in linked)
 
 
-def test_prefix_meets_the_recall():
-    k = op.prefix_length()
-    assert 1 - (1 - 0.8**k) ** op.TREES >= op.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** op.TREES or k == op.DEPTH
+def test_sorted_keys_are_tries():
+    rng = np.random.default_rng(4)
+    low = rng.integers(0, 3, (50, op.TREES * op.DEPTH)).astype(np.uint32)
+    keys = op.trie_keys(low)
+    values = low.reshape(50, op.TREES, op.DEPTH)
+    for t in range(op.TREES):
+        assert np.argsort(keys[:, t], kind="stable").tolist() == sorted(range(50), key=lambda k: values[k, t].tolist())
+    for a, b in ((0, 1), (2, 3), (4, 5)):
+        same = (values[a] == values[b]).cumprod(1).sum(0)
+        assert op.matched_trees(keys[[a]], keys[[b]])[0].tolist() == same.tolist()
+
+
+def test_variants_are_at_the_threshold():
+    rng = np.random.default_rng(5)
+    names = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    first = np.array([0, 30, 400, 900])
+    changed, has = op.variants(names, first)
+    assert has.tolist() == [False, True, True]
+    for k in (1, 2):
+        one, other = (set(op.shingles(x, first)[0][op.shingles(x, first)[1][k] : op.shingles(x, first)[1][k + 1]].tolist()) for x in (names, changed))
+        assert 0.8 <= len(one & other) / len(one | other) < 0.83
+
+
+def test_prefix_is_shortened_until_the_recall(spark):
+    def depth(*shares):
+        rows = [([round(op.TREES * x) for x in shares],)] * 3 + [(None,)]
+        return op.settled_depth(spark.createDataFrame(rows, "met array<int>"))
+
+    assert depth(0.9, 0.8, 0.7, 0.6, 0.5, 0.4) == 6
+    assert depth(0.8, 0.64, 0.51, 0.42, 0.33, 0.25) == 5
+    assert depth(0.8, 0.4, 0.1, 0, 0, 0) == 2
+    assert depth(0, 0, 0, 0, 0, 0) == 1
+
+
+def test_recall_on_planted_pairs(spark):
+    """Pairs whose similarity is 0.80 to 0.85 by brute force: at least 0.9 of them must be found; all are expected to be."""
+    rng = random.Random(12)
+    rows, near = [], []
+    while len(near) < 400:
+        w = [f"w{rng.randrange(20000)}" for _ in range(rng.randint(60, 200))]
+        other = list(w)
+        for _ in range(rng.randint(1, 5)):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(20000)}"
+        a, b = grams(" ".join(w)), grams(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            near.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(other))]
+    found = {r.doc_id: r.n_links for r in op.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = sum(found[b] > 0 for _, b in near) / len(near)
+    print("recall on planted pairs", recall)
+    assert recall >= 0.99
+
+
+def test_texts_that_collide_in_rings_of_two_powers(spark):
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    rows = [(1, " ".join(x)), (2, " ".join(y)), (3, x), (4, y), (5, f"{x} one two three four"), (6, f"{y} one two three four")]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_few_long_texts_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op, "UNIT_BYTES", 1000)
+    rng = random.Random(9)
+    rows = list(enumerate(t for _ in range(6) for t in family(rng, 4, 300, 6)))
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
 def test_minhash_estimates():
@@ -98,5 +161,11 @@ def test_representatives(odd, odd_rows):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in classes if i == c}
 
 
+def test_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "v1", 1, "n1"), (2, "a b c d e f", "v2", 2, "n2"), (3, "other", "v3", 3, "n3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, version string, class_id int, node string")
+    assert sorted(map(tuple, op.representatives(df).collect())) == [rows[0], rows[2]]
+
+
 def test_empty(odd):
     assert op.join(odd.limit(0)).count() == 0
