@@ -47,8 +47,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.path(name))
+    def store(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Writes a table, into a folder for each value of the columns ``by``, and reads it."""
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -1,15 +1,18 @@
 """URL filters by a Bloom filter cascade.
 
-A url's key is its host and path. Rules (host, path) judge the urls they fit, the longest first; the keys that they block
-are listed. A first Bloom filter holds the listed keys; of the corpus's other keys, some pass it by chance and
-go into a second one; of the listed keys some pass that and go into a third; and so on until none passes.
-As the levels were built over every key of the corpus, the first level that a key fails tells exactly whether it
-is listed. Filters are arrays of 64-bit words from bitwise aggregates, read as scalar subqueries: no join and
-no Python. Their size has a bound: with more than ``MOST_KEYS`` listed keys, membership is an equi-join on the keys instead.
+Rules (host, path) judge the urls they fit, the longest first. Hosts with a page that a rule blocks are listed, and a
+page that no rule fits is blocked if its host is listed. A first Bloom filter holds the listed hosts; of the corpus's
+other hosts, some pass it by chance and go into a second one; of the listed hosts some pass that and go into a third; and so on
+until none passes. As the levels were built over every host of the corpus, the first level that a host fails tells
+exactly whether it is listed. Filters are arrays of 64-bit words from bitwise aggregates, read as scalar subqueries: no join and
+no Python. Hosts are dealt to segments by hash, each with a cascade of its own, so that a filter's size has a bound and
+only the number of segments grows with the list; with several, pages without a rule are written by segment, so that each
+segment's filters are read for its own pages only.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, no rule, and is judged as the
-empty key (not listed: allow); letters other than A-Z keep their case; equal rows get equal verdicts; a list or table
-that is empty lets everything pass.
+empty host (not listed: allow); letters other than A-Z keep their case; equal rows get equal verdicts; of rules that fit with equal
+length the one that is greater as text wins; a very long url is read whole; a list or table that is empty lets everything pass;
+null page_ids are rows like others; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-BITS, PROBES, MOST_KEYS, MOST_LEVELS = 10, 5, 4_000_000, 60
+BITS, PROBES, MOST_LEVELS = 10, 5, 60
+#: Listed keys of a segment, and how many times as many others it may have: a hundredth of those come into the second level.
+SEGMENT_KEYS, OTHERS = 1 << 20, 64
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -53,8 +58,9 @@ def _places(key: str, level: int, bits: int) -> list[Column]:
 class Cascade:
     """Exact membership of the keys of one corpus; ``levels``: (bits, one-row DataFrame with the words)."""
 
-    def __init__(self, tables: Scratch, keys: DataFrame):
+    def __init__(self, tables: Scratch, keys: DataFrame, name: str):
         """keys: ``key, listed``, each key once."""
+        self.name = name
         self.levels: list[tuple[int, DataFrame]] = []
         sides = [keys.where("listed").select("key"), keys.where("NOT listed").select("key")]
         while n := sides[0].count():
@@ -62,11 +68,10 @@ class Cascade:
             if level >= MOST_LEVELS:
                 raise ValueError("the cascade doesn't end: are keys listed and not listed at once?")
             self.levels.append(self._filter(tables, sides[0], n, level))
-            passed = tables.store(sides[1].where(self._passes("key", level)), f"passed{level}")
+            passed = tables.store(sides[1].where(self._passes("key", level)), f"{name}_passed{level}")
             sides = [passed, sides[0]]
 
-    @staticmethod
-    def _filter(tables: Scratch, keys: DataFrame, n: int, level: int) -> tuple[int, DataFrame]:
+    def _filter(self, tables: Scratch, keys: DataFrame, n: int, level: int) -> tuple[int, DataFrame]:
         words = -(-n * BITS // 64)
         place = keys.select(F.explode(F.array(*_places("key", level, 64 * words))).alias("place"))
         bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
@@ -75,7 +80,7 @@ class Cascade:
         dense = some.unionByName(blank).groupBy("at").agg(F.bit_or("word").alias("word"))
         # one row whose size has a bound
         array = dense.agg(F.expr("transform(array_sort(collect_list(struct(at, word))), x -> x.word)").alias("words"))
-        return 64 * words, tables.store(array, f"level{level}")
+        return 64 * words, tables.store(array, f"{self.name}_level{level}")
 
     def _passes(self, key: str, level: int) -> Column:
         bits, words = self.levels[level]
@@ -93,21 +98,34 @@ class Cascade:
         return out
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, most_keys: int = MOST_KEYS) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple = RULES, segment_keys: int = SEGMENT_KEYS) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of each row of ``pages(page_id, url)``."""
-    tables = Scratch(pages.sparkSession, "urls")
+    spark = pages.sparkSession
+    tables = Scratch(spark, "urls")
     host, path = host_and_path()
     rule, verdict = longest_rule(rules)
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    urls = urls.withColumns({"rule": rule, "ruled": verdict, "key": F.concat("host", "path")})
-    keys = tables.store(urls.groupBy("key").agg(F.coalesce(F.max(F.col("ruled") == "block"), F.lit(False)).alias("listed")), "keys")
-    n = keys.where("listed").count()
-    if n <= most_keys:
-        listed = Cascade(tables, keys).holds()
-    else:
-        urls = urls.join(keys, "key")
-        listed = F.col("listed")
-    return urls.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(listed, "block").otherwise("allow")).alias("verdict"))
+    urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "ruled": verdict})
+    listed = F.coalesce(F.max(F.col("ruled") == "block"), F.lit(False))
+    keys = tables.store(urls.groupBy(F.col("host").alias("key")).agg(listed.alias("listed")), "keys")
+    n, others = keys.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
+    segments = max(1, -(-max(n, -(-others // OTHERS)) // segment_keys))
+    if segments == 1:
+        return _judged(urls, Cascade(tables, keys, "all"))
+    in_segment = lambda key: F.pmod(F.xxhash64(key, F.lit(77)), F.lit(segments))
+    keys = tables.store(keys.withColumn("segment", in_segment("key")).repartition("segment"), "dealt_keys", "segment")
+    # a hot host's pages are spread over several tasks
+    rest = urls.where("ruled IS NULL").withColumn("segment", in_segment("host")).repartition("segment", F.pmod(F.xxhash64("page_id"), F.lit(64)))
+    rest = tables.store(rest, "dealt_urls", "segment")
+    out = urls.where("ruled IS NOT NULL").select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"))
+    for k in range(segments):
+        cascade = Cascade(tables, keys.where(F.col("segment") == k).select("key", "listed"), f"segment{k}")
+        out = out.unionByName(_judged(rest.where(F.col("segment") == k), cascade))
+    return out
+
+
+def _judged(urls: DataFrame, cascade: Cascade) -> DataFrame:
+    verdict = F.coalesce("ruled", F.when(cascade.holds("host"), "block").otherwise("allow"))
+    return urls.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op9_url_filters(spark, sf_dir: str) -> DataFrame:
@@ -130,10 +148,10 @@ WITH rest AS (
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
   FROM urls
 ), listed AS (
-  SELECT DISTINCT host || path AS key FROM ruled WHERE rule IN ('net/', 'example.com/de/')
+  SELECT DISTINCT host FROM ruled WHERE rule IN ('net/', 'example.com/de/')
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-            WHEN host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+            WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """

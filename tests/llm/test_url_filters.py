@@ -11,27 +11,47 @@ URLS = [
 ]
 
 
-def brute(url):
+def parts(url):
     head, sep, rest = (url or "").partition("://")
     m = re.match(r"([^/?#]*)([^?#]*)", rest if sep else "")
     host, path = re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]
     fits = [(len(r), r, v) for v, r in op.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
-    rule = max(fits)[1:] if fits else (None, "allow")
-    return host, path, *rule
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def brute(urls):
+    rows = {k: parts(u) for k, u in enumerate(urls)}
+    listed = {host for host, _, _, verdict in rows.values() if verdict == "block"}
+    return {k: (host, path, rule, verdict or ("block" if host in listed else "allow")) for k, (host, path, rule, verdict) in rows.items()}
 
 
 def test_rules_and_cascade(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
     found = {r.page_id: tuple(r)[1:] for r in op.judge(pages).collect()}
-    assert found == {k: brute(u) for k, u in enumerate(URLS)}
-    assert {r.page_id: tuple(r)[1:] for r in op.judge(pages, most_keys=0).collect()} == found
+    assert found == brute(URLS)
+
+
+def test_segments(spark):
+    urls = [f"http://h{k % 97}.example.{'com' if k % 2 else 'org'}/{('de', 'en', 'fr')[k % 3 if k % 97 < 40 else 1]}/{k}" for k in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for most in (5, 1 << 20):
+        assert {r.page_id: tuple(r)[1:] for r in op.judge(pages, segment_keys=most).collect()} == brute(urls)
+
+
+def test_the_cascade_decides(spark, monkeypatch):
+    """Without the filters, pages of listed hosts would pass."""
+    found = {r.page_id: r.verdict for r in op.op9_url_filters(spark, "/root/testdata/sf0.01").collect()}
+    monkeypatch.setattr(op.Cascade, "holds", lambda self, key="key": op.F.lit(False))
+    without = {r.page_id: r.verdict for r in op.op9_url_filters(spark, "/root/testdata/sf0.01").collect()}
+    changed = {k for k in found if found[k] != without[k]}
+    assert changed and all(found[k] == "block" for k in changed)
 
 
 def test_cascade_is_exact(spark):
     from rosterlake.llm.scratch import Scratch
 
     keys = spark.range(20000).selectExpr("concat('k', id) AS key", "id % 7 = 0 AS listed")
-    cascade = op.Cascade(Scratch(spark, "test"), keys)
+    cascade = op.Cascade(Scratch(spark, "test"), keys, "all")
     assert len(cascade.levels) > 1
     assert keys.where(cascade.holds() != keys["listed"]).count() == 0
 
@@ -48,5 +68,10 @@ def test_no_python(spark, sf):
     assert not re.search("Python|Pandas|Arrow|Join", plan)
 
 
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/", "h", "p", "r", "k", 5)], "page_id long, url string, host string, path string, rule string, key string, segment int")
+    assert [tuple(r) for r in op.judge(pages).collect()] == [(1, "a.net", "/", "net/", "block")]
+
+
 def test_empty(spark):
     assert op.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
