@@ -8,8 +8,13 @@ keep their expectations, until one is integral. The source's words thus stay on
 about ``LEAF`` documents of one source and leaves one fraction at most; those meet in a tree of fan-in ``FAN_IN``,
 and a source's last fraction is drawn. All draws come from row hashes, so reruns agree however rows are dealt.
 
+Rows that are equal in all columns are one item that expects so many times the copies; what it gets is dealt to them in turn,
+counted within the parts in which they were read, so that no task meets all of them.
+
 Edge cases: a null or empty text has size 0 and is never taken; a null source is a source; an empty table
-gives an empty one; sources without words have target 0; rows that are equal in all columns share their copies.
+gives an empty one; sources without words have target 0; ties of sizes are ordered by hash; a very long text is one item whose
+words its source may miss or exceed its target by; further columns count in the comparison of rows, whatever their names, and ``repeated``
+returns them as they came.
 """
 
 from __future__ import annotations
@@ -19,11 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 LEAF, FAN_IN = 4096, 64
-_ROUNDED = "source string, bucket long, key long, size long, p double, extra int"
+_ROUNDED = "source string, bucket long, key long, check long, size long, p double, extra int"
 
 
 def n_words(text: str = "text") -> Column:
@@ -84,61 +89,81 @@ def pivot(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, i
 
 def _round(level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "key"], ascending=[False, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["size", "key", "check"], ascending=[False, True, True], kind="stable", ignore_index=True)
         p, open_ = pivot(rows["size"].to_numpy(), rows["p"].to_numpy(), _uniform(rows["key"].to_numpy(), level))
         extra = pd.array(np.round(p), dtype="Int32")
         if open_ >= 0:
             extra[open_] = pd.NA
-        return rows.assign(p=p, extra=extra)[["source", "bucket", "key", "size", "p", "extra"]]
+        return rows.assign(p=p, extra=extra)[["source", "bucket", "key", "check", "size", "p", "extra"]]
 
     return run
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """``doc_id, key, size, source_size, target, copies, taken`` for each row of ``docs(doc_id, text, source, ..)``.
-
-    ``key`` is a hash of all columns."""
-    tables = Scratch(docs.sparkSession, "mixing")
-    sizes = tables.store(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size"), F.xxhash64(*docs.columns).alias("key")), "sizes")
-    goals = tables.store(targets(sizes, weights, share, cap), "targets")
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sizes.join(goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
-        "source", "doc_id", "key", "size", "source_size", "target", "n_docs", expected.alias("expected")
-    )
-    whole = F.floor(F.col("expected") + 1e-12)
-    fraction = F.greatest(F.col("expected") - whole, F.lit(0.0))
-    buckets = F.ceil(F.col("n_docs") / LEAF)
-    leaves = rows.where("size > 0").select("source", F.pmod(F.xxhash64("key", F.lit(5)), buckets).alias("bucket"), "key", "size", fraction.alias("p"))
+def _keys(docs: DataFrame) -> list[Column]:
+    """Two independent hashes of all columns."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)]
+
+
+def items(docs: DataFrame, tables: Scratch, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs(doc_id, text, source, ..)`` as ``doc_id, key, check, size, part``, and their distinct ones:
+    ``key, check, size, n_equal, source_size, target, copies``; ``key, check``: hashes of all columns, ``part``: where a row was read."""
+    key, check = _keys(docs)
+    source = F.col("source").cast("string").alias("source")
+    rows = docs.select("doc_id", source, n_words().alias("size"), key.alias("key"), check.alias("check"), F.spark_partition_id().alias("part"))
+    rows = tables.store(rows, "sizes")
+    goals = tables.store(targets(rows, weights, share, cap), "targets")
+    expected = F.when(F.col("source_size") > 0, F.col("n_equal") * F.col("target") / F.col("source_size")).otherwise(0.0)
+    found = rows.groupBy("source", "key", "check", "size").agg(F.count("*").alias("n_equal"))
+    found = found.join(goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    found = found.withColumn("expected", expected).withColumn("whole", F.floor(F.col("expected") + 1e-12).cast("long"))
+    found = tables.store(found, "items")
+    fraction = F.greatest(F.col("expected") - F.col("whole"), F.lit(0.0))
+    bucket = F.pmod(F.xxhash64("key", F.lit(5)), F.ceil(F.col("n_docs") / LEAF))
+    open_ = found.where("size > 0").select("source", bucket.alias("bucket"), "key", "check", "size", fraction.alias("p"))
     most = goals.agg(F.max("n_docs")).first()[0] or 0
     n, level, rounded = -(-most // LEAF), 0, []
-    open_ = leaves
     while True:
         done = tables.store(open_.groupBy("source", "bucket").applyInPandas(_round(level), _ROUNDED), f"rounded{level}")
-        rounded.append(done.where("extra IS NOT NULL"))
-        open_ = done.where("extra IS NULL").select("source", F.floor(F.col("bucket") / FAN_IN).cast("long").alias("bucket"), "key", "size", "p")
+        rounded.append(done.where("extra IS NOT NULL").select("key", "check", "extra"))
+        open_ = done.where("extra IS NULL").select("source", F.floor(F.col("bucket") / FAN_IN).cast("long").alias("bucket"), "key", "check", "size", "p")
         if n <= 1:
             break
         n, level = -(-n // FAN_IN), level + 1
     draw = (F.pmod(F.xxhash64("key", F.lit(9)), F.lit(1 << 30)) / float(1 << 30) < F.col("p")).cast("int")
-    rounded.append(open_.withColumn("extra", draw))
-    extras = rounded[0].select("key", "extra")
-    for more in rounded[1:]:
-        extras = extras.unionByName(more.select("key", "extra"))
-    # equal rows share a key: their copies are dealt in turn
-    extras = extras.groupBy("key").agg(F.sum("extra").alias("extras"), F.count("*").alias("n_equal"))
-    turn = F.row_number().over(Window.partitionBy(rows["key"]).orderBy("doc_id"))
-    copies = (whole + F.coalesce(F.floor(F.col("extras") / F.col("n_equal")) + (F.col("turn") <= F.col("extras") % F.col("n_equal")).cast("int"), F.lit(0))).cast("long")
-    found = rows.join(extras, "key", "left").withColumn("turn", turn)
-    return found.select("doc_id", "key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    extras = open_.select("key", "check", draw.alias("extra"))
+    for more in rounded:
+        extras = extras.unionByName(more)
+    found = found.join(extras, ["key", "check"], "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
+    return rows, found.select("key", "check", "size", "n_equal", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``doc_id, size, source_size, target, copies, taken`` for each row of ``docs(doc_id, text, source, ..)``."""
+    tables = Scratch(docs.sparkSession, "mixing")
+    rows, found = items(docs, tables, weights, share, cap)
+    found = tables.store(found, "found")
+    # equal rows: numbered within their part, and after those of the parts before
+    several = found.where("n_equal > 1").select("key", "check")
+    parts = rows.join(several, ["key", "check"]).groupBy("key", "check", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("key", "check").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = tables.store(parts.select("key", "check", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "parts")
+    turn = F.row_number().over(Window.partitionBy("key", "check", "part").orderBy("doc_id"))
+    rows = rows.withColumn("turn", turn).join(parts, ["key", "check", "part"], "left").join(found.drop("size"), ["key", "check"])
+    place = F.col("turn") + F.coalesce("before", F.lit(0))
+    copies = F.floor(F.col("copies") / F.col("n_equal")) + (place <= F.col("copies") % F.col("n_equal")).cast("int")
+    return rows.withColumn("copies", copies.cast("long")).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as the mix takes it."""
-    mixed = mix(docs, **options).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n_equal")).where("copies > 0")
-    keyed = docs.withColumn("key", F.xxhash64(*docs.columns)).join(mixed.hint("merge"), "key")
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
-    own = F.floor(F.col("copies") / F.col("n_equal")) + (turn <= F.col("copies") % F.col("n_equal")).cast("int")
-    return keyed.withColumn("own", own.cast("int")).where("own > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "own"))).select(*docs.columns)
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it (equal rows together)."""
+    tables = Scratch(docs.sparkSession, "mixing")
+    taken = items(docs, tables, **options)[1].where("copies > 0")
+    key, check, copies, turn = (unused(docs, f"mix_{x}") for x in ("key", "check", "copies", "turn"))
+    taken = tables.store(taken.select(F.col("key").alias(key), F.col("check").alias(check), F.col("copies").cast("int").alias(copies)), "taken")
+    once = docs.withColumns(dict(zip((key, check), _keys(docs), strict=True))).dropDuplicates([key, check])
+    chosen = once.join(taken.hint("merge"), [key, check]).withColumn(turn, F.explode(F.sequence(F.lit(1), copies)))
+    return chosen.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -50,15 +50,33 @@ def test_mix(spark, odd, monkeypatch):
     first = op.mix(odd).collect()
     assert Counter(map(tuple, first)) == Counter(map(tuple, op.mix(odd.repartition(7)).collect()))
     assert len(first) == odd.count()
-    source = {r.key: s for r, s in zip(first, [None] * len(first))}
     taken, target = Counter(), {}
     for r in first:
         assert 0 <= r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
         taken[r.source_size] += r.taken
         target[r.source_size] = r.target
-    assert source and all(abs(taken[s] - target[s]) <= max(r.size for r in first if r.source_size == s) for s in target)
+    assert target and all(abs(taken[s] - target[s]) <= max(r.size for r in first if r.source_size == s) for s in target)
     assert Counter(r.doc_id for r in op.repeated(odd).collect()) == Counter({i: n for i, n in sum((Counter({r.doc_id: r.copies}) for r in first), Counter()).items() if n})
 
 
+def test_equal_rows(spark):
+    rows = [(1, "a b c", "s")] * 50 + [(2, "d e", "s"), (3, "f", None)] + [(3, "f", None)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    found = op.mix(df).collect()
+    assert len(found) == len(rows)
+    copies = [r.copies for r in found if r.doc_id == 1]
+    assert max(copies) - min(copies) <= 1 and max(copies) <= 2
+    assert Counter(r.doc_id for r in op.repeated(df).collect()) == Counter({i: sum(r.copies for r in found if r.doc_id == i) for i in (1, 2, 3)})
+
+
+def test_clashing_columns(spark):
+    names = ("key", "own", "copies", "n_equal", "turn", "mix_key", "size", "part", "target")
+    rows = [(k, f"w{k} x", "s", *range(len(names))) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    assert op.mix(df).count() == 30
+    found = op.repeated(df)
+    assert found.columns == df.columns and set(map(tuple, found.collect())) <= set(rows) and found.count() > 30
+
+
 def test_empty(spark, odd):
     assert op.mix(odd.limit(0)).count() == 0
