@@ -9,11 +9,12 @@ when first met, up to a bound; where one is missing then, the nondeterministic m
 the longest token; the end of a piece emits the rest.
 
 Texts are cut into pieces by the vocabulary's pattern; what the machine emits for a piece is remembered in a
-bounded memo, and so are its states.
+bounded memo, and so are its states. What a slice of texts no longer needs goes back to the system after each slice.
 
 Edge cases: a null or empty text has no ids; ids that aren't in the vocabulary raise ``IndexError`` in decoding; bytes
 that aren't UTF-8 decode to U+FFFD; rows are independent, so repeated rows and null doc_ids pass through;
-a piece of any length is encoded in one pass, with memory in proportion to the longest token.
+a piece of any length is encoded in one pass, with memory in proportion to the longest token; a very long text is encoded whole;
+an empty table gives an empty one; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 
 from .textops import slices
 
+#: Bytes of text, or of ids, that are turned at a time.
+SLICE = 1 << 19
 _ONE = [bytes((x,)) for x in range(256)]
 #: Bounds of what a worker remembers: pieces (up to twice as many), moves, pairs, characters of a piece.
 _MEMO, _STATES, _PAIRS, _LONGEST_KEY = 3 << 17, 3 << 16, 1 << 18, 48
@@ -253,13 +256,15 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: bool = True) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern) if keep else Encoder(read_ranks(path), pattern, 3)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 gc.disable()  # states hold no cycles, and walking them costs more than making them
                 try:
                     ids = [encoder.encode(x) for x in part.column("text").to_pylist()]
                 finally:
                     gc.enable()
-                yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                found = pa.array(ids, pa.binary())
+                del ids
+                yield pa.record_batch([part.column("doc_id"), found], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
@@ -270,7 +275,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(path)
         for batch in batches:
-            for part in slices(batch.set_column(1, "ids", batch.column("ids").cast(pa.binary())), "ids"):
+            for part in slices(batch.set_column(1, "ids", batch.column("ids").cast(pa.binary())), "ids", SLICE):
                 texts = ["".join(decoder.stream(x or b"")) for x in part.column("ids").to_pylist()]
                 yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
