@@ -4,13 +4,16 @@ Documents with equal texts are linked. Each starts in the shard of its hash; in
 looks at where its neighbours are (a join with the counts of its group by shard) and asks to move to
 the shard that holds most of them and has room; each shard lets in as many as it has room for, in hash order.
 Documents without links then fill the shards up to their quotas. The law is ``rows``: counts differ by one at most.
-A group larger than a shard's quota fills one shard and goes on in others.
+A group larger than a shard's quota fills one shard and goes on in others. ``ROUNDS`` and ``SETTLED`` end the search: they bound how few
+links are cut (``cut_edges`` counts them), not what is right; every row has a shard and a slot at any time.
 
 Ranks (who is let in, the slots) are counted per hash bin first and numbered within bins of about ``BIN`` rows,
 so neither a hot group nor a shard meets in one task.
 
 Edge cases: a null text is empty (size 1, crc 0); null doc_ids are rows like others; equal rows get slots of their
-own; with fewer rows than shards the first shards hold one each; an empty table gives an empty one.
+own; shards that hold equally many neighbours tie for the lower one, equal hashes are ordered by doc_id and size; a very long text counts by
+its size alone; with fewer rows than shards the first shards hold one each; an empty table gives an empty one; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,18 +28,33 @@ SHARDS, ROUNDS, BIN = 16, 12, 8192
 SETTLED = 0.002
 
 
-def numbered(df: DataFrame, by: list[str], hashed: str, n: int, out: str) -> DataFrame:
-    """Adds the place, from 0, in the order of the column ``hashed`` (a uniform long) within ``by``; n: about the number of rows."""
-    bits = max(0, (max(1, n) // BIN).bit_length())
-    binned = df.withColumn("_bin", F.shiftrightunsigned(hashed, 64 - bits) if bits else F.lit(0).cast("long"))
-    keys = [*by, "_bin"]
+def numbered(df: DataFrame, by: str | None, hashed: str, counts: dict[int | None, int], out: str) -> DataFrame:
+    """Adds the place, from 0, in the order of the column ``hashed`` (a uniform long) within ``by``, a shard; counts: rows of each shard."""
+    bits = {s: (n // BIN).bit_length() for s, n in counts.items()}
+    width = F.lit(bits.get(None, 0)) if by is None else F.element_at(F.array(*(F.lit(bits.get(s, 0)) for s in range(max(bits, default=0) + 1))), F.col(by) + 1)
+    binned = df.withColumn("_bin", F.when(width == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col(hashed), 64 - width)))
+    keys = [*([by] if by else []), "_bin"]
     sizes = binned.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by or [F.lit(0)]).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(by or F.lit(0)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(hashed, "doc_id", "size")) - 1
     return binned.join(sizes, keys).withColumn(out, F.col("_before") + inside).drop("_bin", "_before")
 
 
+def _counts(df: DataFrame, by: str) -> dict[int, int]:
+    """Rows of each shard: as many numbers as there are shards."""
+    return {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}
+
+
+def cut_edges(sharded: DataFrame, group: list[str], shard: str = "shard") -> tuple[int, int]:
+    """Links (couples of rows of one group) between shards, and all links, from counts alone."""
+    place = sharded.groupBy(*group, shard).agg(F.count("*").alias("n"))
+    couples = lambda n: F.expr(f"{n} * ({n} - 1) div 2")
+    groups = place.groupBy(*group).agg(F.sum("n").alias("n"), F.sum(couples("n")).alias("inside"))
+    inside, every = groups.agg(F.sum("inside"), F.sum(couples("n"))).first()
+    return (every or 0) - (inside or 0), every or 0
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
@@ -57,7 +75,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     for k in range(rounds):
         if moved_last <= SETTLED * n_linked:
             break
-        held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row for each shard
+        held = _counts(linked, "shard")
         room = {s: max(0, quota[s] - held.get(s, 0)) for s in range(shards)}
         place = linked.groupBy(*group, "shard").agg(F.count("*").alias("near"))
         # a document stays where it has most neighbours; of equal shards the lower draws
@@ -66,19 +84,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         asked = linked.join(place, [*group, "shard"]).join(best, group, "left")
         better = F.struct("near", -F.col("shard")) < F.col("best")
         asked = asked.withColumn("wish", F.when(better, -F.col("best.s")).otherwise(F.col("shard")).cast("int")).select(*linked.columns, "wish")
-        stay, move = asked.where("wish = shard").drop("wish"), numbered(asked.where("wish <> shard"), ["wish"], "place", n_linked, "turn")
+        stay, asking = asked.where("wish = shard").drop("wish"), asked.where("wish <> shard")
+        move = numbered(asking, "wish", "place", _counts(asking, "wish"), "turn")
         let_in = F.col("turn") < F.element_at(F.array(*(F.lit(room[s]) for s in range(shards))), F.col("wish") + 1)
         moved = move.withColumn("moved", let_in).withColumn("shard", F.when(let_in, F.col("wish")).otherwise(F.col("shard"))).drop("wish", "turn")
         columns = [c for c in stay.columns if c != "moved"]
         linked = tables.store(stay.withColumn("moved", F.lit(False)).unionByName(moved), f"round{k}")
         moved_last = linked.where("moved").count()
         linked = linked.select(*columns)
-    settled = numbered(linked, ["shard"], "place", n_linked // shards, "slot")
+    settled = numbered(linked, "shard", "place", _counts(linked, "shard"), "slot")
     fit = tables.store(settled, "settled")
     kept = fit.where(F.col("slot") < limit)
     over = fit.where(F.col("slot") >= limit).drop("slot")
-    held = {r["shard"]: r["n"] for r in kept.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    rest = numbered(free.unionByName(over), [], "place", total, "turn")
+    held = _counts(kept, "shard")
+    rest = numbered(free.unionByName(over), None, "place", {None: total}, "turn")
     # the shards' free slots as ranges of the turn
     to, slot, begin = F.lit(None).cast("int"), F.lit(None).cast("long"), 0
     for s in range(shards):

@@ -21,6 +21,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 2_000_000
+#: After so many bytes of text free memory is released.
+RELEASE_BYTES = 8_000_000
 _CHUNK = 1 << 17
 
 _SPACE = np.zeros(256, bool)
@@ -103,15 +105,22 @@ def release() -> None:
         _trim(0)
 
 
+_read = 0
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``limit`` bytes of text each, and one row at least; free memory is released after each."""
+    """Parts of a batch with about ``limit`` bytes of text each, and one row at least; free memory is released now and then."""
+    global _read
     at = batch.schema.get_field_index(text)
     _, offsets = utf8(batch.column(at))
     k = 0
     while k < batch.num_rows:
         end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + limit, "right")) - 1)
         yield batch.slice(k, end - k)
-        release()
+        _read += int(offsets[end] - offsets[k])
+        if _read >= RELEASE_BYTES:
+            _read = 0
+            release()
         k = end
 
 

@@ -12,8 +12,11 @@ ascending order, within a file and over the files, without padding.
 The tokenizer runs once for each distinct word of a batch that a bounded memo doesn't hold: the vocabulary's
 normaliser and splitter act alike on a word alone and in its text, as white space always separates.
 
-Edge cases: a null or empty text has the end id alone; null doc_ids come first; equal doc_ids keep all their rows;
-an empty table gives an empty one.
+Tasks begin a new file at ``FILE_BYTES``, so files can be read whole and a task holds one packed file and a block of ids at most.
+
+Edge cases: a null or empty text has the end id alone; null doc_ids come first; equal doc_ids keep all their rows, in the order in
+which they are read, and equal rows are rows like others; a very long text is encoded whole and stays in one file; an empty table gives an
+empty one; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from .files import place, publish
 from .scratch import Scratch
 from .textops import U64, slices, utf8
 
-MAGIC, BLOCK = b"S8BTOK01", 1 << 16
+MAGIC, BLOCK, FILE_BYTES = b"S8BTOK01", 1 << 16, 1 << 26
 #: Simple-8b's selectors, in order: values in a word, bits of each.
 FIELDS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = (1 << 60) - 1
@@ -93,24 +96,59 @@ def unpack(words: np.ndarray, n: int, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
+class File:
+    """A file in the making: blocks are packed as soon as they are full."""
+
+    def __init__(self):
+        self.data, self.blocks, self.size = [MAGIC], [], len(MAGIC)
+        self.doc_ids, self.counts, self.held, self.n_ids = [], [], [], 0
+
+    def add(self, doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_ids)
+        self.counts.append(counts)
+        self.held.append(ids)
+        self.n_ids += len(ids)
+        self._pack(BLOCK)
+
+    @property
+    def about(self) -> int:
+        """Bytes so far, with two for each id that isn't packed yet."""
+        return self.size + 2 * sum(map(len, self.held))
+
+    def _pack(self, least: int) -> None:
+        """Packs what is held, but for less than ``least`` ids."""
+        if sum(map(len, self.held)) < least:
+            return
+        ids = np.concatenate(self.held)
+        whole = len(ids) if least == 1 else len(ids) // BLOCK * BLOCK
+        for k in range(0, whole, BLOCK):
+            block = ids[k : min(k + BLOCK, whole)]
+            words, escapes = pack(block.astype(np.uint64))
+            self.data += [words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes()]
+            self.blocks.append((self.size, len(words), len(block), len(escapes)))
+            self.size += 8 * (len(words) + len(escapes))
+        self.held = [ids[whole:].copy()]
+
+    def parts(self) -> list[bytes]:
+        """The whole file, in order."""
+        self._pack(1)
+        columns = list(zip(*self.blocks, strict=True)) or [[], [], [], []]
+        sink = pa.BufferOutputStream()
+        for table in (
+            pa.table([pa.array(c, pa.int64()) for c in columns], ["offset", "words", "ids", "escapes"]),
+            pa.table([pa.concat_arrays(self.doc_ids), pa.array(np.concatenate(self.counts), pa.int64())], ["doc_id", "n"]),
+        ):
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+        directory = sink.getvalue().to_pybytes()
+        return [*self.data, directory, len(directory).to_bytes(8, "little"), MAGIC]
+
+
 def encode_file(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
     """A file's parts in order."""
-    data, blocks, at = [MAGIC], [], len(MAGIC)
-    for k in range(0, len(ids), BLOCK):
-        words, escapes = pack(ids[k : k + BLOCK].astype(np.uint64))
-        data += [words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes()]
-        blocks.append((at, len(words), min(BLOCK, len(ids) - k), len(escapes)))
-        at += 8 * (len(words) + len(escapes))
-    columns = list(zip(*blocks, strict=True)) or [[], [], [], []]
-    sink = pa.BufferOutputStream()
-    for table in (
-        pa.table([pa.array(c, pa.int64()) for c in columns], ["offset", "words", "ids", "escapes"]),
-        pa.table([pa.array(doc_ids), pa.array(counts, pa.int64())], ["doc_id", "n"]),
-    ):
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-    directory = sink.getvalue().to_pybytes()
-    return [*data, directory, len(directory).to_bytes(8, "little"), MAGIC]
+    file = File()
+    file.add(pa.array(doc_ids), np.asarray(counts), np.asarray(ids))
+    return file.parts()
 
 
 def directory(data: memoryview) -> tuple[pa.Table, pa.Table]:
@@ -246,37 +284,48 @@ def _tokenizer(path: str) -> Tokenizer:
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
-    """Writes the files; a row each: ``part, path, n_docs, n_ids, n_bytes``."""
+    """Writes the files, each until it has ``FILE_BYTES``; a row each: ``part, file, path, n_docs, n_ids, n_bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = _tokenizer(path)
-        doc_ids, counts, parts = [], [], []
+        file, k = File(), 0
+
+        def published() -> pa.RecordBatch:
+            number, at = place(folder, f"-{k:06d}.s8b")
+            n = publish(at, file.parts())
+            row = (number, k, at, sum(map(len, file.counts)), file.n_ids, n)
+            return pa.record_batch([pa.array([x]) for x in row], ["part", "file", "path", "n_docs", "n_ids", "n_bytes"])
+
         for batch in batches:
-            for part in slices(batch, limit=3_000_000):
+            for part in slices(batch, limit=min(3_000_000, FILE_BYTES)):
                 ids, n = tokenizer.encode(part.column("text"), end_id)
-                doc_ids.append(part.column("doc_id"))
-                counts += n.tolist()
-                parts.append(ids.astype(np.uint32))
-        if not counts:
-            return
-        number, at = place(folder, ".s8b")
-        ids = np.concatenate(parts)
-        n = publish(at, encode_file(pa.concat_arrays(doc_ids), np.array(counts), ids))
-        yield pa.record_batch([pa.array([x]) for x in (number, at, len(counts), len(ids), n)], ["part", "path", "n_docs", "n_ids", "n_bytes"])
+                file.add(part.column("doc_id"), n, ids.astype(np.uint32))
+                if file.about >= FILE_BYTES:
+                    yield published()
+                    file, k = File(), k + 1
+        if file.counts:
+            yield published()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, "part long, path string, n_docs long, n_ids long, n_bytes long")
+    # rows of one doc_id keep the order in which they are read, and may lie in several parts
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("turn", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange("doc_id", "turn").sortWithinPartitions("doc_id", "turn").select("doc_id", "text")
+    return ordered.mapInArrow(run, "part long, file long, path string, n_docs long, n_ids long, n_bytes long")
 
 
 def read(spark, folder: str, files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files."""
-    order = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
+    # sums of parts first, then within each part: no window holds all files
+    within = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    starts = files.select("part", "file", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("more")).join(parts, "part")
+    starts = starts.select("part", "file", (F.col("first") + F.col("more")).alias("before"))
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").load(folder)
-    content = content.select(F.regexp_extract("path", r"part-(\d+)\.s8b$", 1).cast("long").alias("part"), "content")
+    number = lambda k: F.regexp_extract("path", r"part-(\d+)-(\d+)\.s8b$", k).cast("long")
+    content = content.select(number(1).alias("part"), number(2).alias("file"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +338,7 @@ def read(spark, folder: str, files: DataFrame) -> DataFrame:
                     yield pa.record_batch(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
                     start += int(ends[-1])
 
-    joined = content.join(starts, "part").select("content", "before")
+    joined = content.join(starts, ["part", "file"]).select("content", "before")
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

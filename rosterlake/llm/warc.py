@@ -3,7 +3,7 @@
 Records go in order of arrival into frames of about ``FRAME`` bytes that decompress alone; a skippable frame
 at the end of the file holds the seek table (compressed and plain size and checksum of each frame) as the Zstandard
 seekable format has it. The index, a table beside the files, maps each record's identifier to its file, frame and
-place within the frame. Of records whose payloads are equal and have ``LEAST`` bytes or more, the one
+place within the frame, and records are read back by it. Tasks begin a new file at ``BUNDLE`` bytes. Of records whose payloads are equal and have ``LEAST`` bytes or more, the one
 with the smallest page_id is a response and the others are revisits without payload that refer to it.
 
 Payloads meet by digest in counts and minima only; the join back is on small rows (id, digest), which AQE splits if
@@ -11,7 +11,8 @@ a payload is hot. Pages are then dealt by page_id, so no file depends on how oft
 
 Edge cases: a null html is an empty payload; smaller payloads are all responses; a null page_id is never the smallest and
 never revisits; rows that share page_id and payload are all responses if theirs is the smallest; a null url has no target
-header, characters that a header can't hold are percent-encoded; an empty table gives an empty one.
+header, characters that a header can't hold are percent-encoded; a very long payload is a record, and a frame, of its own length; an empty
+table gives an empty one; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import place, publish
 from .scratch import Scratch
+from .textops import slices
 
-LEAST, FRAME, DATE = 100, 1 << 18, "1970-01-01T00:00:00Z"
+LEAST, FRAME, BUNDLE, DATE = 100, 1 << 18, 1 << 26, "1970-01-01T00:00:00Z"
 #: Numbers of the Zstandard seekable format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 _ENTRY, _FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
@@ -75,7 +78,7 @@ class Bundle:
 
     def __init__(self):
         self.zstd, self.frames, self.table, self.index = zstandard.ZstdCompressor(level=3), [], [], []
-        self.held, self.size, self.at = [], 0, 0
+        self.held, self.size, self.packed = [], 0, 0
 
     def add(self, name: str, data: bytes) -> None:
         self.index.append((name, len(self.table), self.size, len(data)))
@@ -90,6 +93,7 @@ class Bundle:
             frame = self.zstd.compress(plain)
             self.frames.append(frame)
             self.table.append((len(frame), len(plain), zlib.crc32(plain)))
+            self.packed += len(frame)
             self.held, self.size = [], 0
 
     def parts(self) -> list[bytes]:
@@ -134,23 +138,29 @@ def fetch(data: memoryview, frame_start: int, frame_bytes: int, at: int, length:
 
 
 def _write(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle = Bundle()
-        for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                bundle.add(record_id(page_id), record(page_id, url, payload, digest, refers_to))
-        if not bundle.index:
-            return
-        _, path = place(folder, ".warc.zst")
+    def published(bundle: Bundle, k: int) -> pa.RecordBatch:
+        _, path = place(folder, f"-{k:06d}.warc.zst")
         publish(path, bundle.parts())
         starts = [0]
         for size, _, _ in bundle.table:
             starts.append(starts[-1] + size)
         rows = [(name, path, k, starts[k], bundle.table[k][0], at, n) for name, k, at, n in bundle.index]
-        yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], [x.split()[0] for x in _INDEX.split(", ")]).cast(
+        return pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], [x.split()[0] for x in _INDEX.split(", ")]).cast(
             pa.schema([("record_id", pa.string()), ("path", pa.string()), ("frame", pa.int32()), *((c, pa.int64()) for c in ("frame_start", "frame_bytes", "place", "length"))])
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle, k = Bundle(), 0
+        for batch in batches:
+            for part in slices(batch, "payload"):
+                for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    bundle.add(record_id(page_id), record(page_id, url, payload, digest, refers_to))
+                    if bundle.packed >= BUNDLE:
+                        yield published(bundle, k)
+                        bundle, k = Bundle(), k + 1
+        if bundle.index:
+            yield published(bundle, k)
+
     return run
 
 
@@ -160,18 +170,32 @@ def _number(uri: str | None) -> int | None:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the index, best in the order of files and frames -> what their records say; a frame is read once in a row."""
+    held, plain, source, system = None, b"", None, None
     for batch in batches:
-        for data in batch.column("content"):
-            rows = []
-            for head, block in records(memoryview(data.as_buffer())):
-                http, _, payload = block.partition(b"\r\n\r\n")
-                digest, kind = head["WARC-Payload-Digest"].removeprefix("sha256:"), head["WARC-Type"]
-                size = int(http.rpartition(b"Content-Length: ")[2])
-                if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                    raise ValueError(f"payload of {head['WARC-Record-ID']} isn't what was written")
-                rows.append((_number(head["WARC-Record-ID"]), size, digest, kind, _number(head.get("WARC-Refers-To"))))
+        rows = []
+        for path, start, size, at, length in zip(*(batch.column(c).to_pylist() for c in ("path", "frame_start", "frame_bytes", "place", "length")), strict=True):
+            if held != (path, start):
+                if held is None or held[0] != path:
+                    if source is not None:
+                        source.close()
+                    system, name = fs.FileSystem.from_uri(path)
+                    source = system.open_input_file(name)
+                source.seek(start)
+                plain = zstandard.ZstdDecompressor().decompressobj().decompress(source.read(size))
+                held = path, start
+            head, block, end = parse(memoryview(plain[at : at + length]))
+            http, _, payload = block.partition(b"\r\n\r\n")
+            digest, kind = head["WARC-Payload-Digest"].removeprefix("sha256:"), head["WARC-Type"]
+            size_of = int(http.rpartition(b"Content-Length: ")[2])
+            if end != length or kind == "response" and (len(payload) != size_of or hashlib.sha256(payload).hexdigest() != digest):
+                raise ValueError(f"{head['WARC-Record-ID']} isn't what was written")
+            rows.append((_number(head["WARC-Record-ID"]), size_of, digest, kind, _number(head.get("WARC-Refers-To"))))
+        if rows:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)]
             yield pa.record_batch(columns, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+    if source is not None:
+        source.close()
 
 
 def archive(pages: DataFrame, folder: str, tables: Scratch) -> DataFrame:
@@ -187,10 +211,11 @@ def archive(pages: DataFrame, folder: str, tables: Scratch) -> DataFrame:
     return tables.store(found.mapInArrow(_write(folder), _INDEX), "index")
 
 
-def read(spark, folder: str) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of each record of the archives."""
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder).select("content")
-    return content.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def read(index: DataFrame) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of the records of the index, read frame by frame from the archives."""
+    ordered = index.select("path", "frame_start", "frame_bytes", "place", "length").repartitionByRange("path", "frame_start")
+    ordered = ordered.sortWithinPartitions("path", "frame_start", "place")
+    return ordered.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
@@ -199,10 +224,7 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     tables = Scratch(pages.sparkSession, "warc")
-    folder = tables.path("archive")
-    if not archive(pages, folder, tables).head(1):
-        return pages.sparkSession.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read(pages.sparkSession, folder)
+    return read(archive(pages, tables.path("archive"), tables))
 
 
 OP8_SQL = """

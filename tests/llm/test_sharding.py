@@ -33,5 +33,14 @@ def test_groups_stay_together(spark, monkeypatch, n, hot):
         assert len(of) <= 2 + hot // (n // op.SHARDS), of
 
 
+def test_fewer_links_are_cut_than_by_hash(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = op.shard(docs).join(docs, "doc_id").withColumn("hashed", op.F.pmod(op.F.xxhash64("doc_id"), op.F.lit(op.SHARDS)).cast("int"))
+    cut, links = op.cut_edges(found, ["text"])
+    by_hash, _ = op.cut_edges(found, ["text"], "hashed")
+    print("links", links, "cut", cut, "cut by hash", by_hash)
+    assert links > 20 and cut <= 0.05 * links < 0.8 * links < by_hash
+
+
 def test_empty(odd):
     assert op.shard(odd.limit(0)).count() == 0

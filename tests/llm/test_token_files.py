@@ -77,5 +77,14 @@ def test_query(odd, odd_rows):
     assert at == start
 
 
+def test_files_roll_over(spark, odd, monkeypatch):
+    whole = sorted(map(str, op.round_trip(odd, PATH, 1).collect()))
+    monkeypatch.setattr(op, "FILE_BYTES", 3000)
+    tables = op.Scratch(spark, "test")
+    files = tables.store(op.write(odd, tables.path("files"), PATH, 1), "written")
+    assert files.where("file > 0").count() > 0
+    assert sorted(map(str, op.read(spark, tables.path("files"), files).collect())) == whole
+
+
 def test_empty(odd):
     assert op.round_trip(odd.limit(0), PATH, 1).count() == 0

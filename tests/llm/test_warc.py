@@ -33,6 +33,15 @@ def test_round_trip(spark, rows):
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, brute(rows)))
 
 
+def test_files_roll_over(spark, rows, monkeypatch):
+    monkeypatch.setattr(op, "BUNDLE", 2000)
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, path int").repartition(3)
+    tables = Scratch(spark, "test")
+    index = op.archive(pages, tables.path("a"), tables)
+    assert index.select("path").distinct().count() > 3
+    assert sorted(map(str, map(tuple, op.read(index).collect()))) == sorted(map(str, brute(rows)))
+
+
 def test_index(spark, rows, monkeypatch):
     tables = Scratch(spark, "test")
     index = op.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), tables.path("a"), tables).collect()
