@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 #: Worth of verdicts, cap of a vetoed score, thresholds, and the gap of a tie.
 VALUES = {"met": 1.0, "partial": 0.5, "no_data": 0.25, "not_met": 0.0}
 CAP, FIT_FROM, MAYBE_FROM, TIE = 30, 75, 55, 5
@@ -71,20 +76,103 @@ def counter(checks: Column) -> Column:
     return F.concat_ws(" ", part("must"), part("nice"))
 
 
-def plan(pool: DataFrame, matches: DataFrame, version: int, feedback: DataFrame) -> DataFrame:
-    """``id, reason`` of what to evaluate: ``pool(id, hash)`` against ``matches(id, status, version, hash, decision, evaluated_at)``
-    and ``feedback(id, at)``; what is up to date or rejected doesn't come."""
-    latest = feedback.groupBy("id").agg(F.max("at").alias("at"))
-    rows = pool.join(matches.withColumnRenamed("hash", "old_hash"), "id", "left").join(latest, "id", "left")
+def plan(pool: DataFrame, matches: DataFrame, version: int, feedback: DataFrame, limit: int | None = None, top_n: int | None = None) -> DataFrame:
+    """``id, reason`` of what to evaluate: ``pool(id, hash[, place])`` against ``matches(id, status, version, hash, decision, evaluated_at[, change_reason])``
+    and ``feedback(id, at)``; what is up to date or rejected doesn't come.
+
+    limit: so many of the pool by its ``place``; from ``top_n`` on the run is full and takes all matches of old versions too, which are then part of
+    ``pool`` beyond the limit. A failed match is tried again for its old reason, ``retry`` if that isn't known."""
+    rows = pool.join(matches.withColumnRenamed("hash", "old_hash"), "id", "left").join(feedback.groupBy("id").agg(F.max("at").alias("at")), "id", "left")
+    if limit is not None:
+        chosen = F.col("place") <= limit
+        rows = rows.where(chosen | (F.col("version") != version) if top_n is not None and limit >= top_n else chosen)
+    again = F.coalesce("change_reason", F.lit("retry")) if "change_reason" in matches.columns else F.lit("retry")
     reason = (
         F.when(F.col("status").isNull(), "new")
         .when((F.col("version") != version) | (F.col("at") > F.col("evaluated_at")), "vacancy_changed")
         .when(~F.col("hash").eqNullSafe(F.col("old_hash")), "resume_updated")
-        .when(F.col("status") == "failed", "retry")
+        .when(F.col("status") == "failed", again)
     )
     return rows.where(~F.col("decision").eqNullSafe("reject")).withColumn("reason", reason).where("reason IS NOT NULL").select("id", "reason")
 
 
+ANSWERS = "array<struct<requirement_id:string,verdict:string,evidence_lines:array<int>,note:string>>"
+
+
+def rule_evaluator(requirements: list[dict], body: str) -> list[dict]:
+    """The default evaluator: a requirement is met by a line with all of its words' stems, partly met by one with half of them."""
+    found = []
+    lines = [{w[:5] for w in re.findall(r"\w{3,}", line.lower())} for line in (body or "").split("\n")]
+    for r in requirements:
+        wanted = {w[:5] for w in re.findall(r"\w{3,}", (r["name"] or "").lower())}
+        share = [len(wanted & line) / len(wanted) if wanted else 0 for line in lines]
+        best = max(range(len(share)), key=share.__getitem__)
+        verdict = "met" if share[best] == 1 else "partial" if share[best] >= 0.5 else "no_data"
+        found.append({"requirement_id": r["id"], "verdict": verdict, "evidence_lines": [best + 1] if verdict != "no_data" else None, "note": ""})
+    return found
+
+
+def answers(rows: DataFrame, evaluator: Callable[[list[dict], str], list[dict]] = rule_evaluator) -> DataFrame:
+    """``rows(.., requirements, text)`` with ``answers, status, error`` of the evaluator; a record that it fails on is a row with status failed."""
+    keys = ("requirement_id", "verdict", "evidence_lines", "note")
+
+    def run(batches):
+        for batch in batches:
+            given, status, error = [], [], []
+            for requirements, body in zip(batch["requirements"], batch["text"], strict=True):
+                try:
+                    asked = [r if isinstance(r, dict) else r.asDict() for r in requirements]
+                    given.append([{k: a.get(k) for k in keys} for a in evaluator(asked, body)])
+                    status.append("ok")
+                    error.append(None)
+                except Exception as e:  # this record's own failure
+                    given.append(None)
+                    status.append("failed")
+                    error.append(str(e))
+            yield batch.assign(answers=given, status=status, error=error)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{kinds}, answers {ANSWERS}, status string, error string")
+
+
+def checked(requirements: Column, given: Column, body: Column) -> Column:
+    """Verdicts of an array of requirements by an evaluator's answers, as ``array<struct<id, kind, weight, verdict, lines, note, quote>>``.
+
+    A verdict without lines that exist and say something is ``no_data``, as is a requirement without an answer, and one to avoid that its lines
+    don't confirm."""
+
+    def one(r: Column) -> Column:
+        answer = F.try_element_at(F.filter(given, lambda a: a["requirement_id"] == r["id"]), F.lit(1))
+        span = text.valid_lines(answer["evidence_lines"], body)
+        denied = (r["kind"] == "avoid") & (answer["verdict"] == "met") & ~text.shows(body, span, r["name"])
+        verdict = F.when(span.isNull() | denied, "no_data").otherwise(F.coalesce(answer["verdict"], F.lit("no_data")))
+        good = verdict != "no_data"
+        return F.struct(
+            r["id"].alias("id"),
+            r["kind"].alias("kind"),
+            r["weight"].alias("weight"),
+            verdict.alias("verdict"),
+            F.when(good, span).alias("lines"),
+            F.coalesce(F.when(good, answer["note"]), F.lit("")).alias("note"),
+            F.when(good, text.quote(body, span)).alias("quote"),
+        )
+
+    return F.transform(requirements, one)
+
+
+def evaluated(rows: DataFrame, evaluator: Callable[[list[dict], str], list[dict]] = rule_evaluator) -> DataFrame:
+    """``rows(.., requirements, text)`` with ``status, checks, score, reasons``: the evaluator's answers, checked and scored."""
+    out = answers(rows, evaluator).withColumn("checks", checked(F.col("requirements"), F.col("answers"), F.col("text")))
+    out = out.withColumn("score", F.when(F.col("status") == "ok", score(F.col("checks"))))
+    return out.withColumn("reasons", top_reasons(F.col("checks"))).drop("answers")
+
+
+def in_shortlist_order() -> list[Column]:
+    """The order of a shortlist: by decision (invited first, undecided last), then by score and place."""
+    decision = F.when(F.col("decision") == "invite", 0).when(F.col("decision") == "maybe", 1).otherwise(2)
+    return [decision, F.desc("score"), F.col("rank").asc_nulls_last(), F.col("id")]
+
+
 def saved_score(old_status: Column, old_score: Column, old_previous: Column, reason: Column) -> Column:
     """The previous score after a new evaluation."""
     return F.when((old_status == "ok") & old_score.isNotNull(), old_score).when(reason == "new", F.lit(None)).otherwise(old_previous)

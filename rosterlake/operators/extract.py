@@ -88,7 +88,7 @@ def checked(parsed: DataFrame, as_of_month: int) -> DataFrame:
     years = F.round(dates.union_months(F.filter(F.transform("positions", span), lambda s: s["start"].isNotNull() & s["stop"].isNotNull())) / 12, 1)
     rows = parsed.withColumn("positions", positions).withColumn("years_counted", years)
     stated = F.col("profile.total_years")
-    return rows.withColumn("years_mismatch", F.coalesce(F.abs(stated - F.col("years_counted")) > 1, F.lit(False))).withColumn("summary", text.grounded(F.col("profile.summary"), F.col("text")))
+    return rows.withColumn("years_mismatch", F.coalesce(F.abs(stated - F.col("years_counted")) > 1, F.lit(False))).withColumn("summary", text.grounded(F.col("profile.summary"), F.col("text"), F.col("years_counted")))
 
 
 def passage(profile_columns: DataFrame, most: int = 1500) -> DataFrame:

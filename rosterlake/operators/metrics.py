@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def once_a_person(run: DataFrame, person: str = "person") -> DataFrame:
+    """``run(qid, doc_id, place, person)`` with each person's first place only, places counted anew."""
+    firsts = run.groupBy("qid", person).agg(F.min_by("doc_id", "place").alias("doc_id"), F.min("place").alias("place"))
+    return firsts.select("qid", "doc_id", F.row_number().over(Window.partitionBy("qid").orderBy("place")).alias("place"))
+
+
 def ir_metrics(run: DataFrame, qrels: DataFrame, k: int = 40, relevant: int = 2, gain_at: int = 10) -> DataFrame:
     """``qid, recall, ndcg``: ``run(qid, doc_id, place)`` against ``qrels(qid, doc_id, grade)``; gain ``2**grade - 1``."""
     judged = run.join(qrels, ["qid", "doc_id"], "left").fillna({"grade": 0})

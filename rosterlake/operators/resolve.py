@@ -1,21 +1,20 @@
-"""Entity resolution: keys, guarded pairs, components, compatible parts, reversible merges.
+"""Entity resolution: keys, guarded links, components, compatible parts, reversible merges.
 
-A key that three or more different people hold links nobody; this guard comes before the self-join, so a popular key never
-makes pairs. Components come from label propagation with written rounds; parts are fitted within a component.
+A key that three or more different people hold links nobody; this guard comes before any join of a key with itself, so a popular
+key never makes pairs. Records of one spelling of a name are alike to it, so links are made between spellings and, within them, with one
+record each; no step makes all pairs of a key. Components come from label propagation with written rounds.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.names import names_compatible
+from ..functions import names
+from .stored import Scratch
 
 #: People at which a key is common, and the confidences of pairs.
 COMMON, UNSURE, POSSIBLE, SURE = 3, 0.5, 0.7, 1.0
@@ -26,13 +25,13 @@ def _held_by_few(batches, most_people: int):
     key, people, kind = None, [], None
     for rows in batches:
         good, kind = [], rows.schema.field("key").type
-        for k, name in zip(rows["key"].to_pylist(), rows["person"].to_pylist(), strict=True):
+        for k, readings, latin in zip(*(rows[c].to_pylist() for c in ("key", "readings", "latin")), strict=True):
             if k != key:
                 if key is not None and len(people) <= most_people:
                     good.append(key)
                 key, people = k, []
-            if len(people) <= most_people and not any(names_compatible(name, other) for other in people):
-                people.append(name)
+            if len(people) <= most_people and not any(names.agree(readings, other, latin or also) for other, also in people):
+                people.append((readings, latin))
         yield pa.RecordBatch.from_arrays([pa.array(good, kind)], ["key"])
     if key is not None and len(people) <= most_people:
         yield pa.RecordBatch.from_arrays([pa.array([key], kind)], ["key"])
@@ -44,7 +43,8 @@ def guarded_keys(keys: DataFrame, most_people: int = COMMON - 1) -> DataFrame:
     counts = keys.groupBy("key").agg(F.count_distinct("id").alias("n"), F.count_distinct("person").alias("spellings")).where("n > 1")
     doubtful = counts.where(F.col("spellings") > most_people).select("key")
     spelled = keys.where("person <> ''").groupBy("key", "person").agg(F.min("id").alias("id")).join(doubtful, "key")
-    ordered = spelled.repartition("key").sortWithinPartitions("key", "id", "person").select("key", "person")
+    ordered = spelled.repartition("key").sortWithinPartitions("key", "id", "person")
+    ordered = ordered.select("key", names.readings(F.col("person")).alias("readings"), names.has_latin(F.col("person")).alias("latin"))
     judged = ordered.mapInArrow(lambda batches: _held_by_few(batches, most_people), StructType([keys.schema["key"]]))
     return keys.join(counts.where(F.col("spellings") <= most_people).select("key").unionByName(judged), "key")
 
@@ -61,67 +61,171 @@ def unseen(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
 
 
-def unseen_links(keys: DataFrame, seen: DataFrame) -> DataFrame:
-    """Unseen pairs ``a, b`` of records of ``keys(id, key, person)`` that share a key: all between different spellings, and
-    within one spelling enough for the components of all.
-
-    Each record is paired with the one of its spelling that has the fewest seen pairs. Records seen with that one are paired
-    with every other, which is at most twice as many pairs as are seen; so no link of the whole graph is missing between
-    components."""
-    rows = keys.select("key", F.struct(F.coalesce("person", F.lit("")).alias("name"), F.col("person").isNull().alias("none")).alias("spelling"), "id").distinct()
-    group = ["key", "spelling"]
+def linked(keys: DataFrame, seen: DataFrame) -> DataFrame:
+    """``key, a, b, compatible``: unseen pairs of records of ``keys(id, key, person)`` that share a key.
+
+    For each couple of a key's spellings, compatible or not, one record of the first, the one with the fewest seen pairs, is paired
+    with all of the second; a record seen with that one is paired with every record of the first. That is at most as many pairs more
+    as are seen, and within and between spellings the components are those of all unseen pairs."""
+    spelling = F.struct(F.coalesce("person", F.lit("")).alias("name"), F.col("person").isNull().alias("none"))
+    rows = keys.select("key", spelling.alias("s"), "id").distinct()
+    one = rows.select("key", "s").distinct()
+    one = one.withColumn("readings", F.when(~F.col("s.none"), names.readings(F.col("s.name"))))
+    x, y = one.select("key", "s", F.col("readings").alias("rs")), one.select("key", F.col("s").alias("t"), F.col("readings").alias("rt"))
+    latin = names.has_latin(F.col("s.name")) | names.has_latin(F.col("t.name"))
+    couples = x.join(y, "key").select("key", "s", "t", names.readings_agree(F.col("rs"), F.col("rt"), latin).alias("compatible"))
     both = seen.select("a", "b").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    ends = both.join(rows.withColumnRenamed("id", "a"), "a").join(rows.withColumnRenamed("id", "b"), ["b", *group])
+    group = ["key", "s", "t"]
+    ends = both.join(rows.withColumnRenamed("id", "a"), "a").join(rows.select("key", F.col("s").alias("t"), F.col("id").alias("b")), ["key", "b"])
     times = ends.groupBy(*group, F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    hubs = rows.join(times, [*group, "id"], "left").groupBy(*group).agg(F.min_by("id", F.struct(F.coalesce("n", F.lit(0)), "id")).alias("hub"))
-    star = rows.join(hubs, group).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    rest = ends.join(hubs, group).where("a = hub").select(*group, F.col("b").alias("a"))
-    beside = rest.join(rows.withColumnRenamed("id", "b"), group).where("a <> b").select("a", "b")
-    x, y = rows.toDF("key", "s", "a"), rows.toDF("key", "t", "b")
-    across = x.join(y, "key").where("a < b AND s <> t").select("a", "b")
-    return unseen(star.unionByName(beside).unionByName(across), seen)
+    placed = rows.join(couples, ["key", "s"]).join(times, [*group, "id"], "left")
+    hubs = placed.groupBy(*group, "compatible").agg(F.min_by("id", F.struct(F.coalesce("n", F.lit(0)), "id")).alias("hub"))
+    star = hubs.join(rows.select("key", F.col("s").alias("t"), "id"), ["key", "t"]).where("id <> hub")
+    star = star.select("key", "compatible", F.col("hub").alias("a"), F.col("id").alias("b"))
+    rest = ends.join(hubs, group).where("a = hub").select("key", "s", "compatible", F.col("b").alias("a"))
+    beside = rest.join(rows.select("key", "s", F.col("id").alias("b")), ["key", "s"]).where("a <> b").select("key", "compatible", "a", "b")
+    found = star.unionByName(beside).select("key", "compatible", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.join(known, ["a", "b"], "left_anti").select("key", "a", "b", "compatible")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``id, component`` (the least id) of all ends of ``edges(a, b)``."""
-    spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rosterlake-")
-    base = f"{base.rstrip('/')}/components-{uuid.uuid4().hex[:12]}"
+def unseen_links(keys: DataFrame, seen: DataFrame) -> DataFrame:
+    """``a, b`` of ``linked``, whatever their names."""
+    return linked(keys, seen).select("a", "b").distinct()
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{base}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "0")
+def components(edges: DataFrame) -> DataFrame:
+    """``id, component`` (the least id) of all ends of ``edges(a, b)``.
+
+    Each id first keeps its least neighbour only, to which its other ones move: far fewer edges where keys overlap. Then rounds of taking
+    the least label around and of following labels, a written table each, of which the last alone is kept."""
+    tables = Scratch(edges.sparkSession, "components")
+    once = tables.store(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "once")
+    least = once.groupBy("b").agg(F.min("a").alias("least"))
+    others = once.join(least, "b").where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    fewer = least.select(F.col("least").alias("a"), "b").unionByName(others)
+    both = tables.store(fewer.unionByName(fewer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    tables.drop("once")
+    labels = tables.store(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels0")
     k = 0
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("component", "near").alias("to"), "component")
-        beyond = labels.select(F.col("id").alias("to"), F.col("component").alias("beyond"))
-        k += 1
-        after = stored(step.join(beyond, "to").select("id", F.least("to", "beyond").alias("next"), "component"), str(k))
-        labels = after.select("id", F.col("next").alias("component"))
-        if not after.where("next < component").head(1):
+        closer = labels.join(near, "id").select("id", F.least("component", "near").alias("to"), "component")
+        target = labels.select(F.col("id").alias("to"), F.col("component").alias("beyond"))
+        next_ = F.least("to", "beyond")
+        after = closer.join(target, "to").select("id", next_.alias("component"), (next_ < F.col("component")).alias("moved"))
+        after = tables.store(after, f"labels{k + 1}")
+        going = bool(after.where("moved").head(1))
+        tables.drop(f"labels{k}")
+        labels, k = after.select("id", "component"), k + 1
+        if not going:
+            tables.drop("edges")
             return labels
 
 
 def split_parts(members: DataFrame) -> DataFrame:
     """``component, id, part`` of ``members(component, id, name, fresh)``: in order of freshness each joins the first
-    part with all of whose names its own is compatible; ``part`` is the part's freshest id."""
+    part with all of whose names its own is compatible; ``part`` is the part's freshest id.
+
+    Records of one spelling always end in one part, so only a component's spellings meet in a task."""
+    name = F.coalesce("name", F.lit(""))
+    spelled = members.groupBy("component", name.alias("name")).agg(F.max(F.struct("fresh", "id")).alias("head"), F.bool_or(F.col("name").isNull()).alias("none"))
+    readings = F.when(F.col("name") != "", names.readings(F.col("name")))
+    spelled = spelled.select("component", "name", F.col("head.fresh").alias("fresh"), F.col("head.id").alias("id"), readings.alias("readings"), names.has_latin(F.col("name")).alias("latin"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         parts: list[list] = []
         for row in rows.sort_values(["fresh", "id"], ascending=False).itertuples():
-            home = next((p for p in parts if all(names_compatible(row.name, other.name) for other in p)), None)
+            home = next((p for p in parts if all(names.agree(row.readings, o.readings, row.latin or o.latin) for o in p)), None)
             if home is None:
                 parts.append([row])
             else:
                 home.append(row)
-        out = [(row.component, row.id, part[0].id) for part in parts for row in part]
-        return pd.DataFrame(out, columns=["component", "id", "part"])
-
-    return members.groupBy("component").applyInPandas(fit, "component long, id long, part long")
+        out = [(row.component, row.name, part[0].id) for part in parts for row in part]
+        return pd.DataFrame(out, columns=["component", "name", "part"])
+
+    kinds = members.schema
+    id_, component = kinds["id"].dataType.simpleString(), kinds["component"].dataType.simpleString()
+    found = spelled.groupBy("component").applyInPandas(fit, f"component {component}, name string, part {id_}")
+    return members.withColumn("name", name).join(found, ["component", "name"]).select("component", "id", "part")
+
+
+def merge_exact(records: DataFrame, keys: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Exact duplicates of ``records(id, name, fresh)`` by ``keys(id, key)``; ``seen(a, b)``: pairs in any state.
+
+    Returns ``id, component, part`` of the linked records (a part's records are one person, its head survives) and new pairs ``a, b, status,
+    confidence``: merged ones (head, absorbed) at 1.0; open ones at 0.5 for spellings that share a key but can't be one person, one a key and
+    couple of spellings, and between a component's first part and its others. Seen pairs are never proposed again nor linked directly."""
+    tables = Scratch(records.sparkSession, "exact")
+    held = keys.select("id", "key").distinct().join(records.select("id", F.col("name").alias("person")), "id")
+    links = tables.store(linked(guarded_keys(held), seen), "links")
+    members = components(links.where("compatible").select("a", "b")).join(records.select("id", "name", "fresh"), "id")
+    parts = tables.store(split_parts(members), "parts")
+    named = records.select("id", F.coalesce("name", F.lit("")).alias("name"))
+    a, b = named.toDF("a", "name_a"), named.toDF("b", "name_b")
+    apart = links.where("NOT compatible").join(a, "a").join(b, "b")
+    apart = apart.groupBy("key", F.least("name_a", "name_b").alias("x"), F.greatest("name_a", "name_b").alias("y")).agg(F.min(F.struct("a", "b")).alias("p"))
+    heads = parts.where("id = part").join(records.select("id", "fresh"), "id")
+    first = heads.groupBy("component").agg(F.max(F.struct("fresh", "id")).alias("h"))
+    beside = heads.join(first, "component").where("id <> h.id").select(F.least("h.id", "id").alias("a"), F.greatest("h.id", "id").alias("b"))
+    open_ = unseen(apart.select("p.a", "p.b").unionByName(beside), seen).withColumns({"status": F.lit("open"), "confidence": F.lit(UNSURE)})
+    merged = parts.where("id <> part").select(F.col("part").alias("a"), F.col("id").alias("b"), F.lit("merged").alias("status"), F.lit(SURE).alias("confidence"))
+    return parts, tables.store(open_.unionByName(merged), "pairs")
+
+
+def absorb(main: DataFrame, old: DataFrame, by: list[str], scalars: list[str], lists: list[str], take: str | None = None) -> DataFrame:
+    """Rows of ``main`` after each has absorbed the row of ``old`` with the same ``by``: missing scalars come from ``old``, those named in the
+    array column ``take`` too; lists are united in order; ``snapshot`` holds what ``main`` had."""
+    held = old.select(*by, *(F.col(c).alias(f"_old_{c}") for c in (*scalars, *lists)))
+    rows = main.join(held, by, "left").withColumn("snapshot", F.struct(*scalars, *lists))
+    wanted = lambda c: F.coalesce(F.array_contains(take, c), F.lit(False)) if take else F.lit(False)
+    filled = {c: F.when(wanted(c), F.col(f"_old_{c}")).otherwise(F.coalesce(c, f"_old_{c}")) for c in scalars}
+    united = {c: F.array_union(F.coalesce(c, F.array()), F.coalesce(f"_old_{c}", F.array())) for c in lists}
+    return rows.withColumns(filled | united).drop(*(f"_old_{c}" for c in (*scalars, *lists)))
+
+
+def merge_pairs(records: DataFrame, pairs: DataFrame, decided: DataFrame, scalars: list[str], lists: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pairs of ``pairs(a, b, status, confidence)`` that a person merges by ``decided(a, b, take)``: of the two records the fresher one stays.
+
+    Returns the surviving records with ``absorbed`` (the other's id) and ``snapshot``, and the pair table, where merged pairs read (main, old)."""
+    chosen = pairs.select("a", "b").join(decided, ["a", "b"])
+    fresh = records.select("id", "fresh")
+    chosen = chosen.join(fresh.toDF("a", "fresh_a"), "a").join(fresh.toDF("b", "fresh_b"), "b")
+    first = F.struct("fresh_a", "a") >= F.struct("fresh_b", "b")
+    chosen = chosen.select("a", "b", "take", F.when(first, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("absorbed"))
+    main = records.join(chosen.select("id", "absorbed", "take"), "id")
+    old = chosen.select("id", "absorbed").join(records.withColumnRenamed("id", "absorbed"), "absorbed")
+    after = absorb(main, old, ["id", "absorbed"], scalars, lists, "take").drop("take")
+    rest = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+    done = chosen.join(pairs.select("a", "b", "confidence"), ["a", "b"])
+    return after, rest.unionByName(done.select(F.col("id").alias("a"), F.col("absorbed").alias("b"), F.lit("merged").alias("status"), "confidence"))
+
+
+def decided_pairs(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``pairs(a, b, status, confidence, postponed_at)`` after ``decisions(a, b, action, at)``, of each pair the last one: rejected pairs are
+    ``different``, postponed ones stay open and go to the end of the queue; only open pairs take decisions."""
+    last = decisions.groupBy(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).agg(F.max_by(F.struct("action", "at"), "at").alias("_d"))
+    same = (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b"))
+    rows = pairs.join(last, same, "left")
+    is_open = F.col("status") == "open"
+    return rows.withColumns(
+        {
+            "postponed_at": F.when(is_open & (F.col("_d.action") == "postpone"), F.col("_d.at")).otherwise(F.col("postponed_at")),
+            "status": F.when(is_open & (F.col("_d.action") == "reject"), "different").otherwise(F.col("status")),
+        }
+    ).drop("_a", "_b", "_d")
+
+
+def auto_merged(pairs: DataFrame) -> DataFrame:
+    """One row: how many pairs were merged without a person's decision."""
+    return pairs.agg(F.count_if((F.col("status") == "merged") & (F.col("confidence") >= SURE)).alias("n"))
+
+
+def repointed(duplicates: DataFrame) -> DataFrame:
+    """``id, duplicate_of`` with chains followed to their ends, for ``duplicates(id, duplicate_of)``."""
+    ends = components(duplicates.select(F.col("id").alias("a"), F.col("duplicate_of").alias("b")))
+    tops = duplicates.select(F.col("duplicate_of").alias("id")).distinct().join(duplicates.select("id"), "id", "left_anti")
+    return duplicates.select("id").join(ends, "id").join(ends.join(tops, "id").select("component", F.col("id").alias("duplicate_of")), "component").select("id", "duplicate_of")
 
 
 def survivor(rows: DataFrame, part: str, order: list[Column], scalars: list[str], lists: list[str]) -> DataFrame:
@@ -147,6 +251,29 @@ def restored_list(current: Column, old: Column, before: Column) -> Column:
     return F.array_except(current, F.array_except(old, before))
 
 
+def employers(positions: Column) -> Column:
+    """A map from a company's key to its last listed ``struct(start, stop)`` in years; an open end is 9999, a start of no year is left out."""
+    year = lambda c: F.nullif(F.regexp_extract(c, r"^(\d{4})", 1), F.lit("")).cast("int")
+    spans = F.transform(positions, lambda p: F.struct(p["company_key"].alias("key"), F.struct(year(p["start"]).alias("start"), F.coalesce(year(p["end"]), F.lit(9999)).alias("stop")).alias("value")))
+    good = F.filter(spans, lambda x: (x["key"] != "") & x["value"]["start"].isNotNull())
+    last = F.filter(good, lambda x, k: ~F.exists(F.slice(good, k + 2, F.size(good)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
+
+
+def possible(records: DataFrame, seen: DataFrame) -> DataFrame:
+    """``a, b, status, confidence`` of ``records(id, name, positions)`` who worked for one company at one time under compatible names.
+
+    Records meet on a word of the name (three letters or more) and a company together, so neither a common name nor a large company alone
+    makes pairs."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.translate(names.to_cyrillic(F.col("name")), "ё", "е"), F.lit(r"\p{L}{3,}"), F.lit(0)))
+    rows = records.select("id", names.readings(F.col("name")).alias("r"), names.has_latin(F.col("name")).alias("latin"), tokens.alias("tokens"), employers(F.col("positions")).alias("jobs"))
+    rows = rows.select("id", "r", "latin", "tokens", F.explode("jobs").alias("company", "span")).select("*", F.explode("tokens").alias("token"))
+    rows = rows.select("id", "r", "latin", "company", "span", "token")
+    overlap = (F.col("x.span.start") <= F.col("y.span.stop")) & (F.col("y.span.start") <= F.col("x.span.stop"))
+    fits = names.readings_agree(F.col("x.r"), F.col("y.r"), F.col("x.latin") | F.col("y.latin"))
+    return unseen(blocked_pairs(rows, ["token", "company"], overlap & fits), seen).withColumns({"status": F.lit("open"), "confidence": F.lit(POSSIBLE)})
+
+
 def blocked_pairs(rows: DataFrame, block: list[str], residual: Column) -> DataFrame:
     """``a, b`` of rows that share the blocking key and meet the residual on ``x`` and ``y``."""
     x, y = rows.alias("x"), rows.alias("y")

@@ -1,43 +1,84 @@
 """Retrieval: BM25 and vector lists, reciprocal rank fusion, filters, facets and pages.
 
 Rankings end with a unique id; doubles are rounded before they order. The cut of each list comes before hard filters: it is part of
-the meaning. Postings are one row for each (document, term), so no list of a common term meets in a task.
+the meaning. BM25 reads the documents once: what a query needs of a document are its length and how often each of the query's terms occurs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from .stored import Scratch
+
 #: Length of a list, smoothing of ranks, least and close cosine, page, BM25 parameters.
 TOP, SMOOTH, LEAST, CLOSE, PAGE, K1, B = 200, 60, 0.25, 0.40, 20, 1.5, 0.75
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+#: The endings of the Snowball stemmer for Russian; the first of each couple only after a or ya.
+_GERUND = ("в|вши|вшись", "ив|ивши|ившись|ыв|ывши|ывшись")
+_ADJECTIVE = "ее|ие|ые|ое|ими|ыми|ей|ий|ый|ой|ем|им|ым|ом|его|ого|ему|ому|их|ых|ую|юю|ая|яя|ою|ею"
+_PARTICIPLE = ("ем|нн|вш|ющ|щ", "ивш|ывш|ующ")
+_VERB = (
+    "ла|на|ете|йте|ли|й|л|ем|н|ло|но|ет|ют|ны|ть|ешь|нно",
+    "ила|ыла|ена|ейте|уйте|ите|или|ыли|ей|уй|ил|ыл|им|ым|ен|ило|ыло|ено|ят|ует|уют|ит|ыт|ены|ить|ыть|ишь|ую|ю",
+)
+_NOUN = "а|ев|ов|ие|ье|е|иями|ями|ами|еи|ии|и|ией|ей|ой|ий|й|иям|ям|ием|ем|ам|ом|о|у|ах|иях|ях|ы|ь|ию|ью|ю|ия|ья|я"
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``doc_id, term, tf``."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, query: DataFrame) -> DataFrame:
-    """``doc_id, score`` of all documents with a term of ``query(term)``; Lucene's variant."""
-    terms = query.select("term").distinct()
-    sized = docs.select("doc_id", "text", F.size(tokens(F.col("text"))).alias("dl"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = postings(docs).join(terms, "term")  # only the query's postings are shuffled on
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").join(sized.select("doc_id", "dl"), "doc_id").withColumns(
-        {"n": totals.select("n").scalar(), "avgdl": totals.select("avgdl").scalar()}
-    )
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("doc_id").agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
+def stem(word: Column) -> Column:
+    """A word without its Russian ending (Snowball); words of other letters stay."""
+    word = F.translate(word, "ё", "е")
+    head = F.regexp_extract(word, "^[^аеиоуыэюя]*[аеиоуыэюя]", 0)
+    rest = F.substring(word, F.length(head) + 1, F.length(word))
+    cut = lambda x, one, two: F.regexp_replace(x, f"(?:(?<=[ая])(?:{one})|(?:{two}))$", "")
+    gerund = cut(rest, *_GERUND)
+    plain = F.regexp_replace(rest, "(?:ся|сь)$", "")
+    adjective = F.regexp_replace(plain, f"(?:{_ADJECTIVE})$", "")
+    verb = cut(plain, *_VERB)
+    noun = F.regexp_replace(plain, f"(?:{_NOUN})$", "")
+    first = F.when(gerund != rest, gerund).when(adjective != plain, cut(adjective, *_PARTICIPLE)).when(verb != plain, verb).otherwise(noun)
+    second = F.regexp_replace(first, "и$", "")
+    # the suffix goes where a consonant after a vowel after a consonant comes before it
+    late = F.concat(head, second).rlike("[аеиоуыэюя][^аеиоуыэюя]+[аеиоуыэюя]+[^аеиоуыэюя].*ость?$")
+    third = F.when(late, F.regexp_replace(second, "ость?$", "")).otherwise(second)
+    last = F.regexp_replace(third, "(?:ейше?)$", "")
+    fourth = F.when(last.endswith("нн"), F.substring(last, 1, F.length(last) - 1)).when(last != third, last).otherwise(F.regexp_replace(third, "ь$", ""))
+    return F.when(head != "", F.concat(head, fourth)).otherwise(word)
+
+
+def stemmed_tokens(stop_words: tuple[str, ...] = ()) -> Callable[[Column], Column]:
+    """A token function for ``bm25``: without stop words, then stemmed."""
+    kept = lambda x: F.filter(tokens(x), lambda t: ~t.isin(*stop_words)) if stop_words else tokens(x)
+    return lambda x: F.transform(kept(x), stem)
+
+
+def bm25(docs: DataFrame, query: DataFrame, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
+    """``doc_id, score`` of all documents with a term of ``query(term)``; Lucene's variant.
+
+    One pass over the documents stores lengths and counts of those with a hit, and observes the totals of all."""
+    terms = sorted(r["term"] for r in query.select("term").distinct().collect())  # the query's own terms
+    spark = docs.sparkSession
+    if not terms:
+        return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    seen = Observation()
+    sized = docs.select("doc_id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    sized = sized.select("doc_id", F.size("t").alias("dl"), F.filter("t", lambda t: t.isin(*terms)).alias("hits"))
+    sized = sized.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).where(F.size("hits") > 0)
+    tf = F.transform(F.array(*map(F.lit, terms)), lambda q: F.size(F.filter("hits", lambda h: h == q)))
+    hits = Scratch(spark, "bm25").store(sized.select("doc_id", "dl", tf.alias("tf")), "hits")
+    n, avgdl = seen.get["n"], seen.get["avgdl"]
+    df = {r["pos"]: r["df"] for r in hits.select(F.posexplode("tf")).where("col > 0").groupBy("pos").agg(F.count("*").alias("df")).collect()}
+    idf = F.array(*(F.log(F.lit(1 + (n - df.get(k, 0) + 0.5) / (df.get(k, 0) + 0.5))) for k in range(len(terms))))
+    weight = lambda i, f: i * f / (f + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
+    score = F.aggregate(F.zip_with(idf, "tf", weight), F.lit(0.0), lambda s, x: s + x)
+    return hits.select("doc_id", F.round(score, 6).alias("score")).where("score > 0")
 
 
 def cosine(vectors: DataFrame, query: DataFrame) -> DataFrame:
@@ -88,5 +129,31 @@ def facet_stats(rows: DataFrame, filters: dict[str, Column]) -> DataFrame:
     return each.select("p.facet", "p.without", (F.col("p.without") - F.col("total")).alias("removed"), ((F.col("total") == 0) & (F.col("best") == F.col("p.facet"))).alias("relax"))
 
 
+def by_city(city: str) -> Column:
+    """A record's own city, or the one that its profile says."""
+    return (F.col("city") == city) | (F.col("parsed.city") == city)
+
+
+def active(records: DataFrame) -> DataFrame:
+    """Records that no merge has absorbed."""
+    return records.where(F.col("duplicate_of").isNull())
+
+
+def number_filter(value: str | None, most: float = 1e9) -> float | None:
+    """A number that a person typed, or None for a blank; anything else, infinite or too large raises ``ValueError``."""
+    text = (value or "").strip().replace(" ", "").replace(",", ".")
+    if not text:
+        return None
+    number = float(text)
+    if not 0 <= number <= most:
+        raise ValueError(f"{value!r} is out of range")
+    return number
+
+
+def freshest_first() -> list[Column]:
+    """The order of a list by freshness: undated records last, then the larger id."""
+    return [F.col("resume_date").desc_nulls_last(), F.desc("id")]
+
+
 def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = PAGE) -> DataFrame:
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)

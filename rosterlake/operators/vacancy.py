@@ -9,10 +9,22 @@ from pyspark.sql import functions as F
 
 from ..functions import contacts, names
 
-#: Requirements kept of each kind, and wording that is vague or unfair.
+#: Requirements kept of each kind, and wording that is unfair or vague. Ages in numbers are unfair where a line isn't of experience.
 MOST = {"must": 6, "nice": 4, "avoid": 3}
-UNFAIR = r"(?iu)(?:молод\p{L}*|только (?:мужчин|женщин)\p{L}*|до \d+ лет|славянск\p{L}*|без детей)"
-VAGUE = r"(?iu)(?:коммуникабельн\p{L}*|стрессоустойчив\p{L}*|ответственн\p{L}*|активн\p{L}*)"
+_NOT_EXPERIENCE = r"(?![^\n]*(?:опыт|стаж|человек|сотрудник|подчинен|команд))"
+UNFAIR = (
+    r"(?iumU)возраст|\bлет\s+до\b|\bдо\s+\d{2}\s+лет|\bот\s+\d{2}\s+до\s+\d{2}\s+лет|моложе|старше\s+\d"
+    r"|мужчин|женщин|\bпол\b|национальн|славян|внешност|семейн|замуж|женат|без\s+детей"
+    r"|\bдет(?:и|ей)\b|беремен|прописк|девушк|\bпар(?:ень|ни|ня)\b"
+    r"|молод(?:ой|ая|ые|ых|ого|ому|ым|ую)\b|холост|детьми|бездет"
+    r"|(?:мужск|женск)\w*\s+пол[аеу]?\b"
+    rf"|^{_NOT_EXPERIENCE}[^\n]*?\b\d{{2}}\s*[–—-]\s*\d{{2}}\s*лет"
+    rf"|^{_NOT_EXPERIENCE}(?=[^\n]*(?:возраст|кандидат|не\s+старше))[^\n]*?\b\d{{2}}\s*\+"
+)
+VAGUE = (
+    r"(?iuU)^(?:есть\s+|наличие\s+|иметь\s+)?опыт(?:\s+работы)?\.?$|^хорош\w*\s|^отличн\w*\s"
+    r"|стрессоустойчив|коммуникабельн|ответственн|исполнительн|желание\s+работать|обучаем"
+)
 
 
 def flag(name: Column) -> Column:
@@ -46,11 +58,36 @@ def scored_requirements(requirements: Column) -> Column:
 
 
 def corrections(feedback: DataFrame, vacancy: int, candidates: DataFrame) -> DataFrame:
-    """Feedback that bears on each of ``candidates(candidate_id)``: their own, and what is said of the whole vacancy."""
-    own = feedback.where((F.col("vacancy_id") == vacancy) | (F.col("scope") == "all"))
-    mine = candidates.join(own, "candidate_id")
-    every = own.where("kind = 'irrelevant'").drop("candidate_id")
-    return mine.unionByName(candidates.join(every, F.lit(True))).dropDuplicates(["candidate_id", "id"])
+    """``candidate_id, corrections``: the feedback that bears on each of ``candidates(candidate_id)``, by id: their own, and what is said to be
+    irrelevant to the whole vacancy. That is one array, read as a scalar: what people wrote on one vacancy."""
+    said = feedback.where((F.col("vacancy_id") == vacancy) | (F.col("scope") == "all"))
+    note = F.struct("id", "kind", "comment")
+    every = said.where("kind = 'irrelevant'").agg(F.collect_set(note).alias("n")).scalar()
+    own = said.groupBy("candidate_id").agg(F.collect_set(note).alias("own"))
+    none = F.array().cast("array<struct<id:bigint,kind:string,comment:string>>")
+    rows = candidates.select("candidate_id").join(own, "candidate_id", "left")
+    return rows.select("candidate_id", F.array_sort(F.array_union(F.coalesce("own", none), F.coalesce(every, none))).alias("corrections"))
+
+
+def recount(matches: DataFrame, kind: Column | str) -> DataFrame:
+    """One row: how many candidates of ``matches(decision)`` a correction scores again: one, or all that aren't rejected if it is irrelevant."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return matches.agg(F.when(kind == "irrelevant", F.count_if(~F.col("decision").eqNullSafe("reject"))).otherwise(1).cast("long").alias("n"))
+
+
+def renumbered(requirements: Column, edit: str, item: Column | None = None) -> Column:
+    """Requirements after an edit: ``add`` appends, ``drop`` removes the one with the id of ``item``, ``set`` replaces it."""
+    if edit == "add":
+        return F.array_append(requirements, item)
+    if edit == "drop":
+        return F.filter(requirements, lambda r: r["id"] != item["id"])
+    return F.transform(requirements, lambda r: F.when(r["id"] == item["id"], item).otherwise(r))
+
+
+def hard_filters(held: dict) -> dict:
+    """A vacancy's filters as the search takes them: blanks and zeros are none; only fresh records can be asked for."""
+    number = lambda k: float(held[k]) if held.get(k) not in (None, "") else None
+    return {"city": held.get("city") or "", "min_years": number("min_years"), "max_salary": number("max_salary"), "fresh": "fresh" if held.get("fresh") else ""}
 
 
 def query_kind(query: str, surname_exists) -> str:
@@ -74,7 +111,7 @@ def by_contact(people: DataFrame, kind: str, query: str) -> DataFrame:
     if kind == "phone":
         return people.where(F.exists("phones", lambda p: p.eqNullSafe(contacts.normalize_phone(q))))
     if kind == "name":
-        return people.where(names.names_compatible_udf(F.col("full_name"), q) & F.col("full_name").isNotNull())
+        return people.where(names.names_compatible(F.col("full_name"), q) & F.col("full_name").isNotNull())
     return people.where((F.lower("full_name") == F.lower(q)) | F.lower("full_name").startswith(F.concat(F.lower(q), F.lit(" "))))
 
 
@@ -103,9 +140,24 @@ def fires(spark: SparkSession, first: str, last: str, days: list[int], hour: int
 
 
 def once_a_minute(requests: DataFrame, key: list[str], at: str) -> DataFrame:
-    """Requests that aren't repeats of the same one within the last minute."""
-    before = F.lag(at).over(Window.partitionBy(*key).orderBy(at))
-    return requests.withColumn("_b", before).where(F.col("_b").isNull() | (F.unix_timestamp(at) - F.unix_timestamp("_b") > 60)).drop("_b")
+    """Requests but for repeats: those within a minute of the last one that wasn't a repeat.
+
+    After a pause of more than a minute the next request always counts, so only the requests between two pauses meet in a task."""
+    seconds = F.unix_timestamp(at)
+    new = F.coalesce(seconds - F.lag(seconds).over(Window.partitionBy(*key).orderBy(at)) > 60, F.lit(True))
+    bursts = requests.withColumn("_burst", F.when(new, F.monotonically_increasing_id()))
+    bursts = bursts.withColumn("_burst", F.last("_burst", True).over(Window.partitionBy(*key).orderBy(F.col(at), F.col("_burst").desc_nulls_last())))
+    alone = bursts.withColumn("_s", seconds)
+
+    def kept(rows):
+        rows = rows.sort_values(at, kind="stable")
+        keep, last = [], None
+        for s in rows["_s"].tolist():
+            keep.append(last is None or s - last > 60)
+            last = s if keep[-1] else last
+        return rows[keep].drop(columns=["_burst", "_s"])
+
+    return alone.groupBy(*key, "_burst").applyInPandas(kept, requests.schema)
 
 
 def sections(summary: DataFrame) -> DataFrame:
@@ -113,3 +165,46 @@ def sections(summary: DataFrame) -> DataFrame:
     kinds = ("failed", "fit", "maybe", "changed", "new", "merged", "stale")
     parts = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(c).alias("section"), F.col(c).cast("long").alias("n")) for k, c in enumerate(kinds) if c in summary.columns))
     return summary.select(F.explode(parts).alias("p")).select("p.*").groupBy("place", "section").agg(F.sum("n").alias("n")).where("n > 0").orderBy("place")
+
+
+def alert(runs: DataFrame, live: DataFrame, expected: Column) -> DataFrame:
+    """``run_id, alert`` of the last of ``runs(run_id, status, planned_at, started_at, late)``: the first that holds of failed or missed, broken,
+    running, absent (an expected one never began) and late; one row with ``never`` if there is no run."""
+    last = runs.agg(F.max_by(F.struct("run_id", "status", "planned_at", "started_at", "late"), "run_id").alias("r")).select("r.*")
+    alive = live.select("run_id").distinct().withColumn("_alive", F.lit(True))
+    going = F.col("status").isin("queued", "running")
+    state = (
+        F.when(F.col("run_id").isNull(), "never")
+        .when(F.col("status").isin("failed", "missed"), F.col("status"))
+        .when(going & F.col("_alive").isNull(), "broken")
+        .when(going, "running")
+        .when(F.coalesce("planned_at", "started_at") < expected - F.expr("INTERVAL 1 MINUTE"), "absent")
+        .when(F.col("late").isNotNull(), "late")
+    )
+    return last.join(alive, "run_id", "left").select("run_id", state.alias("alert"))
+
+
+def next_line(records: DataFrame, runs: DataFrame, vacancies: DataFrame) -> DataFrame:
+    """One row ``vacancies, fresh``: what the next run will take: scheduled vacancies, and active records since the last run that ended well."""
+    last = runs.where("status = 'done'").agg(F.max_by("started_at", "run_id").alias("t")).scalar()
+    fresh = F.col("duplicate_of").isNull() & (last.isNull() | (F.col("imported_at") >= last))
+    scheduled = vacancies.agg(F.count_if("schedule_enabled").alias("n")).scalar()
+    return records.agg(F.count_if(fresh).alias("fresh")).select(scheduled.alias("vacancies"), "fresh")
+
+
+def waiting(records: DataFrame, most: int | None = None) -> DataFrame:
+    """``id`` of active records that aren't parsed yet, in order; ``most`` is the batch a person asked for."""
+    rows = records.where("duplicate_of IS NULL AND status = 'new'").select("id").orderBy("id")
+    return rows.limit(most) if most else rows
+
+
+def scope(records: DataFrame, kind: str, job_ids: DataFrame | None = None, trial: int = 20, limit: int = 0) -> DataFrame:
+    """What a parsing job takes: ``retry`` the failed ones of a job, ``trial`` the first few, ``all`` up to the limit (0: no limit)."""
+    if kind == "retry":
+        return records.where("status = 'failed'").join(job_ids.select("id"), "id", "left_semi").select("id")
+    return waiting(records, trial if kind == "trial" else limit or None)
+
+
+def appended(job_ids: Column, new_ids: Column) -> Column:
+    """A live job's ids with new ones after them, without repeats."""
+    return F.array_union(job_ids, new_ids)

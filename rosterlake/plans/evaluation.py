@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluate
+from ..operators import evaluate, extract
+from ..operators.stored import Scratch
 from .retrieval import candidates, table
 
 #: The rule evaluator's checklist over documents: id, kind, weight, and what makes it met or partly met.
@@ -84,7 +85,7 @@ def evidence_lines(spark, sf_dir):
 
 
 def quote_by_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(text.numbered(F.col("text"))).alias("numbered"), F.sha1(F.array_join(F.slice(text.lines(F.col("text")), 1, 2), " ")).alias("first_two"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(text.numbered(F.col("text"))).alias("numbered"), F.sha1(text.quote(F.col("text"), F.array(F.lit(1), F.least(F.size(text.lines(F.col("text"))), F.lit(2))))).alias("quoted"))
 
 
 def evidence_audit(spark, sf_dir):
@@ -93,7 +94,7 @@ def evidence_audit(spark, sf_dir):
 
 
 def mask_contacts(spark, sf_dir):
-    masked = text.mask_contacts(F.col("text"), text.MASKS[:2])
+    masked = text.mask_contacts(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha1(masked).alias("masked"), F.size(text.lines(masked)).alias("n_lines"))
 
 
@@ -108,10 +109,15 @@ def grounded_numbers(spark, sf_dir):
 
 
 def search_card(spark, sf_dir):
+    """What is embedded of an order as a profile: its last four parts as jobs."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_shipdate"), "l_linenumber", "l_partkey"))
-    jobs = lines.withColumn("k", place).where("k <= 4").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(", ", "p_type", "p_brand").alias("job")))).alias("jobs"))
-    return jobs.select("l_orderkey", F.array_join(F.transform("jobs", lambda j: j["job"]), "; ").alias("card"))
+    job = F.struct("l_shipdate", "l_linenumber", "l_partkey", F.col("p_type").alias("title"), F.col("p_brand").alias("company"))
+    jobs = lines.groupBy("l_orderkey").agg(F.collect_list(job).alias("jobs"))
+    newest = F.array_sort("jobs", lambda x, y: F.when(x["l_shipdate"] > y["l_shipdate"], -1).when(x["l_shipdate"] < y["l_shipdate"], 1).when(x["l_linenumber"] != y["l_linenumber"], x["l_linenumber"] - y["l_linenumber"]).otherwise((x["l_partkey"] - y["l_partkey"]).cast("int")))
+    none = F.lit(None).cast("string")
+    profile = F.struct(F.concat(F.lit("order "), F.col("l_orderkey")).alias("desired_position"), F.transform(newest, lambda j: F.struct(j["title"].alias("title"), j["company"].alias("company"))).alias("positions"), F.lit(None).cast("array<string>").alias("skills"), none.alias("summary"), none.alias("city"))
+    cards = extract.passage(jobs.select(F.col("l_orderkey").alias("doc_id"), none.alias("text"), profile.alias("profile")))
+    return cards.select(F.col("doc_id").alias("l_orderkey"), F.col("passage").alias("card"))
 
 
 def night_summary(spark, sf_dir):
@@ -150,36 +156,39 @@ def events_sessions(spark, sf_dir):
 
 
 def hourly_events(spark, sf_dir):
-    """The streaming count of what is there: closed windows and their events by type."""
-    import tempfile
-    import uuid
-
+    """The streaming count of what is there: windows, those still open too, and their events by type."""
     from ..streaming import events
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rosterlake-")
-    base = f"{base.rstrip('/')}/hourly-{uuid.uuid4().hex[:12]}"
-    events.run_available(events.hourly_counts(events.read_events(spark, f"{sf_dir}/events.parquet")), f"{base}/out", f"{base}/checkpoint")
-    done = spark.read.schema("hour timestamp, event_type string, n long").parquet(f"{base}/out")
-    return done.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("windows"))
+    tables = Scratch(spark, "hourly")
+    counts = events.run_counts(events.hourly_counts(events.read_events(spark, f"{sf_dir}/events.parquet")), tables.path("out"), tables.path("checkpoint"))
+    return counts.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("windows"))
 
 
 def split_long_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.split_long_lines_udf("text").alias("text")).select("doc_id", F.length("text").alias("n"), F.size(text.lines(F.col("text"))).alias("n_lines"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.split_long_lines(F.col("text")).alias("text")).select("doc_id", F.length("text").alias("n"), F.size(text.lines(F.col("text"))).alias("n_lines"))
 
 
 def anonymize_full(spark, sf_dir):
     named = table(spark, sf_dir, "documents").withColumn("name", F.regexp_extract("text", r"^(\p{L}+)", 1))
-    return named.select("doc_id", text.anonymize_udf("text", "name").alias("text"))
+    return named.select("doc_id", text.anonymize(F.col("text"), F.col("name")).alias("text"))
 
 
 def snippets(spark, sf_dir):
     page = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(20)
-    return page.select("doc_id", text.snippets("text", "with that from which").alias("snippet"))
+    return page.select("doc_id", text.snippet(F.col("text"), F.lit("with that from which")).alias("snippet"))
+
+
+def evaluated_docs(spark, sf_dir):
+    """Documents judged by the default evaluator, its answers checked line by line."""
+    asked = [F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(w).alias("weight")) for i, n, k, w in (("r1", "page", "must", 2), ("r2", "zzzz", "nice", 1), ("r3", "zzzz", "avoid", 2))]
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(*asked).alias("requirements"))
+    out = evaluate.evaluated(rows)
+    return out.select("doc_id", "status", "score", F.array_join("reasons", ",").alias("reasons"), F.col("checks")[0]["lines"][0].alias("line"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (checklist_score, category, top_reasons, tie_flags, results_order, eval_plan, rank_assign, score_delta, vacancy_counts, latest_per_key, evidence_lines, quote_by_lines, evidence_audit, mask_contacts, fair_sentences, grounded_numbers, search_card, night_summary, failure_reasons, batch_history, clipped_estimate, stage_throughput, events_sessions, hourly_events, split_long_lines, anonymize_full, snippets)
+    for f in (checklist_score, category, top_reasons, tie_flags, results_order, eval_plan, rank_assign, score_delta, vacancy_counts, latest_per_key, evidence_lines, quote_by_lines, evidence_audit, mask_contacts, fair_sentences, grounded_numbers, search_card, night_summary, failure_reasons, batch_history, clipped_estimate, stage_throughput, events_sessions, hourly_events, split_long_lines, anonymize_full, snippets, evaluated_docs)
 }
 
 _VALUE = {"met": 1.0, "partial": 0.5, "no_data": 0.25, "not_met": 0.0}
@@ -201,6 +210,12 @@ c AS (SELECT *, CASE WHEN doc_id % 50 = 0 THEN 'failed' WHEN veto THEN 'unfit'
   WHEN 2 * ((v0 IN ('met', 'partial'))::INT + (v1 IN ('met', 'partial'))::INT) < 2 THEN 'unfit' WHEN score >= 55 THEN 'maybe' ELSE 'unfit' END AS category FROM s)"""
 _LINES = "string_split(text, chr(10))"
 
+_MAIL_SHAPE = r"(?i)[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.[a-zа-я]{2,}"
+_LINK_SHAPE = (
+    r"(?i)(?:https?://|www\.)\S+|\b(?:vk\.com|t\.me|telegram\.me|wa\.me|linkedin\.com|facebook\.com|fb\.com|instagram\.com|ok\.ru|github\.com|hh\.ru|habr\.com|twitter\.com|x\.com)/\S*"
+    r"|(?:skype|telegram|телеграм|tg)[^\S\n]*:[^\S\n]*[\p{L}\p{N}_.\-]{3,}"
+)
+
 ORACLES = {
     "checklist_score": f"WITH {_CHECKED} SELECT doc_id, score FROM c",
     "category": f"WITH {_CHECKED} SELECT doc_id, category, 'must ' || ((v0 = 'met')::INT + (v1 = 'met')::INT) || '/2 nice ' || ((v2 = 'met')::INT + (v3 = 'met')::INT) || '/2' AS counter FROM c",
@@ -209,7 +224,7 @@ o AS (SELECT doc_id, x.id AS id, row_number() OVER (PARTITION BY doc_id ORDER BY
 SELECT c.doc_id, coalesce(string_agg(o.id, ',' ORDER BY n), '') AS reasons FROM c LEFT JOIN o ON o.doc_id = c.doc_id AND n <= 3 GROUP BY c.doc_id""",
     "tie_flags": f"""WITH {_CHECKED}, t AS (SELECT doc_id, source, (score + n_chars % 40)::INT AS score FROM c)
 SELECT doc_id, score, coalesce(abs(lag(score) OVER w - score) < 5, false) OR coalesce(abs(lead(score) OVER w - score) < 5, false) AS tied FROM t WINDOW w AS (PARTITION BY source ORDER BY score DESC, doc_id)""",
-    "results_order": f"""WITH {_CHECKED} SELECT doc_id AS id, category, row_number() OVER (PARTITION BY category ORDER BY doc_id % 5 = 0, score DESC, CASE WHEN doc_id % 2 = 0 THEN n_chars ELSE 0 END, doc_id) AS place FROM c QUALIFY place <= 100""",
+    "results_order": f"""WITH {_CHECKED} SELECT doc_id AS id, category, row_number() OVER (PARTITION BY category ORDER BY doc_id % 5 = 0, score DESC, CASE WHEN doc_id % 2 = 0 THEN n_chars ELSE 0 END, doc_id) AS place FROM c""",
     "eval_plan": """WITH f AS (SELECT user_id AS id, max(ts) AS said FROM events WHERE event_type = 'click' GROUP BY 1)
 SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN d.doc_id % 9 = 0 OR said > TIMESTAMP '2024-01-16' THEN 'vacancy_changed' WHEN d.doc_id % 4 = 0 THEN 'resume_updated' WHEN d.doc_id % 11 = 0 THEN 'retry' END AS reason
 FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN f ON f.id = d.doc_id WHERE coalesce(toxic, 0) <> 1 AND reason IS NOT NULL""",
@@ -217,18 +232,24 @@ FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN f ON f.id = d.doc_i
 SELECT doc_id, rank FROM documents LEFT JOIN r USING (doc_id)""",
     "score_delta": """WITH o AS (SELECT *, floor(o_totalprice / 5000)::INT AS score FROM orders)
 SELECT o_orderkey, score, lag(score) OVER w AS prev_score, score - lag(score) OVER w AS delta FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
-    "vacancy_counts": "SELECT n_nationkey, count(c_custkey) AS n, count(*) FILTER (c_acctbal > 0) AS ok, count(*) FILTER (c_acctbal <= 0) AS failed FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_custkey % 9 <> 0 GROUP BY 1",
+    "vacancy_counts": "SELECT n_nationkey, count(c_custkey) AS n, count(*) FILTER (c_acctbal > 0) AS ok, count(*) FILTER (c_acctbal <= 0) AS failed FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1",
     "latest_per_key": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
-    "evidence_lines": rf"""WITH l AS (SELECT doc_id, doc_id % 3 AS a, doc_id % 5 AS b, {_LINES} AS ls FROM documents)
-SELECT doc_id, coalesce(a >= 1 AND a <= b AND b <= len(ls) AND len(list_filter(ls[a:b], lambda x: len(regexp_extract_all(x, '[\p{{L}}\p{{N}}\[\]_]+')) > 0 AND 2 * len(regexp_extract_all(x, '\[(?:EMAIL|LINK|PHONE|NAME|DOCUMENT|BIRTH)\]')) <= len(regexp_extract_all(x, '[\p{{L}}\p{{N}}\[\]_]+')))) > 0, false) AS valid FROM l""",
-    "quote_by_lines": f"""SELECT doc_id, (length(text) + list_sum(list_transform(range(1, len({_LINES}) + 1), lambda k: length(k::VARCHAR) + 2)))::INT AS numbered, sha1(array_to_string({_LINES}[1:2], ' ')) AS first_two FROM documents""",
+    "evidence_lines": rf"""WITH l AS (SELECT doc_id, doc_id % 3 AS a, doc_id % 5 AS b, {_LINES} AS ls FROM documents),
+k AS (SELECT *, list_transform(ls, lambda x: regexp_extract_all(lower(x), '\[[a-z]+\]|[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_-]*')) AS ts FROM l),
+m AS (SELECT *, list_transform(ts, lambda x: len(x) > 0 AND 2 * len(list_filter(x, lambda t: regexp_matches(t, '^\[(?:email|link|phone|name|document|birth)\]') OR t IN {text.LABELS})) <= len(x)) AS good FROM k)
+SELECT doc_id, coalesce(a >= 1 AND a <= b AND b <= len(ls) AND list_contains(good[a:b], true), false) AS valid FROM m""",
+    "quote_by_lines": rf"""WITH j AS (SELECT doc_id, text, regexp_replace(array_to_string(list_transform({_LINES}[1:2], lambda x: trim(x)), ' '), '^[-–—•]\s*', '') AS q FROM documents)
+SELECT doc_id, (length(text) + list_sum(list_transform(range(1, len({_LINES}) + 1), lambda k: length(k::VARCHAR) + 2)))::INT AS numbered,
+sha1(CASE WHEN length(q) > 240 THEN regexp_replace(q[1:240], '\s+\S*$', '') || '…' ELSE q END) AS quoted FROM j""",
     "evidence_audit": f"""WITH {_CHECKED}, x AS (SELECT source, unnest([v0, v1, v2, v3, v4]) AS v FROM c) SELECT source, count(*) FILTER (v IN ('met', 'partial')) AS evidenced, count(*) FILTER (v = 'no_data') AS without, count(*) AS n FROM x GROUP BY 1""",
-    "mask_contacts": rf"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+(?:\.[\p{{L}}\p{{N}}_-]+)*\.[a-zа-я]{{2,}}', '[EMAIL]', 'g'), '(?i)\b(?:https?://|www\.)\S+', '[LINK]', 'g') AS t FROM documents)
-SELECT doc_id, sha1(t) AS masked, len(string_split(t, chr(10))) AS n_lines FROM m""",
+    "mask_contacts": rf"""WITH m1 AS (SELECT doc_id, regexp_replace(text, '{_MAIL_SHAPE}', '[EMAIL]', 'g') AS t FROM documents),
+m2 AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{_LINK_SHAPE}', '[LINK]', 'g'), '(?i)(^|[^\p{{L}}\p{{N}}_.@])@[A-Za-z][\p{{L}}\p{{N}}_.]{{3,}}', '\1[LINK]', 'g') AS t FROM m1),
+m3 AS (SELECT doc_id, regexp_replace(t, '(^|[^\d\p{{L}}_])\+?(?:\d[ ().\-]{{0,2}}){{9,14}}\d($|[^\d])', '\1[PHONE]\2', 'g') AS t FROM m2)
+SELECT doc_id, sha1(t) AS masked, len(string_split(t, chr(10))) AS n_lines FROM m3""",
     "fair_sentences": r"""SELECT doc_id, sha1(array_to_string(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s) <> '' AND NOT regexp_matches(s, '(?:[Tt]he|und) ')), ' ')) AS kept FROM documents""",
     "grounded_numbers": """SELECT doc_id, 'Has ' || n_chars || ' characters. ' || CASE WHEN doc_id % 2 = 0 OR doc_id + 1 = n_chars THEN 'Is number ' || (doc_id + doc_id % 2) || '. ' ELSE '' END || 'Reads well.' AS kept FROM documents""",
     "search_card": """WITH j AS (SELECT l_orderkey, p_type || ', ' || p_brand AS job, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey) AS k FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT l_orderkey, string_agg(job, '; ' ORDER BY k) AS card FROM j WHERE k <= 4 GROUP BY 1""",
+SELECT l_orderkey, 'order ' || l_orderkey || chr(10) || string_agg(job, chr(10) ORDER BY k) AS card FROM j WHERE k <= 4 GROUP BY 1""",
     "night_summary": f"WITH {_CHECKED} SELECT source, " + ", ".join(f"count(*) FILTER (category = '{k}') AS {k}" for k in ("fit", "maybe", "unfit", "failed")) + ", count(*) FILTER (quality IS NULL) AS new FROM c GROUP BY 1",
     "failure_reasons": "SELECT event_type, count(*) AS n FROM events WHERE value < 10 GROUP BY 1",
     "batch_history": "WITH h AS (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY sha1(text)) AS home FROM documents) SELECT source, count(*) FILTER (home = doc_id) AS new, count(*) FILTER (home < doc_id) AS merged FROM h GROUP BY 1",
@@ -237,6 +258,7 @@ SELECT lang, n, chars, round((chars / 3 + n * 700) * 0.7, 3) AS low, round((char
     "stage_throughput": """WITH t AS (SELECT event_id, event_type, epoch(date_trunc('second', ts))::BIGINT AS s FROM events),
 w AS (SELECT event_id, count(*) OVER r AS n, s - min(s) OVER r AS span FROM t WINDOW r AS (PARTITION BY event_type ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW))
 SELECT event_id, CASE WHEN n >= 2 AND span >= 120 THEN round(60 * (n - 1) / span, 6) END AS per_minute FROM w""",
+    "hourly_events": "SELECT event_type, count(*) AS n, count(DISTINCT date_trunc('hour', ts)) AS windows FROM events GROUP BY 1",
     "events_sessions": """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true)::INT AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT user_id, epoch(date_trunc('second', min(ts)))::BIGINT AS start, count(*) AS n FROM s GROUP BY user_id, k""",

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fields
-from ..operators import extract, vacancy
+from ..operators import embed, extract, vacancy
 from ..sources import documents
 from .retrieval import candidates, table
 
 
+#: Requirements and how they are flagged.
+WORDING = {
+    "Опыт сварки от 3 лет": None, "Возраст до 45 лет": "discriminatory", "Ответственность": "vague", "Команда 20+ человек": None, "Мужчина 25–35 лет": "discriminatory",
+    "Опыт работы": "vague", "Молодой специалист": "discriminatory", "Чтение чертежей": None, "Стаж 10-15 лет": None, "Кандидат 45+": "discriminatory",
+}
+
+
 def resume_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fields.resume_hash(F.col("text"), F.lit(None).cast("date")).alias("hash"))
 
@@ -48,8 +55,10 @@ def event_props(spark, sf_dir):
 
 def kept_requirements(spark, sf_dir):
     kinds = F.element_at(F.array(F.lit("must"), F.lit("nice"), F.lit("avoid")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    wording = F.element_at(F.array(*map(F.lit, WORDING)), (F.col("l_partkey") % len(WORDING) + 1).cast("int"))
     drafts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("vacancy"), "l_partkey").agg(F.max("l_linenumber").alias("l_linenumber"))
-    return vacancy.kept_requirements(drafts.select("vacancy", F.col("l_partkey").alias("place"), F.lit("x").alias("name"), kinds.alias("kind"))).select("vacancy", "place", "id", "kind", "weight")
+    kept = vacancy.kept_requirements(drafts.select("vacancy", F.col("l_partkey").alias("place"), wording.alias("name"), kinds.alias("kind")))
+    return kept.select("vacancy", "place", "id", "kind", "weight", "flag")
 
 
 def query_texts(spark, sf_dir):
@@ -105,13 +114,26 @@ def upserted(spark, sf_dir):
 
 
 def extracted_profiles(spark, sf_dir):
-    found = extract.checked(extract.extract(table(spark, sf_dir, "documents")), 2024 * 12)
-    return found.select("doc_id", "status", F.size("positions").alias("n_positions"), "years_counted")
+    """Profiles of orders written as texts: a line for each part, with its months."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    line = F.concat_ws(" ", month(F.col("l_shipdate")), F.lit("-"), month(F.add_months("l_shipdate", 2)), F.concat_ws(", ", "p_type", F.concat(F.lit("ООО «"), F.col("p_brand"), F.lit("»"))))
+    texts = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("x"))
+    found = extract.checked(extract.extract(texts.select("doc_id", F.array_join("x.line", "\n").alias("text"))), 2024 * 12)
+    return found.select("doc_id", "status", F.size("positions").alias("n_positions"), "years_counted", F.array_join(F.array_sort(F.array_distinct("positions.company_key")), ",").alias("companies"))
+
+
+def embedded_cards(spark, sf_dir):
+    """Vectors made anew for documents whose vector is missing or of an older text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("passage"))
+    held = embed.embed(docs.where("doc_id % 2 = 0"))
+    after = embed.refreshed(docs.withColumn("passage", F.when(F.col("doc_id") % 4 == 0, F.concat("passage", F.lit(" new"))).otherwise(F.col("passage"))), held)
+    return after.select("doc_id", "model", "hash", F.size("embedding").alias("size"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (resume_hashes, display_fields, compared_fields, line_spans, best_paragraph, head_and_body, event_props, kept_requirements, query_texts, latest_feedback, since_last_success, repaired_runs, schedule_fires, once_a_minute, order_history, sheet_safe, upserted, extracted_profiles)
+    for f in (resume_hashes, display_fields, compared_fields, line_spans, best_paragraph, head_and_body, event_props, kept_requirements, query_texts, latest_feedback, since_last_success, repaired_runs, schedule_fires, once_a_minute, order_history, sheet_safe, upserted, extracted_profiles, embedded_cards)
 }
 
 ORACLES = {
@@ -121,25 +143,32 @@ CASE WHEN n_chars % 10 = 1 AND n_chars % 100 <> 11 THEN 'знак' WHEN n_chars
 CASE WHEN n_chars < 60 THEN n_chars || ' s' ELSE concat_ws(' ', CASE WHEN n_chars >= 3600 THEN (n_chars // 3600) || ' h' END, CASE WHEN n_chars % 3600 >= 60 THEN (n_chars % 3600 // 60) || ' min' END) END AS duration,
 CASE WHEN length(source) > 4 THEN rtrim(source[1:3]) || '…' ELSE source END AS cut FROM documents""",
     "compared_fields": """SELECT x.c_custkey AS a, y.c_custkey AS b, concat_ws(', ', 'nation', CASE WHEN x.c_mktsegment = y.c_mktsegment THEN 'segment' END, CASE WHEN abs(floor(x.c_acctbal) - floor(y.c_acctbal)) < 500 THEN 'balance' END) AS agree
-FROM customer x JOIN customer y USING (c_nationkey) WHERE x.c_custkey < y.c_custkey AND y.c_custkey - x.c_custkey <= 20""",
+FROM customer x JOIN customer y USING (c_nationkey) WHERE x.c_custkey < y.c_custkey""",
     "line_spans": "SELECT doc_id, len(string_split(text, chr(10))) AS n, length(text) AS last, length(string_split(text, chr(10))[1]) AS first FROM documents",
     "best_paragraph": r"""WITH p AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: length(x) > 20)) AS p, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: length(x) > 20), 1) AS k FROM documents),
 h AS (SELECT *, len(regexp_extract_all(' ' || lower(p), '[^\p{L}](?:the|und)')) AS hits FROM p),
 b AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, k) AS r FROM h)
 SELECT d.doc_id, sha1(p) AS best FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND r = 1""",
     "event_props": "SELECT event_id, CASE WHEN props LIKE '%0%' AND regexp_extract(props, '([0-9]+)', 1) <> '0' THEN NULL ELSE nullif(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT), 0) END AS k FROM events",
-    "kept_requirements": """WITH d AS (SELECT l_suppkey AS vacancy, l_partkey AS place, ['must', 'nice', 'avoid'][max(l_linenumber) % 3 + 1] AS kind FROM lineitem GROUP BY ALL),
+    "kept_requirements": f"""WITH d AS (SELECT l_suppkey AS vacancy, l_partkey AS place, ['must', 'nice', 'avoid'][max(l_linenumber) % 3 + 1] AS kind FROM lineitem GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY vacancy, kind ORDER BY place) AS n FROM d)
-SELECT vacancy, place, 'r' || row_number() OVER (PARTITION BY vacancy ORDER BY place) AS id, kind, CASE WHEN kind = 'nice' THEN 1 ELSE 2 END AS weight FROM k WHERE n <= CASE kind WHEN 'must' THEN 6 WHEN 'nice' THEN 4 ELSE 3 END""",
+SELECT vacancy, place, 'r' || row_number() OVER (PARTITION BY vacancy ORDER BY place) AS id, kind, CASE WHEN kind = 'nice' THEN 1 ELSE 2 END AS weight,
+[{", ".join(f"'{x}'" if x else "NULL" for x in WORDING.values())}][place % {len(WORDING)} + 1] AS flag FROM k WHERE n <= CASE kind WHEN 'must' THEN 6 WHEN 'nice' THEN 4 ELSE 3 END""",
     "query_texts": "SELECT p_brand, concat_ws(chr(10), p_brand, string_agg(DISTINCT p_type, chr(10) ORDER BY p_type) FILTER (p_type <> 'PROMO'), 'end') AS text FROM part GROUP BY p_brand",
     "latest_feedback": """WITH o AS (SELECT user_id AS id, max(ts) AS own FROM events GROUP BY 1), e AS (SELECT max(ts) AS every FROM events WHERE event_type = 'search' AND value < 1)
-SELECT c_custkey AS id, greatest(own, every) AS at_ FROM customer LEFT JOIN o ON o.id = c_custkey, e WHERE c_custkey <= 150""",
+SELECT c_custkey AS id, greatest(own, every) AS at_ FROM customer LEFT JOIN o ON o.id = c_custkey, e""",
     "since_last_success": "SELECT o_orderkey FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 1000 = 1 AND o_orderstatus = 'F')",
-    "repaired_runs": "SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus <> 'O' THEN 'done' WHEN o_orderkey % 3 = 0 THEN 'running' ELSE 'failed' END AS status FROM orders WHERE o_orderkey <= 2000",
+    "repaired_runs": "SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus <> 'O' THEN 'done' WHEN o_orderkey % 3 = 0 THEN 'running' ELSE 'failed' END AS status FROM orders",
     "schedule_fires": "SELECT epoch(d + INTERVAL 22 HOUR)::BIGINT AS fire FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS d) WHERE isodow(d) IN (1, 3, 5)",
-    "once_a_minute": """WITH b AS (SELECT event_type, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events)
-SELECT event_type, count(*) FILTER (p IS NULL OR epoch(date_trunc('second', ts)) - epoch(date_trunc('second', p)) > 60) AS n FROM b GROUP BY 1""",
-    "order_history": "SELECT o_orderkey, c_custkey, n_nationkey FROM orders LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey) ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 100",
+    "once_a_minute": """WITH RECURSIVE e AS (SELECT event_type, epoch(date_trunc('second', ts))::BIGINT AS s FROM events),
+r AS (SELECT event_type, min(s) AS s FROM e GROUP BY 1 UNION ALL SELECT r.event_type, min(e.s) FROM r JOIN e ON e.event_type = r.event_type AND e.s > r.s + 60 GROUP BY r.event_type)
+SELECT event_type, count(*) AS n FROM r GROUP BY 1""",
+    "order_history": "SELECT o_orderkey, c_custkey, n_nationkey FROM orders LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey) ON o_custkey = c_custkey",
     "sheet_safe": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '''=' ELSE '' END || source AS cell FROM documents",
     "upserted": "SELECT vec_id AS id, 'old' AS state FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'new' FROM labels",
+    "extracted_profiles": """WITH l AS (SELECT l_orderkey, p_brand, year(l_shipdate) * 12 + month(l_shipdate) AS m FROM lineitem JOIN part ON l_partkey = p_partkey),
+u AS (SELECT l_orderkey, count(DISTINCT x) AS months FROM (SELECT l_orderkey, unnest(range(m, m + 3)) AS x FROM l) GROUP BY 1)
+SELECT l_orderkey AS doc_id, 'parsed' AS status, count(*)::INT AS n_positions, round(any_value(months) / 12, 1) AS years_counted, string_agg(DISTINCT lower(p_brand), ',' ORDER BY lower(p_brand)) AS companies
+FROM l JOIN u USING (l_orderkey) GROUP BY 1""",
+    "embedded_cards": "SELECT doc_id, 'hashing' AS model, sha1(CASE WHEN doc_id % 4 = 0 THEN text || ' new' ELSE text END) AS hash, 64 AS size FROM documents",
 }

@@ -26,3 +26,17 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 def run_available(df: DataFrame, out: str, checkpoint: str) -> None:
     """Processes what is there and stops; the checkpoint is the high-water mark of the next run."""
     df.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+
+
+def run_counts(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Like ``run_available`` for counts by window: each batch writes the windows it changed, so that open ones come too; of each window the
+    latest count is returned. A batch that runs again replaces what it wrote."""
+    keys = [c for c in df.columns if c != "n"]
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    df.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    held = df.sparkSession.read.schema(f"{kinds}, batch long").parquet(out)
+    return held.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))

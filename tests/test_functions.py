@@ -1,11 +1,15 @@
 import datetime
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rosterlake.functions import contacts, dates, names, text
+from rosterlake.functions import contacts, dates, fields, names, text
+from rosterlake.operators import search
+
+from .helpers import compatible
 
 
 def column(spark, values, expr, kind="string"):
@@ -33,20 +37,31 @@ def test_names(spark):
     assert column(spark, ["Иванов Иван", "Иванов", "ООО Ромашка плюс 5", None], names.looks_like_name) == [True, False, False, False]
 
 
+def both_ways(spark, pairs):
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    return [r.x for r in rows.select("k", names.names_compatible(F.col("a"), F.col("b")).alias("x")).orderBy("k").collect()]
+
+
 @pytest.mark.parametrize("a, b", [("Иванов Иван", "Иван Иванов"), ("Иванов И.П.", "Иванов Иван Петрович"), ("Семёнов Петр", "Семенов Пётр"), ("Sidorov Sergey", "Сидоров Сергей"), ("Кузнецова Катя", "Кузнецова Екатерина"), ("Кузнецов Олег", "Кузнецовв Олег"), (None, "Кто Угодно")])
-def test_compatible(a, b):
-    assert names.names_compatible(a, b) and names.names_compatible(b, a)
+def test_compatible(spark, a, b):
+    assert both_ways(spark, [(a, b), (b, a)]) == [True, True]
 
 
 @pytest.mark.parametrize("a, b", [("Иванов Иван", "Иванов Петр"), ("Ким Анна", "Цой Анна"), ("Иванов Иван Петрович", "Иванов Иван Сергеевич"), ("И. И.", "Иванов Иван")])
-def test_incompatible(a, b):
-    assert not names.names_compatible(a, b) and not names.names_compatible(b, a)
+def test_incompatible(spark, a, b):
+    assert both_ways(spark, [(a, b), (b, a)]) == [False, False]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("абв гд.АБ", max_size=14), st.text("абв гд.АБ", max_size=14))
-def test_compatible_is_symmetric(a, b):
-    assert names.names_compatible(a, b) == names.names_compatible(b, a)
+def test_columns_and_python_agree(spark):
+    draw = random.Random(4)
+    people = ["".join(draw.choice("абв гд.АБ") for _ in range(draw.randint(0, 14))) for _ in range(60)]
+    people += ["Иванов Иван", "Ivanov Ivan", "Иванова Анна", "Иванов Ваня", "И. Иванов", "Sidorov S.", "Сидоров Семён Ильич", "Щукин Юрий", "Shchukin Yuriy", "Петров-Водкин К."]
+    pairs = [(a, b) for a in people for b in people]
+    found = both_ways(spark, pairs)
+    fits = compatible(spark, *people)
+    assert found == [fits(a, b) for a, b in pairs]
+    assert [fits(a, b) for a, b in pairs] == [fits(b, a) for a, b in pairs]
+    assert sum(found) > len(people)
 
 
 @settings(max_examples=300, deadline=None)
@@ -82,24 +97,86 @@ def test_evidence(spark):
     assert df.limit(1).select(text.numbered(F.lit("a\nb"))).first()[0] == "1| a\n2| b"
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("Аб в.,;—-•\n1)январь ", max_size=900))
-def test_cutting_keeps_length(value):
-    cut = text.split_long_lines(value)
-    assert len(cut) == len(value) and cut.replace("\n", " ") == value.replace("\n", " ")
+def words_of(draw, letters, n, most):
+    return ["".join(draw.choice(letters) for _ in range(draw.randint(0, most))) for _ in range(n)]
+
+
+def test_cutting_keeps_length(spark):
+    values = words_of(random.Random(1), "Аб в.,;—-•\n1)", 200, 900)
+    found = column(spark, values, text.split_long_lines)
+    assert all(len(x) == len(v) and x.replace("\n", " ") == v.replace("\n", " ") for x, v in zip(found, values))
+
+
+def test_cutting(spark):
+    pad = "слово " * 40
+    given_ = [
+        "короткая. Строка; с точкой", f"{pad}делал шкафы. Потом двери; и окна • раз • два", f"{pad}завод — мастер", f"{pad}май — июнь 2020", f"{pad}января — и далее",
+        f"{pad}мастер - сварщик", "а, " * 80, None,
+    ]
+    want = [
+        given_[0], f"{pad}делал шкафы.\nПотом двери;\nи окна\n• раз\n• два", f"{pad}завод\n— мастер", given_[3], f"{pad}января — и далее",
+        f"{pad}мастер\n- сварщик", ("а,\n" * 79 + "а, "), "",
+    ]
+    assert column(spark, given_, text.split_long_lines) == want
+
+
+def test_masks_keep_lines(spark):
+    values = words_of(random.Random(2), "Иванов 8912345678@.ruab\n", 200, 120)
+    mask = lambda c: text.anonymize(c, F.lit("Иванов Иван"), F.array(F.lit("8912345678")))
+    once = column(spark, values, mask)
+    assert [x.count("\n") for x in once] == [v.count("\n") for v in values]
+    assert column(spark, once, mask) == once
+
+
+def test_anonymize(spark):
+    given_ = [
+        "Иванову Ивану\nзвонить 8 (912) 345-67-89 или a@b.ru, www.site.ru/x", "резюме Ivanova Ivan, И.И. Иванов", "паспорт 45 12 345678, ИНН: 7712345678", "Дата рождения: 01.02.1985 г.",
+        "1985 г.р., возраст: 35 лет", "t.me/user и @handle, skype: some.one", "опыт 10 лет, стаж 12 лет", "дом 12, кв. 5",
+    ]
+    want = [
+        "[NAME]\nзвонить [PHONE] или [EMAIL], [LINK]", "резюме [NAME]", "[DOCUMENT], [DOCUMENT]", "Дата рождения: [BIRTH]",
+        "[BIRTH], возраст: [BIRTH]", "[LINK] и [LINK], [LINK]", "опыт 10 лет, стаж 12 лет", "дом 12, кв. 5",
+    ]
+    assert column(spark, given_, lambda c: text.anonymize(c, F.lit("Иванов Иван"))) == want
+    assert column(spark, ["Kontakt: ivan@x.y1 und mehr"], lambda c: text.anonymize(c, F.lit(None).cast("string"), F.array(F.lit("IVAN@x.y1")))) == ["Kontakt: [EMAIL] und mehr"]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("Иванов 8912345678@.ruab\n", max_size=120))
-def test_masks_keep_lines(value):
-    once = text.anonymize(value, "Иванов Иван", ["8912345678"])
-    assert once.count("\n") == value.count("\n")
-    assert text.anonymize(once, "Иванов Иван", ["8912345678"]) == once
+def test_relocation(spark):
+    given_ = ["переезд не рассматриваю", "готова к переезду", "не готов к переезду, рассматриваю переезд", "готовил к переезду станки", None]
+    assert column(spark, given_, lambda c: text.relocation(c, F.lit("unknown"))) == ["no_relocation", "relocation_possible", "no_relocation", "unknown", "unknown"]
 
 
-def test_anonymize():
-    found = text.anonymize("Иванову Ивану\nзвонить 8 (912) 345-67-89 или a@b.ru, www.site.ru/x", "Иванов Иван")
-    assert found == "[NAME]\nзвонить [PHONE] или [EMAIL], [LINK]"
+def test_quotes(spark):
+    original = F.lit("Работал на\nзаводе  Иван Петров мастером")
+    found = column(spark, ["на заводе [NAME] мастером", "НА ЗАВОДЕ", "нет такого", "[NAME]", None], lambda c: text.quote_span(c, original))
+    assert [x and (x.start, x.stop) for x in found] == [(8, 39), (8, 17), None, None, None]
+    assert column(spark, ["a\nb x\nx"], lambda c: F.concat_ws(",", text.line_of(c, F.lit("x")).cast("string"), text.line_of(c, F.lit("x"), 3).cast("string"), text.line_of(c, F.lit("q")).cast("string"))) == ["2,3"]
+
+
+def test_paragraphs(spark):
+    body = "Город: Пермь\nВозраст: нет\n\nИванов Иван\n+7 912 345 67 89\nРаботал сварщиком на заводе десять лет\n\nкоротко"
+    assert column(spark, [body, None], lambda c: text.paragraphs(c, F.lit("Иванов Иван"))) == [["Работал сварщиком на заводе десять лет"], None]
+
+
+def test_shows(spark):
+    body = "опыт в продажах\nне только продажи и кроме продаж\nсварка"
+    ask = lambda a, b, name: column(spark, [body], lambda c: text.shows(c, F.array(F.lit(a), F.lit(b)), F.lit(name)))[0]
+    assert ask(1, 1, "только с опытом в продажах") and not ask(2, 2, "только в продажах") and not ask(3, 3, "только в продажах") and ask(3, 3, "курение")
+
+
+def test_fields(spark):
+    values = F.array(F.struct(F.lit("a").alias("field"), F.lit("завод").alias("value")), F.struct(F.lit("b").alias("field"), F.lit("водитель").alias("value")), F.struct(F.lit("c").alias("field"), F.lit("").alias("value")))
+    assert [tuple(x) for x in column(spark, ["Мой ЗАВОД, водитель"], lambda c: fields.field_spans(c, values))[0]] == [("a", 4, 9), ("b", 11, 19)]
+    assert column(spark, ["Иванов Иван\nТел: 1\nСварщик 5 разряда"], lambda c: fields.headline(c, F.lit("Иванов Иван"))) == ["Сварщик 5 разряда"]
+    assert column(spark, ["{'a': None}".replace("'", '"'), '{"a": "None", "b": True}', '{"a": "x None \\" None", "b": False}'], lambda c: F.to_json(fields.loose_json(c, "a string, b boolean"))) == ["{}", '{"a":"None","b":true}', '{"a":"x None \\" None","b":false}']
+    assert column(spark, ["слесарь завода Альфа, Альфа", "Альфабет"], lambda c: fields.without_company(c, F.lit("Альфа"))) == ["слесарь завода", "Альфабет"]
+    assert column(spark, ["one@a.ru\nопыт\none@a.ru two@a.ru"], lambda c: F.to_json(F.array(*fields.head_and_body_contacts(c)))) == ['[["one@a.ru"],["two@a.ru"]]']
+    assert column(spark, ["Резюме 2020\nИванов Иван\nx", "x\nJohn Smith", "нет"], names.find_name) == ["Иванов Иван", "John Smith", None]
+
+
+def test_stems(spark):
+    given_ = ["сварщиками", "работающий", "красивейшая", "вежливость", "продажи", "steel", "бегавший"]
+    assert column(spark, given_, search.stem) == ["сварщик", "работа", "красив", "вежлив", "продаж", "steel", "бега"]
 
 
 def test_grounded(spark):
@@ -107,6 +184,12 @@ def test_grounded(spark):
     assert df.first()[0] == "Опыт 5 лет. Знает дело."
 
 
-def test_snippet():
-    found = text.snippet("начало " * 20 + "сварщик пятого разряда", "ищем сварщика")
+def test_snippet(spark):
+    found = column(spark, ["начало " * 20 + "сварщик пятого разряда"], lambda c: text.snippet(c, F.lit("ищем сварщика")))[0]
     assert "<mark>сварщик</mark>" in found and found.startswith("…")
+    assert column(spark, ["ничего\nтут"], lambda c: text.snippet(c, F.lit("ищем"), F.lit("кратко"))) == ["кратко"]
+
+
+def test_years_of_experience(spark):
+    keep = lambda said, years: spark.range(1).select(text.grounded(F.lit(said), F.lit("завод"), F.lit(years)).alias("x")).first()[0]
+    assert keep("Стаж 9 лет. Опыт 12 лет. Вёл 9 лет.", 9.6) == "Стаж 9 лет."

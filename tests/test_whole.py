@@ -5,10 +5,11 @@ from itertools import combinations
 
 import pytest
 
-from rosterlake.functions.names import names_compatible
 from rosterlake.operators import resolve
 from rosterlake.plans import evaluation, profiles, resolution
 
+from .helpers import compatible
+
 
 @pytest.fixture
 def tables(spark, tmp_path):
@@ -29,7 +30,8 @@ def test_names_compatible_is_brute_force(spark, tables):
     names = ["Иванов Иван", "Иванов И.", "Ivanov Ivan", "Петров Пётр", "Петрова Анна", None]
     people = [(190 + k, k % 2, names[k % 5 if k < 20 else 5]) for k in range(24)]
     at = tables("customer", people, "c_custkey long, c_nationkey int, c_name string")
-    truth = sorted((a[0], b[0], names_compatible(a[2], b[2])) for a, b in combinations(people, 2) if a[1] == b[1])
+    fits = compatible(spark, *(n for n in names if n))
+    truth = sorted((a[0], b[0], fits(a[2], b[2])) for a, b in combinations(people, 2) if a[1] == b[1])
     assert rows(resolution.names_compatible(spark, at)) == truth
 
 
@@ -100,11 +102,12 @@ def test_links_have_the_components_of_all_unseen_pairs(spark):
         held += [(i, f"k{g}", names[i]) for i in ids]
         seen += [p if draw.random() < 0.5 else p[::-1] for p in known]
         truth.append((ids, names, set(pairs) - set(known)))
+    alike = compatible(spark, "en", "de")
     found = rows(resolve.unseen_links(spark.createDataFrame(held, "id long, key string, person string"), spark.createDataFrame(seen, "a long, b long")))
     for ids, names, left in truth:
         own = {p for p in found if p[0] in ids}
         assert own <= left and _parts(ids, own) == _parts(ids, left)
-        fits = lambda ps: [p for p in ps if names_compatible(names[p[0]], names[p[1]])]
+        fits = lambda ps: [p for p in ps if alike(names[p[0]], names[p[1]])]
         assert _parts(ids, fits(own)) == _parts(ids, fits(left))
 
 
@@ -113,3 +116,84 @@ def test_one_person_in_three_spellings_keeps_the_key(spark):
     held = [(10 * k + i, key, name) for k, key in enumerate(names) for i, name in enumerate(names[key])]
     kept = resolve.guarded_keys(spark.createDataFrame(held, "id long, key string, person string"))
     assert {r.key for r in kept.collect()} == {"one"} and kept.count() == 3
+
+
+def test_exact_merge_is_brute_force(spark):
+    draw = random.Random(7)
+    pool = ["Иванов Иван", "Иванов Иван Петрович", "Иванов Иван Сергеевич", "Иванов И.", "Петров Пётр", None]
+    people = {i: (draw.choice(pool), draw.randint(0, 9)) for i in range(120)}
+    keys = [(i, f"k{draw.randint(0, 60)}") for i in people for _ in range(draw.randint(1, 2))]
+    seen = {tuple(sorted(draw.sample(range(120), 2))) for _ in range(60)}
+    fits = compatible(spark, *(n for n in pool if n))
+    holders = {}
+    for i, k in sorted(set(keys)):
+        holders.setdefault(k, []).append(i)
+    root, apart = {i: i for i in people}, set()
+    for k, group in holders.items():
+        heads = []
+        for i in group:
+            if people[i][0] and not any(fits(people[i][0], people[h][0]) for h in heads):
+                heads.append(i)
+        if len(group) < 2 or len(heads) > 2:
+            continue
+        for a, b in combinations(group, 2):
+            if (a, b) in seen:
+                continue
+            if fits(people[a][0], people[b][0]):
+                root = {i: root[a] if r == root[b] else r for i, r in root.items()}
+            else:
+                apart.add((k, frozenset((people[a][0], people[b][0]))))
+    groups = {}
+    for i, r in root.items():
+        groups.setdefault(r, []).append(i)
+    merged, beside = set(), set()
+    for group in groups.values():
+        parts = []
+        for i in sorted(group, key=lambda i: (people[i][1], i), reverse=True):
+            home = next((p for p in parts if all(fits(people[i][0], people[o][0]) for o in p)), None)
+            home.append(i) if home else parts.append([i])
+        merged |= {(p[0], i) for p in parts for i in p[1:]}
+        beside |= {tuple(sorted((parts[0][0], p[0]))) for p in parts[1:]} - seen
+    records = spark.createDataFrame([(i, *x) for i, x in people.items()], "id long, name string, fresh int")
+    parts, pairs = resolve.merge_exact(records, spark.createDataFrame(keys, "id long, key string"), spark.createDataFrame(sorted(seen), "a long, b long"))
+    found = rows(pairs)
+    assert {(a, b) for a, b, state, _ in found if state == "merged"} == merged
+    open_ = {(a, b) for a, b, state, c in found if state == "open" and c == 0.5}
+    assert beside <= open_ and not open_ & seen
+    said = {(k, frozenset((people[a][0], people[b][0]))) for a, b in open_ for k in holders if a in holders[k] and b in holders[k]}
+    assert apart <= said
+    assert all((a, b) in beside or not fits(people[a][0], people[b][0]) for a, b in open_)
+
+
+def test_links_of_one_key_are_not_all_pairs(spark):
+    held = [(k, "k", "Иванов Иван" if k % 3 else "Иванов И.") for k in range(600)]
+    keys = spark.createDataFrame(held, "id long, key string, person string")
+    assert resolve.linked(keys, spark.createDataFrame([], "a long, b long")).count() < 4 * len(held)
+
+
+def test_merge_decide_and_repoint(spark):
+    records = spark.createDataFrame([(1, 5, "a", None, ["x"]), (2, 9, None, "p", ["y", "x"]), (3, 1, "c", "q", None)], "id long, fresh int, name string, city string, phones array<string>")
+    pairs = spark.createDataFrame([(1, 2, "open", 0.7), (1, 3, "open", 0.5)], "a long, b long, status string, confidence double")
+    decided = spark.createDataFrame([(1, 2, ["city"])], "a long, b long, take array<string>")
+    after, table = resolve.merge_pairs(records, pairs, decided, ["name", "city"], ["phones"])
+    row = after.first()
+    assert (row.id, row.absorbed, row.name, row.city, row.phones, row.snapshot.city) == (2, 1, "a", None, ["y", "x"], "p")
+    assert rows(table) == [(1, 3, "open", 0.5), (2, 1, "merged", 0.7)]
+    assert resolve.auto_merged(table).first().n == 0
+    held = table.selectExpr("*", "cast(null as long) AS postponed_at")
+    said = spark.createDataFrame([(3, 1, "postpone", 4), (1, 3, "reject", 6), (2, 1, "reject", 7)], "a long, b long, action string, at long")
+    assert rows(resolve.decided_pairs(held, said)) == [(1, 3, "different", 0.5, None), (2, 1, "merged", 0.7, None)]
+    chain = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "id long, duplicate_of long")
+    assert rows(resolve.repointed(chain)) == [(1, 3), (2, 3), (7, 8)]
+
+
+def test_repeats_within_a_minute(spark):
+    import datetime
+
+    from rosterlake.operators import vacancy
+
+    base = datetime.datetime(2024, 1, 1)
+    times = [0, 30, 60, 61, 100, 121, 122, 400, 401]
+    df = spark.createDataFrame([("k", base + datetime.timedelta(seconds=s)) for s in times], "key string, ts timestamp")
+    kept = sorted(int((r.ts - base).total_seconds()) for r in vacancy.once_a_minute(df, ["key"], "ts").collect())
+    assert kept == [0, 61, 122, 400]
