@@ -554,4 +554,6 @@ def op6_flac_media(spark, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "block_first",
+        "block_offset",
     )

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import resolve
 from .scratch import Scratch, unused
 from .textops import U64, Runs, fingerprints, grams, mix, slices, words
 
@@ -217,31 +218,9 @@ def _matched(key: np.ndarray, node: list[bytes], sketch: np.ndarray, border: int
     return rows
 
 
-def components(edges: DataFrame, tables: Scratch, name: str) -> DataFrame:
-    """``node, label`` of the nodes of ``edges(a, b)``: equal labels in a connected component.
-
-    Rounds of taking the least label around and of following labels; a stored table each."""
-    once = tables.store(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}_once")
-    # each node keeps its least neighbour, to which its other ones move: far fewer edges where buckets overlap
-    least = once.groupBy("b").agg(F.min("a").alias("least"))
-    others = once.join(least, "b").where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
-    fewer = least.select(F.col("least").alias("a"), "b").unionByName(others)
-    both = tables.store(fewer.unionByName(fewer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}_edges")
-    tables.drop(f"{name}_once")
-    labels = tables.store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), f"{name}0")
-    k = 0
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        closer = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), "label")
-        target = labels.select(F.col("node").alias("to"), F.col("label").alias("beyond"))
-        after = closer.join(target, "to").select("node", F.least("to", "beyond").alias("label"), (F.least("to", "beyond") < F.col("label")).alias("moved"))
-        after = tables.store(after, f"{name}{k + 1}")
-        going = bool(after.where("moved").head(1))
-        tables.drop(f"{name}{k}")
-        labels, k = after.select("node", "label"), k + 1
-        if not going:
-            tables.drop(f"{name}_edges")
-            return labels
+def components(edges: DataFrame) -> DataFrame:
+    """``node, label`` of the nodes of ``edges(a, b)``: equal labels in a connected component."""
+    return resolve.components(edges).toDF("node", "label")
 
 
 def links_within(names: np.ndarray, first: np.ndarray, side: np.ndarray, copies: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -341,7 +320,7 @@ def join(docs: DataFrame) -> DataFrame:
     more = _couples(border.join(many, "key"), F.xxhash64("node", F.lit(2))).select(F.xxhash64("key", "low", "high").alias("key"), "node", "sketch")
     more = more.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: _sorted_buckets(b, False), _PAIRS)
     candidates = pairs.where("b IS NOT NULL").select("a", "b").unionByName(more.where("b IS NOT NULL").select("a", "b"))
-    clusters = tables.store(components(candidates, tables, "cluster"), "clusters")
+    clusters = components(candidates)
     tables.drop("pairs")
     # verification
     sizes = clusters.join(nodes.select("node", "n_bytes"), "node").groupBy("label").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
@@ -354,14 +333,14 @@ def join(docs: DataFrame) -> DataFrame:
     units = _couples(texts, F.xxhash64("node", F.lit(1))).select("cluster", "low", "high", "side", "node", "copies", "text")
     units = units.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
     verified = tables.store(units.mapInArrow(_verify, "node binary, root binary, links long"), "verified")
-    labels = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")), tables, "class")
+    labels = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     known = tables.store(nodes.select("node", "doc_id", "copies").join(links, "node", "left").join(labels, "node", "left"), "known")
     known = known.withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     classes = tables.store(known.join(least, "label").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     found = tables.store(of.join(classes, "node").select("doc_id", "version", "class_id", "n_links").distinct(), "found")
-    tables.drop("scanned", "nodes", "clusters", "sizes", "verified", "known", "classes")
+    tables.drop("scanned", "nodes", "sizes", "verified", "known", "classes")
     return docs.select("doc_id", "version").join(found, ["doc_id", "version"], "left").select(
         "doc_id", "version", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
