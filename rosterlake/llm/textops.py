@@ -22,7 +22,7 @@ import pyarrow as pa
 U64 = np.uint64
 SLICE_BYTES = 2_000_000
 #: After so many bytes of text free memory is released.
-RELEASE_BYTES = 8_000_000
+RELEASE_BYTES = 16_000_000
 _CHUNK = 1 << 17
 
 _SPACE = np.zeros(256, bool)

@@ -40,7 +40,8 @@ MAGIC, BLOCK, FILE_BYTES = b"S8BTOK01", 1 << 16, 1 << 26
 #: Simple-8b's selectors, in order: values in a word, bits of each.
 FIELDS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = (1 << 60) - 1
-_MEMO = 1 << 19
+#: Distinct words that a worker remembers, and bytes of text that are encoded at a time.
+_MEMO, SLICE = 1 << 19, 5_000_000
 _MARKS = b".,!?;:"
 _SINGLE = [bytes((x,)) for x in _MARKS]
 
@@ -53,16 +54,18 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, U64), escapes
     padded = np.concatenate((np.where(escaped, U64(ESCAPE), values), np.zeros(240, U64)))
+    # bits that each value needs; what needs more than 30 has a word of its own
+    width = np.frexp(np.minimum(padded, U64(1 << 31)).astype(np.float64))[1].astype(np.uint8)
     choice = np.full(n, 15, np.int64)
     for selector in range(14, -1, -1):
         count, bits = FIELDS[selector]
-        fits, have = padded < U64(1 << bits), 1
+        fits, have = width <= bits, 1
         while have < count and fits[:n].any():  # whether so many values from here on fit
             step = min(have, count - have)
             fits = fits[:-step] & fits[step:]
             have += step
         choice[np.flatnonzero(fits[:n])] = selector
-    step = np.array([count for count, _ in FIELDS])[choice].tolist()
+    step = np.array([count for count, _ in FIELDS], np.uint8)[choice].tobytes()
     at, k = [], 0
     while k < n:
         at.append(k)
@@ -300,7 +303,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
             return pa.record_batch([pa.array([x]) for x in row], ["part", "file", "path", "n_docs", "n_ids", "n_bytes"])
 
         for batch in batches:
-            for part in slices(batch, limit=min(3_000_000, FILE_BYTES)):
+            for part in slices(batch, limit=min(SLICE, FILE_BYTES)):
                 ids, n = tokenizer.encode(part.column("text"), end_id)
                 file.add(part.column("doc_id"), n, ids.astype(np.uint32))
                 if file.about >= FILE_BYTES:
