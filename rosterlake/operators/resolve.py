@@ -68,12 +68,16 @@ def linked(keys: DataFrame, seen: DataFrame) -> DataFrame:
     with all of the second; a record seen with that one is paired with every record of the first. That is at most as many pairs more
     as are seen, and within and between spellings the components are those of all unseen pairs."""
     spelling = F.struct(F.coalesce("person", F.lit("")).alias("name"), F.col("person").isNull().alias("none"))
-    rows = keys.select("key", spelling.alias("s"), "id").distinct()
+    tables = Scratch(keys.sparkSession, "linked")  # the keys' plan is read several times
+    rows = tables.store(keys.select("key", spelling.alias("s"), "id").distinct(), "rows")
     one = rows.select("key", "s").distinct()
-    one = one.withColumn("readings", F.when(~F.col("s.none"), names.readings(F.col("s.name"))))
-    x, y = one.select("key", "s", F.col("readings").alias("rs")), one.select("key", F.col("s").alias("t"), F.col("readings").alias("rt"))
+    met = tables.store(one.join(one.withColumnRenamed("s", "t"), "key"), "met")
+    # names are read and compared once, however many keys they share
+    read = lambda c: F.when(~F.col(f"{c}.none"), names.readings(F.col(f"{c}.name")))
+    spelled = tables.store(met.select("s").distinct().withColumn("r", read("s")), "spelled")
     latin = names.has_latin(F.col("s.name")) | names.has_latin(F.col("t.name"))
-    couples = x.join(y, "key").select("key", "s", "t", names.readings_agree(F.col("rs"), F.col("rt"), latin).alias("compatible"))
+    agree = met.select("s", "t").distinct().join(spelled.withColumnRenamed("r", "rs"), "s").join(spelled.select(F.col("s").alias("t"), F.col("r").alias("rt")), "t")
+    couples = met.join(agree.select("s", "t", names.readings_agree(F.col("rs"), F.col("rt"), latin).alias("compatible")), ["s", "t"]).select("key", "s", "t", "compatible")
     both = seen.select("a", "b").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     group = ["key", "s", "t"]
     ends = both.join(rows.withColumnRenamed("id", "a"), "a").join(rows.select("key", F.col("s").alias("t"), F.col("id").alias("b")), ["key", "b"])

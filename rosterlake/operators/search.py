@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.bind import bound
 from .stored import Scratch
 
 #: Length of a list, smoothing of ranks, least and close cosine, page, BM25 parameters.
@@ -38,18 +39,24 @@ def stem(word: Column) -> Column:
     head = F.regexp_extract(word, "^[^аеиоуыэюя]*[аеиоуыэюя]", 0)
     rest = F.substring(word, F.length(head) + 1, F.length(word))
     cut = lambda x, one, two: F.regexp_replace(x, f"(?:(?<=[ая])(?:{one})|(?:{two}))$", "")
-    gerund = cut(rest, *_GERUND)
-    plain = F.regexp_replace(rest, "(?:ся|сь)$", "")
-    adjective = F.regexp_replace(plain, f"(?:{_ADJECTIVE})$", "")
-    verb = cut(plain, *_VERB)
-    noun = F.regexp_replace(plain, f"(?:{_NOUN})$", "")
-    first = F.when(gerund != rest, gerund).when(adjective != plain, cut(adjective, *_PARTICIPLE)).when(verb != plain, verb).otherwise(noun)
-    second = F.regexp_replace(first, "и$", "")
-    # the suffix goes where a consonant after a vowel after a consonant comes before it
-    late = F.concat(head, second).rlike("[аеиоуыэюя][^аеиоуыэюя]+[аеиоуыэюя]+[^аеиоуыэюя].*ость?$")
-    third = F.when(late, F.regexp_replace(second, "ость?$", "")).otherwise(second)
-    last = F.regexp_replace(third, "(?:ейше?)$", "")
-    fourth = F.when(last.endswith("нн"), F.substring(last, 1, F.length(last) - 1)).when(last != third, last).otherwise(F.regexp_replace(third, "ь$", ""))
+
+    def inflected(plain: Column) -> Column:
+        noun = F.regexp_replace(plain, f"(?:{_NOUN})$", "")
+        verb = bound(cut(plain, *_VERB), lambda x: F.when(x != plain, x).otherwise(noun))
+        return bound(F.regexp_replace(plain, f"(?:{_ADJECTIVE})$", ""), lambda x: F.when(x != plain, cut(x, *_PARTICIPLE)).otherwise(verb))
+
+    def derived(x: Column) -> Column:
+        # the suffix goes where a consonant after a vowel after a consonant comes before it
+        late = F.concat(head, x).rlike("[аеиоуыэюя][^аеиоуыэюя]+[аеиоуыэюя]+[^аеиоуыэюя].*ость?$")
+        return F.when(late, F.regexp_replace(x, "ость?$", "")).otherwise(x)
+
+    def tidied(x: Column) -> Column:
+        last = F.regexp_replace(x, "(?:ейше?)$", "")
+        return bound(last, lambda y: F.when(y.endswith("нн"), F.substring(y, 1, F.length(y) - 1)).when(y != x, y).otherwise(F.regexp_replace(x, "ь$", "")))
+
+    plain = bound(F.regexp_replace(rest, "(?:ся|сь)$", ""), inflected)
+    first = bound(cut(rest, *_GERUND), lambda x: F.when(x != rest, x).otherwise(plain))
+    fourth = bound(bound(F.regexp_replace(first, "и$", ""), derived), tidied)
     return F.when(head != "", F.concat(head, fourth)).otherwise(word)
 
 
