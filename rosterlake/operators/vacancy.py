@@ -147,17 +147,19 @@ def once_a_minute(requests: DataFrame, key: list[str], at: str) -> DataFrame:
     new = F.coalesce(seconds - F.lag(seconds).over(Window.partitionBy(*key).orderBy(at)) > 60, F.lit(True))
     bursts = requests.withColumn("_burst", F.when(new, F.monotonically_increasing_id()))
     bursts = bursts.withColumn("_burst", F.last("_burst", True).over(Window.partitionBy(*key).orderBy(F.col(at), F.col("_burst").desc_nulls_last())))
-    alone = bursts.withColumn("_s", seconds)
-
-    def kept(rows):
-        rows = rows.sort_values(at, kind="stable")
-        keep, last = [], None
-        for s in rows["_s"].tolist():
-            keep.append(last is None or s - last > 60)
-            last = s if keep[-1] else last
-        return rows[keep].drop(columns=["_burst", "_s"])
-
-    return alone.groupBy(*key, "_burst").applyInPandas(kept, requests.schema)
+    names_ = [*key, "_burst"]
+    ordered = bursts.withColumn("_s", seconds).repartition(*names_).sortWithinPartitions(*names_, at)
+
+    def kept(batches):
+        held, last = None, 0
+        for rows in batches:
+            keep = []
+            for *burst, s in zip(*(rows[c].tolist() for c in (*names_, "_s")), strict=True):
+                keep.append(burst != held or s - last > 60)
+                held, last = burst, s if keep[-1] else last
+            yield rows[keep].drop(columns=["_burst", "_s"])
+
+    return ordered.mapInPandas(kept, requests.schema)
 
 
 def sections(summary: DataFrame) -> DataFrame:
