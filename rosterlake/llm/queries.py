@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, filter_audit, flac, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, token_files, url_filters, warc
+from . import byte_bpe, collocations, filter_audit, flac, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, token_files, url_filters, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,8 +18,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_sharding": sharding.op10_sharding,
+    "op11_collocations": collocations.op11_collocations,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_packing": packing.op13_packing,
 }
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.OP1_SQL, "op7_ngram_join": ngram_join.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_url_filters": url_filters.OP9_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.OP1_SQL, "op7_ngram_join": ngram_join.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_url_filters": url_filters.OP9_SQL, "op11_collocations": collocations.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
