@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .ranked import neighbours, ranked
+from .stored import Scratch
 
 #: Worth of verdicts, cap of a vetoed score, thresholds, and the gap of a tie.
 VALUES = {"met": 1.0, "partial": 0.5, "no_data": 0.25, "not_met": 0.0}
@@ -64,10 +66,11 @@ def top_reasons(checks: Column, n: int = 3) -> Column:
     return F.transform(F.slice(F.array_sort(good), 1, n), lambda c: c["id"])
 
 
-def tied(points: Column, window) -> Column:
-    """Whether a neighbour in the order is less than ``TIE`` away."""
-    near = lambda other: F.coalesce(F.abs(other - points) < TIE, F.lit(False))
-    return near(F.lag(points).over(window)) | near(F.lead(points).over(window))
+def tied(rows: DataFrame, by: list[str], order: list[Column], points: str = "score") -> DataFrame:
+    """Adds ``tied``: whether a neighbour in its group's order is less than ``TIE`` away. Places are found in two passes, not in a task for a group."""
+    beside = neighbours(rows, Scratch(rows.sparkSession, "ties"), "beside", by, order, [points])
+    near = lambda other: F.coalesce(F.abs(F.col(f"{other}.{points}") - F.col(points)) < TIE, F.lit(False))
+    return beside.withColumn("tied", near("_before") | near("_after")).drop("_before", "_after")
 
 
 def counter(checks: Column) -> Column:
@@ -167,10 +170,16 @@ def evaluated(rows: DataFrame, evaluator: Callable[[list[dict], str], list[dict]
     return out.withColumn("reasons", top_reasons(F.col("checks"))).drop("answers")
 
 
+def shortlisted(matches: DataFrame, who: str) -> DataFrame:
+    """Who goes on a shortlist of ``matches(decision, category)``: those invited (``who = 'invite'``), else all who fit and aren't rejected."""
+    if who == "invite":
+        return matches.where("decision = 'invite'")
+    return matches.where(~F.col("decision").eqNullSafe("reject") & (F.col("category") == "fit"))
+
+
 def in_shortlist_order() -> list[Column]:
-    """The order of a shortlist: by decision (invited first, undecided last), then by score and place."""
-    decision = F.when(F.col("decision") == "invite", 0).when(F.col("decision") == "maybe", 1).otherwise(2)
-    return [decision, F.desc("score"), F.col("rank").asc_nulls_last(), F.col("id")]
+    """The order of a shortlist: stale records last, then by score; no score is 0."""
+    return [F.coalesce("stale", F.lit(False)), F.coalesce("score", F.lit(0)).desc(), F.col("id")]
 
 
 def saved_score(old_status: Column, old_score: Column, old_previous: Column, reason: Column) -> Column:
@@ -182,5 +191,6 @@ def in_group_order() -> list[Column]:
     return [F.col("stale"), F.desc("score"), F.coalesce("rank", F.lit(0)), F.col("id")]
 
 
-def ranked(pool: DataFrame, order: list[Column], by: list[str]) -> DataFrame:
-    return pool.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def placed(pool: DataFrame, order: list[Column], by: list[str], place: str = "rank") -> DataFrame:
+    """Adds each row's place in its group, in two passes; ``order`` ends with a unique id."""
+    return ranked(pool, Scratch(pool.sparkSession, "places"), "rows", by, order, place)

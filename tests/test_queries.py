@@ -4,11 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rosterlake.plans import evaluation, profiles, resolution, retrieval
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES = retrieval.QUERIES | resolution.QUERIES | evaluation.QUERIES | profiles.QUERIES
-ORACLES = retrieval.ORACLES | resolution.ORACLES | evaluation.ORACLES | profiles.ORACLES
+QUERIES = {name: query for plan in entry.PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in entry.PLANS for name, sql in plan.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")
