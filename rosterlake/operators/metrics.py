@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranked import ranked
+from .stored import Scratch
+
 
 def once_a_person(run: DataFrame, person: str = "person") -> DataFrame:
     """``run(qid, doc_id, place, person)`` with each person's first place only, places counted anew."""
-    firsts = run.groupBy("qid", person).agg(F.min_by("doc_id", "place").alias("doc_id"), F.min("place").alias("place"))
-    return firsts.select("qid", "doc_id", F.row_number().over(Window.partitionBy("qid").orderBy("place")).alias("place"))
+    firsts = run.groupBy("qid", person).agg(F.min_by("doc_id", "place").alias("doc_id"), F.min("place").alias("was"))
+    return ranked(firsts, Scratch(run.sparkSession, "persons"), "firsts", ["qid"], [F.col("was")], "place").select("qid", "doc_id", "place")
 
 
 def ir_metrics(run: DataFrame, qrels: DataFrame, k: int = 40, relevant: int = 2, gain_at: int = 10) -> DataFrame:
@@ -19,7 +22,7 @@ def ir_metrics(run: DataFrame, qrels: DataFrame, k: int = 40, relevant: int = 2,
     got = judged.groupBy("qid").agg(
         F.count_if((F.col("grade") >= relevant) & (F.col("place") <= k)).alias("hits"), F.sum(F.when(F.col("place") <= gain_at, gain("place")).otherwise(0.0)).alias("dcg")
     )
-    ideal = qrels.withColumn("ideal", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"), "doc_id")))
+    ideal = ranked(qrels, Scratch(run.sparkSession, "qrels"), "ideal", ["qid"], [F.desc("grade"), F.col("doc_id")], "ideal")
     best = ideal.groupBy("qid").agg(F.count_if(F.col("grade") >= relevant).alias("relevant"), F.sum(F.when(F.col("ideal") <= gain_at, gain("ideal")).otherwise(0.0)).alias("idcg"))
     rows = best.join(got, "qid", "left").fillna({"hits": 0, "dcg": 0.0})
     return rows.select("qid", F.round(F.col("hits") / F.when(F.col("relevant") > 0, F.col("relevant")), 6).alias("recall"), F.round(F.col("dcg") / F.when(F.col("idcg") > 0, F.col("idcg")), 6).alias("ndcg"))

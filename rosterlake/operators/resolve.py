@@ -8,10 +8,8 @@ record each; no step makes all pairs of a key. Components come from label propag
 from __future__ import annotations
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import names
 from .stored import Scratch
@@ -20,33 +18,24 @@ from .stored import Scratch
 COMMON, UNSURE, POSSIBLE, SURE = 3, 0.5, 0.7, 1.0
 
 
-def _held_by_few(batches, most_people: int):
-    """Keys of Arrow rows in order of key and id whose names are ``most_people`` people or fewer, counted as they come."""
-    key, people, kind = None, [], None
-    for rows in batches:
-        good, kind = [], rows.schema.field("key").type
-        for k, readings, latin in zip(*(rows[c].to_pylist() for c in ("key", "readings", "latin")), strict=True):
-            if k != key:
-                if key is not None and len(people) <= most_people:
-                    good.append(key)
-                key, people = k, []
-            if len(people) <= most_people and not any(names.agree(readings, other, latin or also) for other, also in people):
-                people.append((readings, latin))
-        yield pa.RecordBatch.from_arrays([pa.array(good, kind)], ["key"])
-    if key is not None and len(people) <= most_people:
-        yield pa.RecordBatch.from_arrays([pa.array([key], kind)], ["key"])
-
-
 def guarded_keys(keys: DataFrame, most_people: int = COMMON - 1) -> DataFrame:
     """Rows of ``keys(id, key, person)`` whose key has two records or more and few people. Compatible names are one person;
-    only keys of more spellings than people allowed need that look."""
+    only keys of more spellings than people allowed need that look.
+
+    Each round takes a key's first spelling as a person and lets go of all that are compatible with it; what is left after as many rounds as
+    people are allowed are more people. So a spelling is compared with a few, never with all others of its key."""
     counts = keys.groupBy("key").agg(F.count_distinct("id").alias("n"), F.count_distinct("person").alias("spellings")).where("n > 1")
     doubtful = counts.where(F.col("spellings") > most_people).select("key")
-    spelled = keys.where("person <> ''").groupBy("key", "person").agg(F.min("id").alias("id")).join(doubtful, "key")
-    ordered = spelled.repartition("key").sortWithinPartitions("key", "id", "person")
-    ordered = ordered.select("key", names.readings(F.col("person")).alias("readings"), names.has_latin(F.col("person")).alias("latin"))
-    judged = ordered.mapInArrow(lambda batches: _held_by_few(batches, most_people), StructType([keys.schema["key"]]))
-    return keys.join(counts.where(F.col("spellings") <= most_people).select("key").unionByName(judged), "key")
+    left = keys.where("person <> ''").groupBy("key", "person").agg(F.min("id").alias("id")).join(doubtful, "key")
+    left = left.select("key", "id", "person", names.readings(F.col("person")).alias("r"), names.has_latin(F.col("person")).alias("latin"))
+    tables = Scratch(keys.sparkSession, "guarded")
+    for k in range(most_people):
+        left = tables.store(left, f"left{k}")
+        one = left.groupBy("key").agg(F.min_by(F.struct("r", "latin"), F.struct("id", "person")).alias("one"))
+        left = left.join(one, "key").where(~names.readings_agree(F.col("r"), F.col("one.r"), F.col("latin") | F.col("one.latin"))).drop("one")
+    common = tables.store(left.select("key").distinct(), "common")
+    tables.drop(*(f"left{k}" for k in range(most_people)))
+    return keys.join(counts.select("key"), "key").join(common, "key", "left_anti")
 
 
 def key_pairs(keys: DataFrame) -> DataFrame:
@@ -131,26 +120,32 @@ def split_parts(members: DataFrame) -> DataFrame:
     """``component, id, part`` of ``members(component, id, name, fresh)``: in order of freshness each joins the first
     part with all of whose names its own is compatible; ``part`` is the part's freshest id.
 
-    Records of one spelling always end in one part, so only a component's spellings meet in a task."""
+    Records of one spelling always end in one part, so only a component's spellings meet in a task, each with those it can't be one person with."""
     name = F.coalesce("name", F.lit(""))
-    spelled = members.groupBy("component", name.alias("name")).agg(F.max(F.struct("fresh", "id")).alias("head"), F.bool_or(F.col("name").isNull()).alias("none"))
+    tables = Scratch(members.sparkSession, "parts")
+    spelled = members.groupBy("component", name.alias("name")).agg(F.max(F.struct("fresh", "id")).alias("head"))
     readings = F.when(F.col("name") != "", names.readings(F.col("name")))
-    spelled = spelled.select("component", "name", F.col("head.fresh").alias("fresh"), F.col("head.id").alias("id"), readings.alias("readings"), names.has_latin(F.col("name")).alias("latin"))
+    spelled = tables.store(spelled.select("component", "name", F.col("head.fresh").alias("fresh"), F.col("head.id").alias("id"), readings.alias("r"), names.has_latin(F.col("name")).alias("latin")), "spelled")
+    other = spelled.select("component", F.col("name").alias("other"), F.col("r").alias("r2"), F.col("latin").alias("latin2"))
+    apart = spelled.join(other, "component").where((F.col("name") != F.col("other")) & ~names.readings_agree(F.col("r"), F.col("r2"), F.col("latin") | F.col("latin2")))
+    apart = apart.groupBy("component", "name").agg(F.collect_set("other").alias("apart"))
+    judged = spelled.select("component", "name", "fresh", "id").join(apart, ["component", "name"], "left")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        parts: list[list] = []
+        parts: list[tuple] = []
         for row in rows.sort_values(["fresh", "id"], ascending=False).itertuples():
-            home = next((p for p in parts if all(names.agree(row.readings, o.readings, row.latin or o.latin) for o in p)), None)
+            apart = set(row.apart) if row.apart is not None else set()
+            home = next((p for p in parts if apart.isdisjoint(p[1])), None)
             if home is None:
-                parts.append([row])
+                parts.append((row.id, {row.name}))
             else:
-                home.append(row)
-        out = [(row.component, row.name, part[0].id) for part in parts for row in part]
+                home[1].add(row.name)
+        out = [(rows["component"].iloc[0], name, head) for head, held in parts for name in held]
         return pd.DataFrame(out, columns=["component", "name", "part"])
 
     kinds = members.schema
     id_, component = kinds["id"].dataType.simpleString(), kinds["component"].dataType.simpleString()
-    found = spelled.groupBy("component").applyInPandas(fit, f"component {component}, name string, part {id_}")
+    found = judged.groupBy("component").applyInPandas(fit, f"component {component}, name string, part {id_}")
     return members.withColumn("name", name).join(found, ["component", "name"]).select("component", "id", "part")
 
 

@@ -6,6 +6,7 @@ the meaning. BM25 reads the documents once: what a query needs of a document are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -75,16 +76,21 @@ def bm25(docs: DataFrame, query: DataFrame, tokenize: Callable[[Column], Column]
     if not terms:
         return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     seen = Observation()
+    place = F.create_map(*(x for k, t in enumerate(terms) for x in (F.lit(t), F.lit(k))))
     sized = docs.select("doc_id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("t"))
-    sized = sized.select("doc_id", F.size("t").alias("dl"), F.filter("t", lambda t: t.isin(*terms)).alias("hits"))
+    sized = sized.select("doc_id", F.size("t").alias("dl"), F.array_sort(F.transform(F.filter("t", lambda t: t.isin(*terms)), lambda t: place[t])).alias("hits"))
     sized = sized.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).where(F.size("hits") > 0)
-    tf = F.transform(F.array(*map(F.lit, terms)), lambda q: F.size(F.filter("hits", lambda h: h == q)))
-    hits = Scratch(spark, "bm25").store(sized.select("doc_id", "dl", tf.alias("tf")), "hits")
+    tables = Scratch(spark, "bm25")
+    hits = tables.store(sized, "hits")
     n, avgdl = seen.get["n"], seen.get["avgdl"]
-    df = {r["pos"]: r["df"] for r in hits.select(F.posexplode("tf")).where("col > 0").groupBy("pos").agg(F.count("*").alias("df")).collect()}
-    idf = F.array(*(F.log(F.lit(1 + (n - df.get(k, 0) + 0.5) / (df.get(k, 0) + 0.5))) for k in range(len(terms))))
-    weight = lambda i, f: i * f / (f + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
-    score = F.aggregate(F.zip_with(idf, "tf", weight), F.lit(0.0), lambda s, x: s + x)
+    df = {r["term"]: r["df"] for r in hits.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}
+    idf = F.array(*(F.lit(math.log(1 + (n - df.get(k, 0) + 0.5) / (df.get(k, 0) + 0.5))) for k in range(len(terms))))
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1)))
+    weight = lambda term, f: F.when(f > 0, F.get(idf, term) * f / (f + norm)).otherwise(0.0)
+    # hits of one term lie together: one pass counts each and adds its weight when the next begins
+    state = lambda term, f, score: F.struct(term.alias("term"), f.alias("f"), score.alias("score"))
+    step = lambda s, h: F.when(h == s["term"], state(h, s["f"] + 1, s["score"])).otherwise(state(h, F.lit(1), s["score"] + weight(s["term"], s["f"])))
+    score = F.aggregate("hits", state(F.lit(-1), F.lit(0), F.lit(0.0)), step, lambda s: s["score"] + weight(s["term"], s["f"]))
     return hits.select("doc_id", F.round(score, 6).alias("score")).where("score > 0")
 
 

@@ -7,7 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import contacts, names
+from ..functions import contacts, names, text
+from ..functions.bind import bound
+from . import ranked
+from .stored import Scratch
 
 #: Requirements kept of each kind, and wording that is unfair or vague. Ages in numbers are unfair where a line isn't of experience.
 MOST = {"must": 6, "nice": 4, "avoid": 3}
@@ -57,16 +60,56 @@ def scored_requirements(requirements: Column) -> Column:
     return F.filter(requirements, lambda r: ~r["flag"].eqNullSafe("discriminatory"))
 
 
-def corrections(feedback: DataFrame, vacancy: int, candidates: DataFrame) -> DataFrame:
-    """``candidate_id, corrections``: the feedback that bears on each of ``candidates(candidate_id)``, by id: their own, and what is said to be
-    irrelevant to the whole vacancy. That is one array, read as a scalar: what people wrote on one vacancy."""
-    said = feedback.where((F.col("vacancy_id") == vacancy) | (F.col("scope") == "all"))
-    note = F.struct("id", "kind", "comment")
-    every = said.where("kind = 'irrelevant'").agg(F.collect_set(note).alias("n")).scalar()
-    own = said.groupBy("candidate_id").agg(F.collect_set(note).alias("own"))
-    none = F.array().cast("array<struct<id:bigint,kind:string,comment:string>>")
-    rows = candidates.select("candidate_id").join(own, "candidate_id", "left")
-    return rows.select("candidate_id", F.array_sort(F.array_union(F.coalesce("own", none), F.coalesce(every, none))).alias("corrections"))
+#: What a note says of an evaluation, by its kind.
+NOTES = {"not_in_resume": "isn't in the text", "misread": "was understood wrongly", "irrelevant": "doesn't matter here"}
+
+
+def corrections(feedback: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``vacancy_id, candidate_id, corrections`` for each of ``pairs(vacancy_id, candidate_id)``: lines, by id, of what ``feedback(id, vacancy_id,
+    candidate_id, scope, kind, comment)`` says of it: notes on the candidate for this vacancy or for all, and what is irrelevant to the whole
+    vacancy, or to all of them, whoever it was noted on.
+
+    Notes on candidates and on vacancies are gathered first and joined by their keys; only notes for everybody are read as one value."""
+    said = F.coalesce(*(F.when(F.col("kind") == k, x) for k, x in NOTES.items()), F.lit("isn't agreed with"))
+    note = F.struct("id", F.concat(F.lit("«"), F.coalesce("comment", F.lit("")), F.lit("» "), said).alias("line"))
+    everywhere, general = F.col("scope").eqNullSafe("all"), F.col("kind").eqNullSafe("irrelevant")
+    gathered = lambda rows, name, *by: rows.groupBy(*by).agg(F.collect_set(note).alias(name))
+    own = gathered(feedback.where(~everywhere), "own", "vacancy_id", "candidate_id")
+    anywhere = gathered(feedback.where(everywhere), "anywhere", "candidate_id")
+    whole = gathered(feedback.where(general & ~everywhere), "whole", "vacancy_id")
+    rows = pairs.select("vacancy_id", "candidate_id").join(own, ["vacancy_id", "candidate_id"], "left").join(anywhere, "candidate_id", "left").join(whole, "vacancy_id", "left")
+    rows = rows.withColumn("every", feedback.where(general & everywhere).agg(F.collect_set(note)).scalar())
+    none = F.array().cast("array<struct<id:bigint,line:string>>")
+    found = F.array_distinct(F.concat(*(F.coalesce(F.col(c).cast("array<struct<id:bigint,line:string>>"), none) for c in ("own", "anywhere", "whole", "every"))))
+    return rows.select("vacancy_id", "candidate_id", F.transform(F.array_sort(found), lambda x: x["line"]).alias("corrections"))
+
+
+def fair_description(description: Column, requirements: Column) -> Column:
+    """``struct(kept, cut)``: the description's sentences without and with what is unfair, or what a requirement flagged so names."""
+    parts = F.filter(F.transform(F.split(F.coalesce(description, F.lit("")), r"(?U)(?<=[.!?;])\s+|\n+"), F.trim), lambda p: p != "")
+    flagged = F.transform(F.filter(requirements, lambda r: r["flag"].eqNullSafe("discriminatory")), lambda r: F.lower(r["name"]))
+    unfair = lambda p: p.rlike(UNFAIR) | F.exists(flagged, lambda name: F.contains(F.lower(p), name))
+    return bound(parts, lambda ps: F.struct(F.filter(ps, lambda p: ~unfair(p)).alias("kept"), F.filter(ps, unfair).alias("cut")))
+
+
+def prompts(rows: DataFrame) -> DataFrame:
+    """Adds ``prompt``, what an evaluator is asked about each of ``rows(vacancy_id, candidate_id, title, description, requirements, corrections, structure,
+    name, text)``: the fair part of the description, the requirements in use, corrections without personal data, what is known, and numbered lines.
+
+    ``text`` is de-identified already; ``structure`` is null for a record that isn't parsed."""
+    asked = F.transform(scored_requirements(F.col("requirements")), lambda r: F.concat(F.lit("- "), r["id"], F.lit(" ["), r["kind"], F.lit("] "), r["name"]))
+    noted = F.transform("corrections", lambda x: text.anonymize(x, F.col("name")))
+    section = lambda head, body: F.concat(F.lit(f"{head}\n"), body)
+    parts = [
+        F.concat(F.lit("Vacancy "), F.col("vacancy_id").cast("string"), F.lit(", candidate "), F.col("candidate_id").cast("string")),
+        F.concat(F.lit("Title: "), F.col("title")),
+        section("Description:", F.array_join(fair_description(F.col("description"), F.col("requirements"))["kept"], " ")),
+        section("Requirements:", F.array_join(asked, "\n")),
+        F.when(F.size("corrections") > 0, section("Corrections of earlier evaluations:", F.array_join(noted, "\n"))),
+        F.concat(F.lit("Known: "), F.coalesce("structure", F.lit("not parsed"))),
+        section("Text, lines numbered:", text.numbered(F.col("text"))),
+    ]
+    return rows.withColumn("prompt", F.concat_ws("\n\n", *parts))
 
 
 def recount(matches: DataFrame, kind: Column | str) -> DataFrame:
@@ -84,6 +127,12 @@ def renumbered(requirements: Column, edit: str, item: Column | None = None) -> C
     return F.transform(requirements, lambda r: F.when(r["id"] == item["id"], item).otherwise(r))
 
 
+def edited(vacancies: DataFrame, edit: str, item: Column) -> DataFrame:
+    """``vacancies(requirements, version)`` after an edit; the version, by which evaluations are outdated, goes up where something changed."""
+    after = renumbered(F.col("requirements"), edit, item)
+    return vacancies.withColumns({"requirements": after, "version": F.col("version") + (~after.eqNullSafe(F.col("requirements"))).cast("int")})
+
+
 def hard_filters(held: dict) -> dict:
     """A vacancy's filters as the search takes them: blanks and zeros are none; only fresh records can be asked for."""
     number = lambda k: float(held[k]) if held.get(k) not in (None, "") else None
@@ -139,16 +188,18 @@ def fires(spark: SparkSession, first: str, last: str, days: list[int], hour: int
     return day.where(F.weekday("day").isin([d - 1 for d in days])).select((F.col("day").cast("timestamp") + F.make_dt_interval(hours=F.lit(hour))).alias("fire"))
 
 
-def once_a_minute(requests: DataFrame, key: list[str], at: str) -> DataFrame:
-    """Requests but for repeats: those within a minute of the last one that wasn't a repeat.
+def once_a_minute(requests: DataFrame, key: list[str], at: str, id: str) -> DataFrame:
+    """Requests but for repeats: those within a minute of the last one that wasn't a repeat, in order of time and ``id``, which is unique.
 
-    After a pause of more than a minute the next request always counts, so only the requests between two pauses meet in a task."""
-    seconds = F.unix_timestamp(at)
-    new = F.coalesce(seconds - F.lag(seconds).over(Window.partitionBy(*key).orderBy(at)) > 60, F.lit(True))
-    bursts = requests.withColumn("_burst", F.when(new, F.monotonically_increasing_id()))
-    bursts = bursts.withColumn("_burst", F.last("_burst", True).over(Window.partitionBy(*key).orderBy(F.col(at), F.col("_burst").desc_nulls_last())))
+    After a pause of more than a minute the next request always counts, so only the requests between two pauses meet in a task; such a burst
+    is known by its first request, and pauses are found without a window over a whole key."""
+    tables, order = Scratch(requests.sparkSession, "repeats"), [F.col("_s"), F.col(id)]
+    rows = requests.withColumn("_s", F.unix_timestamp(at))
+    beside = ranked.neighbours(rows, tables, "beside", key, order, ["_s"])
+    starts = beside.withColumn("_new", (F.col("_before").isNull() | (F.col("_s") - F.col("_before._s") > 60)).cast("long")).drop("_before", "_after")
+    numbered = ranked.ranked(starts, tables, "bursts", key, order, sums={"_burst": "_new"}).withColumn("_burst", F.col("_burst") + F.col("_new"))
     names_ = [*key, "_burst"]
-    ordered = bursts.withColumn("_s", seconds).repartition(*names_).sortWithinPartitions(*names_, at)
+    ordered = numbered.drop("_new").repartition(*names_).sortWithinPartitions(*names_, *order)
 
     def kept(batches):
         held, last = None, 0
@@ -159,7 +210,7 @@ def once_a_minute(requests: DataFrame, key: list[str], at: str) -> DataFrame:
                 held, last = burst, s if keep[-1] else last
             yield rows[keep].drop(columns=["_burst", "_s"])
 
-    return ordered.mapInPandas(kept, requests.schema)
+    return ordered.select(*requests.columns, "_s", "_burst").mapInPandas(kept, requests.schema)
 
 
 def sections(summary: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluate, extract
+from ..operators import evaluate, extract, trailing
 from ..operators.stored import Scratch
 from .retrieval import candidates, table
 
@@ -38,15 +38,13 @@ def top_reasons(spark, sf_dir):
 
 
 def tie_flags(spark, sf_dir):
-    order = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")
-    rows = _checked(spark, sf_dir).withColumn("score", (F.col("score") + F.col("n_chars") % 40).cast("int"))
-    return rows.select("doc_id", "score", evaluate.tied(F.col("score"), order).alias("tied"))
+    rows = _checked(spark, sf_dir).select("doc_id", "source", (F.col("score") + F.col("n_chars") % 40).cast("int").alias("score"))
+    return evaluate.tied(rows, ["source"], [F.desc("score"), F.col("doc_id")]).select("doc_id", "score", "tied")
 
 
 def results_order(spark, sf_dir):
     rows = _checked(spark, sf_dir).select(F.col("doc_id").alias("id"), "category", "score", (F.col("doc_id") % 5 == 0).alias("stale"), F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")).alias("rank"))
-    place = F.row_number().over(Window.partitionBy("category").orderBy(*evaluate.in_group_order()))
-    return rows.withColumn("place", place).select("id", "category", "place")
+    return evaluate.placed(rows, evaluate.in_group_order(), ["category"], "place").select("id", "category", "place")
 
 
 def eval_plan(spark, sf_dir):
@@ -59,7 +57,7 @@ def eval_plan(spark, sf_dir):
 
 def rank_assign(spark, sf_dir):
     docs = candidates(spark, sf_dir)
-    pool = evaluate.ranked(docs.where("quality = 1").select("doc_id", "source", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], ["source"])
+    pool = evaluate.placed(docs.where("quality = 1").select("doc_id", "source", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], ["source"])
     return docs.select("doc_id").join(pool.select("doc_id", "rank"), "doc_id", "left")
 
 
@@ -143,10 +141,11 @@ def clipped_estimate(spark, sf_dir):
 
 
 def stage_throughput(spark, sf_dir):
+    """The rate a minute over each event's last quarter of an hour."""
     ticks = table(spark, sf_dir, "events").select("event_type", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
-    recent = Window.partitionBy("event_type").orderBy("s").rangeBetween(-3600, 0)
-    rows = ticks.withColumns({"n": F.count("*").over(recent), "span": F.col("s") - F.min("s").over(recent)})
-    return rows.select("event_id", F.when((F.col("n") >= 2) & (F.col("span") >= 120), F.round(60 * (F.col("n") - 1) / F.col("span"), 6)).alias("per_minute"))
+    recent = trailing.counts(ticks, ["event_type"], "s", "event_id", 900)
+    span = F.col("s") - F.col("first")
+    return recent.select("event_id", F.when((F.col("n") >= 2) & (span >= 120), F.round(60 * (F.col("n") - 1) / span, 6)).alias("per_minute"))
 
 
 def events_sessions(spark, sf_dir):
@@ -256,7 +255,7 @@ SELECT l_orderkey, 'order ' || l_orderkey || chr(10) || string_agg(job, chr(10)
     "clipped_estimate": """WITH r AS (SELECT lang, count(*) AS n, coalesce(sum(least(length(text), 12000)), 0)::BIGINT AS chars FROM documents GROUP BY 1)
 SELECT lang, n, chars, round((chars / 3 + n * 700) * 0.7, 3) AS low, round((chars / 3 + n * 700) * 1.3, 3) AS high, (ceil(n / 4) * 8)::BIGINT AS seconds FROM r""",
     "stage_throughput": """WITH t AS (SELECT event_id, event_type, epoch(date_trunc('second', ts))::BIGINT AS s FROM events),
-w AS (SELECT event_id, count(*) OVER r AS n, s - min(s) OVER r AS span FROM t WINDOW r AS (PARTITION BY event_type ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW))
+w AS (SELECT event_id, count(*) OVER r AS n, s - min(s) OVER r AS span FROM t WINDOW r AS (PARTITION BY event_type ORDER BY s RANGE BETWEEN 900 PRECEDING AND CURRENT ROW))
 SELECT event_id, CASE WHEN n >= 2 AND span >= 120 THEN round(60 * (n - 1) / span, 6) END AS per_minute FROM w""",
     "hourly_events": "SELECT event_type, count(*) AS n, count(DISTINCT date_trunc('hour', ts)) AS windows FROM events GROUP BY 1",
     "events_sessions": """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true)::INT AS new FROM events),

@@ -92,7 +92,7 @@ def schedule_fires(spark, sf_dir):
 
 def once_a_minute(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return vacancy.once_a_minute(events, ["event_type"], "ts").groupBy("event_type").agg(F.count("*").alias("n"))
+    return vacancy.once_a_minute(events, ["event_type"], "ts", "event_id").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def order_history(spark, sf_dir):

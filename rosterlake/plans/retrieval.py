@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, search
+from ..operators import metrics, ranked, search
+from ..operators.stored import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,34 +17,36 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
 
-def _query(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Terms of the first benchmark item, and the first vector."""
-    items, vectors = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
-    item = items.orderBy("item_id").limit(1).select(F.explode(search.tokens(F.col("text"))).alias("term"))
-    return item, vectors.orderBy("vec_id").limit(1).select("embedding")
+def _lexical(spark, sf_dir) -> DataFrame:
+    """The list of the first benchmark item's words."""
+    item = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(F.explode(search.tokens(F.col("text"))).alias("term"))
+    return search.top(search.bm25(table(spark, sf_dir, "documents"), item))
 
 
-def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    terms, vector = _query(spark, sf_dir)
-    lexical = search.top(search.bm25(table(spark, sf_dir, "documents"), terms))
-    return search.top(search.cosine(table(spark, sf_dir, "embeddings"), vector)), lexical
+def _vectors(spark, sf_dir) -> DataFrame:
+    """The list of the first vector's neighbours."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return search.top(search.cosine(vectors, vectors.orderBy("vec_id").limit(1).select("embedding")))
+
+
+def _fused(spark, sf_dir) -> DataFrame:
+    return search.fuse(_vectors(spark, sf_dir), _lexical(spark, sf_dir))
 
 
 def lexical_topk(spark, sf_dir):
-    return _lists(spark, sf_dir)[1]
+    return _lexical(spark, sf_dir)
 
 
 def vector_topk(spark, sf_dir):
-    return _lists(spark, sf_dir)[0].withColumn("closeness", search.closeness(F.col("score")))
+    return _vectors(spark, sf_dir).withColumn("closeness", search.closeness(F.col("score")))
 
 
 def rrf_fuse(spark, sf_dir):
-    fused = search.fuse(*_lists(spark, sf_dir))
-    return fused.withColumn("place", F.row_number().over(Window.orderBy(*search.fused_order()))).select("doc_id", "rrf", "place")
+    return _fused(spark, sf_dir).withColumn("place", F.row_number().over(Window.orderBy(*search.fused_order()))).select("doc_id", "rrf", "place")
 
 
 def hybrid_search(spark, sf_dir):
-    fused = search.gate(search.fuse(*_lists(spark, sf_dir)))
+    fused = search.gate(_fused(spark, sf_dir))
     found = fused.join(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "lang", "source", "n_chars"), "doc_id")
     paged = search.page(found, search.fused_order())
     return paged.withColumn("place", F.row_number().over(Window.orderBy(*search.fused_order()))).select("doc_id", "lang", "source", "n_chars", "rrf", "place")
@@ -87,7 +90,7 @@ def not_rejected(spark, sf_dir):
 
 def ir_metrics(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("qid"), "n_chars"), table(spark, sf_dir, "labels")
-    run = docs.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n_chars"), "doc_id"))).select("qid", "doc_id", "place")
+    run = ranked.ranked(docs, Scratch(spark, "run"), "places", ["qid"], [F.desc("n_chars"), F.col("doc_id")], "place").select("qid", "doc_id", "place")
     qrels = docs.join(labels, "doc_id").select("qid", "doc_id", (2 * F.col("quality") + F.col("toxic")).cast("int").alias("grade"))
     return metrics.ir_metrics(run, qrels)
 

@@ -1,4 +1,4 @@
-"""Names read once by Spark, compared in Python."""
+"""Couples of names, judged by Spark at once."""
 
 from pyspark.sql import functions as F
 
@@ -6,8 +6,7 @@ from rosterlake.functions import names
 
 
 def compatible(spark, *people):
-    """A function that says whether two of the names are compatible."""
-    rows = spark.createDataFrame([(n,) for n in {*people, ""}], "n string")
-    held = {r.n: (r.r, r.l) for r in rows.select("n", names.readings(F.col("n")).alias("r"), names.has_latin(F.col("n")).alias("l")).collect()}
-    held[None] = (None, False)
-    return lambda a, b: names.agree(held[a][0], held[b][0], held[a][1] or held[b][1])
+    """A function that says whether two of the names are compatible; a missing one is with all."""
+    rows = spark.createDataFrame([(n, m) for n in {*people} for m in {*people}], "n string, m string")
+    held = {(r.n, r.m): r.fits for r in rows.select("n", "m", names.names_compatible(F.col("n"), F.col("m")).alias("fits")).collect()}
+    return lambda a, b: a is None or b is None or held[a, b]

