@@ -1,8 +1,8 @@
 """Phrase collocations from depth-limited count tries.
 
-Each task reads slices of one language (shards): pieces, words, and the shard's own dictionary. Depth one is merged first: a
-phrase with a word that occurs less than ``LEAST`` times can't reach that count itself, so each shard gets back, for its
-own dictionary alone, which of its words do, with their numbers in the language's order of words. Over runs of such words it builds its trie of two to ``DEPTH`` words as
+Each task reads slices of one language (shards): pieces, words, and the shard's own dictionary. Depth one is merged first, from dictionaries cut
+by ranges of their words' names: a phrase with a word that occurs less than ``LEAST`` times can't reach that count itself, so each shard gets back, for its
+own dictionary alone, which of its words do, with their numbers. Over runs of such words it builds its trie of two to ``DEPTH`` words as
 sorted paths with counts. Tries are serialised sorted, a path as what it doesn't share with the one before, and cut by prefix ranges: a path's
 place on the language's line is found as in arithmetic coding (each word takes its share of its predecessor's interval), so
 ranges hold similar shares of all occurrences, however common a first word is. Each range is merged from all shards' cuts, and counts of its
@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
-from ..operators.ranked import ranked
 from .scratch import Scratch
 from .textops import fingerprints, slices, utf8
 
@@ -42,11 +42,27 @@ _KIND[[0x20, 0x09]] = _BLANK
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-SHARDS = "shard long, lang string, n_words long, words array<string>, counts array<int>, stream binary"
+#: Entries of dictionaries in a range of words.
+WORDS = 1 << 20
+SHARDS = "shard long, lang string, n_words long, n_distinct long, words array<string>, counts array<int>, stream binary, ranks binary"
 SEGMENTS = "lang string, n long, range int, shared binary, depth binary, ids binary, counts binary"
+ENTRIES = "lang string, range int, shard long, start int, words binary, counts binary"
+FOUND = "lang string, range int, shard long, words array<string>, counts array<long>, places binary, numbers binary, count binary, before binary"
 NODES = "lang string, n long, path array<int>, f long"
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers in little space: their first bytes, their second bytes and so on, compressed."""
+    size = values.dtype.itemsize
+    return ZstdCompressor(level=1).compress(bytes([size]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, size).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = ZstdDecompressor().decompress(data)
+    size = raw[0]
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=1).reshape(size, -1).T).view(f"<i{size}").reshape(-1)
+
+
 def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First places, the number of each item's name, and counts of distinct couples of names."""
     _, first, inverse, counts = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
@@ -55,8 +71,9 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return first, inverse.reshape(-1), counts
 
 
-def shard(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words, their counts, and the words in order by number; those that begin a piece as their complement (``~k``)."""
+def shard(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words in order of their names, their counts, the words in order by rank (the most frequent is 0; those that begin a piece as their
+    complement ``~k``), and the rank of each distinct word."""
     data, offsets = utf8(texts)
     data = _LOWER[data]
     kind = _KIND[data]
@@ -70,16 +87,19 @@ def shard(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     begins[cut], ends[cut - 1] = whole[cut], whole[cut - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     if not len(start):
-        return pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return pa.array([], pa.string()), *(np.zeros(0, np.int32) for _ in range(3))
     first, number, counts = distinct(fingerprints(data, start, end, "a"), fingerprints(data, start, end, "b"))
     piece = np.searchsorted(np.flatnonzero(kind == _BREAK), start) + np.searchsorted(offsets[1:], start, "right")
     new = np.concatenate(([True], piece[1:] != piece[:-1]))
-    stream = np.where(new, ~number, number).astype(np.int32)
+    ranks = np.empty(len(counts), np.int32)
+    ranks[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    number = ranks[number]
+    stream = np.where(new, ~number, number)
     size = (end - start)[first]
     stop = np.cumsum(size)
     raw = data[np.repeat(start[first] - (stop - size), size) + np.arange(stop[-1])]
     words = pa.LargeBinaryArray.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(np.concatenate(([0], stop)).astype(np.int64)), pa.py_buffer(raw)])
-    return words.cast(pa.string()), counts.astype(np.int32), stream
+    return words.cast(pa.string()), counts.astype(np.int32), stream, ranks
 
 
 def shards(docs: DataFrame) -> DataFrame:
@@ -90,9 +110,9 @@ def shards(docs: DataFrame) -> DataFrame:
         for batch in gathered(batches):
             for rows in slices(batch, limit=SLICE):
                 for lang in pc.unique(rows.column("lang")).to_pylist():
-                    words, counts, stream = shard(rows.filter(pc.equal(rows.column("lang"), lang)).column("text"))
+                    words, counts, stream, ranks = shard(rows.filter(pc.equal(rows.column("lang"), lang)).column("text"))
                     if len(stream):
-                        columns = [[(part << 32) + k], [lang], [len(stream)], pa.ListArray.from_arrays([0, len(words)], words), pa.ListArray.from_arrays([0, len(counts)], pa.array(counts)), [stream.tobytes()]]
+                        columns = [[(part << 32) + k], [lang], [len(stream)], [len(words)], pa.ListArray.from_arrays([0, len(words)], words), pa.ListArray.from_arrays([0, len(counts)], pa.array(counts)), [packed(stream)], [packed(ranks)]]
                         yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
                         k += 1
 
@@ -116,6 +136,79 @@ def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if sum(b.num_rows for b in batches) else batches[0]
 
 
+def groups(batches: Iterator[pa.RecordBatch], names: list[str], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal first columns, the rest of each row by it."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if row[:n_keys] != key:
+                if held:
+                    yield key, held
+                key, held = row[:n_keys], []
+            held.append(row[n_keys:])
+    if held:
+        yield key, held
+
+
+def entries(read: DataFrame, ranges: int) -> DataFrame:
+    """The shards' dictionaries, cut by ranges of the words' names."""
+    names = [x.split()[0] for x in ENTRIES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard_, lang = batch.column("shard")[k].as_py(), batch.column("lang")[k].as_py()
+                words, counts = batch.column("words")[k].values, batch.column("counts")[k].values.to_numpy()
+                data, offsets = utf8(words)
+                of = ((fingerprints(data, offsets[:-1], offsets[1:], "a") >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)])).tolist()
+                rows = []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    body = pc.binary_join(pa.ListArray.from_arrays([0, b - a], words.slice(a, b - a)), " ")[0].as_py()
+                    rows.append((lang, int(of[a]), shard_, a, ZstdCompressor(level=1).compress(body.encode()), packed(counts[a:b])))
+                for j in range(0, len(rows), 64):
+                    columns = [pa.array(x, pa.int32() if c in ("range", "start") else None) for c, x in zip(names, zip(*rows[j : j + 64], strict=True), strict=True)]
+                    yield pa.record_batch(columns, names)
+
+    return read.select("shard", "lang", "words", "counts").mapInArrow(run, ENTRIES)
+
+
+def frequent(dictionaries: DataFrame, least: int) -> DataFrame:
+    """For each range its words that occur ``least`` times with their counts, in order, and for each shard where its dictionary has them (``places``),
+    which of the range's words they are (``numbers``), their counts, and the counts of the range's words before them."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.binary()] * 4]
+    read = [x.split()[0] for x in ENTRIES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (lang, k), rows in groups(batches, read, 2):
+            parts = [pc.split_pattern(pa.array([ZstdDecompressor().decompress(words)]).cast(pa.string()), " ").flatten() for _, _, words, _ in rows]
+            encoded = pa.concat_arrays(parts).dictionary_encode()
+            code, size = encoded.indices.to_numpy(), np.array([len(p) for p in parts])
+            total = np.bincount(code, np.concatenate([unpacked(counts) for *_, counts in rows]).astype(np.float64), len(encoded.dictionary)).astype(np.int64)
+            kept = np.flatnonzero(total >= least)
+            if not len(kept):
+                continue
+            words = encoded.dictionary.take(pa.array(kept))
+            order = pc.sort_indices(words).to_numpy()
+            kept, words = kept[order], words.take(pa.array(order))
+            number = np.full(len(total), -1, np.int32)
+            number[kept] = np.arange(len(kept))
+            count = total[kept]
+            before = np.cumsum(count) - count
+            out = [(lang, k, None, words.to_pylist(), count.tolist(), None, None, None, None)]
+            ends = np.cumsum(size)
+            for (shard_, start, *_), a, b in zip(rows, (ends - size).tolist(), ends.tolist(), strict=True):
+                here = number[code[a:b]]
+                at = np.flatnonzero(here >= 0)
+                if len(at):
+                    out.append((lang, k, shard_, None, None, packed((at + start).astype(np.int32)), packed(here[at]), packed(count[here[at]]), packed(before[here[at]])))
+            for j in range(0, len(out), 256):
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out[j : j + 256], strict=True), kinds, strict=True)], names)
+
+    return dictionaries.repartition("lang", "range").sortWithinPartitions("lang", "range", "shard").mapInArrow(run, FOUND)
+
+
 def paths(stream: np.ndarray, number: np.ndarray) -> np.ndarray:
     """The runs of up to ``DEPTH`` frequent words (two at least) that begin at each word; -1 fills them up."""
     new, word = stream < 0, number[np.where(stream < 0, ~stream, stream)]
@@ -155,19 +248,19 @@ def serialised(rows: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, byte
     same[1:] = np.minimum(np.cumprod(rows[1:] == rows[:-1], 1).sum(1), depth[1:])
     at = np.arange(rows.shape[1])
     fresh = (at >= same[:, None]) & (at < depth[:, None])
-    return same.astype(np.uint8).tobytes(), depth.astype(np.uint8).tobytes(), rows[fresh].astype("<i4").tobytes(), counts.astype("<i8").tobytes()
+    return packed(same.astype(np.int8)), packed(depth.astype(np.int8)), packed(rows[fresh].astype("<i4")), packed(counts.astype("<i8"))
 
 
 def restored(shared: bytes, depth: bytes, ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    same, deep = np.frombuffer(shared, np.uint8), np.frombuffer(depth, np.uint8)
+    same, deep = unpacked(shared), unpacked(depth)
     at = np.arange(DEPTH)
     fresh, held = (at >= same[:, None]) & (at < deep[:, None]), at < deep[:, None]
     rows = np.full((len(same), DEPTH), -1, np.int32)
-    rows[fresh] = np.frombuffer(ids, "<i4")
+    rows[fresh] = unpacked(ids)
     for d in range(DEPTH):  # a shared word is that of the last path that brought one
         source = np.maximum.accumulate(np.where(same <= d, np.arange(len(same)), 0))
         rows[:, d] = np.where(held[:, d], rows[source, d], -1)
-    return rows, np.frombuffer(counts, "<i8")
+    return rows, unpacked(counts)
 
 
 def tries(known: DataFrame, size: int = RANGE) -> DataFrame:
@@ -177,12 +270,16 @@ def tries(known: DataFrame, size: int = RANGE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                lang, n, n_frequent, n_words = (batch.column(c)[k].as_py() for c in ("lang", "n", "n_frequent", "size"))
-                stream = np.frombuffer(batch.column("stream")[k].as_buffer(), np.int32)
-                local, number, before, count = (batch.column("known")[k].values.field(c).to_numpy() for c in ("local", "number", "before", "count"))
+                lang, n, n_frequent, n_distinct = (batch.column(c)[k].as_py() for c in ("lang", "n", "n_frequent", "n_distinct"))
+                stream, ranks = (unpacked(batch.column(c)[k].as_py()) for c in ("stream", "ranks"))
+                known = batch.column("known")[k].as_py()
+                parts = [[unpacked(x[c]) for c in ("places", "numbers", "count", "before")] for x in known]
+                at, number, count, before = (np.concatenate([p[j] for p in parts]).astype(np.int64) for j in range(4))
+                number += np.repeat([x["first"] for x in known], [len(p[0]) for p in parts])
+                before += np.repeat([x["base"] for x in known], [len(p[0]) for p in parts])
                 order = np.argsort(number)  # the language's order of words, as numbers of this shard's own
-                here = np.full(n_words, -1, np.int32)
-                here[local[order]] = np.arange(len(order))
+                here = np.full(n_distinct, -1, np.int32)
+                here[ranks[at[order]]] = np.arange(len(order))
                 rows = paths(stream, here)
                 rows, counts = summed(rows, np.ones(len(rows), np.int64))
                 if not len(rows):
@@ -271,19 +368,33 @@ def walked(phrases: DataFrame) -> DataFrame:
     return phrases.repartition("lang", F.col("path")[0]).sortWithinPartitions("lang", "path").mapInArrow(run, schema)
 
 
+def numbered(docs: DataFrame, tables: Scratch, least: int) -> tuple[DataFrame, ...]:
+    """The shards, what each has of the frequent words, where each range's words begin, the words ``lang, number, word, count``, and the languages' totals."""
+    read = tables.store(shards(docs), "shards")
+    ranges = max(1, -(-(read.agg(F.sum("n_distinct")).first()[0] or 0) // WORDS))
+    found = tables.store(frequent(entries(read, ranges), least), "frequent")
+    held = found.where("shard IS NULL")
+    sizes = held.select("lang", "range", F.size("words").cast("long").alias("own"), F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum"))
+    earlier = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    zero = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0).cast("long"))
+    firsts = tables.store(sizes.select("lang", "range", zero("own").alias("first"), zero("sum").alias("base")), "firsts")
+    words = held.join(firsts.select("lang", "range", "first"), ["lang", "range"]).select("lang", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "w"))
+    words = words.select("lang", (F.col("first") + F.col("k")).cast("int").alias("number"), F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
+    totals = read.groupBy("lang").agg(F.sum("n_words").alias("n")).join(sizes.groupBy("lang").agg(F.sum("sum").alias("n_frequent")), "lang")
+    return read, found, firsts, words, totals
+
+
 def counted(docs: DataFrame, tables: Scratch, least: int, size: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """Frequent words ``lang, word, number``, and frequent phrases ``lang, n, path, f`` of one to ``DEPTH`` words."""
-    read = tables.store(shards(docs), "shards")
-    entries = read.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "entry")).select("shard", "lang", "local", F.col("entry.words").alias("word"), F.col("entry.counts").alias("count"))
-    frequent = tables.store(entries.groupBy("lang", "word").agg(F.sum("count").alias("count")).where(F.col("count") >= least), "frequent")
-    numbered = tables.store(ranked(frequent, tables, "parts", ["lang"], [F.col("word")], "number", {"before": "count"}).withColumn("number", (F.col("number") - 1).cast("int")), "numbered")
-    totals = read.groupBy("lang").agg(F.sum("n_words").alias("n")).join(frequent.groupBy("lang").agg(F.sum("count").alias("n_frequent")), "lang")
-    own = entries.select("shard", "lang", "local", "word").join(numbered, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("local", "number", "before", "count")).alias("known"))
-    known = read.select("shard", "lang", "stream", F.size("words").alias("size")).join(own, "shard").join(totals, "lang")
-    found = merged(tries(known.select("lang", "n", "n_frequent", "size", "stream", "known"), size), least)
-    found = found.groupBy("lang", "path").agg(F.max("n").alias("n"), F.sum("f").alias("f")).where(F.col("f") >= least).select("lang", "n", "path", "f")
-    words = numbered.join(totals, "lang").select("lang", "n", F.array("number").alias("path"), F.col("count").alias("f"))
-    return numbered.select("lang", "word", "number"), tables.store(found.unionByName(words), "phrases")
+    read, found, firsts, words, totals = numbered(docs, tables, least)
+    told = found.where("shard IS NOT NULL").join(firsts, ["lang", "range"])
+    own = told.groupBy("shard").agg(F.collect_list(F.struct("places", "numbers", "count", "before", "first", "base")).alias("known"))
+    language = read.select("shard", "lang").join(totals, "lang").select("shard", "n", "n_frequent")
+    known = read.select("shard", "lang", "stream", "ranks", "n_distinct").join(own, "shard").join(language, "shard")
+    paths_ = merged(tries(known.select("lang", "n", "n_frequent", "n_distinct", "stream", "ranks", "known"), size), least)
+    paths_ = paths_.groupBy("lang", "path").agg(F.max("n").alias("n"), F.sum("f").alias("f")).where(F.col("f") >= least).select("lang", "n", "path", "f")
+    single = words.join(totals, "lang").select("lang", "n", F.array("number").alias("path"), F.col("count").alias("f"))
+    return words.select("lang", "word", "number"), tables.store(paths_.unionByName(single), "phrases")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, size: int = RANGE) -> DataFrame:
