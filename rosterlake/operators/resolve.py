@@ -50,7 +50,7 @@ def unseen(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
 
 
-def linked(keys: DataFrame, seen: DataFrame) -> DataFrame:
+def linked(keys: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """``key, a, b, compatible``: unseen pairs of records of ``keys(id, key, person)`` that share a key.
 
     For each couple of a key's spellings, compatible or not, one record of the first, the one with the fewest seen pairs, is paired
@@ -59,16 +59,23 @@ def linked(keys: DataFrame, seen: DataFrame) -> DataFrame:
     spelling = F.struct(F.coalesce("person", F.lit("")).alias("name"), F.col("person").isNull().alias("none"))
     tables = Scratch(keys.sparkSession, "linked")  # the keys' plan is read several times
     rows = tables.store(keys.select("key", spelling.alias("s"), "id").distinct(), "rows")
-    one = rows.select("key", "s").distinct()
-    met = tables.store(one.join(one.withColumnRenamed("s", "t"), "key"), "met")
-    # names are read and compared once, however many keys they share
+    one = rows.groupBy("key", "s").agg(F.min("id").alias("least"))
+    met = one.join(one.select("key", F.col("s").alias("t")), "key")
+    couples = met.where("s <> t").select("s", "t").distinct()
     read = lambda c: F.when(~F.col(f"{c}.none"), names.readings(F.col(f"{c}.name")))
-    spelled = tables.store(met.select("s").distinct().withColumn("r", read("s")), "spelled")
     latin = names.has_latin(F.col("s.name")) | names.has_latin(F.col("t.name"))
-    agree = met.select("s", "t").distinct().join(spelled.withColumnRenamed("r", "rs"), "s").join(spelled.select(F.col("s").alias("t"), F.col("r").alias("rt")), "t")
-    couples = met.join(agree.select("s", "t", names.readings_agree(F.col("rs"), F.col("rt"), latin).alias("compatible")), ["s", "t"]).select("key", "s", "t", "compatible")
-    both = seen.select("a", "b").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    # names are read and compared once, however many keys they share; a spelling agrees with itself if it has a reading
+    spelled = rows.select("s").distinct().select("s", read("s").alias("r"))
+    agree = couples.join(spelled.withColumnRenamed("r", "rs"), "s").join(spelled.select(F.col("s").alias("t"), F.col("r").alias("rt")), "t")
+    own = spelled.select("s", F.col("s").alias("t"), F.col("r").alias("rs"), F.col("r").alias("rt"))
+    agree = agree.select("s", "t", "rs", "rt").unionByName(own).select("s", "t", names.readings_agree(F.col("rs"), F.col("rt"), latin).alias("compatible"))
     group = ["key", "s", "t"]
+    if seen is None:
+        hubs = met.join(agree, ["s", "t"]).select(*group, "compatible", F.col("least").alias("hub"))
+        star = hubs.join(rows.select("key", F.col("s").alias("t"), "id"), ["key", "t"]).where("id <> hub")
+        return star.select("key", F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"), "compatible").distinct()
+    couples = met.join(agree, ["s", "t"]).select("key", "s", "t", "compatible")
+    both = seen.select("a", "b").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     ends = both.join(rows.withColumnRenamed("id", "a"), "a").join(rows.select("key", F.col("s").alias("t"), F.col("id").alias("b")), ["key", "b"])
     times = ends.groupBy(*group, F.col("a").alias("id")).agg(F.count("*").alias("n"))
     placed = rows.join(couples, ["key", "s"]).join(times, [*group, "id"], "left")
@@ -289,3 +296,48 @@ def unique_match(left: DataFrame, right: DataFrame, key: str, out: str) -> DataF
 def last_owner(owners: DataFrame) -> DataFrame:
     """``contact, owner``: of several holders the one with the largest id."""
     return owners.groupBy("contact").agg(F.max("id").alias("owner"))
+
+
+def body_pairs(owners: DataFrame, said: DataFrame, seen: DataFrame) -> DataFrame:
+    """``a, b, status, confidence``: open pairs of a record that names a contact in its text (``said(id, contact)``) and the contact's last owner
+    (``owners(id, contact)``), unless the pair is in a state already."""
+    pairs = said.join(last_owner(owners), "contact").where("owner <> id").select(F.col("owner").alias("a"), F.col("id").alias("b"))
+    return unseen(pairs, seen).withColumns({"status": F.lit("open"), "confidence": F.lit(UNSURE)})
+
+
+def merged_list(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Pairs merged without a person (confidence of 1 at least) whose surviving record is still active, with both names, latest pair first."""
+    side = lambda x: records.select(F.col("id").alias(x), F.col("name").alias(f"name_{x}"), F.col("duplicate_of").alias(f"of_{x}"))
+    sure = pairs.where((F.col("status") == "merged") & (F.col("confidence") >= SURE))
+    return sure.join(side("a"), "a").join(side("b"), "b").where("of_a IS NULL AND of_b = a").select("a", "b", "name_a", "name_b")
+
+
+def link_files(files: DataFrame, records: DataFrame) -> DataFrame:
+    """``file_id, owner, rule`` of ``files(file_id, name, text, batch_id)``: the record that each belongs to, by the first rule that names exactly one.
+
+    Anywhere: the first word of the file's name is the record's external id; the record names the file. In the file's own batch, for the name that
+    the file's name is, then for the one its text begins with: the same name, or one with the same first two words. Every rule is an equi-join
+    with those values that one active record alone has; ``records(id, external_id, source_file, full_name, batch_id, duplicate_of)``."""
+    stem = F.regexp_replace("name", r"\.[^.]*$", "")
+    spaced = F.trim(F.regexp_replace(stem, r"[_\s]+", " "))
+    two = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 2), " ")
+    rows = files.select(
+        "file_id", "name", "batch_id", F.nullif(F.get(F.split(stem, r"[\s_\-.]+"), F.lit(0)), F.lit("")).alias("token"),
+        F.when(names.looks_like_name(spaced), names.normalize_name(spaced)).alias("titled"), names.find_name(F.col("text")).alias("found"),
+    )
+    active = records.where("duplicate_of IS NULL")
+
+    def alone(value: Column, batch: bool) -> DataFrame:
+        by = ["_value", *(["batch_id"] if batch else [])]
+        held = active.select(value.alias("_value"), "id", "batch_id").where("_value IS NOT NULL")
+        return held.groupBy(*by).agg(F.count("*").alias("_n"), F.min("id").alias("_owner")).where("_n = 1").drop("_n")
+
+    rules = [("id", F.col("token"), F.col("external_id"), False), ("file", F.col("name"), F.col("source_file"), False)]
+    for source in ("titled", "found"):
+        rules += [(f"{source} name", F.col(source), F.col("full_name"), True), (f"{source} words", two(F.col(source)), two(F.col("full_name")), True)]
+    for k, (_, of, value, batch) in enumerate(rules):
+        same = alone(value, batch).withColumnRenamed("_owner", f"_owner{k}")
+        rows = rows.withColumn("_value", of).join(same, ["_value", *(["batch_id"] if batch else [])], "left").drop("_value")
+    owner = F.coalesce(*(F.col(f"_owner{k}") for k in range(len(rules))))
+    rule = F.coalesce(*(F.when(F.col(f"_owner{k}").isNotNull(), name) for k, (name, *_) in enumerate(rules)))
+    return rows.select("file_id", owner.alias("owner"), rule.alias("rule"))

@@ -31,8 +31,7 @@ def _star(spark, sf_dir):
 
 def exact_pairs(spark, sf_dir):
     """Links of documents with equal texts; the language stands for the name."""
-    none = spark.createDataFrame([], "a long, b long")
-    return resolve.linked(resolve.guarded_keys(_copies(spark, sf_dir)), none).select("a", "b", "compatible").distinct()
+    return resolve.linked(resolve.guarded_keys(_copies(spark, sf_dir))).select("a", "b", "compatible").distinct()
 
 
 def unseen_pairs(spark, sf_dir):
