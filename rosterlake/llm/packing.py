@@ -38,8 +38,9 @@ from .textops import slices, utf8
 
 WINDOW, SLACK = 2048, 8
 SLICE = 8_000_000
-#: The active set grows by so many combinations at a time, until so small a share of the pieces is unexplained.
-BLOCK, SETTLED, ROUNDS = 128, 0.05, 120
+#: The active set grows by so many combinations at a time, until so small a share of the pieces is unexplained, or two rounds have explained
+#: too little more: a length that most pieces have can't be filled up whole.
+BLOCK, SETTLED, ROUNDS, STALLED = 128, 0.05, 120, 0.002
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _ODD = rf"{_WHITE} (?:{_WHITE}|\z)"
 
@@ -212,7 +213,7 @@ def solve(ways: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         a[0] = 0
         return a
 
-    a, gram = matrix(used), np.zeros((0, 0))
+    a, gram, idle_rounds = matrix(used), np.zeros((0, 0)), 0
     for _ in range(ROUNDS):
         if not len(ways) or np.abs(rest).sum() <= SETTLED * want.sum():
             break
@@ -246,7 +247,10 @@ def solve(ways: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
                 x = x + step * (z - x)
                 idle = low & (x <= 1e-12)
             used, x, a, gram = used[~idle], np.maximum(x[~idle], 0), a[:, ~idle], gram[~idle][:, ~idle]
-        rest = want - a @ x
+        unexplained, rest = np.abs(rest).sum(), want - a @ x
+        idle_rounds = idle_rounds + 1 if unexplained - np.abs(rest).sum() < STALLED * want.sum() else 0
+        if idle_rounds == 2:
+            break
         if np.array_equal(np.sort(used), np.sort(before)):
             if block == 1:
                 break
