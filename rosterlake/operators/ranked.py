@@ -60,10 +60,10 @@ def carried(df: DataFrame, tables: Scratch, name: str, by: Sequence[str], order:
     rows, part = dealt(df, tables, name, by, order)
     inside = Window.partitionBy(part, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     parts = Window.partitionBy(*(by or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    here = rows.withColumns({k: F.last(c, True).over(inside) for k, c in columns.items()})
+    is_last = F.lead(F.lit(1)).over(Window.partitionBy(part, *by).orderBy(*order)).isNull()
+    here = rows.withColumns({k: F.last(c, True).over(inside) for k, c in columns.items()} | {"_is_last": is_last})
     held = {c: unused(rows, f"_{c}_of") for c in (part, *by)}
-    order_ = F.struct(*(c if isinstance(c, Column) else F.col(c) for c in order)) if order else F.lit(0)
-    ends = rows.groupBy(part, *by).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), order_)).alias(f"_end_{k}") for k, c in columns.items()))
-    ends = ends.select(*(F.col(c).alias(a) for c, a in held.items()), *(F.last(f"_end_{k}", True).over(parts).alias(f"_end_{k}") for k in columns))
+    ends = here.where("_is_last").select(*(F.col(c).alias(a) for c, a in held.items()), part, *by, *columns)
+    ends = ends.select(*held.values(), *(F.last(k, True).over(parts).alias(f"_end_{k}") for k in columns))
     both = here.join(ends, [F.col(c).eqNullSafe(F.col(a)) for c, a in held.items()])
     return both.select(*df.columns, *(F.coalesce(k, f"_end_{k}").alias(k) for k in columns))
