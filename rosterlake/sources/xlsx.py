@@ -321,7 +321,7 @@ def write_books(df: DataFrame, folder: str, by: str, order: list, columns: dict[
         name, part = (x.as_py() for x in key)
         body = table.sort_by("_place").select(list(columns))
         data = book_bytes(columns, [list(r.values()) for r in body.to_pylist()], title, tuple(head(name)))
-        file = "null" if name is None else "key" + re.sub("[^0-9A-Za-z]", lambda m: f"%{ord(m[0]):X}", name)
+        file = "null" if name is None else "key" + re.sub("[^0-9A-Za-z]", lambda m: f"_{ord(m[0]):X}_", name)
         path = f"{folder}/{file}-{part:05d}.xlsx"
         return pa.table({"key": pa.array([name], pa.string()), "part": [part], "path": [path], "n_rows": [len(body)], "n_bytes": [publish(path, data)]})
 
