@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.bind import bound
 from .ranked import neighbours, ranked
 from .stored import Scratch
 
@@ -102,21 +102,31 @@ def plan(pool: DataFrame, matches: DataFrame, version: int, feedback: DataFrame,
 ANSWERS = "array<struct<requirement_id:string,verdict:string,evidence_lines:array<int>,note:string>>"
 
 
-def rule_evaluator(requirements: list[dict], body: str) -> list[dict]:
-    """The default evaluator: a requirement is met by a line with all of its words' stems, partly met by one with half of them."""
-    found = []
-    lines = [{w[:5] for w in re.findall(r"\w{3,}", line.lower())} for line in (body or "").split("\n")]
-    for r in requirements:
-        wanted = {w[:5] for w in re.findall(r"\w{3,}", (r["name"] or "").lower())}
-        share = [len(wanted & line) / len(wanted) if wanted else 0 for line in lines]
-        best = max(range(len(share)), key=share.__getitem__)
-        verdict = "met" if share[best] == 1 else "partial" if share[best] >= 0.5 else "no_data"
-        found.append({"requirement_id": r["id"], "verdict": verdict, "evidence_lines": [best + 1] if verdict != "no_data" else None, "note": ""})
-    return found
+def rule_answers(requirements: Column, body: Column) -> Column:
+    """The default evaluator's answers (``ANSWERS``), as one expression: a requirement is met by a line with all of its words' first five letters, partly met by
+    one with half of them; of equal lines the first counts."""
+    words = lambda x: F.array_distinct(F.transform(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0)), lambda w: F.substring(w, 1, 5)))
 
+    def one(r: Column, held: Column) -> Column:
+        def judged(wanted: Column) -> Column:
+            shares = F.transform(held, lambda line, k: F.struct((F.size(F.array_intersect(wanted, line)) / F.greatest(F.size(wanted), F.lit(1))).alias("share"), (-k).alias("k")))
+            return bound(F.array_max(shares), found)
 
-def answers(rows: DataFrame, evaluator: Callable[[list[dict], str], list[dict]] = rule_evaluator) -> DataFrame:
-    """``rows(.., requirements, text)`` with ``answers, status, error`` of the evaluator; a record that it fails on is a row with status failed."""
+        def found(best: Column) -> Column:
+            verdict = F.when(best["share"] == 1, "met").when(best["share"] >= 0.5, "partial").otherwise("no_data")
+            lines = F.when(best["share"] >= 0.5, F.array(1 - best["k"]))
+            return F.struct(r["id"].alias("requirement_id"), verdict.alias("verdict"), lines.alias("evidence_lines"), F.lit("").alias("note"))
+
+        return bound(words(F.coalesce(r["name"], F.lit(""))), judged)
+
+    return bound(F.transform(text.lines(F.coalesce(body, F.lit(""))), words), lambda held: F.transform(requirements, lambda r: one(r, held))).cast(ANSWERS)
+
+
+def answers(rows: DataFrame, evaluator: Callable[[list[dict], str], list[dict]] | None = None) -> DataFrame:
+    """``rows(.., requirements, text)`` with ``answers, status, error`` of the evaluator, or of the default rules; a record that an evaluator fails on is a row with
+    status failed."""
+    if evaluator is None:
+        return rows.withColumns({"answers": rule_answers(F.col("requirements"), F.col("text")), "status": F.lit("ok"), "error": F.lit(None).cast("string")})
     keys = ("requirement_id", "verdict", "evidence_lines", "note")
 
     def run(batches):
@@ -145,25 +155,30 @@ def checked(requirements: Column, given: Column, body: Column) -> Column:
     don't confirm."""
 
     def one(r: Column) -> Column:
+        def with_lines(answer: Column, span: Column) -> Column:
+            denied = (r["kind"] == "avoid") & (answer["verdict"] == "met") & ~text.shows(body, span, r["name"])
+            verdict = F.when(span.isNull() | denied, "no_data").otherwise(F.coalesce(answer["verdict"], F.lit("no_data")))
+            return bound(verdict, lambda v: told(answer, span, v))
+
+        def told(answer: Column, span: Column, verdict: Column) -> Column:
+            good = verdict != "no_data"
+            return F.struct(
+                r["id"].alias("id"),
+                r["kind"].alias("kind"),
+                r["weight"].alias("weight"),
+                verdict.alias("verdict"),
+                F.when(good, span).alias("lines"),
+                F.coalesce(F.when(good, answer["note"]), F.lit("")).alias("note"),
+                F.when(good, text.quote(body, span)).alias("quote"),
+            )
+
         answer = F.try_element_at(F.filter(given, lambda a: a["requirement_id"] == r["id"]), F.lit(1))
-        span = text.valid_lines(answer["evidence_lines"], body)
-        denied = (r["kind"] == "avoid") & (answer["verdict"] == "met") & ~text.shows(body, span, r["name"])
-        verdict = F.when(span.isNull() | denied, "no_data").otherwise(F.coalesce(answer["verdict"], F.lit("no_data")))
-        good = verdict != "no_data"
-        return F.struct(
-            r["id"].alias("id"),
-            r["kind"].alias("kind"),
-            r["weight"].alias("weight"),
-            verdict.alias("verdict"),
-            F.when(good, span).alias("lines"),
-            F.coalesce(F.when(good, answer["note"]), F.lit("")).alias("note"),
-            F.when(good, text.quote(body, span)).alias("quote"),
-        )
+        return bound(answer, lambda a: bound(text.valid_lines(a["evidence_lines"], body), lambda span: with_lines(a, span)))
 
     return F.transform(requirements, one)
 
 
-def evaluated(rows: DataFrame, evaluator: Callable[[list[dict], str], list[dict]] = rule_evaluator) -> DataFrame:
+def evaluated(rows: DataFrame, evaluator: Callable[[list[dict], str], list[dict]] | None = None) -> DataFrame:
     """``rows(.., requirements, text)`` with ``status, checks, score, reasons``: the evaluator's answers, checked and scored."""
     out = answers(rows, evaluator).withColumn("checks", checked(F.col("requirements"), F.col("answers"), F.col("text")))
     out = out.withColumn("score", F.when(F.col("status") == "ok", score(F.col("checks"))))
