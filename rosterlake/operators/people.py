@@ -22,7 +22,7 @@ def dictionary(people: DataFrame, name: str = "full_name") -> DataFrame:
     words = F.posexplode(F.split(F.regexp_replace(forms.plain(F.col(name)), r"[^\p{L} ]", " "), " +")).alias("at", "word")
     parts = people.select(words).where("length(word) >= 3").distinct()
     middle = F.col("word").rlike("(?:" + "|".join(names.PATRONYMIC_ENDINGS) + ")$")
-    kind = F.when(middle, "middle").when(F.col("at") == 0, "last").otherwise("first")
+    kind = F.when(middle | (F.col("at") > 1), "middle").when(F.col("at") == 0, "last").otherwise("first")
     each = parts.select(kind.alias("kind"), "word").distinct().select("kind", F.explode(forms.name_forms(F.col("word"))).alias("form"))
     return each.groupBy("form").agg(F.collect_set("kind").alias("kinds"))
 

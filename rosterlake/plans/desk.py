@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, mergelog, metrics, resolve, schedule, search, vacancy
+from ..operators import answers, evaluate, mergelog, metrics, resolve, schedule, search, vacancy
+from ..operators.stored import Scratch
+from ..streaming import events, repeats
 from .evaluation import _CHECKED, _checked
 from .retrieval import candidates, table
 
@@ -220,9 +222,32 @@ def city_page(spark, sf_dir):
     return search.page(found, search.freshest_first(), number=1, size=200).select("id")
 
 
+def cached_answers(spark, sf_dir):
+    """Documents summed up by a model whose answers are kept: those of half the documents were asked for before."""
+    tables = Scratch(spark, "answers")
+    cache = answers.Cache(spark, tables.path("cache"), "summary")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source", F.col("n_chars") % 7).alias("prompt"))
+    cache.answered(rows.where("doc_id % 2 = 0"), "prompt", _summary, tables).agg(F.count_if("asked")).first()
+    return cache.answered(rows, "prompt", _summary, tables).select("doc_id", "response", "error", "asked")
+
+
+def _summary(prompt: str) -> str:
+    if prompt.endswith("/6"):
+        raise ValueError("no summary")
+    return f"{prompt.upper()}: {len(prompt)}"
+
+
+def streamed_repeats(spark, sf_dir):
+    """The events of each user but for repeats, judged by the stream up to its last watermark."""
+    tables = Scratch(spark, "repeats")
+    stream = repeats.once(events.read_events(spark, f"{sf_dir}/events.parquet"), "user_id", gap=3600)
+    found = repeats.run_appended(stream, tables.path("out"), tables.path("checkpoint"))
+    return found.groupBy("user_id").agg(F.count("*").alias("n"), F.floor(F.max("ms") / 1000).alias("last"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (linked_files, body_pairs, merged_list, replayed_merges, corrections, evaluation_prompts, missed_fires, fires_around, run_lateness, run_alert, next_run_line, report_sections, requirement_edits, saved_scores, contact_search, waiting_records, recounted, first_of_person, full_plan, city_page)
+    for f in (cached_answers, streamed_repeats, linked_files, body_pairs, merged_list, replayed_merges, corrections, evaluation_prompts, missed_fires, fires_around, run_lateness, run_alert, next_run_line, report_sections, requirement_edits, saved_scores, contact_search, waiting_records, recounted, first_of_person, full_plan, city_page)
 }
 
 _SQL_NAMES = f"""upper(translate(doc_id::VARCHAR, '0123456789', '{_LETTERS}')[1]) || translate(doc_id::VARCHAR, '0123456789', '{_LETTERS}')[2:] || 'ов ' || ['Иван', 'Петр', 'Анна'][doc_id % 3 + 1] || CASE WHEN doc_id % 2 = 0 THEN ' Ильич' ELSE '' END"""
@@ -234,6 +259,12 @@ d AS (SELECT id, unnest(generate_series(first::TIMESTAMP, last::TIMESTAMP, INTER
 f AS (SELECT id, day + to_hours(id % 24) + INTERVAL 30 MINUTE AS fire FROM d WHERE id % 2 = 0 OR isodow(day) <= 5)"""
 
 ORACLES = {
+    "cached_answers": """WITH p AS (SELECT doc_id, concat_ws('/', lang, source, n_chars % 7) AS prompt FROM documents)
+SELECT doc_id, CASE WHEN NOT ends_with(prompt, '/6') THEN upper(prompt) || ': ' || length(prompt) END AS response, CASE WHEN ends_with(prompt, '/6') THEN 'no summary' END AS error,
+ends_with(prompt, '/6') OR prompt NOT IN (SELECT prompt FROM p WHERE doc_id % 2 = 0) AS asked FROM p""",
+    "streamed_repeats": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s FROM events WHERE epoch_us(ts) // 1000000 < (SELECT (max(epoch_us(ts)) // 1000 - 86400000) // 1000 FROM events)),
+r AS (SELECT user_id, min(s) AS s FROM e GROUP BY 1 UNION ALL SELECT r.user_id, min(e.s) FROM r JOIN e ON e.user_id = r.user_id AND e.s > r.s + 3600 GROUP BY r.user_id)
+SELECT user_id, count(*) AS n, max(s) AS last FROM r GROUP BY 1""",
     "linked_files": f"""WITH r AS (SELECT doc_id AS id, doc_id::VARCHAR AS external_id, source || '-' || (doc_id // 2) || '.txt' AS source_file, {_SQL_NAMES} AS full_name, doc_id % 3 AS batch FROM documents WHERE doc_id % 11 <> 0),
 p AS (SELECT page_id, page_id * 7 % 300 AS doc_id FROM pages),
 n AS (SELECT page_id, doc_id, {_SQL_NAMES} AS full_name FROM p),
