@@ -179,10 +179,20 @@ def checked(requirements: Column, given: Column, body: Column) -> Column:
 
 
 def evaluated(rows: DataFrame, evaluator: Callable[[list[dict], str], list[dict]] | None = None) -> DataFrame:
-    """``rows(.., requirements, text)`` with ``status, checks, score, reasons``: the evaluator's answers, checked and scored."""
+    """``rows(.., requirements, text)`` with ``answers, status, checks, score, reasons``: the evaluator's answers, checked and scored."""
     out = answers(rows, evaluator).withColumn("checks", checked(F.col("requirements"), F.col("answers"), F.col("text")))
     out = out.withColumn("score", F.when(F.col("status") == "ok", score(F.col("checks"))))
-    return out.withColumn("reasons", top_reasons(F.col("checks"))).drop("answers")
+    return out.withColumn("reasons", top_reasons(F.col("checks")))
+
+
+def audited(rows: DataFrame, by: list[str]) -> DataFrame:
+    """What an evaluator's raw answers are worth, by group of ``rows(.., answers, checks, text)``: ``claimed`` verdicts of something, ``with_lines`` of them with
+    lines, ``valid`` with lines that exist and say something, and ``kept`` after all checks."""
+    each = rows.select(*by, "text", F.explode(F.arrays_zip("answers", "checks")).alias("x")).select(*by, F.col("x.answers").alias("a"), F.col("x.checks.verdict").alias("verdict"), "text")
+    claimed = F.col("a.verdict").isin("met", "partial")
+    lines = F.coalesce(F.size("a.evidence_lines") > 0, F.lit(False))
+    valid = text.valid_lines(F.col("a.evidence_lines"), F.col("text")).isNotNull()
+    return each.groupBy(*by).agg(F.count_if(claimed).alias("claimed"), F.count_if(claimed & lines).alias("with_lines"), F.count_if(claimed & valid).alias("valid"), F.count_if(claimed & (F.col("verdict") != "no_data")).alias("kept"))
 
 
 def shortlisted(matches: DataFrame, who: str) -> DataFrame:

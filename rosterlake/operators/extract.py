@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, fields, text
@@ -74,7 +74,7 @@ def checked(parsed: DataFrame, as_of_month: int) -> DataFrame:
     def fixed(p):
         now = F.coalesce(p["is_current"], F.lit(False)) | F.coalesce(p["end"].rlike(NOW), F.lit(False))
         return F.struct(
-            p["title"].alias("title"),
+            fields.without_company(p["title"], p["company"]).alias("title"),
             p["company"].alias("company"),
             fields.company_key(p["company"]).alias("company_key"),
             p["start"].alias("start"),
@@ -86,7 +86,8 @@ def checked(parsed: DataFrame, as_of_month: int) -> DataFrame:
     positions = F.transform("profile.positions", fixed)
     span = lambda p: F.struct(dates.month_index(p["start"]).cast("long").alias("start"), (F.when(p["is_current"], F.lit(as_of_month)).otherwise(dates.month_index(p["end"], True)) + 1).cast("long").alias("stop"))
     years = F.round(dates.union_months(F.filter(F.transform("positions", span), lambda s: s["start"].isNotNull() & s["stop"].isNotNull())) / 12, 1)
-    rows = parsed.withColumn("positions", positions).withColumn("years_counted", years)
+    rows = parsed.withColumn("positions", positions).withColumn("years_counted", years).withColumn("relocation", text.relocation(F.col("text"), F.lit("unknown")))
+    rows = rows.withColumn("city", F.coalesce(fields.normalize_city(F.col("profile.city")), fields.extract_city(F.col("text"))))
     stated = F.col("profile.total_years")
     return rows.withColumn("years_mismatch", F.coalesce(F.abs(stated - F.col("years_counted")) > 1, F.lit(False))).withColumn("summary", text.grounded(F.col("profile.summary"), F.col("text"), F.col("years_counted")))
 
@@ -98,7 +99,24 @@ def passage(profile_columns: DataFrame, most: int = 1500) -> DataFrame:
     return profile_columns.select("doc_id", F.when(F.col("profile").isNotNull(), card).otherwise(F.substring("text", 1, most)).alias("passage"))
 
 
+#: Fields that take lists and numbers; all others take text.
+LIST_FIELDS, NUMBER_FIELDS = ("skills", "languages"), ("total_years", "salary_amount")
+
+
+def checked_edit(field: Column, raw: Column) -> Column:
+    """``struct(value, error)`` of what a person typed: lists lose blanks, numbers become plain ones; a number that isn't one, or is below zero, is an error."""
+    parts = F.array_join(F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != ""), ", ")
+    number = F.translate(F.regexp_replace(raw, r"(?U)\s", ""), ",", ".").try_cast("double")
+    good = number.isNotNull() & (number >= 0) & (number < F.lit(float("inf")))
+    shown = F.when((field == "salary_amount") | (number == F.floor(number)), F.floor(number).cast("string")).otherwise(number.cast("string"))
+    numeric = field.isin(*NUMBER_FIELDS)
+    value = F.when(field.isin(*LIST_FIELDS), parts).when(numeric, F.when(good, shown)).otherwise(F.trim(raw))
+    return F.struct(value.alias("value"), F.when(numeric & ~F.coalesce(good, F.lit(False)), "a number from zero on is needed").alias("error"))
+
+
 def edited(values: DataFrame, edits: DataFrame) -> DataFrame:
-    """``doc_id, field, value``: a person's edits win over what is extracted again."""
-    latest = edits.groupBy("doc_id", "field").agg(F.max_by("value", "at").alias("edit"))
-    return values.join(latest, ["doc_id", "field"], "full").select("doc_id", "field", F.coalesce("edit", "value").alias("value"))
+    """``doc_id, field, value, edited_at``: a person's last good edit of ``edits(doc_id, field, value, at)`` wins over what is extracted again."""
+    good = edits.withColumn("_checked", checked_edit(F.col("field"), F.col("value"))).where("_checked.error IS NULL")
+    latest = good.groupBy("doc_id", "field").agg(F.max_by("_checked.value", "at").alias("edit"), F.max("at").alias("edited_at"))
+    rows = values.join(latest, ["doc_id", "field"], "full")
+    return rows.select("doc_id", "field", F.when(F.col("edited_at").isNotNull(), F.col("edit")).otherwise(F.col("value")).alias("value"), "edited_at")

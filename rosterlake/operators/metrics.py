@@ -33,3 +33,13 @@ def set_f1(pairs: DataFrame) -> DataFrame:
     tp, fp, fn = F.size(F.array_intersect("found", "truth")), F.size(F.array_except("found", "truth")), F.size(F.array_except("truth", "found"))
     sums = pairs.agg(F.sum(tp).alias("tp"), F.sum(fp).alias("fp"), F.sum(fn).alias("fn"))
     return sums.withColumn("f1", F.round(2 * F.col("tp") / F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0, 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6))
+
+
+def graded(people: DataFrame, rules: DataFrame) -> DataFrame:
+    """``qid, id, grade`` of ``people(id, profession, title, text)`` by ``rules(qid, profession, best, good, needed, needed_from)``: 0 in another profession, 3 and 2 for
+    the titles listed, else 1; a grade of ``needed_from`` or more falls to 1 without one of the words ``needed`` (null: none) in the text."""
+    both = people.join(rules, "profession")
+    level = F.when(F.array_contains("best", F.col("title")), 3).when(F.array_contains("good", F.col("title")), 2).otherwise(1)
+    said = F.exists("needed", lambda w: F.contains(F.lower("text"), w))
+    grade = F.when(F.col("needed").isNotNull() & (level >= F.col("needed_from")) & ~F.coalesce(said, F.lit(False)), 1).otherwise(level)
+    return both.select("qid", "id", grade.alias("grade"))

@@ -61,7 +61,18 @@ def stem(word: Column) -> Column:
     return F.when(head != "", F.concat(head, fourth)).otherwise(word)
 
 
-def stemmed_tokens(stop_words: tuple[str, ...] = ()) -> Callable[[Column], Column]:
+#: Russian words that say nothing of what a text is about: pronouns, prepositions, conjunctions, particles and forms of to be.
+STOP_WORDS = tuple(
+    (
+        "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее мне было вот от меня еще нет о из ему теперь когда даже ну ли если "
+        "уже или ни быть был него до вас нибудь опять уж вам ведь там потом себя ничего ей может они тут где есть надо ней для мы тебя их чем была сам чтоб без будто "
+        "чего раз тоже себе под будет ж тогда кто этот того потому этого какой совсем ним здесь этом один почти мой тем чтобы нее были куда зачем всех можно при об "
+        "хоть после над больше тот через эти нас про всего них какая много разве эту моя свою этой перед иногда лучше чуть том нельзя такой им более всегда между"
+    ).split()
+)
+
+
+def stemmed_tokens(stop_words: tuple[str, ...] = STOP_WORDS) -> Callable[[Column], Column]:
     """A token function for ``bm25``: without stop words, then stemmed."""
     kept = lambda x: F.filter(tokens(x), lambda t: ~t.isin(*stop_words)) if stop_words else tokens(x)
     return lambda x: F.transform(kept(x), stem)

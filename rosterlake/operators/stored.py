@@ -62,6 +62,20 @@ class Scratch:
             gc.collect()  # frees the driver's handles on the plans that read them
 
 
+def wipe(spark: SparkSession, base: str, tables: list[str], keep: tuple[str, ...] = ("settings",)) -> list[str]:
+    """Deletes the named tables of a base, all but those to keep, and what is cached of them; returns those that were there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = []
+    for name in tables:
+        at = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}")
+        system = at.getFileSystem(conf)
+        if name not in keep and system.exists(at):
+            spark.catalog.refreshByPath(str(at.toString()))
+            system.delete(at, True)
+            gone.append(name)
+    return gone
+
+
 def publish(path: str, data: bytes) -> int:
     """Writes a file of the shared folder whole or not at all, from a task too; a task that runs again replaces what a lost one left."""
     from pyarrow import fs

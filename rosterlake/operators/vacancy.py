@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contacts, names, text
@@ -86,7 +86,7 @@ def corrections(feedback: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def fair_description(description: Column, requirements: Column) -> Column:
     """``struct(kept, cut)``: the description's sentences without and with what is unfair, or what a requirement flagged so names."""
-    parts = F.filter(F.transform(F.split(F.coalesce(description, F.lit("")), r"(?U)(?<=[.!?;])\s+|\n+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(description, F.lit("")), r"(?U)(?<=[.!?;])\s+|\n+"), lambda x: F.trim(x)), lambda p: p != "")
     flagged = F.transform(F.filter(requirements, lambda r: r["flag"].eqNullSafe("discriminatory")), lambda r: F.lower(r["name"]))
     unfair = lambda p: p.rlike(UNFAIR) | F.exists(flagged, lambda name: F.contains(F.lower(p), name))
     return bound(parts, lambda ps: F.struct(F.filter(ps, lambda p: ~unfair(p)).alias("kept"), F.filter(ps, unfair).alias("cut")))
@@ -182,12 +182,6 @@ def lateness(planned: Column, started: Column, waited_for: Column, grace: int =
     return F.when(late, F.when(waited_for.isNotNull(), F.concat(F.lit("waited for "), waited_for)).otherwise("slept"))
 
 
-def fires(spark: SparkSession, first: str, last: str, days: list[int], hour: int) -> DataFrame:
-    """When a weekly schedule fires between two dates; days from 1 (Monday)."""
-    day = spark.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}')) AS day")
-    return day.where(F.weekday("day").isin([d - 1 for d in days])).select((F.col("day").cast("timestamp") + F.make_dt_interval(hours=F.lit(hour))).alias("fire"))
-
-
 def once_a_minute(requests: DataFrame, key: list[str], at: str, id: str) -> DataFrame:
     """Requests but for repeats: those within a minute of the last one that wasn't a repeat, in order of time and ``id``, which is unique.
 

@@ -137,7 +137,7 @@ def batch_history(spark, sf_dir):
 def clipped_estimate(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.least(F.length("text"), F.lit(12000))), F.lit(0)).alias("chars"))
     tokens = F.col("chars") / 3 + F.col("n") * 700
-    return rows.select("lang", "n", "chars", F.round(tokens * 0.7, 3).alias("low"), F.round(tokens * 1.3, 3).alias("high"), (F.ceil(F.col("n") / 4) * 8).cast("long").alias("seconds"))
+    return rows.select("lang", "n", "chars", F.round(tokens * 0.7, 3).alias("low"), F.round(tokens * 1.3, 3).alias("high"), (F.ceil(F.col("n") / 4) * 8).cast("long").alias("seconds"), (F.ceil(F.col("n") / 4) * 20).cast("long").alias("most_seconds"))
 
 
 def stage_throughput(spark, sf_dir):
@@ -253,7 +253,7 @@ SELECT l_orderkey, 'order ' || l_orderkey || chr(10) || string_agg(job, chr(10)
     "failure_reasons": "SELECT event_type, count(*) AS n FROM events WHERE value < 10 GROUP BY 1",
     "batch_history": "WITH h AS (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY sha1(text)) AS home FROM documents) SELECT source, count(*) FILTER (home = doc_id) AS new, count(*) FILTER (home < doc_id) AS merged FROM h GROUP BY 1",
     "clipped_estimate": """WITH r AS (SELECT lang, count(*) AS n, coalesce(sum(least(length(text), 12000)), 0)::BIGINT AS chars FROM documents GROUP BY 1)
-SELECT lang, n, chars, round((chars / 3 + n * 700) * 0.7, 3) AS low, round((chars / 3 + n * 700) * 1.3, 3) AS high, (ceil(n / 4) * 8)::BIGINT AS seconds FROM r""",
+SELECT lang, n, chars, round((chars / 3 + n * 700) * 0.7, 3) AS low, round((chars / 3 + n * 700) * 1.3, 3) AS high, (ceil(n / 4) * 8)::BIGINT AS seconds, (ceil(n / 4) * 20)::BIGINT AS most_seconds FROM r""",
     "stage_throughput": """WITH t AS (SELECT event_id, event_type, epoch(date_trunc('second', ts))::BIGINT AS s FROM events),
 w AS (SELECT event_id, count(*) OVER r AS n, s - min(s) OVER r AS span FROM t WINDOW r AS (PARTITION BY event_type ORDER BY s RANGE BETWEEN 900 PRECEDING AND CURRENT ROW))
 SELECT event_id, CASE WHEN n >= 2 AND span >= 120 THEN round(60 * (n - 1) / span, 6) END AS per_minute FROM w""",

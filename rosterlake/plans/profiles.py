@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fields
-from ..operators import embed, extract, vacancy
+from ..operators import embed, extract, schedule, vacancy
 from ..sources import documents
 from .retrieval import candidates, table
 
@@ -87,7 +87,10 @@ def repaired_runs(spark, sf_dir):
 
 
 def schedule_fires(spark, sf_dir):
-    return vacancy.fires(spark, "2024-01-01", "2024-01-31", [1, 3, 5], 22).select(F.unix_timestamp("fire").alias("fire"))
+    """When a weekly schedule fires on the days of the events."""
+    span = table(spark, sf_dir, "events").agg(F.lit(0).alias("id"), F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last"))
+    days = span.withColumns({"days": F.array(*map(F.lit, (1, 3, 5))), "hour": F.lit(22), "minute": F.lit(0)})
+    return schedule.expected(days).select(F.unix_timestamp("fire").alias("fire"))
 
 
 def once_a_minute(spark, sf_dir):
@@ -159,7 +162,7 @@ SELECT vacancy, place, 'r' || row_number() OVER (PARTITION BY vacancy ORDER BY p
 SELECT c_custkey AS id, greatest(own, every) AS at_ FROM customer LEFT JOIN o ON o.id = c_custkey, e""",
     "since_last_success": "SELECT o_orderkey FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 1000 = 1 AND o_orderstatus = 'F')",
     "repaired_runs": "SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus <> 'O' THEN 'done' WHEN o_orderkey % 3 = 0 THEN 'running' ELSE 'failed' END AS status FROM orders",
-    "schedule_fires": "SELECT epoch(d + INTERVAL 22 HOUR)::BIGINT AS fire FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS d) WHERE isodow(d) IN (1, 3, 5)",
+    "schedule_fires": "SELECT epoch(d + INTERVAL 22 HOUR)::BIGINT AS fire FROM (SELECT unnest(generate_series(min(ts)::DATE::TIMESTAMP, max(ts)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM events) WHERE isodow(d) IN (1, 3, 5)",
     "once_a_minute": """WITH RECURSIVE e AS (SELECT event_type, epoch(date_trunc('second', ts))::BIGINT AS s FROM events),
 r AS (SELECT event_type, min(s) AS s FROM e GROUP BY 1 UNION ALL SELECT r.event_type, min(e.s) FROM r JOIN e ON e.event_type = r.event_type AND e.s > r.s + 60 GROUP BY r.event_type)
 SELECT event_type, count(*) AS n FROM r GROUP BY 1""",

@@ -5,12 +5,16 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .xlsx import Book
+
 SUFFIXES = ("txt", "docx")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -77,6 +81,40 @@ def read_documents(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "source string, name string, text string, error string")
 
 
+def broken(files: DataFrame) -> DataFrame:
+    """``path, error`` of those of ``files(path, content)`` that a batch can't take: archives and workbooks that don't open or hold a part whose checksum is
+    wrong, and workbooks without rows."""
+
+    def fault(name: str, data: bytes) -> str | None:
+        if not name.lower().endswith((".zip", ".xlsx", ".docx")):
+            return None
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                bad = z.testzip()
+            if bad is not None:
+                return f"{bad}: wrong checksum"
+            if name.lower().endswith(".xlsx") and len(list(islice(Book(data).rows(), 2))) < 2:
+                return "no rows"
+        except (zipfile.BadZipFile, OSError, EOFError, NotImplementedError, RuntimeError, zlib.error, KeyError, IndexError, ValueError, ElementTree.ParseError) as e:
+            return f"doesn't open: {e}"
+        return None
+
+    def run(batches):
+        for pdf in batches:
+            found = [(path, fault(path, data)) for path, data in zip(pdf["path"], pdf["content"], strict=True)]
+            yield pd.DataFrame([f for f in found if f[1]], columns=["path", "error"])
+
+    return files.mapInPandas(run, "path string, error string")
+
+
+def accepted(files: DataFrame, shown: int = 5) -> DataFrame:
+    """The files, if a batch can take all of them; else ``ValueError`` with the first faults, before anything is imported."""
+    faults = broken(files).orderBy("path").limit(shown).collect()
+    if faults:
+        raise ValueError("; ".join(f"{r.path.rpartition('/')[2]}: {r.error}" for r in faults))
+    return files
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Old rows whose key isn't new, and all new rows."""
     return old.join(new.select(*key), key, "left_anti").unionByName(new, allowMissingColumns=True)
