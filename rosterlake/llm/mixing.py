@@ -2,18 +2,19 @@
 
 Sources in code-point order (null last) weigh ``WEIGHTS``, repeating. Together they are to give ``SHARE`` of
 all words; no target exceeds ``CAP`` times its source, what is above goes to the others by weight. A source's
-documents all expect ``target / source size`` copies; the whole part is taken, the fraction is rounded: of two
-documents with fractions, mass (in words) moves from one to the other, the way drawn so that both
-keep their expectations, until one is integral. The source's words thus stay on target exactly. A leaf is a bucket of
-about ``LEAF`` documents of one source and leaves one fraction at most; those meet in a tree of fan-in ``FAN_IN``,
-and a source's last fraction is drawn. All draws come from row hashes, so reruns agree however rows are dealt.
+documents all expect ``target / source size`` copies; the whole part is taken, the fraction is rounded: in falling size each document is
+paired with the pool of all smaller ones, and mass (in words) moves between the two, the way drawn so that both
+keep their expectations, until the document is integral (or the pool is). The pool's documents give and take by their shares, so each keeps its own expectation, and
+large documents are settled while there are small ones to make up for them. The source's words thus stay on target exactly. A leaf is a bucket of
+about ``LEAF`` documents of one source and leaves one fraction at most, as a rule its smallest document's; those meet in a tree of fan-in ``FAN_IN``,
+and a source's last fraction goes to the nearer whole, so the source comes as near to its target as that document lets it. All draws come from row hashes, so reruns agree however rows are dealt.
 
 Rows that are equal in all columns are one item that expects so many times the copies; what it gets is dealt to them in turn,
 counted within the parts in which they were read, so that no task meets all of them.
 
 Edge cases: a null or empty text has size 0 and is never taken; a null source is a source; an empty table
 gives an empty one; sources without words have target 0; ties of sizes are ordered by hash; a very long text is one item whose
-words its source may miss or exceed its target by; further columns count in the comparison of rows, whatever their names, and ``repeated``
+words its source may miss or exceed its target by if its others can't make up for it; further columns count in the comparison of rows, whatever their names, and ``repeated``
 returns them as they came.
 """
 
@@ -63,27 +64,34 @@ def _uniform(key: np.ndarray, level: int) -> np.ndarray:
 
 
 def pivot(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
-    """Rounded fractions, and the row that keeps one (-1: none). Sum of size * fraction stays as it is."""
-    p, open_, held = p.copy(), -1, 0.0
-    for k in range(len(p)):
-        if p[k] <= 1e-12 or p[k] >= 1 - 1e-12 or size[k] <= 0:
-            p[k] = round(p[k])
-        elif open_ < 0:
-            open_ = k
+    """Rounded fractions, and the row that keeps one (-1: none). Sum of size * fraction stays as it is. Rows come in falling size.
+
+    What the pool of later rows has given and taken so far is one linear map of its fractions, so a row costs the same however many follow."""
+    p, open_ = p.copy(), -1
+    live = (p > 1e-12) & (p < 1 - 1e-12) & (size > 0)
+    p[~live] = np.round(p[~live])
+    rows = np.flatnonzero(live)
+    words, mass = size[rows].astype(float), size[rows] * p[rows]
+    later_words, later_mass = (np.append(np.cumsum(x[::-1])[::-1], 0.0)[1:] for x in (words, mass))
+    slope, base = 1.0, 0.0
+    for k, a, most, held in zip(rows.tolist(), words.tolist(), later_words.tolist(), later_mass.tolist(), strict=True):
+        x = slope * p[k] + base
+        if x < 1e-9 or x > 1 - 1e-9 or open_ >= 0:
+            p[k] = round(x)
+            continue
+        pool = min(max(slope * held + base * most, 0.0), most)
+        up, down = min((1 - x) * a, pool), min(x * a, most - pool)
+        if up + down > 0 and u[k] * (up + down) < down:  # words move to the row
+            x += up / a
+            slope, base = (slope * (1 - up / pool), base * (1 - up / pool)) if pool > 0 else (0.0, 0.0)
+        elif down > 0:
+            x -= down / a
+            share = down / (most - pool)
+            slope, base = slope * (1 - share), base * (1 - share) + share
+        if 1e-9 < x < 1 - 1e-9:
+            p[k], open_ = x, k
         else:
-            a, b, x, y = float(size[open_]), float(size[k]), p[open_], p[k]
-            up, down = min((1 - x) * a, y * b), min(x * a, (1 - y) * b)
-            if u[k] * (up + down) < down:  # words move to the open row
-                x, y = (1.0, y - up / b) if (1 - x) * a <= y * b else (x + up / a, 0.0)
-            else:
-                x, y = (0.0, y + down / b) if x * a <= (1 - y) * b else (x - down / a, 1.0)
-            p[open_], p[k] = x, y
-            if x in (0.0, 1.0):
-                open_ = k if 1e-12 < y < 1 - 1e-12 else -1
-                if open_ < 0:
-                    p[k] = round(y)
-            elif not 1e-12 < x < 1 - 1e-12:
-                p[open_], open_ = round(x), -1
+            p[k] = round(x)
     return p, open_
 
 
@@ -130,8 +138,7 @@ def items(docs: DataFrame, tables: Scratch, weights: tuple = WEIGHTS, share: flo
         if n <= 1:
             break
         n, level = -(-n // FAN_IN), level + 1
-    draw = (F.pmod(F.xxhash64("key", F.lit(9)), F.lit(1 << 30)) / float(1 << 30) < F.col("p")).cast("int")
-    extras = open_.select("key", "check", draw.alias("extra"))
+    extras = open_.select("key", "check", (F.col("p") >= 0.5).cast("int").alias("extra"))
     for more in rounded:
         extras = extras.unionByName(more)
     found = found.join(extras, ["key", "check"], "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
