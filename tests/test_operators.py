@@ -38,10 +38,8 @@ def test_reasons_and_ties(spark):
     given = checks((*N, "met"), (*M, "partial"), (*M, "met"), (*A, "met"), (*N, "partial"))
     df = spark.createDataFrame([(given,)], f"checks {evaluate.CHECKS}")
     assert df.select(evaluate.top_reasons(F.col("checks"))).first()[0] == ["r2", "r0", "r1"]
-    from pyspark.sql import Window
-
     rows = spark.createDataFrame([(s,) for s in (80, 77, 60, 58, 40)], "s int")
-    assert [r.t for r in rows.select("s", evaluate.tied(F.col("s"), Window.orderBy(F.desc("s"))).alias("t")).orderBy(F.desc("s")).collect()] == [True, True, True, True, False]
+    assert [r.tied for r in evaluate.tied(rows, [], [F.desc("s")], "s").orderBy(F.desc("s")).collect()] == [True, True, True, True, False]
 
 
 def test_fusion_keeps_the_vector_list_first(spark):
@@ -116,3 +114,65 @@ def test_sinks(spark):
     old, new = (spark.createDataFrame(r, "id long, v string") for r in ([(1, "a"), (2, "b")], [(2, "=c"), (3, "d")]))
     merged = documents.upsert(old, new, ["id"])
     assert sorted(map(tuple, documents.formula_safe(merged).collect())) == [(1, "a"), (2, "'=c"), (3, "d")]
+
+
+def test_broken_batches_are_refused(spark, tmp_path):
+    import io
+    import zipfile
+
+    from rosterlake.sources import documents, xlsx
+
+    def archive(**parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for name, body in parts.items():
+                z.writestr(name, body)
+        return out.getvalue()
+
+    good = archive(**{"a.txt": "text of a person"})
+    wrong = good.replace(b"text of", b"texx of", 1)
+    files = {"good.zip": good, "sum.zip": wrong, "cut.zip": good[:40], "rows.xlsx": xlsx.book_bytes({"a": 5}, [[1]]), "bare.xlsx": xlsx.book_bytes({"a": 5}, []), "text.xlsx": b"a;b", "a.txt": b"x"}
+    df = spark.createDataFrame([(f"/in/{k}", bytearray(v)) for k, v in files.items()], "path string, content binary")
+    faults = {r.path.rpartition("/")[2]: r.error for r in documents.broken(df).collect()}
+    assert faults.keys() == {"sum.zip", "cut.zip", "bare.xlsx", "text.xlsx"} and "checksum" in faults["sum.zip"] and faults["bare.xlsx"] == "no rows"
+    with pytest.raises(ValueError, match="bare.xlsx"):
+        documents.accepted(df)
+    fine = df.where("path IN ('/in/good.zip', '/in/rows.xlsx', '/in/a.txt')")
+    assert documents.accepted(fine).count() == 3
+
+
+def test_wipe_keeps_settings(spark, tmp_path):
+    from rosterlake.operators import stored
+
+    base = f"file://{tmp_path}/base"
+    for name in ("records", "matches", "settings"):
+        spark.range(3).write.parquet(f"{base}/{name}")
+    assert stored.wipe(spark, base, ["records", "matches", "settings", "jobs"]) == ["records", "matches"]
+    assert spark.read.parquet(f"{base}/settings").count() == 3 and not (tmp_path / "base" / "records").exists()
+
+
+def test_headers_speak_before_content(spark):
+    from rosterlake.sources import tabular
+
+    assert [tabular.confidence(h, r) for h, r in (("Телефон", "phone"), ("Телефон", "email"), ("x", "phone"), ("x", ""))] == ["agreed", "check", "check", "not understood"]
+    df = spark.createDataFrame([("Иванов Иван", "г. МОСКВА"), ("", "тула")], "`ФИО` string, `Город` string").repartition(2)
+    roles = {"ФИО": "full_name", "Город": "city"}
+    assert [(r.full_name, r.city) for r in tabular.to_records(df, roles).collect()] == [("Иванов Иван", "Москва")]
+    nameless = tabular.to_records(df.withColumn("Телефон", F.lit("8 912 345 67 89")), roles | {"Телефон": "phone"})
+    assert nameless.count() == 2 and tabular.to_records(df.withColumn("Телефон", F.lit("8 912 345 67 89")), roles | {"Телефон": "phone"}, skip_nameless=True).count() == 1
+    wide = spark.range(500).select(F.col("id").cast("string").alias("a"))
+    assert tabular.sample(wide.repartition(7)).collect() == tabular.sample(wide.repartition(3)).collect()
+
+
+def test_fair_description_and_corrections_of_everybody(spark):
+    from rosterlake.operators import vacancy
+
+    asked = F.array(F.struct(F.lit("r1").alias("id"), F.lit("Знание учёта").alias("name"), F.lit("must").alias("kind"), F.lit("discriminatory").alias("flag")))
+    df = spark.createDataFrame([("Нужен мастер; знание УЧЁТА важно. Женщина до 30 лет!\n\nГрафик 2/2. ",), (None,)], "d string")
+    rows = df.select(vacancy.fair_description(F.col("d"), asked).alias("x")).collect()
+    assert [list(r.x.kept) for r in rows] == [["Нужен мастер;", "График 2/2."], []] and [list(r.x.cut) for r in rows] == [["знание УЧЁТА важно.", "Женщина до 30 лет!"], []]
+    notes = [(1, 7, 3, "vacancy", "misread", "a"), (2, 7, 4, "vacancy", "irrelevant", "b"), (3, 8, 3, "all", "other", "c"), (4, 9, 9, "all", "irrelevant", "d"), (5, 8, 3, "vacancy", "misread", "e"), (6, 7, 3, None, None, None)]
+    feedback = spark.createDataFrame(notes, "id long, vacancy_id long, candidate_id long, scope string, kind string, comment string")
+    pairs = spark.createDataFrame([(7, 3), (7, 5), (8, 3), (1, 1)], "vacancy_id long, candidate_id long")
+    found = {(r.vacancy_id, r.candidate_id): "".join(x[1] for x in r.corrections) for r in vacancy.corrections(feedback, pairs).collect()}
+    assert found == {(7, 3): "abcd»", (7, 5): "bd", (8, 3): "cde", (1, 1): "d"}
