@@ -4,9 +4,9 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from rosterlake.llm import byte_bpe, flac, mixing, ngram_join, quality_rules, sharding, substring_dedup, token_files, url_filters, warc
+from rosterlake.llm import byte_bpe, collocations, filter_audit, flac, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, token_files, url_filters, warc
 
-NAMES = ("version", "key", "kept", "copies", "n_equal", "own", "turn", "copy", "size", "shard", "node", "label", "spans", "ids", "media", "n_words", "scores", "part", "check", "host", "payload")
+NAMES = ("path", "known", "range", "digest", "failed", "length", "rank", "before", "version", "key", "kept", "copies", "n_equal", "own", "turn", "copy", "size", "shard", "node", "label", "spans", "ids", "media", "n_words", "scores", "part", "check", "host", "payload")
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +38,9 @@ OPERATORS = {
     "op8": lambda docs, labels: warc.round_trip(docs.withColumnsRenamed({"doc_id": "page_id", "lang": "url", "text": "html"})),
     "op9": lambda docs, labels: url_filters.judge(docs.withColumnsRenamed({"doc_id": "page_id", "text": "url"})),
     "op10": lambda docs, labels: sharding.shard(docs),
+    "op11": lambda docs, labels: collocations.collocations(docs, least=5),
+    "op12": lambda docs, labels: filter_audit.audit(filter_audit.failures(docs, labels)),
+    "op13": lambda docs, labels: packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1).select("doc_id", "start", "length", "doc_tokens"),
 }
 
 
