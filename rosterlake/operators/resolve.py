@@ -8,10 +8,11 @@ record each; no step makes all pairs of a key. Components come from label propag
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from . import ranked
 from .stored import Scratch
 
 #: People at which a key is common, and the confidences of pairs.
@@ -236,10 +237,10 @@ def repointed(duplicates: DataFrame) -> DataFrame:
 
 def survivor(rows: DataFrame, part: str, order: list[Column], scalars: list[str], lists: list[str]) -> DataFrame:
     """One record for each part: for each scalar the first value in order, for each list the union, and what was absorbed."""
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    placed = ranked.ranked(rows, Scratch(rows.sparkSession, "survivors"), "rows", [part], order, "_rank")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_rank")))
     gathered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_rank", c))), lambda x: x[c])
-    return ranked.groupBy(part).agg(
+    return placed.groupBy(part).agg(
         F.min_by("id", "_rank").alias("id"),
         *(first(c).alias(c) for c in scalars),
         *(F.array_distinct(F.flatten(gathered(c))).alias(c) for c in lists),

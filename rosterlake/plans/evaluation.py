@@ -215,7 +215,12 @@ _LINK_SHAPE = (
     r"|(?:skype|telegram|телеграм|tg)[^\S\n]*:[^\S\n]*[\p{L}\p{N}_.\-]{3,}"
 )
 
+_HAS = r"list_position(list_transform(string_split(text, chr(10)), lambda x: regexp_matches(lower(x), '(^|[^\p{{L}}\p{{N}}_]){0}($|[^\p{{L}}\p{{N}}_])')), true)"
+
 ORACLES = {
+    "evaluated_docs": f"""WITH h AS (SELECT doc_id, {_HAS.format("page")} AS page, {_HAS.format("zzzz")} AS zzzz FROM documents)
+SELECT doc_id, 'ok' AS status, CASE WHEN zzzz > 0 THEN least(30, round_even(100 * (2 * CASE WHEN page > 0 THEN 1 ELSE 0.25 END + 1) / 3, 0)) ELSE round_even(100 * (2 * CASE WHEN page > 0 THEN 1 ELSE 0.25 END + 0.25) / 3, 0) END::INT AS score,
+concat_ws(',', CASE WHEN page > 0 THEN 'r1' END, CASE WHEN zzzz > 0 THEN 'r2' END) AS reasons, nullif(page, 0) AS line FROM h""",
     "checklist_score": f"WITH {_CHECKED} SELECT doc_id, score FROM c",
     "category": f"WITH {_CHECKED} SELECT doc_id, category, 'must ' || ((v0 = 'met')::INT + (v1 = 'met')::INT) || '/2 nice ' || ((v2 = 'met')::INT + (v3 = 'met')::INT) || '/2' AS counter FROM c",
     "top_reasons": f"""WITH {_CHECKED}, r AS (SELECT doc_id, unnest([{{'k': 0, 'id': 'r1', 'v': v0}}, {{'k': 0, 'id': 'r2', 'v': v1}}, {{'k': 1, 'id': 'r3', 'v': v2}}, {{'k': 1, 'id': 'r4', 'v': v3}}]) AS x FROM c),

@@ -140,6 +140,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "head_and_body": r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, ls, coalesce(list_min(list_filter(range(1, len(ls) + 1), lambda k: len(list_filter(ls[1:k], lambda x: trim(x) <> '')) > 12 OR regexp_matches(ls[k], '(?i)^\s*(?:опыт работы|опыт|трудовая деятельность|experience)([^\p{L}]|$)'))) - 1, len(ls)) AS n FROM l)
+SELECT doc_id, length(array_to_string(ls[1:n], chr(10)))::INT AS head, length(array_to_string(ls[n + 1:], chr(10)))::INT AS body FROM n""",
     "resume_hashes": "SELECT doc_id, sha1(text || chr(10) || 'None') AS hash FROM documents",
     "display_fields": """SELECT doc_id, replace(format('{:,}', n_chars), ',', ' ') AS number,
 CASE WHEN n_chars % 10 = 1 AND n_chars % 100 <> 11 THEN 'знак' WHEN n_chars % 10 BETWEEN 2 AND 4 AND n_chars % 100 NOT BETWEEN 12 AND 14 THEN 'знака' ELSE 'знаков' END AS noun,

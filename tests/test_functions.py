@@ -201,3 +201,14 @@ def test_long_lines_are_cut_between_items(spark, line, cuts):
     assert len(found) == len(line) and found.replace("\n", " ") == line
     begins = [p for p in found.split("\n")[1:]]
     assert len(begins) == len(cuts) and all(p.startswith(c) for p, c in zip(begins, cuts, strict=True)), begins
+
+
+def test_line_spans_of_many_lines(spark):
+    rng = random.Random(3)
+    texts = ["", "\n", "a", "a\n", *("\n".join("x" * rng.randint(0, 9) for _ in range(n)) for n in (63, 64, 65, 128, 700))]
+    for found, body in zip(column(spark, texts, fields.line_spans), texts, strict=True):
+        want, at = [], 0
+        for line in body.split("\n"):
+            want.append((at, at + len(line)))
+            at += len(line) + 1
+        assert [tuple(x) for x in found] == want
