@@ -25,11 +25,14 @@ def guarded_keys(keys: DataFrame, most_people: int = COMMON - 1) -> DataFrame:
 
     Each round takes a key's first spelling as a person and lets go of all that are compatible with it; what is left after as many rounds as
     people are allowed are more people. So a spelling is compared with a few, never with all others of its key."""
+    tables = Scratch(keys.sparkSession, "guarded")
     counts = keys.groupBy("key").agg(F.count_distinct("id").alias("n"), F.count_distinct("person").alias("spellings")).where("n > 1")
+    counts = tables.store(counts.select("key", "spellings"), "counts")
     doubtful = counts.where(F.col("spellings") > most_people).select("key")
+    if not doubtful.head(1):
+        return keys.join(counts.select("key"), "key")
     left = keys.where("person <> ''").groupBy("key", "person").agg(F.min("id").alias("id")).join(doubtful, "key")
     left = left.select("key", "id", "person", names.readings(F.col("person")).alias("r"), names.has_latin(F.col("person")).alias("latin"))
-    tables = Scratch(keys.sparkSession, "guarded")
     for k in range(most_people):
         left = tables.store(left, f"left{k}")
         one = left.groupBy("key").agg(F.min_by(F.struct("r", "latin"), F.struct("id", "person")).alias("one"))
