@@ -182,13 +182,14 @@ def lateness(planned: Column, started: Column, waited_for: Column, grace: int =
     return F.when(late, F.when(waited_for.isNotNull(), F.concat(F.lit("waited for "), waited_for)).otherwise("slept"))
 
 
-def once_a_minute(requests: DataFrame, key: list[str], at: str, id: str) -> DataFrame:
-    """Requests but for repeats: those within a minute of the last one that wasn't a repeat, in order of time and ``id``, which is unique.
+def once_a_minute(requests: DataFrame, key: list[str], at: str, id: str | None = None) -> DataFrame:
+    """Requests but for repeats: those within a minute of the last one that wasn't a repeat, in order of time and ``id``, which is unique (without one, of the
+    hash of all columns: then only equal rows tie).
 
     After a pause of more than a minute the next request always counts, so only the requests between two pauses meet in a task; such a burst
     is known by its first request, and pauses are found without a window over a whole key."""
-    tables, order = Scratch(requests.sparkSession, "repeats"), [F.col("_s"), F.col(id)]
-    rows = requests.withColumn("_s", F.unix_timestamp(at))
+    tables, order = Scratch(requests.sparkSession, "repeats"), [F.col("_s"), F.col("_id")]
+    rows = requests.withColumns({"_s": F.unix_timestamp(at), "_id": F.col(id) if id else F.xxhash64(*requests.columns)})
     beside = ranked.neighbours(rows, tables, "beside", key, order, ["_s"])
     starts = beside.withColumn("_new", (F.col("_before").isNull() | (F.col("_s") - F.col("_before._s") > 60)).cast("long")).drop("_before", "_after")
     numbered = ranked.ranked(starts, tables, "bursts", key, order, sums={"_burst": "_new"}).withColumn("_burst", F.col("_burst") + F.col("_new"))
