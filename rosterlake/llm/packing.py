@@ -241,11 +241,14 @@ def solve(ways: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             if not low.any():
                 x = z
                 break
-            idle = low & (x <= 0)
-            if not idle.any():
-                step = (x[low] / (x[low] - z[low])).min()
-                x = x + step * (z - x)
+            idle = low & (x <= 1e-12)
+            if not idle.any():  # as far as the first of them allows, which leaves in any case
+                z = np.where(low, np.minimum(z, 0), z)
+                allowed = np.where(low, x / np.where(low, x - z, 1), np.inf)
+                first = int(allowed.argmin())
+                x = x + allowed[first] * (z - x)
                 idle = low & (x <= 1e-12)
+                idle[first] = True
             used, x, a, gram = used[~idle], np.maximum(x[~idle], 0), a[:, ~idle], gram[~idle][:, ~idle]
         unexplained, rest = np.abs(rest).sum(), want - a @ x
         idle_rounds = idle_rounds + 1 if unexplained - np.abs(rest).sum() < STALLED * want.sum() else 0
