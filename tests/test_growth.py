@@ -35,3 +35,13 @@ def test_numbers_side_by_side_are_masked_as_in_sql(spark, tables):
     ]
     at = tables("documents", list(enumerate(texts)), "doc_id long, text string")
     assert rows(evaluation.mask_contacts(spark, at).select("doc_id", "masked").where("masked IS NOT NULL")) == by_sql(f"SELECT doc_id, masked FROM ({evaluation.ORACLES['mask_contacts']}) WHERE masked IS NOT NULL", at, "documents")
+
+
+def test_throughput_looks_back_an_hour(spark, tables):
+    ticks = [(k, "click" if k % 3 else "view", f"2024-01-01 {k // 6:02d}:{k % 6}0:0{k % 7}") for k in range(40)] + [(40, "lone", "2024-01-01 00:00:00"), (41, "lone", "2024-01-01 01:00:00")]
+    at = tables("events", ticks, "event_id long, event_type string, ts string")
+    held = spark.read.parquet(f"{at}/events.parquet").selectExpr("event_id", "event_type", "timestamp(ts) AS ts")
+    held.write.parquet(f"{at}/typed/events.parquet")
+    found = rows(evaluation.stage_throughput(spark, f"{at}/typed"))
+    assert found[-1] == (41, round(60 / 3600, 6))
+    assert found == by_sql(evaluation.ORACLES["stage_throughput"], f"{at}/typed", "events")
