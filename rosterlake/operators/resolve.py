@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from . import ranked
-from .stored import Scratch
+from .stored import Scratch, unused
 
 #: People at which a key is common, and the confidences of pairs.
 COMMON, UNSURE, POSSIBLE, SURE = 3, 0.5, 0.7, 1.0
@@ -284,11 +284,19 @@ def possible(records: DataFrame, seen: DataFrame) -> DataFrame:
     return unseen(blocked_pairs(rows, ["token", "company"], overlap & fits), seen).withColumns({"status": F.lit("open"), "confidence": F.lit(POSSIBLE)})
 
 
-def blocked_pairs(rows: DataFrame, block: list[str], residual: Column) -> DataFrame:
-    """``a, b`` of rows that share the blocking key and meet the residual on ``x`` and ``y``."""
-    x, y = rows.alias("x"), rows.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in block]
-    return x.join(y, [*same, F.col("x.id") < F.col("y.id"), residual]).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def blocked_pairs(rows: DataFrame, block: list[str], residual: Column, near: tuple[str, float] | None = None) -> DataFrame:
+    """``a, b`` of rows that share the blocking key and meet the residual on ``x`` and ``y``.
+
+    near: a number and a width, if the residual only holds for rows whose numbers are less than the width apart; rows then meet in bands of that
+    width, each with its own and the two beside it, so a block's work grows with its pairs that are near, not with all of them."""
+    x, y, same = rows, rows, list(block)
+    if near:
+        band, same = unused(rows, "_band"), [*block, unused(rows, "_band")]
+        of = F.floor(F.col(near[0]) / (1.001 * near[1])).cast("double")  # a little wider, so rounding parts no neighbours
+        x, y = rows.withColumn(band, of), rows.withColumn(band, F.explode(F.array(of - 1, of, of + 1)))
+    x, y = x.alias("x"), y.hint("merge").alias("y")
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in same]
+    return x.join(y, [*on, F.col("x.id") < F.col("y.id"), residual]).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def unique_match(left: DataFrame, right: DataFrame, key: str, out: str) -> DataFrame:

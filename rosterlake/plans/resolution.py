@@ -93,7 +93,7 @@ def decided_people(spark, sf_dir):
 
 def possible_pairs(spark, sf_dir):
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment", "c_acctbal")
-    return resolve.blocked_pairs(people, ["c_nationkey", "c_mktsegment"], F.abs(F.col("x.c_acctbal") - F.col("y.c_acctbal")) < 5)
+    return resolve.blocked_pairs(people, ["c_nationkey", "c_mktsegment"], F.abs(F.col("x.c_acctbal") - F.col("y.c_acctbal")) < 5, near=("c_acctbal", 5))
 
 
 def interval_overlap(spark, sf_dir):

@@ -1,9 +1,14 @@
 """Queries on what only larger tables hold: odd borders, long spans, hot keys."""
 
+from itertools import combinations
+
 import duckdb
 import pytest
 
-from rosterlake.plans import evaluation
+from rosterlake.operators import people
+from rosterlake.plans import evaluation, profiles, resolution
+
+from .helpers import compatible
 
 
 @pytest.fixture
@@ -45,3 +50,16 @@ def test_throughput_looks_back_an_hour(spark, tables):
     found = rows(evaluation.stage_throughput(spark, f"{at}/typed"))
     assert found[-1] == (41, round(60 / 3600, 6))
     assert found == by_sql(evaluation.ORACLES["stage_throughput"], f"{at}/typed", "events")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_pairs_meet_in_bands(spark, tables):
+    people = [(k, k % 2, "s", b) for k, b in enumerate([0.0, 4.99, 5.0, 9.98, -0.01, -4.99, 1e300, 1e300, 1e300, float("inf"), float("inf"), float("nan"), 5e8, 5e8 + 4, None, 9.99])]
+    at = tables("customer", people, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double")
+    found = resolution.possible_pairs(spark, at)
+    near = lambda x, y: x is not None and y is not None and abs(x - y) < 5
+    assert rows(found) == [(a[0], b[0]) for a, b in combinations(people, 2) if a[1] == b[1] and near(a[3], b[3])]
+    assert "_band" in plan(found)
