@@ -63,3 +63,16 @@ def test_near_pairs_meet_in_bands(spark, tables):
     near = lambda x, y: x is not None and y is not None and abs(x - y) < 5
     assert rows(found) == [(a[0], b[0]) for a, b in combinations(people, 2) if a[1] == b[1] and near(a[3], b[3])]
     assert "_band" in plan(found)
+
+
+def test_pairs_of_a_group_are_dealt_over_many_keys(spark, tables):
+    names = ["Иванов Иван", "Иванов И.", "Ivanov Ivan", "Ivanof Ivan", "Петров Пётр", "Петрова Анна", "Ли Ан", "Ли", "Ab", "Abc", "Petrov", "Petro", "", ".", None, "Иван Иванов"]
+    people = [(k, None if k == 7 else k % 2, names[(k // 2) % len(names)], "AB"[k % 3 == 0], 100.0 * (k % 9)) for k in range(70)] + [(None, 0, "Ли", "A", 1.0), (3, 1, "Ли", "A", 1.0)]
+    at = tables("customer", people, "c_custkey long, c_nationkey int, c_name string, c_mktsegment string, c_acctbal double")
+    fits = compatible(spark, *(n for n in names if n))
+    truth = [(a[0], b[0], fits(a[2] or None, b[2] or None)) for a in people for b in people if a[1] is not None and a[1] == b[1] and None not in (a[0], b[0]) and a[0] < b[0]]
+    found = resolution.names_compatible(spark, at)
+    assert rows(found) == sorted(truth)
+    fields = profiles.compared_fields(spark, at)
+    assert rows(fields) == by_sql(f"SELECT a, b, agree FROM ({profiles.ORACLES['compared_fields']})", at, "customer")
+    assert all("_couple" in plan(df) for df in (found, fields))
