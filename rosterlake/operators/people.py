@@ -37,7 +37,7 @@ def mentions(docs: DataFrame, held: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "body")).where(F.col("body").rlike(r"\p{Lu}\p{L}{2}"))
     runs = lines.select("doc_id", "line", F.posexplode(_runs(F.col("body"))).alias("run", "word"))
     capital = runs.where(F.col("word").rlike(r"^\p{Lu}\p{L}{2}")).withColumn("form", forms.plain(F.col("word")))
-    return capital.join(held, "form").select("doc_id", "line", "run", "kinds")
+    return capital.join(held.hint("merge"), "form").select("doc_id", "line", "run", "kinds")
 
 
 def _masked(runs: Column, found: Column, line: Column) -> Column:

@@ -76,3 +76,10 @@ def test_pairs_of_a_group_are_dealt_over_many_keys(spark, tables):
     fields = profiles.compared_fields(spark, at)
     assert rows(fields) == by_sql(f"SELECT a, b, agree FROM ({profiles.ORACLES['compared_fields']})", at, "customer")
     assert all("_couple" in plan(df) for df in (found, fields))
+
+
+def test_forms_of_names_are_not_collected(spark):
+    docs = spark.createDataFrame([(1, "Спросите Петрову Анну")], "doc_id long, text string")
+    found = people.mask_people(docs, spark.createDataFrame([("Петрова Анна",)], "full_name string"))
+    forms = people.mentions(docs, people.dictionary(spark.createDataFrame([("Петрова Анна",)], "full_name string")))
+    assert "Broadcast" not in plan(forms) and found.first().text == "Спросите [NAME]"
