@@ -64,24 +64,40 @@ def scored_requirements(requirements: Column) -> Column:
 NOTES = {"not_in_resume": "isn't in the text", "misread": "was understood wrongly", "irrelevant": "doesn't matter here"}
 
 
+#: Fixed value: keys over which the pairs of a vacancy are dealt.
+_DEALS = 64
+
+
 def corrections(feedback: DataFrame, pairs: DataFrame) -> DataFrame:
     """``vacancy_id, candidate_id, corrections`` for each of ``pairs(vacancy_id, candidate_id)``: lines, by id, of what ``feedback(id, vacancy_id,
     candidate_id, scope, kind, comment)`` says of it: notes on the candidate for this vacancy or for all, and what is irrelevant to the whole
     vacancy, or to all of them, whoever it was noted on.
 
-    Notes on candidates and on vacancies are gathered first and joined by their keys; only notes for everybody are read as one value."""
+    Notes on everything are read as one value. A note is in one of the lists only, so no list is searched for another's notes: what is irrelevant to a
+    vacancy is said to its pairs anyway and left out of the candidates' notes. Lists are sorted before they meet, and pairs without notes of their own take their
+    vacancy's lines as they are."""
     said = F.coalesce(*(F.when(F.col("kind") == k, x) for k, x in NOTES.items()), F.lit("isn't agreed with"))
-    note = F.struct("id", F.concat(F.lit("«"), F.coalesce("comment", F.lit("")), F.lit("» "), said).alias("line"))
     everywhere, general = F.col("scope").eqNullSafe("all"), F.col("kind").eqNullSafe("irrelevant")
-    gathered = lambda rows, name, *by: rows.groupBy(*by).agg(F.collect_set(note).alias(name))
-    own = gathered(feedback.where(~everywhere), "own", "vacancy_id", "candidate_id")
-    anywhere = gathered(feedback.where(everywhere), "anywhere", "candidate_id")
-    whole = gathered(feedback.where(general & ~everywhere), "whole", "vacancy_id")
-    rows = pairs.select("vacancy_id", "candidate_id").join(own, ["vacancy_id", "candidate_id"], "left").join(anywhere, "candidate_id", "left").join(whole, "vacancy_id", "left")
-    rows = rows.withColumn("every", feedback.where(general & everywhere).agg(F.collect_set(note)).scalar())
-    none = F.array().cast("array<struct<id:bigint,line:string>>")
-    found = F.array_distinct(F.concat(*(F.coalesce(F.col(c).cast("array<struct<id:bigint,line:string>>"), none) for c in ("own", "anywhere", "whole", "every"))))
-    return rows.select("vacancy_id", "candidate_id", F.transform(F.array_sort(found), lambda x: x["line"]).alias("corrections"))
+    told = feedback.select("vacancy_id", "candidate_id", everywhere.alias("everywhere"), general.alias("general"), F.struct(F.col("id").cast("long").alias("id"), F.concat(F.lit("«"), F.coalesce("comment", F.lit("")), F.lit("» "), said).alias("line")).alias("note"))
+    gathered = lambda rows, name, *by: rows.groupBy(*by).agg(F.sort_array(F.collect_set("note")).alias(name))
+    for_all = told.where("general AND everywhere")
+    of_vacancy = told.where("general AND NOT everywhere").select("vacancy_id", "note").join(for_all.select("note").distinct(), "note", "left_anti")
+    pairs = pairs.select("vacancy_id", "candidate_id")
+    single = told.where("NOT general")
+    one = single.where("NOT everywhere").select("vacancy_id", "candidate_id", "note")
+    rest = single.where("everywhere").select("candidate_id", "note").join(pairs.distinct(), "candidate_id").select("vacancy_id", "candidate_id", "note")
+    own = gathered(one.union(rest), "own", "vacancy_id", "candidate_id")
+    lines = lambda notes: F.transform(notes, lambda x: x["line"])
+    every = for_all.agg(F.sort_array(F.collect_set("note")).alias("notes")).select(F.struct("notes", lines(F.col("notes")).alias("said"))).scalar()
+    whole = gathered(of_vacancy, "whole", "vacancy_id").withColumn("every", every)
+    whole = whole.select("vacancy_id", F.sort_array(F.concat("whole", "every.notes")).alias("whole"))
+    # a vacancy's pairs are dealt over several keys
+    whole = whole.withColumns({"said": lines(F.col("whole")), "_deal": F.explode(F.sequence(F.lit(0), F.lit(_DEALS - 1)))})
+    rows = pairs.join(own, ["vacancy_id", "candidate_id"], "left").withColumn("_deal", F.pmod(F.xxhash64("candidate_id"), F.lit(_DEALS)).cast("int"))
+    rows = rows.join(whole, ["vacancy_id", "_deal"], "left").withColumn("every", every)
+    shared, as_is = F.coalesce("whole", "every.notes"), F.coalesce("said", "every.said")
+    merged = F.when(F.col("own").isNull(), as_is).otherwise(lines(F.sort_array(F.concat("own", shared))))
+    return rows.select("vacancy_id", "candidate_id", merged.alias("corrections"))
 
 
 def fair_description(description: Column, requirements: Column) -> Column:

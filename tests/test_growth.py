@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from rosterlake.operators import people
-from rosterlake.plans import evaluation, profiles, resolution
+from rosterlake.plans import desk, evaluation, profiles, resolution
 
 from .helpers import compatible
 
@@ -83,3 +83,13 @@ def test_forms_of_names_are_not_collected(spark):
     found = people.mask_people(docs, spark.createDataFrame([("Петрова Анна",)], "full_name string"))
     forms = people.mentions(docs, people.dictionary(spark.createDataFrame([("Петрова Анна",)], "full_name string")))
     assert "Broadcast" not in plan(forms) and found.first().text == "Спросите [NAME]"
+
+
+def test_corrections_of_many_notes(spark, tables):
+    kinds = ["click", "view", "search", "view"]
+    events = [(100 * k if k < 300 else 30000 + k, k % 7, kinds[k % 4]) for k in range(900)]
+    tables("customer", [(k, k % 3) for k in range(9)] + [(3, 1)], "c_custkey long, c_nationkey int")
+    at = tables("events", [*events, *events[:5]], "event_id long, user_id long, event_type string")
+    found = desk.corrections(spark, at)
+    assert rows(found.distinct()) == by_sql(f"SELECT vacancy_id, candidate_id, n, said FROM ({desk.ORACLES['corrections']})", at, "customer", "events")
+    assert "array_distinct" not in plan(found)
