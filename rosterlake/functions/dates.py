@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bound
+
 #: Days after which a record is stale, and the labels of dates in texts.
 STALE_DAYS = 548
 DATE = r"\b(\d{1,2})[./](\d{1,2})[./](\d{4})\b|\b(\d{4})-(\d{2})-(\d{2})\b"
@@ -40,14 +42,13 @@ def is_stale(day: Column, as_of: Column) -> Column:
 
 def month_index(text: Column, end: bool = False) -> Column:
     """``YYYY`` or ``YYYY-MM`` as months; a lone year begins in January and ends in December."""
-    year, month = F.regexp_extract(text, r"^(\d{4})", 1), F.regexp_extract(text, r"^\d{4}-(\d{1,2})", 1)
-    month = F.when(month != "", month.cast("int")).otherwise(12 if end else 1)
-    return F.when(year != "", year.cast("int") * 12 + month - 1)
+    month = lambda said: F.when(F.length(said) > 4, F.substring(said, 6, 2).cast("int")).otherwise(12 if end else 1)
+    return bound(F.regexp_extract(text, r"^\d{4}(?:-\d{1,2})?", 0), lambda said: F.when(said != "", F.substring(said, 1, 4).cast("int") * 12 + month(said) - 1))
 
 
 def union_months(spans: Column) -> Column:
     """Months covered by an array of half-open ``struct(start, stop)``; overlaps and touching spans count once."""
-    ordered = F.array_sort(F.filter(spans, lambda s: s["start"] < s["stop"]))
+    ordered = F.sort_array(F.filter(spans, lambda s: s["start"] < s["stop"]))
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(-(1 << 31)).cast("long").alias("reach"))
 
     def add(done: Column, span: Column) -> Column:

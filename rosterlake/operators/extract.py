@@ -8,19 +8,26 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, fields, text
+from ..functions.bind import bound
 
 POSITION = "struct<title:string,company:string,start:string,end:string,is_current:boolean,source_lines:array<int>>"
 PROFILE = f"struct<desired_position:string,positions:array<{POSITION}>,skills:array<string>,total_years:double,city:string,summary:string>"
+_STRINGS = pa.list_(pa.string())
+_POSITION = pa.struct({"title": pa.string(), "company": pa.string(), "start": pa.string(), "end": pa.string(), "is_current": pa.bool_(), "source_lines": pa.list_(pa.int32())})
+_PROFILE = pa.struct({"desired_position": pa.string(), "positions": pa.list_(_POSITION), "skills": _STRINGS, "total_years": pa.float64(), "city": pa.string(), "summary": pa.string()})
 #: Spellings of "until now", and attempts after network errors.
 NOW, ATTEMPTS = r"(?iu)^(?:по )?(?:настоящее время|н\.?\s?в\.?|сейчас|present|now)$", 3
 
+_JOB = re.compile(r"\s*(\d{4}(?:-\d{2})?)\s*[-–—]\s*(\d{4}(?:-\d{2})?|[^\d,]+?)\s*[:,]?\s+([^,]+),\s*(.+)")
+_SKILLS = re.compile(r"(?i)\s*(?:навыки|skills)\s*:\s*(.+)")
+
 
 class TemporaryError(Exception):
     """A network error or a busy service: worth another try."""
@@ -28,13 +35,14 @@ class TemporaryError(Exception):
 
 def rule_extractor(body: str) -> dict:
     """Positions of lines like ``2019-03 - 2021-05 Welder, Steel Works``; skills after ``skills:``."""
-    positions, skills = [], []
-    for k, line in enumerate((body or "").split("\n"), 1):
-        if m := re.match(r"\s*(\d{4}(?:-\d{2})?)\s*[-–—]\s*(\d{4}(?:-\d{2})?|[^\d,]+?)\s*[:,]?\s+([^,]+),\s*(.+)", line):
-            positions.append({"title": m[3].strip(), "company": m[4].strip(), "start": m[1], "end": m[2].strip(), "source_lines": [k]})
-        elif m := re.match(r"(?i)\s*(?:навыки|skills)\s*:\s*(.+)", line):
+    positions, skills, lines = [], [], (body or "").split("\n")
+    for k, line in enumerate(lines, 1):
+        if m := _JOB.match(line):
+            start, end, title, company = m.groups()
+            positions.append({"title": title.strip(), "company": company.strip(), "start": start, "end": end.strip(), "source_lines": [k]})
+        elif m := _SKILLS.match(line):
             skills += [s.strip() for s in m[1].split(",") if s.strip()]
-    first = next((x.strip() for x in (body or "").split("\n") if x.strip()), None)
+    first = next((x.strip() for x in lines if x.strip()), None)
     return {"desired_position": first, "positions": positions, "skills": skills}
 
 
@@ -52,27 +60,34 @@ def extract(docs: DataFrame, extractor: Callable[[str], dict] = rule_extractor,
                 return None, "failed", str(e)
         return None, "failed", error
 
-    def run(batches):
-        for rows in batches:
-            found = [one(t) for t in rows["text"]]
-            yield rows.assign(profile=[f[0] for f in found], status=[f[1] for f in found], error=[f[2] for f in found])
+    def listed(x):
+        return x if x is None or isinstance(x, list) else list(x)
+
+    def plain(p: dict) -> dict:
+        jobs = [{k: x.get(k) for k in jobs_have} | {"source_lines": listed(x.get("source_lines"))} for x in p.get("positions") or []]
+        return {k: p.get(k) for k in has} | {"positions": jobs, "skills": listed(p.get("skills"))}
+
+    jobs_have, has = [f.name for f in _POSITION], [f.name for f in _PROFILE]
 
-    def full(batches):
-        keys = {"positions": ("title", "company", "start", "end", "is_current", "source_lines")}
-        names = ("desired_position", "positions", "skills", "total_years", "city", "summary")
-        for rows in run(batches):
-            profiles = [None if p is None else {n: ([{k: x.get(k) for k in keys[n]} for x in p.get(n) or []] if n in keys else p.get(n)) for n in names} for p in rows["profile"]]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "text": rows["text"], "profile": profiles, "status": rows["status"], "error": rows["error"]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            profiles, status, errors = zip(*map(one, batch.column("text").to_pylist()), strict=True) if batch.num_rows else ((), (), ())
+            held = pa.array([None if p is None else plain(p) for p in profiles], _PROFILE, from_pandas=True)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), held, pa.array(status, pa.string()), pa.array(errors, pa.string())], ["doc_id", "text", "profile", "status", "error"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(full, f"doc_id {kind}, text string, profile {PROFILE}, status string, error string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, profile {PROFILE}, status string, error string")
 
 
 def checked(parsed: DataFrame, as_of_month: int) -> DataFrame:
-    """Adds what code can verify: line ranges, company keys, open ends, and years counted from the positions."""
+    """Adds what code can verify: line ranges, company keys, open ends, and years counted from the positions.
 
-    def fixed(p):
-        now = F.coalesce(p["is_current"], F.lit(False)) | F.coalesce(p["end"].rlike(NOW), F.lit(False))
+    Each column comes from ``profile`` and ``text`` alone, so Spark doesn't compute those that nobody reads."""
+
+    def is_now(p: Column) -> Column:
+        return F.coalesce(p["is_current"], F.lit(False)) | F.coalesce(p["end"].rlike(NOW), F.lit(False))
+
+    def fixed(p: Column, now: Column, all_lines: Column) -> Column:
         return F.struct(
             fields.without_company(p["title"], p["company"]).alias("title"),
             p["company"].alias("company"),
@@ -80,13 +95,17 @@ def checked(parsed: DataFrame, as_of_month: int) -> DataFrame:
             p["start"].alias("start"),
             F.when(~now, p["end"]).alias("end"),
             now.alias("is_current"),
-            text.valid_lines(p["source_lines"], F.col("text")).isNotNull().alias("lines_ok"),
+            text.valid_range(p["source_lines"], all_lines).isNotNull().alias("lines_ok"),
         )
 
-    positions = F.transform("profile.positions", fixed)
-    span = lambda p: F.struct(dates.month_index(p["start"]).cast("long").alias("start"), (F.when(p["is_current"], F.lit(as_of_month)).otherwise(dates.month_index(p["end"], True)) + 1).cast("long").alias("stop"))
-    years = F.round(dates.union_months(F.filter(F.transform("positions", span), lambda s: s["start"].isNotNull() & s["stop"].isNotNull())) / 12, 1)
-    rows = parsed.withColumn("positions", positions).withColumn("years_counted", years).withColumn("relocation", text.relocation(F.col("text"), F.lit("unknown")))
+    def span(p: Column) -> Column:
+        stop = F.when(is_now(p), F.lit(as_of_month)).otherwise(dates.month_index(p["end"], True)) + 1
+        return F.struct(dates.month_index(p["start"]).cast("long").alias("start"), stop.cast("long").alias("stop"))
+
+    each = lambda all_lines: F.transform("profile.positions", lambda p: bound(is_now(p), lambda now: fixed(p, now, all_lines)))
+    years = F.round(dates.union_months(F.transform("profile.positions", span)) / 12, 1)
+    rows = parsed.withColumn("positions", bound(text.lines(F.col("text")), each)).withColumn("company_keys", F.transform("profile.positions.company", fields.company_key))
+    rows = rows.withColumn("years_counted", years).withColumn("relocation", text.relocation(F.col("text"), F.lit("unknown")))
     rows = rows.withColumn("city", F.coalesce(fields.normalize_city(F.col("profile.city")), fields.extract_city(F.col("text"))))
     stated = F.col("profile.total_years")
     return rows.withColumn("years_mismatch", F.coalesce(F.abs(stated - F.col("years_counted")) > 1, F.lit(False))).withColumn("summary", text.grounded(F.col("profile.summary"), F.col("text"), F.col("years_counted")))

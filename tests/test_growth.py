@@ -5,7 +5,7 @@ from itertools import combinations
 import duckdb
 import pytest
 
-from rosterlake.operators import people
+from rosterlake.operators import extract, people
 from rosterlake.plans import desk, evaluation, profiles, resolution
 
 from .helpers import compatible
@@ -93,3 +93,29 @@ def test_corrections_of_many_notes(spark, tables):
     found = desk.corrections(spark, at)
     assert rows(found.distinct()) == by_sql(f"SELECT vacancy_id, candidate_id, n, said FROM ({desk.ORACLES['corrections']})", at, "customer", "events")
     assert "array_distinct" not in plan(found)
+
+
+def test_profiles_cost_what_is_read_of_them(spark, tables):
+    tables("part", [(k, f"Brand#{k % 3}", "LARGE" if k % 2 else "SMALL") for k in range(9)], "p_partkey long, p_brand string, p_type string")
+    lines = [(k % 40, k * 7 % 11, 1 + k // 40 % 3, f"{1995 + k % 3}-{1 + k * 5 % 12:02d}-28") for k in range(300)]
+    raw = tables("raw", lines, "l_orderkey long, l_partkey long, l_linenumber int, day string")
+    spark.read.parquet(f"{raw}/raw.parquet").selectExpr("l_orderkey", "l_partkey", "l_linenumber", "to_timestamp_ntz(day) AS l_shipdate").write.parquet(f"{raw}/lineitem.parquet")
+    found = profiles.extracted_profiles(spark, raw)
+    assert rows(found) == by_sql(profiles.ORACLES["extracted_profiles"], raw, "lineitem", "part")
+    said = plan(found)
+    assert "MapInArrow" in said and "lines_ok" not in said  # neither pandas objects nor checks that the query doesn't return
+    assert said.index("partial_collect_list") < said.index("Exchange")  # equal orders are brought together before they are listed
+
+
+def test_profiles_of_any_extractor(spark):
+    jobs = [{"title": "сварщик, ООО «Альфа»", "company": "ООО «Альфа»", "start": "2019-03", "end": "по настоящее время", "source_lines": range(1, 3), "else": 1}, {"start": "2018", "end": "2018", "source_lines": (2, 9)}]
+
+    def extractor(body):
+        return {"bad": lambda: 1 / 0, "none": lambda: None, "bare": lambda: {"positions": None, "skills": ("a",), "total_years": 3}}.get(body, lambda: {"positions": jobs, "total_years": float("nan")})()
+
+    docs = spark.createDataFrame([(None, "bad"), (1, "none"), (2, "bare"), (3, "сварка металла\nтел"), (4, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in extract.checked(extract.extract(docs, extractor), 24240).collect()}
+    assert {k: r.status for k, r in found.items()} == {None: "failed", 1: "parsed", 2: "parsed", 3: "parsed", 4: "parsed"} and found[None].positions is None and found[1].positions is None
+    assert found[2].positions == [] and found[2].profile.skills == ["a"] and found[2].profile.total_years == 3 and found[3].profile.total_years is None
+    assert [tuple(p) for p in found[3].positions] == [("сварщик", "ООО «Альфа»", "альфа", "2019-03", None, True, True), (None, None, None, "2018", "2018", False, False)]
+    assert found[3].company_keys == ["альфа", None] and found[3].years_counted == 1.9 and [p.lines_ok for p in found[4].positions] == [False, False]
