@@ -5,7 +5,7 @@ from itertools import combinations
 import duckdb
 import pytest
 
-from rosterlake.operators import extract, people
+from rosterlake.operators import extract, people, resolve
 from rosterlake.plans import desk, evaluation, profiles, resolution
 
 from .helpers import compatible
@@ -78,6 +78,22 @@ def test_pairs_of_a_group_are_dealt_over_many_keys(spark, tables):
     assert all("_couple" in plan(df) for df in (found, fields))
 
 
+def test_pairs_of_parts_and_blocks(spark):
+    held = [(k * k % 41 if k % 6 else 7, k % 2, "ab"[k % 3 == 0], k % 5, [k]) for k in range(90)]
+    df = spark.createDataFrame(held, "id long, g int, s string, n int, own array<int>")
+    truth = sorted((a[0], b[0], a[2], a[4], b[3]) for a in held for b in held if a[1] == b[1] and a[0] < b[0])
+    for kw in ({}, {"cells": 3, "most": 4, "block": 2}, {"cells": 1, "block": 1}, {"order": ("s", "n"), "mine": ("own",), "cells": 2, "most": 5, "block": 3}):
+        assert rows(resolve.all_pairs(df, "g", **kw).select("a", "b", "x.s", "x.own", "y.n")) == truth
+
+
+def test_files_of_pairs_hold_runs(spark, tables, tmp_path):
+    people = [(k * 7919 % 100_003, 1, f"Customer#{k:09d}", "ABCDE"[k * k % 5], k * 37 % 10_000 - 999.5) for k in range(3000)]
+    at = tables("customer", people, "c_custkey long, c_nationkey int, c_name string, c_mktsegment string, c_acctbal double")
+    profiles.compared_fields(spark, at).coalesce(4).write.parquet(f"{tmp_path}/fields")
+    assert spark.read.parquet(f"{tmp_path}/fields").count() == 3000 * 2999 // 2
+    assert sum(f.stat().st_size for f in tmp_path.glob("fields/*.parquet")) < 0.6 * 3000 * 2999 // 2
+
+
 def test_forms_of_names_are_not_collected(spark):
     docs = spark.createDataFrame([(1, "Спросите Петрову Анну")], "doc_id long, text string")
     found = people.mask_people(docs, spark.createDataFrame([("Петрова Анна",)], "full_name string"))
