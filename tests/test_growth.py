@@ -86,10 +86,11 @@ def test_pairs_of_parts_and_blocks(spark):
         assert rows(resolve.all_pairs(df, "g", **kw).select("a", "b", "x.s", "x.own", "y.n")) == truth
 
 
-def test_files_of_pairs_hold_runs(spark, tables, tmp_path):
+@pytest.mark.parametrize("query", [profiles.compared_fields, resolution.names_compatible])
+def test_files_of_pairs_hold_runs(spark, tables, tmp_path, query):
     people = [(k * 7919 % 100_003, 1, f"Customer#{k:09d}", "ABCDE"[k * k % 5], k * 37 % 10_000 - 999.5) for k in range(3000)]
     at = tables("customer", people, "c_custkey long, c_nationkey int, c_name string, c_mktsegment string, c_acctbal double")
-    profiles.compared_fields(spark, at).coalesce(4).write.parquet(f"{tmp_path}/fields")
+    query(spark, at).coalesce(4).write.parquet(f"{tmp_path}/fields")
     assert spark.read.parquet(f"{tmp_path}/fields").count() == 3000 * 2999 // 2
     assert sum(f.stat().st_size for f in tmp_path.glob("fields/*.parquet")) < 0.6 * 3000 * 2999 // 2
 
